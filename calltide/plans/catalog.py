@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from calltide.plans import dashboards, events  # noqa: F401
+from calltide.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
