@@ -84,7 +84,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         runs.add(new.select("h1", "h2"))
         kept.drop(lines, new)
         drops = part if drops is None else drops.unionByName(part)
-    return drops.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("drop"))  # no more than a document's lines
+    return drops.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("drop"))  # no more than a document's lines
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
