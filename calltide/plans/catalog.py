@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from calltide.plans import dashboards, events, resolution  # noqa: F401
+from calltide.plans import contacts, dashboards, events, health, resolution  # noqa: F401
 from calltide.plans.registry import ORACLES, QUERIES
 
 
