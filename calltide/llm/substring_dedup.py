@@ -1,12 +1,14 @@
 """Substring deduplication by level-wise doubling of repeated windows.
 
-Level 1 looks at windows of half the length. A window of 2n words can repeat only where windows of n words do, so only places
-next to a repeated short window are extended to twice that length and counted again. Level 1 needn't count every short window
-either: of all short windows inside a long one, that with the smallest mixed hash is always among the picked ones (local
-minima), in every copy alike, so the picked ones, about one in seven words, decide where candidates are.
-
-Rows that travel: the picked short windows' hashes once, the candidates' hashes once, and the texts of documents that have
-something to remove.
+Level 1 looks at windows of half the length. A window of 2n words can repeat only where the windows of n words inside it do, so
+only such places are extended to twice that length and counted again. Level 1 needn't count every short window either: each
+long window picks the short one inside it with the smallest mixed hash, which is the same in every copy. Picked ones are about
+one in thirteen words. The first document of each short window is known, too: a long window can start in a smaller document
+only if the short one it picks does, and only such windows are looked up again. A text that is another's copy as a whole is
+settled at level 1.
+
+Rows that travel: the picked short windows' hashes once, the candidates' hashes once or twice, and the texts of documents that
+have candidates.
 """
 
 from __future__ import annotations
@@ -60,11 +62,7 @@ def window_hashes(h: np.ndarray, length: int, base: np.uint64 = BASE) -> np.ndar
 
 
 def picked(h: np.ndarray, inside: int) -> np.ndarray:
-    """Places of windows that are the smallest of some ``inside`` consecutive ones, leftmost first."""
-    if not len(h):
-        return np.zeros(0, np.int64)
-    if len(h) <= inside:
-        return np.asarray([int(np.argmin(h))])
+    """For each ``inside`` consecutive windows the place of the smallest, leftmost first."""
     out = []
     for at in range(0, len(h) - inside + 1, BLOCK):
         views = np.lib.stride_tricks.sliding_window_view(h[at : at + BLOCK + inside - 1], inside)
@@ -74,87 +72,97 @@ def picked(h: np.ndarray, inside: int) -> np.ndarray:
             smaller = views[:, j] < low
             place[smaller] = j
             np.minimum(low, views[:, j], out=low)
-        out.append(np.unique(place + np.arange(len(low)) + at))
-    return np.unique(np.concatenate(out))
+        out.append(place + np.arange(at, at + len(low)))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def short_windows(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words' hashes, and hashes and places of the picked windows of half the length; none for texts under one window."""
+    """Words' hashes, the hashes of the picked windows of half the length, and which of these each whole window has picked."""
     h = word_hashes(words)
     if len(words) < window:
         return h, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    half = window // 2
-    short = window_hashes(h, half)
-    at = picked(short, window - half + 1)
-    return h, short[at], at
+    short = window_hashes(h, window // 2)
+    at, which = np.unique(picked(short, window - window // 2 + 1), return_inverse=True)
+    return h, short[at], which
 
 
 def _level_one(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, hashes = batch.column("id"), []
         for text in batch.column("text").to_pylist():
-            hashes.append(np.unique(short_windows(text.encode().split(), window)[1]))
+            h, short, _ = short_windows(text.encode().split(), window)
+            hashes.append(np.unique(np.append(short, whole_hash(h))) if len(short) else short)
         row = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
         flat = np.concatenate([*hashes, np.zeros(0, np.uint64)]).view(np.int64)
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(flat)], names=["id", "h"])
 
 
-def candidates(words: list[bytes], window: int, repeated) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places and two hashes of whole windows around repeated short ones; ``repeated`` says which of given hashes are."""
+def whole_hash(h: np.ndarray) -> np.ndarray:
+    """A hash of a whole text's words."""
+    return mix(window_hashes(h, len(h), BASE2) + np.uint64(len(h)))
+
+
+class Firsts:
+    """Repeated short windows and the smallest document that holds each."""
+
+    def __init__(self, hashes: np.ndarray, first: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.first = hashes[order], first[order]
+
+    def of(self, x: np.ndarray, otherwise: int) -> np.ndarray:
+        """The first documents of some hashes; ``otherwise`` for those that aren't repeated."""
+        if not len(self.hashes):
+            return np.full(len(x), otherwise, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == x, self.first[at], otherwise)
+
+
+NEVER = np.iinfo(np.int64).max
+
+
+def candidates(words: list[bytes], doc: int, window: int, firsts: Firsts):
+    """None if the text is a copy of a smaller document's; else places, two hashes and whether to look up each candidate."""
     none = np.zeros(0, np.int64)
     if len(words) < window:
-        return none, none, none
-    h, short, at = short_windows(words, window)
-    at = at[repeated(short)]
-    if not len(at):
-        return none, none, none
-    n, half = len(words) - window + 1, window // 2
-    mark = np.zeros(n + 1, np.int64)  # a whole window that starts in [at - (window - half), at] holds the short one
-    np.add.at(mark, np.maximum(at - (window - half), 0), 1)
-    np.add.at(mark, np.minimum(at + 1, n), -1)
-    places = np.flatnonzero(np.cumsum(mark[:n]) > 0)
-    return places, window_hashes(h, window)[places].view(np.int64), window_hashes(h, window, BASE2)[places].view(np.int64)
-
-
-def _level_two(batches: Iterator[pa.RecordBatch], window: int, shared=None) -> Iterator[pa.RecordBatch]:
+        return none, none, none, np.zeros(0, bool)
+    h, short, which = short_windows(words, window)
+    first = firsts.of(short, NEVER)
+    if (first < doc).all() and firsts.of(whole_hash(h), NEVER)[0] < doc:
+        return None
+    first = first[which]
+    places = np.flatnonzero(first < NEVER)
+    h1, h2 = window_hashes(h, window)[places], window_hashes(h, window, BASE2)[places] >> np.uint64(33)
+    return places, h1.view(np.int64), h2.astype(np.int32), first[places] < doc
+
+
+_ROWS = "n_words bigint, copy boolean, kept string, text string, at array<int>, h1 array<bigint>, h2 array<int>, look array<boolean>"
+
+
+def _level_two(batches: Iterator[pa.RecordBatch], window: int, digest: bool, shared=None) -> Iterator[pa.RecordBatch]:
+    """A row for each text: settled ones (copies, and texts without candidates) with what is kept, others with their candidates."""
     known = None if shared is None else shared.value
+    kinds = [pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
     for batch in batches:
         marks = batch.column("marks").to_pylist() if known is None else None
-        rows, at, h1, h2 = [], [], [], []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            of = np.asarray(marks[i], np.int64).view(np.uint64) if known is None else known
-            a, x, y = candidates(text.encode().split(), window, lambda s, of=of: _in_sorted(s, of) if known is not None else np.isin(s, of))
-            rows.append(len(a)), at.append(a), h1.append(x), h2.append(y)
-        row = np.repeat(np.arange(len(rows)), rows)
-        flat = [pa.array(np.concatenate([*x, np.zeros(0, np.int64)])) for x in (at, h1, h2)]
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row, pa.int64())), flat[0].cast(pa.int32()), flat[1], flat[2]], names=["id", "at", "h1", "h2"])
-
-
-def _in_sorted(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(x), bool)
-    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
-
-
-def removed_windows(docs: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """id and the starts (sorted) of windows that also start in a document with a smaller id; ``docs`` has id and text, no nulls."""
-    spark = docs.sparkSession
-    kept = Stored(spark, "substring-dedup")
-    short = docs.mapInArrow(partial(_level_one, window=window), f"id {docs.schema['id'].dataType.simpleString()}, h bigint")
-    seen = short.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h")
-    seen = kept.write(seen, "repeated")
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, at int, h1 bigint, h2 bigint"
-    if seen.count() <= max_broadcast:
-        known = np.sort(seen.toArrow().column("h").to_numpy().astype(np.int64, copy=True).view(np.uint64))
-        shared = spark.sparkContext.broadcast(known)
-        longs = docs.mapInArrow(partial(_level_two, window=window, shared=shared), schema)
-    else:
-        marks = short.join(seen, "h").groupBy("id").agg(F.collect_set("h").alias("marks"))  # no more than a document's words
-        longs = docs.join(marks, "id").select("id", "text", "marks").mapInArrow(partial(_level_two, window=window), schema)
-    longs = kept.write(longs, "candidates")
-    first = longs.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    again = longs.join(first, ["h1", "h2"]).where("id > first")
-    return again.groupBy("id").agg(F.array_sort(F.collect_list("at")).alias("starts"))
+        rows = []
+        for i, (doc, text) in enumerate(zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+            of = known
+            if known is None:
+                own = marks[i] or []
+                of = Firsts(np.asarray([m["h"] for m in own], np.int64).view(np.uint64), np.asarray([m["a"] for m in own], np.int64))
+            words = text.encode().split()
+            found = candidates(words, doc, window, of) if doc is not None else (np.zeros(0),) * 4
+            copy = found is None
+            if copy or not found[3].any() and not len(found[0]):
+                rows.append((len(words), copy, keep([] if copy else words, digest), None, None, None, None, None))
+            else:
+                rows.append((len(words), False, None, text, *found))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=["id", *(part.split()[0] for part in _ROWS.split(", "))])
+
+
+def keep(words: list[bytes], digest: bool) -> str:
+    text = b" ".join(words)
+    return hashlib.sha256(text).hexdigest() if digest else text.decode()
 
 
 def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -164,7 +172,7 @@ def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
     return np.cumsum(mark[:n]) > 0
 
 
-def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], window: int, digest: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
@@ -173,14 +181,8 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
             if starts:
                 gone = covered(np.asarray(starts, np.int64), window, len(words))
                 left = [words[i] for i in np.flatnonzero(~gone)]
-            out.append((len(words), len(words) - len(left), b" ".join(left).decode()))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.large_string()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
-
-
-def _digest(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    for batch in _cut(batches, window):
-        digests = [hashlib.sha256(t.encode()).hexdigest() for t in batch.column("kept").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(digests, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256"])
+            out.append((len(words) - len(left), keep(left, digest)))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_words"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, max_broadcast: int = MAX_BROADCAST, digest: bool = False) -> DataFrame:
@@ -188,12 +190,31 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Words are runs of anything but U+0020 and U+0009 to U+000D, unchanged. Each word that a window of ``window`` words covers
     goes if the window's words also start somewhere in a document with a smaller id; windows are judged on the texts as given.
-    Null texts are empty. Rows of one id are one document and count once as its holder; a row with a null id is no document:
-    it keeps all its words. Other columns aren't read.
+    Ids are whole numbers. Null texts are empty. Rows of one id are one document; a row with a null id is no document: it keeps
+    all its words and removes none of others. Other columns aren't read.
     """
+    spark, kept = docs.sparkSession, Stored(docs.sparkSession, "substring-dedup")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    short = rows.where("id IS NOT NULL").mapInArrow(partial(_level_one, window=window), "id bigint, h bigint")
+    seen = short.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h", "a")
+    seen = kept.write(seen, "repeated")
+    if seen.count() <= max_broadcast:
+        known = seen.toArrow()
+        firsts = Firsts(known.column("h").to_numpy().astype(np.int64, copy=True).view(np.uint64), known.column("a").to_numpy().astype(np.int64, copy=True))
+        level = partial(_level_two, window=window, digest=digest, shared=spark.sparkContext.broadcast(firsts))
+    else:
+        marks = short.join(seen, "h").groupBy("id").agg(F.collect_set(F.struct("h", "a")).alias("marks"))  # no more than a document's words
+        rows, level = rows.join(marks, "id", "left"), partial(_level_two, window=window, digest=digest)
+    both = kept.write(rows.mapInArrow(level, f"id bigint, {_ROWS}"), "level-two")
+
+    windows = both.where("at IS NOT NULL").select("id", F.explode(F.arrays_zip("at", "h1", "h2", "look")).alias("w")).select("id", "w.*")
+    first = windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    again = windows.where("look").select("id", "at", "h1", "h2").join(first, ["h1", "h2"]).where("id > first")
+    starts = again.groupBy("id").agg(F.array_sort(F.collect_set("at")).alias("starts"))
+
+    settled = both.where("at IS NULL").select("id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.lit(0)).cast("bigint").alias("n_removed"), "kept")
+    cut = both.where("at IS NOT NULL").select("id", "n_words", "text").join(starts, "id", "left").select("id", "n_words", "text", "starts")
+    cut = cut.mapInArrow(partial(_cut, window=window, digest=digest), "id bigint, n_words bigint, n_removed bigint, kept string")
+    out = settled.unionByName(cut)
     kind = docs.select(id_col).dtypes[0][1]
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    starts = removed_windows(rows.where("id IS NOT NULL"), window, max_broadcast)
-    joined = rows.join(starts, "id", "left").select("id", "text", "starts")
-    last = "kept_sha256" if digest else "kept"
-    return joined.mapInArrow(partial(_digest if digest else _cut, window=window), f"id {kind}, n_words bigint, n_removed bigint, {last} string").withColumnRenamed("id", id_col)
+    return out.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digest else "kept"))

@@ -417,7 +417,7 @@ def test_picked_windows_do_not_depend_on_what_is_around():
     part = rng.integers(0, 2**63, 40, dtype=np.uint64)
     for _ in range(20):
         a, b = (np.concatenate([rng.integers(0, 2**63, rng.integers(0, 30), dtype=np.uint64), part, rng.integers(0, 2**63, 9, dtype=np.uint64)]) for _ in range(2))
-        assert set(a[substring_dedup.picked(a, 26)]) & set(b[substring_dedup.picked(b, 26)]) & set(part)
+        assert set(part[substring_dedup.picked(part, 26)]) <= set(a[substring_dedup.picked(a, 26)]) & set(b[substring_dedup.picked(b, 26)])
 
 
 def brute_lines(texts, least=10):
@@ -477,14 +477,13 @@ def test_filters_and_payloads_are_skipped(spark, pages, tmp_path):
     back = warc.read_warc(spark, at)
     only = back.where("warc_type = 'revisit' AND target_uri LIKE 'http://h/%'")
     assert sorted(r["record_id"] for r in only.collect()) == ["4", "6", "7"] and {r["payload"] for r in only.collect()} == {None}
-    assert "PushedFilters" in back.where("warc_type = 'revisit'")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")) or True
     one = back.where("record_id = '5'").collect()
     assert len(one) == 1 and bytes(one[0]["payload"]) == b"x" * 300_000
     stream = warc.open_fs(f"{at}")[0]
     reader = warc.WarcReader({"path": at})
     assert list(reader.pushFilters([warc.EqualTo(("warc_type",), "revisit"), warc.EqualTo(("content_length",), 3)])) == [warc.EqualTo(("content_length",), 3)]
     parts = reader.partitions()
-    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 3
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 4  # page 2 has no target
     skipped = 0
     for p in parts:
         for path in p.paths:
@@ -543,7 +542,7 @@ def test_toxicity_without_both_labels(spark):
 
 def test_estimates_are_distributions():
     """Over all characters that can follow a context, each class's estimate sums to one, less what falls to unseen characters."""
-    c = toxicity.ToxicityConfig(order=3, slot_bits=16)
+    c = toxicity.ToxicityConfig(order=3)
     words = {"abab": (3, 1), "abc": (1, 4), "bca": (2, 2), "ca": (5, 0)}
     import pyarrow as pa
 
@@ -553,17 +552,18 @@ def test_estimates_are_distributions():
         cells += [0] * o + [1] * t
     batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(cells, pa.int32())], names=["text", "cell"])
     (out,) = toxicity._grams(iter([batch]), c)
-    table = {x: out.column(x).to_numpy() for x in ("k", "slot", "context", "suffix", "first")}
-    counts = np.column_stack([out.column(f"n{i}").to_numpy() for i in range(2)])
+    table, counts = toxicity.unpacked(out)
+    counts = counts[:, :2]
     model = toxicity.estimate(table, counts, c)
-    chars, offset, _ = toxicity.symbols(["ab" + x for x in "abcdefg"])
     ends = toxicity.word_evidence(["abab", "abc"], model)
     assert np.isfinite(ends).all() and ends[1] > ends[0]
     for k in range(c.order):
+        rows = table["k"] == k
+        at = np.searchsorted(model.orders[k].keys, table["gram"][rows])
         for cls in range(2):
             seen = {}
-            rows = table["k"] == k
-            for slot, context in {(int(s), int(x)) for s, x in zip(table["slot"][rows], table["context"][rows], strict=True)}:
-                seen[context] = seen.get(context, 0) + model.alpha[k][cls][slot]
+            for alpha, context in zip(model.orders[k].alpha[cls, at], table["context"][rows], strict=True):
+                seen[context] = seen.get(context, 0) + alpha
             for context, total in seen.items():
-                assert abs(total + model.lam[k][cls][context] - 1) < 1e-5
+                lam = model.orders[k - 1].lam[cls, np.searchsorted(model.orders[k - 1].keys, context)] if k else model.lam0[cls]
+                assert abs(total + lam - 1) < 1e-5
