@@ -49,7 +49,7 @@ def read_csv(spark: SparkSession, path: str, mapping: dict[str, str] | None = No
         mapping = {f: h for f, (h, _) in map_fields(names).items()}
     out = raw.select(*(F.col(f"`{mapping[f]}`").alias(f) if f in mapping else F.lit(None).cast("string").alias(f) for f in FIELDS), "corrupt")
     if check:
-        n = raw.agg(F.count(F.hash(f"`{names[0]}`")).alias("n"), F.count("corrupt").alias("bad")).first()  # a parsed column must be read, too
+        n = raw.agg(F.count("*").alias("n"), F.count("corrupt").alias("bad"), *(F.count(f"`{c}`").alias(f"n_{i}") for i, c in enumerate(names))).first()  # a parsed column must be read, too
         if n["n"] and n["bad"] / n["n"] > max_errors:
             raise TooManyErrors(f"{n['bad']} of {n['n']} rows are malformed")
     return out
