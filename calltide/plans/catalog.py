@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from calltide.plans import contacts, dashboards, events, health, ingest, resolution  # noqa: F401
+from calltide.plans import contacts, dashboards, events, health, ingest, more, resolution  # noqa: F401
 from calltide.plans.registry import ORACLES, QUERIES
 
 
