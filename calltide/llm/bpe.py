@@ -12,7 +12,7 @@ from functools import lru_cache
 #: Fixed value: the pretoken pattern of byte-level BPE files without an own split pattern.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries and characters after which a worker's memo is emptied, which bounds its memory.
-MEMO, MEMO_CHARS = 1_000_000, 40_000_000
+MEMO, MEMO_CHARS = 500_000, 25_000_000
 
 
 def vocabulary_path(name_or_path: str) -> str:
@@ -76,11 +76,12 @@ class Units:
     #: Put before the first unit of a text, which has no space before it.
     FIRST = "\x00"
 
-    def __init__(self, value, specials: list[str]):
+    def __init__(self, value, combine, specials: list[str]):
+        """``value``: list of pretokens -> list of values; ``combine``: list of values -> the value of their pretokens in a row."""
         import regex
 
-        self.value, self.specials = value, specials  # value: list of strings, each a run of whole pretokens -> list of values
-        self.cut, self.blank, self.memo, self.chars = regex.compile(PRETOKEN), regex.compile(r"\s"), {}, 0
+        self.value, self.combine, self.specials = value, combine, specials
+        self.cut, self.blank, self.memo, self.tokens, self.chars = regex.compile(PRETOKEN), regex.compile(r"\s"), {}, {}, 0
 
     def parts(self, text: str) -> list[str | None]:
         """Stretches between special strings; None stands for a special string."""
@@ -116,10 +117,20 @@ class Units:
             self.memo.clear()
             new, self.chars = list(units), 0
         self.chars += sum(map(len, new))
-        alone = [u for u in new if not self.dependent(u)]
         self.memo.update(dict.fromkeys(new))
-        spelled = (u[1:] if u[0] == self.FIRST else u if u[0] == "\n" else " " + u for u in alone)
-        self.memo.update(zip(alone, self.value(list(spelled)), strict=True))
+        alone = [u for u in new if not self.dependent(u)]
+        spelled = [self.cut.findall(u[1:] if u[0] == self.FIRST else u if u[0] == "\n" else " " + u) for u in alone]
+        self.memo.update(zip(alone, self.encoded(spelled), strict=True))
+
+    def encoded(self, rows: list[list[str]]) -> list:
+        """The value of each row of pretokens, by a memo of pretokens below that of units."""
+        missing = list(set().union(*rows).difference(self.tokens))
+        if len(self.tokens) + len(missing) > MEMO or self.chars > MEMO_CHARS:
+            self.tokens.clear()
+            missing = list(set().union(*rows))
+        self.tokens.update(zip(missing, self.value(missing), strict=True))
+        of = self.tokens.__getitem__
+        return [self.combine(list(map(of, row))) for row in rows]
 
     def values(self, text: str) -> list:
         """Values whose sum or concatenation is the whole text's."""
@@ -133,4 +144,4 @@ class Units:
                     return found
             except KeyError:  # the memo was emptied, or the text has more units than it takes
                 pass
-        return self.value(self.cut.findall(text)) if text else []
+        return self.encoded([self.cut.findall(text)]) if text else []

@@ -44,7 +44,7 @@ def encoder(path: str) -> bpe.Units:
             return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
         _, specials = bpe.load(path)
-        own = bpe.Units(ids, specials)
+        own = bpe.Units(ids, b"".join, specials)
         own.special_ids = {s: np.asarray([tokenizer.token_to_id(s)], "<u4").tobytes() for s in specials}
         own.whole = lambda text: ids([text])[0]
         _ENCODERS[path] = own

@@ -24,21 +24,10 @@ def counter(path: str) -> bpe.Units:
     if path not in _COUNTERS:
         ranks, specials = bpe.load(path)
         symbols = bpe.byte_symbols()
-        _COUNTERS[path] = bpe.Units(lambda units: [_unit(u, ranks, symbols) for u in units], specials)
+        _COUNTERS[path] = bpe.Units(lambda pretokens: [len(p.encode()) - bpe.heap_merges(p, ranks, symbols) for p in pretokens], sum, specials)
     return _COUNTERS[path]
 
 
-def _unit(unit: str, ranks: dict, symbols: list[str]) -> int:
-    pretokens = _cut(unit)
-    return sum(len(p.encode()) - bpe.heap_merges(p, ranks, symbols) for p in pretokens)
-
-
-def _cut(unit: str) -> list[str]:
-    import regex
-
-    return regex.findall(bpe.PRETOKEN, unit)
-
-
 def count_text(text: str, path: str) -> int:
     """Tokens of one text; a special string inside it is one token, as the library has it by default."""
     own = counter(path)

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BEGIN, END = 2, 3
-MEMO = 700_000
+#: Words after which a worker's memo is emptied.
+MEMO = 300_000
 
 
 @dataclass(frozen=True)
@@ -30,19 +31,28 @@ class ToxicityConfig:
     order: int = 6
     shared_order: int = 2
     discount: float = 0.75
-    slot_bits: int = 19  # a hashed table of 2**bits entries for each order
     max_rows_per_class: int = 6_000
     alphabet: int = 256  # the uniform estimate below the lowest order
+    strong: float = 2.0  # a word's evidence beyond this also counts apart: its mean over the text is the curve's second input
+
+
+@dataclass
+class Order:
+    """N-grams of one order: sorted hashes, alpha (2 x n: what a class gives one beyond its backoff), lam (2 x n: the backoff weight after one)."""
+
+    keys: np.ndarray
+    alpha: np.ndarray
+    lam: np.ndarray
 
 
 @dataclass
 class KneserNey:
-    """alpha[k][class][slot of an n-gram] and lam[k][class][slot of its context], from order 1 (k = 0) up."""
+    """``orders`` from 1 up, and the backoff weight after nothing."""
 
     config: ToxicityConfig
-    alpha: list[np.ndarray]
-    lam: list[np.ndarray]
-    curve: tuple[float, ...] = (0.0, 0.0, 0.0)
+    orders: list[Order]
+    lam0: np.ndarray
+    curve: tuple[float, ...] = (0.0,) * 5
     base: float = 0.0
     trained: bool = False
     memo: dict[str, float] = field(default_factory=dict)
@@ -51,6 +61,10 @@ class KneserNey:
         return self.__dict__ | {"memo": {}}
 
 
+def words_of(text: str) -> list[str]:
+    return text.lower().replace(",", " ").replace(".", " ").split()
+
+
 def symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All words' characters with a begin and an end mark, each character's place in its word, and words' first places."""
     joined = "".join(words)
@@ -72,14 +86,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def gram_hashes(chars: np.ndarray, order: int) -> list[np.ndarray]:
     """hashes[k][i]: the (k + 1)-gram that ends at i. Its context is hashes[k - 1][i - 1], its suffix hashes[k - 1][i]."""
     out = [_mix(chars + np.uint64(1))]
-    for _ in range(1, order):
+    for k in range(1, order):
         before = np.concatenate([[np.uint64(0)], out[-1][:-1]])
-        out.append(_mix(before * np.uint64(0xD6E8FEB86659FD93) + chars + np.uint64(0x51)))
+        out.append(_mix(before * np.uint64(0xD6E8FEB86659FD93) + chars + np.uint64(0x51 + (k << 24))))
     return out
 
 
+GRAMS = ["kind", "gram", "context", "suffix", "half0", "half1"]
+
+
 def _grams(batches: Iterator[pa.RecordBatch], c: ToxicityConfig) -> Iterator[pa.RecordBatch]:
-    """Counts of hashed n-grams by class and half, for a partition's labelled rows: what a map-side combiner would send."""
+    """Counts of hashed n-grams by class and half, for a partition's labelled rows: what a map-side combiner would send.
+
+    ``kind`` is twice the order's index, plus one for an n-gram that begins its word; ``half0`` and ``half1`` pack the counts of
+    ordinary and toxic text. Packed counts add up as they are, since a bounded sample has under 2**31 n-grams.
+    """
     counts: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
@@ -91,27 +112,22 @@ def _grams(batches: Iterator[pa.RecordBatch], c: ToxicityConfig) -> Iterator[pa.
         counts.clear()
         chars, offset, starts = symbols(words)
         of_word = np.cumsum(offset == 0) - 1
-        hashes, mask = gram_hashes(chars, c.order), np.uint64((1 << c.slot_bits) - 1)
-        parts = []
+        hashes, parts = gram_hashes(chars, c.order), []
         for k in range(c.order):
-            use = (offset >= k) & (offset > 0)
-            first = (offset == k).astype(np.int64)[use]  # begins its word: nothing can stand before it
-            slot = (hashes[k] & mask)[use]
-            none = np.zeros_like(slot)
-            context = (np.concatenate([[np.uint64(0)], hashes[k - 1][:-1]]) & mask)[use] if k else none
-            suffix = (hashes[k - 1] & mask)[use] if k else none
-            key = np.stack([slot, context, suffix, first.astype(np.uint64)], axis=1).astype(np.int64)
-            got, where = np.unique(key, axis=0, return_inverse=True)
-            sums = np.zeros((len(got), 4), np.int64)
-            np.add.at(sums, where.ravel(), by[of_word[use]])
-            parts.append(np.column_stack([np.full(len(got), k), got, sums]))
-        rows = np.concatenate(parts)
-        names = ["k", "slot", "context", "suffix", "first", "n0", "n1", "n2", "n3"]
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(9)], names=names)
+            use = np.flatnonzero((offset >= k) & (offset > 0))
+            grams, one, where = np.unique(hashes[k][use], return_index=True, return_inverse=True)
+            n = by[of_word[use]]
+            sums = [np.bincount(where, n[:, j]).astype(np.int64) for j in range(4)]
+            at = use[one]
+            none = np.zeros(len(at), np.uint64)
+            kind = np.full(len(at), 2 * k) + (offset[at] == k)  # odd: begins its word, so nothing can stand before it
+            parts.append((kind, grams, hashes[k - 1][at - 1] if k else none, hashes[k - 1][at] if k else none, sums[0] << 32 | sums[1], sums[2] << 32 | sums[3]))
+        columns = [np.concatenate([p[i] for p in parts]) for i in range(6)]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int32)), *(pa.array(x.view(np.int64)) for x in columns[1:])], names=GRAMS)
 
     for batch in batches:
         for text, cell in zip(batch.column("text").to_pylist(), batch.column("cell").to_pylist(), strict=True):
-            for word, n in Counter(text.lower().split()).items():
+            for word, n in Counter(words_of(text)).items():
                 counts[word, cell] += n
             if len(counts) > 300_000:
                 yield flush()
@@ -119,96 +135,116 @@ def _grams(batches: Iterator[pa.RecordBatch], c: ToxicityConfig) -> Iterator[pa.
         yield flush()
 
 
+def unpacked(got: pa.Table | pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The n-grams' hashes, and their counts: ordinary and toxic of half 0, then of half 1."""
+    kind = got.column("kind").to_numpy()
+    table = {"k": kind >> 1, "first": kind & 1 == 1} | {x: got.column(x).to_numpy().astype(np.int64, copy=True).view(np.uint64) for x in GRAMS[1:4]}
+    return table, np.column_stack([f(got.column(h).to_numpy()) for h in GRAMS[4:] for f in (lambda v: v >> 32, lambda v: v & 0xFFFFFFFF)])
+
+
 def estimate(table: dict[str, np.ndarray], counts: np.ndarray, c: ToxicityConfig) -> KneserNey:
-    """The two models from n-gram counts; ``counts``: rows x (ordinary, toxic)."""
-    size, alphas, lams = 1 << c.slot_bits, [], []
+    """The two models from n-gram counts; ``counts``: rows x (ordinary, toxic).
+
+    The highest order, and n-grams that begin their word, count as often as they occur; others by how many characters stand
+    before them. Up to ``shared_order`` both classes have the counts of both.
+    """
+    rows = [np.flatnonzero(table["k"] == k) for k in range(c.order)]
+    keys = [np.unique(np.concatenate([table["gram"][rows[k]], table["context"][rows[k + 1]] if k + 1 < c.order else np.zeros(0, np.uint64)])) for k in range(c.order)]
+    orders = [Order(x, np.zeros((2, len(x)), np.float32), np.ones((2, len(x)), np.float32)) for x in keys]
+    lam0 = np.ones(2, np.float32)
     for k in range(c.order):
-        rows = table["k"] == k
-        slot, context, first = table["slot"][rows], table["context"][rows], table["first"][rows] == 1
-        raw = counts[rows]
-        n = np.where(first[:, None] | (k + 1 == c.order), raw, 0).astype(np.float64)
-        tables = np.zeros((2, size))
-        for cls in range(2):
-            np.add.at(tables[cls], slot, n[:, cls])
-        if k + 1 < c.order:  # continuation counts: how many characters stand before it
-            above = table["k"] == k + 1
-            for cls in range(2):
-                seen = above & (counts_of(counts, cls, k < c.shared_order) > 0)
-                np.add.at(tables[cls], table["suffix"][seen], 1.0)
-        if k < c.shared_order:
-            raw_first = tables.sum(axis=0) if k + 1 == c.order else None
-            both = np.zeros(size)
-            np.add.at(both, slot, n.sum(axis=1))
-            if k + 1 < c.order:
-                seen = (table["k"] == k + 1) & (counts.sum(axis=1) > 0)
-                np.add.at(both, table["suffix"][seen], 1.0)
-            tables = np.stack([both, both]) if raw_first is None else np.stack([raw_first, raw_first])
-        _, once = np.unique(slot, return_index=True)
-        slot, context = slot[once], context[once]
-        alpha, lam = np.zeros((2, size), np.float32), np.ones((2, size), np.float32)
+        at = np.searchsorted(keys[k], table["gram"][rows[k]])
+        raw = counts[rows[k]].astype(float)
+        if k + 1 < c.order:
+            raw[~table["first"][rows[k]]] = 0
+        n = np.stack([np.bincount(at, raw[:, cls], len(keys[k])) for cls in range(2)])
+        shared = k < c.shared_order
+        if k + 1 < c.order:
+            suffix, above = np.searchsorted(keys[k], table["suffix"][rows[k + 1]]), counts[rows[k + 1]]
+            seen = [above.sum(axis=1) > 0] * 2 if shared else [above[:, cls] > 0 for cls in range(2)]
+            more = [np.bincount(suffix, seen[cls], len(keys[k])) for cls in range(2)]
+            n = np.stack([n.sum(axis=0) + more[0]] * 2) if shared else n + np.stack(more)
+        elif shared:
+            n = np.stack([n.sum(axis=0)] * 2)
+        n = n[:, at]
+        context = np.searchsorted(keys[k - 1], table["context"][rows[k]]) if k else np.zeros(len(at), np.int64)
         for cls in range(2):
-            a = tables[cls][slot]
-            whole, kinds = np.zeros(size), np.zeros(size)
-            np.add.at(whole, context, a)
-            np.add.at(kinds, context, (a > 0).astype(float))
-            alpha[cls, slot] = np.maximum(a - c.discount, 0) / np.maximum(whole[context], 1e-9)
-            known = whole > 0
-            spare = np.zeros(size)
-            np.add.at(spare, context, np.minimum(a, c.discount))
-            lam[cls, known] = spare[known] / whole[known]
-        alphas.append(alpha)
-        lams.append(lam)
-    return KneserNey(c, alphas, lams)
-
-
-def counts_of(counts: np.ndarray, cls: int, shared: bool) -> np.ndarray:
-    return counts.sum(axis=1) if shared else counts[:, cls]
+            whole, spare = np.bincount(context, n[cls]), np.bincount(context, np.minimum(n[cls], c.discount))
+            orders[k].alpha[cls, at] = np.maximum(n[cls] - c.discount, 0) / np.maximum(whole[context], 1e-9)
+            known = np.flatnonzero(whole > 0)
+            weight = (spare[known] / whole[known]).astype(np.float32)
+            if k:
+                orders[k - 1].lam[cls, known] = weight
+            elif len(known):
+                lam0[cls] = weight[0]
+    return KneserNey(c, orders, lam0)
 
 
 def word_evidence(words: list[str], m: KneserNey) -> np.ndarray:
     """For each word: the log of its likelihood as toxic over that as ordinary text."""
     c = m.config
     chars, offset, starts = symbols(words)
-    hashes, mask = gram_hashes(chars, c.order), np.uint64((1 << c.slot_bits) - 1)
     p = np.full((2, len(chars)), 1 / c.alphabet, np.float32)
-    for k in range(c.order):
-        use = np.flatnonzero((offset >= k) & (offset > 0))
-        slot = (hashes[k][use] & mask).astype(np.int64)
-        context = (hashes[k - 1][use - 1] & mask).astype(np.int64) if k else np.zeros(len(use), np.int64)
-        for cls in range(2):
-            p[cls, use] = m.alpha[k][cls][slot] + m.lam[k][cls][context] * p[cls, use]
+    lam = np.repeat(m.lam0[:, None], len(chars), axis=1)  # what a place's shorter estimate weighs
+    for k, (order, h) in enumerate(zip(m.orders, gram_hashes(chars, c.order), strict=True)):
+        use = np.flatnonzero(offset >= k)
+        at = np.minimum(np.searchsorted(order.keys, h[use]), len(order.keys) - 1)
+        hit = order.keys[at] == h[use]
+        predicted = offset[use] > 0
+        alpha, after = np.where(hit, order.alpha[:, at], 0), np.where(hit, order.lam[:, at], 1)
+        p[:, use[predicted]] = alpha[:, predicted] + lam[:, use[predicted]] * p[:, use[predicted]]
+        lam[:, 1:] = 1
+        inner = use[use + 1 < len(chars)]
+        lam[:, inner + 1] = after[:, : len(inner)]
     ratio = np.log(p[1] + 1e-12) - np.log(p[0] + 1e-12)
     ratio[starts] = 0
     return np.add.reduceat(ratio.astype(np.float64), starts)
 
 
-def text_evidence(text: str, m: KneserNey) -> tuple[float, int]:
-    """Mean evidence of a character, and how many characters were predicted; (0, 0) for a text without words."""
-    words = text.lower().split()
+def text_evidence(text: str, m: KneserNey) -> tuple[float, float, int]:
+    """Mean evidence of a character, mean of what words have beyond ``strong``, and how many characters were predicted; zeros for a text without words."""
+    words = words_of(text)
     if not words:
-        return 0.0, 0
-    if missing := list(set(words).difference(m.memo)):
+        return 0.0, 0.0, 0
+    if missing := set(words).difference(m.memo):
+        learn(missing, m)
+    n, found = sum(map(len, words)) + len(words), list(map(m.memo.__getitem__, words))
+    limit = m.config.strong
+    return sum(found) / n, sum([v - limit for v in found if v > limit]) / n, n
+
+
+def learn(words: set[str], m: KneserNey) -> None:
+    """Takes words' evidence into the memo, some thousands at a time."""
+    new = list(words)
+    for i in range(0, len(new), 20_000):
+        part = new[i : i + 20_000]
+        m.memo.update(zip(part, word_evidence(part, m).tolist(), strict=True))
+
+
+def texts_evidence(texts: list[str], m: KneserNey) -> list[tuple[float, float, int]]:
+    """:func:`text_evidence` of each; words new to the memo are worked out for many texts at once."""
+    out = []
+    for i in range(0, len(texts), 256):
+        part = texts[i : i + 256]
+        missing = set().union(*map(words_of, part)).difference(m.memo)
         if len(m.memo) + len(missing) > MEMO:
             m.memo.clear()
-            missing = list(set(words))
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            m.memo.update(zip(part, word_evidence(part, m).tolist(), strict=True))
-    n = sum(map(len, words)) + len(words)
-    return sum(map(m.memo.__getitem__, words)) / n, n
+        learn(missing, m)
+        out += [text_evidence(t, m) for t in part]
+    return out
 
 
-def curve_inputs(d: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Mean evidence, and the same against the spread that a text of that length has by chance."""
-    return np.column_stack([np.ones_like(d), 10 * d, d * np.sqrt(n)])
+def curve_inputs(d: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Mean evidence, and the same against the spread that a text of that length has by chance; likewise for strong evidence."""
+    return np.column_stack([np.ones_like(d), 10 * d, d * np.sqrt(n), 10 * s, s * np.sqrt(n)])
 
 
-def fit_curve(d: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+def fit_curve(d: np.ndarray, s: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
     """Logistic regression by Newton steps with a slight ridge."""
-    x, w = curve_inputs(d, n), np.zeros(3)
+    x, w = curve_inputs(d, s, n), np.zeros(5)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        ridge = 1e-2 * np.eye(3)
+        ridge = 1e-2 * np.eye(5)
         step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (p - y)) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -216,18 +252,24 @@ def fit_curve(d: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray) -
     return tuple(w.tolist())
 
 
-def curve_score(d: float, n: int, m: KneserNey) -> float:
+def curve_score(d: float, s: float, n: int, m: KneserNey) -> float:
     if not m.trained:
         return m.base
-    z = m.curve[0] + 10 * d * m.curve[1] + d * n**0.5 * m.curve[2]
+    w, root = m.curve, n**0.5
+    z = w[0] + 10 * d * w[1] + d * root * w[2] + 10 * s * w[3] + s * root * w[4]
     return 1 / (1 + 2.718281828459045 ** -max(-30.0, min(30.0, z)))
 
 
 def _evidence(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     models = shared.value
     for batch in batches:
-        got = [text_evidence(t, models[h]) for t, h in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([d for d, _ in got], pa.float64()), pa.array([n for _, n in got], pa.int64())], names=["label", "d", "n"])
+        texts, halves = batch.column("text").to_pylist(), batch.column("half").to_pylist()
+        got: list = [None] * len(texts)
+        for half in (0, 1):
+            of = [i for i, h in enumerate(halves) if h == half]
+            for i, g in zip(of, texts_evidence([texts[i] for i in of], models[half]), strict=True):
+                got[i] = g
+        yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.float64(), pa.float64(), pa.int64())))], names=["label", "d", "s", "n"])
 
 
 def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig(), label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> KneserNey:
@@ -241,9 +283,7 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     found = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = found.get(0, 0), found.get(1, 0)
     if not n0 or not n1:
-        size = 1 << c.slot_bits
-        empty = [np.zeros((2, size), np.float32)] * c.order
-        return KneserNey(c, empty, [np.ones((2, size), np.float32)] * c.order, base=float(n1 > 0))
+        return KneserNey(c, [], np.ones(2, np.float32), base=float(n1 > 0))
     scale = 1 << 30
     share = {k: min(1.0, c.max_rows_per_class / n) for k, n in ((0, n0), (1, n1))}
     pick = F.pmod(F.xxhash64("id"), F.lit(scale))
@@ -252,19 +292,16 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     picked = picked.join(F.broadcast(marks), "id")  # about 2 * max_rows_per_class labels at most
     cells = picked.select("text", (F.col("half") * 2 + F.col("label")).alias("cell"))
-    kinds = "k bigint, slot bigint, context bigint, suffix bigint, first bigint, n0 bigint, n1 bigint, n2 bigint, n3 bigint"
-    grams = cells.mapInArrow(lambda it: _grams(it, c), kinds).groupBy("k", "slot", "context", "suffix", "first").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(4)))
-    got = grams.toArrow()
-    table = {x: got.column(x).to_numpy() for x in ("k", "slot", "context", "suffix", "first")}
-    cell = np.column_stack([got.column(f"n{i}").to_numpy() for i in range(4)])
+    counted = cells.mapInArrow(lambda it: _grams(it, c), "kind int, gram bigint, context bigint, suffix bigint, half0 bigint, half1 bigint")
+    table, cell = unpacked(counted.groupBy(*GRAMS[:4]).agg(F.sum("half0").alias("half0"), F.sum("half1").alias("half1")).toArrow())
     halves = [estimate(table, cell[:, 2:], c), estimate(table, cell[:, :2], c)]  # half 0's texts are scored by half 1's model
     shared = spark.sparkContext.broadcast(halves)
-    seen = picked.select("text", "label", "half").mapInArrow(lambda it: _evidence(it, shared), "label int, d double, n bigint").toArrow()
+    seen = picked.select("text", "label", "half").mapInArrow(lambda it: _evidence(it, shared), "label int, d double, s double, n bigint").toArrow()
     shared.unpersist()
-    y, d, n = (seen.column(x).to_numpy() for x in ("label", "d", "n"))
+    y, d, s, n = (seen.column(x).to_numpy() for x in ("label", "d", "s", "n"))
     model = estimate(table, cell[:, :2] + cell[:, 2:], c)
     model.trained = True
-    model.curve = fit_curve(d, n.astype(float), y.astype(float), np.where(y == 1, 1 / share[1], 1 / share[0]))
+    model.curve = fit_curve(d, s, n.astype(float), y.astype(float), np.where(y == 1, 1 / share[1], 1 / share[0]))
     return model
 
 
@@ -278,8 +315,8 @@ def score(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            scores = [curve_score(*text_evidence(t or "", m), m) for t in texts]
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            scores = [curve_score(*e, m) for e in texts_evidence(texts, m)] if m.trained else [m.base] * len(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "toxicity"])
 
     rows = docs.drop("toxicity") if "toxicity" in docs.columns else docs
