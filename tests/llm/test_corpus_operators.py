@@ -102,6 +102,17 @@ def test_unit_cut_is_exact_for_all_white_space(tokenizer):
         assert np.frombuffer(packing.encode_text(text, path), "<u4").tolist() == want, repr(text)
 
 
+def test_encoder_equals_the_library_where_either_is_used(tokenizer):
+    rng, path = random.Random(9), bpe.vocabulary_path("byte_bpe_50k.json")
+    pool = [chr(i) for i in range(0x260)] + [chr(i) for i in range(0x2000, 0x2070)] + list("\u20ac\u65e5\u0915\u0940\u0663\u180e\ufeff") + list(" \n\t'srtmdl abcDEF019") * 12
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    texts += ["", "<|endoftext|>", "a <|endoftext|>b", " " * 5000, "\n" * 300_000 + "x", "a" * 200_000, "ab" * 100_000, "!?" * 50_000, "a " * 50_000]
+    for text in texts:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(packing.encode_text(text, path), "<u4").tolist() == want, repr(text[:80])
+    assert packing._ENCODERS[path].fast is not None
+
+
 def test_packing_places_every_piece_once(docs, rows, none, tokenizer):
     got = packing.pack(docs).collect()
     ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in text_of(rows).items()}
