@@ -17,6 +17,12 @@ def ago(as_of: str, days: float) -> Column:
     return moment(as_of) - F.expr(f"INTERVAL '{int(days * 86_400)}' SECOND")
 
 
+def rounded(c: Column | str, places: int) -> Column:
+    """A double rounded as doubles are in SQL engines: scaled, rounded, scaled back. Spark's own takes a mean that prints as x.xx5 for a tie."""
+    scale = 10.0**places
+    return F.round((F.col(c) if isinstance(c, str) else c) * scale) / scale
+
+
 def pct(q: float, c: str) -> Column:
     return F.expr(f"CAST(percentile_disc({q}) WITHIN GROUP (ORDER BY {c}) AS BIGINT)")
 
@@ -25,14 +31,14 @@ def sync_performance(syncs: DataFrame, *by: str) -> DataFrame:
     """Mean and nearest-rank percentiles of latency, items a second, bytes a second, success and failure rates, queue growth."""
     s = F.sum("duration_ms") / 1000.0
     return syncs.groupBy(*by).agg(
-        F.count("*").alias("syncs"), F.round(F.avg("duration_ms"), 2).alias("mean_ms"), pct(0.5, "duration_ms").alias("p50"), pct(0.95, "duration_ms").alias("p95"), pct(0.99, "duration_ms").alias("p99"),
-        F.round(F.sum("processed_items") / s, 4).alias("items_a_second"), F.round(F.sum("bytes_transferred") / s, 2).alias("bytes_a_second"), F.round(count_if(F.col("success")) / F.count("*"), 4).alias("success_rate"),
-        F.round(F.sum("failed_items") / F.greatest(F.sum("processed_items"), F.lit(1)), 4).alias("error_rate"), F.sum(F.col("queue_after") - F.col("queue_before")).alias("queue_growth"),
+        F.count("*").alias("syncs"), rounded(F.avg("duration_ms"), 2).alias("mean_ms"), pct(0.5, "duration_ms").alias("p50"), pct(0.95, "duration_ms").alias("p95"), pct(0.99, "duration_ms").alias("p99"),
+        rounded(F.sum("processed_items") / s, 4).alias("items_a_second"), rounded(F.sum("bytes_transferred") / s, 2).alias("bytes_a_second"), rounded(count_if(F.col("success")) / F.count("*"), 4).alias("success_rate"),
+        rounded(F.sum("failed_items") / F.greatest(F.sum("processed_items"), F.lit(1)), 4).alias("error_rate"), F.sum(F.col("queue_after") - F.col("queue_before")).alias("queue_growth"),
     )
 
 
 def network_metrics(syncs: DataFrame) -> DataFrame:
-    return syncs.groupBy("network_type").agg(F.count("*").alias("syncs"), count_if(~F.col("success")).alias("failures"), F.round(F.avg("bytes_transferred"), 2).alias("mean_bytes"))
+    return syncs.groupBy("network_type").agg(F.count("*").alias("syncs"), count_if(~F.col("success")).alias("failures"), rounded(F.avg("bytes_transferred"), 2).alias("mean_bytes"))
 
 
 def disconnections(syncs: DataFrame) -> DataFrame:
@@ -52,7 +58,7 @@ def data_drift(syncs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     )
     change = lambda a, b: F.abs(F.col(a) - F.col(b)) / F.col(b)
     l, t, s = change("l1", "l0"), change("t1", "t0"), F.abs(F.col("s1") - F.col("s0"))
-    return g.select("network_type", F.round(l, 4).alias("latency_drift"), F.round(t, 4).alias("throughput_drift"), F.round(s, 4).alias("success_drift"), F.round((l + t + s) / 3, 4).alias("drift"))
+    return g.select("network_type", rounded(l, 4).alias("latency_drift"), rounded(t, 4).alias("throughput_drift"), rounded(s, 4).alias("success_drift"), rounded((l + t + s) / 3, 4).alias("drift"))
 
 
 def performance_trend(syncs: DataFrame, as_of: str, days: int = 30) -> DataFrame:
@@ -64,7 +70,7 @@ def performance_trend(syncs: DataFrame, as_of: str, days: int = 30) -> DataFrame
     g = s.groupBy("network_type").agg(half(False, F.col("duration_ms")).alias("l0"), half(True, F.col("duration_ms")).alias("l1"), half(False, ok).alias("s0"), half(True, ok).alias("s1"))
     latency = F.when(F.col("l1") > F.col("l0") * 1.2, "degrading").when(F.col("l1") < F.col("l0") * 0.8, "improving").otherwise("stable")
     success = F.when(F.col("s1") > F.col("s0") + 0.05, "improving").when(F.col("s1") < F.col("s0") - 0.05, "degrading").otherwise("stable")
-    return g.select("network_type", F.round("l0", 2).alias("latency_before"), F.round("l1", 2).alias("latency_after"), latency.alias("latency_trend"), success.alias("success_trend"))
+    return g.select("network_type", rounded("l0", 2).alias("latency_before"), rounded("l1", 2).alias("latency_after"), latency.alias("latency_trend"), success.alias("success_trend"))
 
 
 def health_score(performance: DataFrame) -> DataFrame:
@@ -90,7 +96,7 @@ def health_rules(performance: DataFrame) -> DataFrame:
 
 
 def weighted_health(rules: DataFrame) -> DataFrame:
-    return rules.groupBy("network_type").agg(F.round(F.sum(F.when(F.col("holds"), F.col("weight")).otherwise(0.0)) / F.sum("weight"), 3).alias("health"), count_if(~F.col("holds")).alias("broken"))
+    return rules.groupBy("network_type").agg(rounded(F.sum(F.when(F.col("holds"), F.col("weight")).otherwise(0.0)) / F.sum("weight"), 3).alias("health"), count_if(~F.col("holds")).alias("broken"))
 
 
 def metric_trend(syncs: DataFrame) -> DataFrame:
@@ -99,12 +105,12 @@ def metric_trend(syncs: DataFrame) -> DataFrame:
     d = d.withColumn("x", F.row_number().over(Window.partitionBy("network_type").orderBy("day")))
     g = d.groupBy("network_type").agg(F.regr_slope("v", "x").alias("slope"), F.avg("v").alias("mean"))
     p = F.col("slope") / F.col("mean") * 100
-    return g.select("network_type", F.round(p, 3).alias("percent"), F.when(p > 5, "up").when(p < -5, "down").otherwise("stable").alias("trend"))
+    return g.select("network_type", rounded(p, 3).alias("percent"), F.when(p > 5, "up").when(p < -5, "down").otherwise("stable").alias("trend"))
 
 
 def performance_summary(syncs: DataFrame, target_ms: float) -> DataFrame:
     """Mean and largest latency against a target; a warning above 80 % of it."""
-    g = syncs.groupBy("network_type").agg(F.round(F.avg("duration_ms"), 2).alias("mean_ms"), F.max("duration_ms").alias("max_ms"), count_if(F.col("duration_ms") > target_ms).alias("over"))
+    g = syncs.groupBy("network_type").agg(rounded(F.avg("duration_ms"), 2).alias("mean_ms"), F.max("duration_ms").alias("max_ms"), count_if(F.col("duration_ms") > target_ms).alias("over"))
     return g.withColumn("status", F.when(F.col("mean_ms") > target_ms, "fail").when(F.col("mean_ms") > 0.8 * target_ms, "warning").otherwise("pass"))
 
 
@@ -117,7 +123,7 @@ def growth_and_spikes(syncs: DataFrame, last: int = 20, factor: float = 1.5) ->
     t = F.unix_micros(F.col("ts").cast("timestamp"))
     g = recent.groupBy("network_type").agg(F.min_by("queue_after", F.struct(t, "id")).alias("a"), F.max_by("queue_after", F.struct(t, "id")).alias("b"), ((F.max(t) - F.min(t)) / 60e6).alias("minutes"))
     rate = (F.col("b") - F.col("a")) / F.col("minutes")
-    g = g.select("network_type", F.round(rate, 4).alias("growth"), F.when(rate > 2, "high").when(rate > 1, "medium").when(rate > 0.5, "low").otherwise("none").alias("severity"))
+    g = g.select("network_type", rounded(rate, 4).alias("growth"), F.when(rate > 2, "high").when(rate > 1, "medium").when(rate > 0.5, "low").otherwise("none").alias("severity"))
     return g.join(spikes, "network_type")
 
 
@@ -141,7 +147,7 @@ def queue_order(items: DataFrame, limit: int) -> DataFrame:
 def queue_stats(items: DataFrame, as_of_s: int) -> DataFrame:
     """Items by status and priority with oldest and mean age."""
     age = F.lit(as_of_s) - F.col("created")
-    return items.groupBy("status", "priority").agg(F.count("*").alias("items"), F.max(age).alias("oldest"), F.round(F.avg(age), 1).alias("mean_age"))
+    return items.groupBy("status", "priority").agg(F.count("*").alias("items"), F.max(age).alias("oldest"), rounded(F.avg(age), 1).alias("mean_age"))
 
 
 def queue_health(items: DataFrame) -> DataFrame:
@@ -174,14 +180,14 @@ def job_stats(jobs: DataFrame, *by: str) -> DataFrame:
     """Jobs by state with mean seconds and rows a second. ``jobs``: status, seconds, rows, and what ``by`` names."""
     return jobs.groupBy(*by).agg(
         F.count("*").alias("jobs"), count_if(F.col("status") == "completed").alias("completed"), count_if(F.col("status") == "failed").alias("failed"), count_if(F.col("status").isin("pending", "queued")).alias("queued"),
-        F.round(F.avg(F.when(F.col("status") == "completed", F.col("seconds"))), 2).alias("mean_seconds"), F.round(F.sum("rows") / F.greatest(F.sum("seconds"), F.lit(1)), 2).alias("rows_a_second"),
+        rounded(F.avg(F.when(F.col("status") == "completed", F.col("seconds"))), 2).alias("mean_seconds"), rounded(F.sum("rows") / F.greatest(F.sum("seconds"), F.lit(1)), 2).alias("rows_a_second"),
     )
 
 
 def trailing_weeks(rows: DataFrame, as_of: str, value: str, weeks: int = 4) -> DataFrame:
     """Mean of a value in each of the trailing 7-day windows (0 is the last)."""
     week = F.floor((F.unix_timestamp(moment(as_of).cast("timestamp")) - F.unix_timestamp(F.col("ts").cast("timestamp"))) / (7 * 86_400))
-    return rows.where((F.col("ts") >= ago(as_of, 7 * weeks)) & (F.col("ts") < moment(as_of))).groupBy(week.alias("week")).agg(F.count("*").alias("n"), F.round(F.avg(value), 3).alias("mean"))
+    return rows.where((F.col("ts") >= ago(as_of, 7 * weeks)) & (F.col("ts") < moment(as_of))).groupBy(week.alias("week")).agg(F.count("*").alias("n"), rounded(F.avg(value), 3).alias("mean"))
 
 
 def audit_search(audit: DataFrame, as_of: str, actor: int | None = None, category: str | None = None, outcome: str | None = None, days: int | None = None, limit: int = 100) -> DataFrame:
@@ -205,7 +211,7 @@ def audit_statistics(audit: DataFrame) -> DataFrame:
     """Entries, failures, actors and mean risk by category and severity."""
     risk = risk_score(F.col("category"), F.col("outcome"), F.hour("ts"), F.col("resource_count"))
     a = audit.withColumn("risk", risk).withColumn("severity", severity(risk))
-    return a.groupBy("category", "severity").agg(F.count("*").alias("entries"), count_if(F.col("outcome") == "failure").alias("failures"), F.countDistinct("actor_id").alias("actors"), F.round(F.avg("risk"), 2).alias("mean_risk"))
+    return a.groupBy("category", "severity").agg(F.count("*").alias("entries"), count_if(F.col("outcome") == "failure").alias("failures"), F.countDistinct("actor_id").alias("actors"), rounded(F.avg("risk"), 2).alias("mean_risk"))
 
 
 def anomalies(audit: DataFrame, as_of: str, minutes: int = 15, per_ip: int = 5, per_actor: int = 3, per_hour: int = 100, bulk: int = 1000) -> DataFrame:
