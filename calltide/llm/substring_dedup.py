@@ -209,6 +209,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     windows = both.where("at IS NOT NULL").select("id", F.explode(F.arrays_zip("at", "h1", "h2", "look")).alias("w")).select("id", "w.*")
     first = windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    first = kept.write(first, "first")  # a table of its own, so that a passage of very many documents doesn't meet in one task of the join
     again = windows.where("look").select("id", "at", "h1", "h2").join(first, ["h1", "h2"]).where("id > first")
     starts = again.groupBy("id").agg(F.array_sort(F.collect_set("at")).alias("starts"))
 
