@@ -328,3 +328,29 @@ def s04_column_types(spark, sf_dir):
 @query(with_views("SELECT network_type, count(*) AS n FROM syncs WHERE duration_ms > 5000 GROUP BY 1", "syncs"))
 def q26_issue_counts(spark, sf_dir):
     return health.performance_summary(view(spark, sf_dir, "syncs"), 5000).select("network_type", F.col("over").alias("n")).where("n > 0")
+
+
+@query(with_views("SELECT owner_id, count(DISTINCT contact_id) AS contacts, count(DISTINCT number) FILTER (type = 'call') AS numbers_called FROM comm GROUP BY 1", "comm"))
+def a02_distinct_counts(spark, sf_dir):
+    called = F.when(F.col("type") == "call", F.col("number"))
+    return view(spark, sf_dir, "comm").groupBy("owner_id").agg(F.countDistinct("contact_id").alias("contacts"), F.countDistinct(called).alias("numbers_called"))
+
+
+@query(with_views("SELECT owner_id, round(avg(duration) FILTER (type = 'call') / 60.0::DOUBLE, 1) AS mean_minutes FROM comm GROUP BY 1", "comm"))
+def a03_mean_minutes(spark, sf_dir):
+    mean = F.avg(F.when(F.col("type") == "call", F.col("duration")))
+    return view(spark, sf_dir, "comm").groupBy("owner_id").agg(health.rounded(mean / 60.0, 1).alias("mean_minutes"))
+
+
+@query("""SELECT user_id, len(list_distinct(list(event_type))) AS kinds, list_has_any(list(event_type), ['error', 'signup']) AS any_of, list_contains(list(event_type), 'purchase') AS bought
+FROM events GROUP BY 1""")
+def c07_arrays(spark, sf_dir):
+    kinds = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("types"))
+    wanted = F.array(F.lit("error"), F.lit("signup"))
+    return kinds.select("user_id", F.size("types").cast("long").alias("kinds"), F.arrays_overlap("types", wanted).alias("any_of"), F.array_contains("types", "purchase").alias("bought"))
+
+
+@query("""WITH s AS (SELECT o_orderkey, reverse(CAST(o_orderkey AS VARCHAR)) AS r FROM orders), d AS (SELECT o_orderkey, i, CAST(substr(r, CAST(i AS INT), 1) AS INT) AS v FROM (SELECT o_orderkey, r, unnest(range(1, length(r) + 1)) AS i FROM s))
+SELECT o_orderkey, sum(CASE WHEN i % 2 = 1 THEN v WHEN v > 4 THEN 2 * v - 9 ELSE 2 * v END) % 10 = 0 AS valid FROM d GROUP BY 1""")
+def c16_luhn(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr("luhn_check(CAST(o_orderkey AS STRING))").alias("valid"))
