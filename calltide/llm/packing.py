@@ -1,9 +1,9 @@
 """Best-fit packing by bin completion.
 
 Only lengths decide how documents pack, and a length is at most the capacity. So the plan is made on the histogram of lengths
-(at most ``capacity`` numbers, whatever the number of documents): around the largest length left, branch and bound enumerates
-the undominated fillings, prunes by a bound on waste with the best-fit filling as incumbent, and the best filling is used as
-often as the counts allow. The documents then take their places in these patterns by their rank within their length, which
+(at most ``capacity`` numbers, whatever the number of documents): the whole plan of best fit decreasing is the incumbent, and
+branch and bound goes over plans made of undominated fillings around the largest length left, each used as often as the counts
+allow, cutting those whose waste can't come out under the incumbent's. The documents then take their places in these patterns by their rank within their length, which
 Spark works out in salted groups: no task, and not the driver, sees all documents of a length.
 """
 
@@ -15,6 +15,8 @@ from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import partial
+from heapq import heappop, heappush
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,8 +28,10 @@ from calltide.llm.common import Stored
 VOCABULARY, CAPACITY, END = "byte_bpe_50k.json", 2048, 0
 #: Groups that each length is dealt to for ranking: so many at least, and one more for so many pieces.
 SALTS, SALT_ROWS = 64, 200_000
-#: Nodes that the search around one largest document may visit before it takes its incumbent.
-NODES = 3000
+#: Nodes that the search around one largest document may visit before it takes its incumbent, and all searches after the first plan.
+NODES, PLAN_NODES = 3000, 500_000
+#: Fillings around a largest document that the search over plans tries.
+WIDTH = 3
 #: Characters (Latin, punctuation) that both tokenizer libraries class alike, and runs of white space that the fast one can't take.
 OTHER = re.compile(r"[^\x00-\u024F\u2010-\u2027\u2030-\u205E\u20AC]|\s{4000}")
 _ENCODERS: dict[str, Encoder] = {}
@@ -90,26 +94,39 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: in
 
 
 def best_filling(sizes: list[int], left: dict[int, int], room: int, nodes: int = NODES) -> list[int]:
-    """The filling of ``room`` from the multiset ``left`` that wastes least, largest sizes first; ``sizes``: its keys, ascending.
+    """The filling of ``room`` from the multiset ``left`` that wastes least, largest sizes first; ``sizes``: its keys, ascending."""
+    return fillings(sizes, left, room, nodes)[0][0]
+
+
+def fillings(sizes: list[int], left: dict[int, int], room: int, nodes: int = NODES, width: int = 1) -> tuple[list[list[int]], int]:
+    """Up to ``width`` undominated fillings, those that waste least first, and how many nodes the search visited.
 
     Depth-first; a node takes one size some number of times, and its branches take smaller ones. The first path takes the
-    largest size that fits as often as it fits: best fit decreasing, the incumbent. A filling into which one more document
-    fits is dominated by the one with it, so it counts only until that is seen. A branch is cut when even all of its smaller
-    documents wouldn't fill its room better than the incumbent does.
+    largest size that fits as often as it fits, as best fit decreasing does. A filling into which one more document fits is
+    dominated by the one with it and isn't kept. A branch is cut when even all of its smaller documents wouldn't fill its room
+    better than the worst of the ``width`` kept does. With a ``width`` of 1 the search ends at a filling without waste.
     """
-    best: list[tuple[int, int]] = []
+    best: list[tuple[int, list[tuple[int, int]]]] = []
     chosen: list[tuple[int, int]] = []
-    least, seen, total = room, 0, [0]
+    least, seen, total = room + 1, 0, [0]
     for s in sizes:  # what all documents up to a size could fill
         total.append(min(total[-1] + s * left[s], room + 1))
 
+    def dominated(room: int) -> bool:
+        used = dict(chosen)
+        return any(left[s] > used.get(s, 0) for s in sizes[: bisect_right(sizes, room)])
+
     def search(room: int, top: int) -> bool:
         """Whether to stop."""
-        nonlocal best, least, seen
+        nonlocal least, seen
         seen += 1
-        if room < least:
-            best, least = chosen[:], room
-        if not least or seen > nodes:
+        if room < least and not dominated(room):
+            best.append((room, chosen[:]))
+            best.sort(key=itemgetter(0))
+            del best[width:]
+            if len(best) == width:
+                least = best[-1][0]
+        if not least or seen > nodes and best:
             return True
         for i in range(min(top, bisect_right(sizes, room) - 1), -1, -1):
             if room - total[i + 1] >= least:
@@ -124,27 +141,106 @@ def best_filling(sizes: list[int], left: dict[int, int], room: int, nodes: int =
         return False
 
     search(room, len(sizes) - 1)
-    return [s for s, k in best for _ in range(k)]
-
-
-def patterns(histogram: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[list[int], int]]:
-    """Fillings that use up the histogram, each with how often it is used."""
-    left = {s: n for s, n in histogram.items() if n > 0}
-    sizes, plan = sorted(left), []
-    while sizes:
-        top = sizes[-1]
-        left[top] -= 1
-        rest = best_filling([s for s in sizes if left[s] and s <= capacity - top], left, capacity - top, nodes)
-        left[top] += 1
-        filling = [top, *rest]
-        need = {s: filling.count(s) for s in set(filling)}
-        times = min(left[s] // n for s, n in need.items())
-        plan.append((filling, times))
-        for s, n in need.items():
-            left[s] -= n * times
-            if not left[s]:
-                sizes.remove(s)
-    return plan
+    return [[s for s, k in b for _ in range(k)] for _, b in best], seen
+
+
+def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """The whole plan of best fit decreasing: each document, largest first, goes where it leaves least room, else to a new sequence.
+
+    Sequences that hold the same are placed as one. Documents of one size go to the fullest that takes them for as long as
+    it does, so each size splits at most one group of equal sequences.
+    """
+    groups: dict[int, list[tuple[list[int], int]]] = {}  # by room
+    for s in sorted((s for s, n in histogram.items() if n > 0), reverse=True):
+        n = histogram[s]
+        for room in [*sorted(r for r in groups if r >= s), capacity]:
+            each, old = room // s, groups.pop(room, [])
+            if room == capacity:  # new ones, as many as it takes
+                old = [([], -(-n // each))]
+            for filling, times in old:
+                full, rest = (times, 0) if n >= times * each else divmod(n, each)
+                n -= full * each + rest
+                for k, of in ((each, full), (rest, 1 if rest else 0), (0, times - full - (1 if rest else 0))):
+                    if of:
+                        groups.setdefault(room - k * s, []).append((filling + [s] * k, of))
+            if not n:
+                break
+    return [g for same in groups.values() for g in same]
+
+
+def fewest(histogram: dict[int, int], capacity: int) -> int:
+    """A lower bound on sequences: the tokens', or that of lengths over half, which lie apart, and what finds no room beside them."""
+    sizes, bound = sorted(s for s, n in histogram.items() if n > 0), -(-sum(s * n for s, n in histogram.items()) // capacity)
+    over = [(s, histogram[s]) for s in sizes if 2 * s > capacity]
+    small = [(s, histogram[s]) for s in sizes if 2 * s <= capacity]
+    apart = sum(n for _, n in over)
+    filled, room, i = sum(s * n for s, n in small), sum((capacity - s) * n for s, n in over), len(over) - 1
+    for low in (0, *(s for s, _ in small)):  # lengths from ``low`` on; those over ``capacity - low`` take none of these beside them
+        while i >= 0 and over[i][0] > capacity - low:
+            room -= (capacity - over[i][0]) * over[i][1]
+            i -= 1
+        bound = max(bound, apart + max(0, -(-(filled - room) // capacity)))
+        filled -= low * histogram.get(low, 0)
+    return bound
+
+
+def patterns(histogram: dict[int, int], capacity: int, nodes: int = NODES, plan_nodes: int = PLAN_NODES, width: int = WIDTH) -> list[tuple[list[int], int]]:
+    """Fillings that use up the histogram, each with how often it is used: never more sequences than best fit decreasing takes.
+
+    Branch and bound over whole plans, with best fit decreasing as incumbent. A node takes the largest length left and one of
+    ``width`` undominated fillings around it, as often as counts allow. Nodes are visited in the order of how many times they
+    depart from the filling that wastes least (limited discrepancy), and a plan is cut when its sequences and the tokens left
+    can't come out under the incumbent. The search ends at a plan that meets the lower bound, or after ``plan_nodes`` nodes
+    beyond the first plan.
+    """
+    best = best_fit_decreasing(histogram, capacity)
+    count, bound = sum(n for _, n in best), fewest(histogram, capacity)
+    tokens = sum(s * n for s, n in histogram.items())
+    seen, order = 0, 0
+    queue: list[tuple[int, int, int, int, tuple | None]] = [(0, 0, 0, 0, None)]  # departures, depth, order, which filling, path
+    while queue and count > bound:
+        away, depth, _, which, path = heappop(queue)
+        first = not away
+        left, used, rest = {s: n for s, n in histogram.items() if n > 0}, 0, tokens
+        steps, at = [], path
+        while at:
+            at, step = at
+            steps.append(step)
+        for filling, times in steps:
+            used, rest = used + times, rest - sum(filling) * times
+            for s in filling:
+                left[s] -= times
+        sizes = sorted(s for s, n in left.items() if n)
+        while sizes and used - (-rest // capacity) < count:
+            top = sizes[-1]
+            left[top] -= 1
+            found, visited = fillings([s for s in sizes[: bisect_right(sizes, capacity - top)] if left[s]], left, capacity - top, nodes, which + 1)
+            left[top] += 1
+            seen += 0 if first else visited
+            if len(found) <= which:
+                break
+            order += 1
+            if which + 1 < width and (first or seen <= plan_nodes):
+                heappush(queue, (away + 1, depth, order, which + 1, path))
+            filling = [top, *found[which]]
+            need = {s: filling.count(s) for s in set(filling)}
+            times = min(left[s] // n for s, n in need.items())
+            used, rest, path, depth, which = used + times, rest - sum(filling) * times, (path, (filling, times)), depth + 1, 0
+            for s, n in need.items():
+                left[s] -= n * times
+                if not left[s]:
+                    sizes.remove(s)
+            if not first and seen > plan_nodes:
+                break
+        if not sizes and used < count:
+            best, count = [], used
+            while path:
+                path, step = path
+                best.append(step)
+            best.reverse()
+        if seen > plan_nodes:
+            break
+    return best
 
 
 def slots(plan: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int, int]]:

@@ -166,6 +166,38 @@ def test_patterns_use_the_histogram_up():
     assert used == histogram
 
 
+def plain_best_fit(histogram, capacity):
+    rooms = []
+    for s in sorted(histogram, reverse=True):
+        for _ in range(histogram[s]):
+            room = min((r for r in rooms if r >= s), default=None)
+            rooms.append(capacity - s if room is None else room - s)
+            if room is not None:
+                rooms.remove(room)
+    return len(rooms)
+
+
+def test_plans_are_never_worse_than_best_fit_decreasing():
+    assert sum(n for _, n in packing.patterns({716: 600, 409: 300}, 2048)) == 300
+    rng = random.Random(3)
+    better = 0
+    for _ in range(150):
+        capacity = rng.choice([50, 200, 2048])
+        histogram = {rng.randrange(1, capacity + 1): rng.randrange(1, 30) for _ in range(rng.randrange(1, 9))}
+        want = plain_best_fit(histogram, capacity)
+        assert sum(n for _, n in packing.best_fit_decreasing(histogram, capacity)) == want
+        for plan in (packing.patterns(histogram, capacity, plan_nodes=20_000), packing.best_fit_decreasing(histogram, capacity)):
+            used = {}
+            for filling, times in plan:
+                assert sum(filling) <= capacity and times > 0
+                for s in filling:
+                    used[s] = used.get(s, 0) + times
+            assert used == histogram
+            assert packing.fewest(histogram, capacity) <= sum(n for _, n in plan) <= want
+        better += sum(n for _, n in packing.patterns(histogram, capacity, plan_nodes=20_000)) < want
+    assert better
+
+
 # -- media
 
 
