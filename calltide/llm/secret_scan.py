@@ -1,6 +1,7 @@
 """Secret scans: known forms, and a battery of randomness tests for tokens of other forms.
 
-A token's encoding is inferred from its characters (hex, base32, letters and digits, base64). Under the null hypothesis that
+A token's encoding is inferred from its characters (digits, hex, base32, letters and digits, base64); one that mixes the marks
+of both kinds of base64 is tested in its parts of either kind, and '=' parts a name from its value. Under the null hypothesis that
 its characters are independent and uniform over that alphabet, three tests give p-values: chi-squared uniformity, runs about
 the median, and serial correlation at lag one; Fisher's method combines them. Ordinary words and identifiers fail such tests.
 Benjamini-Hochberg control at ``q``, apart for each class of encoding and length (short tokens give weak tests, which mustn't
@@ -26,9 +27,11 @@ KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")  # the runs of [0-9a-f] that are long enough
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-ENCODINGS = [("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("alnum", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")]
-LENGTHS = [20, 28, 40, 64, 128]  # lower ends of the length classes
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:=+(?![A-Za-z0-9+/_=-]))?")  # with its padding; an '=' before more is a separator
+PARTS = [re.compile(r"[A-Za-z0-9+/]+=*"), re.compile(r"[A-Za-z0-9_-]+=*")]
+ENCODINGS = [("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("alnum", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"), ("digits", "0123456789")]
+NARROWEST = sorted(range(len(ENCODINGS)), key=lambda i: len(ENCODINGS[i][1]))  # the order in which they are inferred
+LENGTHS = [16, 20, 28, 40, 64, 128]  # lower ends of the length classes
 Q, BINS = 0.05, 4096
 
 
@@ -49,7 +52,7 @@ def battery(token: str) -> tuple[int, float] | None:
     """The class of encoding and length, and the combined p-value of the three tests; None for a token of no known alphabet."""
     token = token.rstrip("=")
     n = len(token)
-    code = next((i for i, (_, alphabet) in enumerate(ENCODINGS) if not set(token) - set(alphabet)), None)
+    code = next((i for i in NARROWEST if not set(token) - set(ENCODINGS[i][1])), None)
     if code is None or n < LENGTHS[0]:
         return None
     alphabet = ENCODINGS[code][1]
@@ -74,17 +77,26 @@ def battery(token: str) -> tuple[int, float] | None:
     return code * 10 + length, math.exp(-half) * (1 + half + half * half / 2)
 
 
+def outside(start: int, end: int, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What spans (by start) leave of a stretch."""
+    for a, _, b in taken:
+        if a < end and start < b:
+            if start < a:
+                yield start, a
+            start = b
+    if start < end:
+        yield start, end
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-    """(start, end, class, p) of tokens with a digit and a letter that no base span touches."""
+    """(start, end, class, p) of what of each token lies outside base spans; of its parts, where no alphabet has all of it."""
     out = []
     for m in TOKEN.finditer(text):
-        token = m[0]
-        if token.isalpha() or not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
-            continue
-        if any(a < m.end() and m.start() < b for a, _, b in taken):
-            continue
-        if got := battery(token):
-            out.append((m.start(), m.end(), *got))
+        for start, end in outside(*m.span(), taken):
+            piece = text[start:end]
+            mixed = ("/" in piece or "+" in piece) and ("-" in piece or "_" in piece)
+            parts = {(start + x.start(), start + x.end()) for p in PARTS for x in p.finditer(piece)} if mixed else [(start, end)]
+            out += [(i, j, *got) for i, j in sorted(parts) if (got := battery(text[i:j]))]
     return out
 
 

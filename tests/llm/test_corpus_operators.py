@@ -334,6 +334,24 @@ def test_battery_tells_random_from_regular_tokens():
     assert secret_scan.battery("short1") is None
 
 
+def test_random_values_beside_names_and_base_forms_are_found(spark):
+    rng = random.Random(12)
+    of = lambda code, n: "".join(rng.choice(secret_scan.ENCODINGS[code][1]) for _ in range(n))
+    word = lambda n: "".join(rng.choice("etaoinshr") for _ in range(n))
+    letters = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    found = {}
+    for i in range(40):
+        value = [of(3, 40), of(3, 40), of(4, 43) + "=", of(3, 32), of(3, 16), letters(24), of(6, 16), of(3, 40)][i % 8]
+        before, after = [("NAME=", ""), ("see https://x.org/a?sig=", "&b=1"), ("DB_KEY=", ""), ("a-b_c/", "/d"), ("", ""), ("", ""), ("", ""), ("0123456789abcdef" * 2 + "-", "")][i % 8]
+        found[i] = (f"{word(30)} {before}{value}{after} {word(40)} {word(18)}", len(before) + 31, len(before) + 31 + len(value))
+    rows = spark.createDataFrame([(i, t) for i, (t, _, _) in found.items()], "doc_id bigint, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["secrets"] if s["kind"] == 3] for r in secret_scan.find_secrets(rows).collect()}
+    # A span may take in the mark beside a value that its alphabet has, too.
+    caught = {i for i, (_, a, b) in found.items() if any(a - 2 <= x <= a and b <= y <= b + 2 for x, y in got[i])}
+    assert all(sum(i % 8 == k for i in caught) >= 4 for k in range(8))
+    assert not [s for i, (t, a, b) in found.items() for s in got[i] if s[1] <= 31 or s[0] > b + 10]
+
+
 def test_false_discovery_cut_is_benjamini_hochberg():
     rng = random.Random(4)
     p = [rng.random() ** 4 for _ in range(300)] + [rng.random() for _ in range(300)]
