@@ -1,7 +1,8 @@
 """Audio features: polyphase resampling, overlapped log-mel frames, hysteresis segments of energy, with time spans.
 
 A media column holds WAV files (8-bit PCM, one channel). Features are worked out in blocks of bounded length, one row at a
-time, within the task that reads the row: there is no shuffle.
+time, within the task that reads the row. Media and clips (tensors with their time spans) are stored tables; summaries read both
+back, and only what clips sum up to is shuffled.
 """
 
 from __future__ import annotations
@@ -18,7 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calltide.llm.common import Stored
+
 UNIT, PAD, TAIL = 576, 255, 32
+#: Clips in a batch, unless one file has more.
+BATCH_CLIPS = 128
 
 
 @dataclass(frozen=True)
@@ -166,23 +171,26 @@ def tensor_column(flat: pa.Array | pa.ChunkedArray, c: AudioConfig = AudioConfig
 
 
 def _clips(batches: Iterator[pa.RecordBatch], c: AudioConfig) -> Iterator[pa.RecordBatch]:
+    hop, width = c.hop / c.out_rate, c.clip_frames * c.mels
     for batch in batches:
-        for i, media in enumerate(batch.column("media").to_pylist()):
-            if media is None:
-                continue
-            mels, energy = features(from_wav(media)[0], c)
-            spans = segments(energy, c)
-            rows = list(clips(mels, c))
-            n, hop = len(rows), c.hop / c.out_rate
-            first = np.arange(n) * c.clip_frames
-            valid = np.asarray([v for v, _ in rows])
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * c.clip_frames * c.mels), pa.array(np.concatenate([t.ravel() for _, t in rows])))
-            inside = [[{"start_s": max(a, f) * hop, "end_s": min(b, f + v) * hop} for a, b in spans if a < f + v and b > f] for f, v in zip(first, valid, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array([i] * n, pa.int64())), pa.array(np.arange(n, dtype=np.int32)), pa.array(first * hop), pa.array((first + valid) * hop), pa.array(valid.astype(np.int32)), flat,
-                 pa.array(inside, pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])))],
-                names=["id", "clip", "start_s", "end_s", "n_frames", "tensor", "segments"],
-            )
+        of, number, first, valid, tensors, inside = [], [], [], [], [], []
+        for i, media in enumerate(batch.column("media")):
+            if media.is_valid:
+                mels, energy = features(from_wav(media.as_py())[0], c)
+                spans = segments(energy, c)
+                for k, (v, tensor) in enumerate(clips(mels, c)):
+                    f = k * c.clip_frames
+                    of.append(i), number.append(k), first.append(f), valid.append(v), tensors.append(tensor.ravel())
+                    inside.append([{"start_s": max(a, f) * hop, "end_s": min(b, f + v) * hop} for a, b in spans if a < f + v and b > f])
+            if of and (len(of) >= BATCH_CLIPS or i + 1 == batch.num_rows):
+                n, start, frames = len(of), np.asarray(first), np.asarray(valid)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.concatenate(tensors)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(pa.array(of, pa.int64())), pa.array(number, pa.int32()), pa.array(start * hop), pa.array((start + frames) * hop), pa.array(frames.astype(np.int32)), flat,
+                     pa.array(inside, pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])))],
+                    names=["id", "clip", "start_s", "end_s", "n_frames", "tensor", "segments"],
+                )
+                of, number, first, valid, tensors, inside = [], [], [], [], [], []
 
 
 def audio_clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", config: AudioConfig = AudioConfig()) -> DataFrame:
@@ -219,32 +227,63 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(wrap, f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
 
 
-def feature_text(mels: np.ndarray, energy: np.ndarray, c: AudioConfig) -> str:
-    """Frames, mean of each mel band, a digest of all clip tensors, and the time spans of segments."""
-    digest = hashlib.sha256()
-    for _, tensor in clips(mels, c):
-        digest.update(tensor.tobytes())
-    spans = ",".join(f"{a * c.hop / c.out_rate:.2f}-{b * c.hop / c.out_rate:.2f}" for a, b in segments(energy, c))
-    means = ",".join(f"{v:.3f}" for v in mels.mean(axis=0, dtype=np.float64))
-    return f"frames={len(mels)};mel={means};tensors={digest.hexdigest()[:16]};segments={hashlib.sha256(spans.encode()).hexdigest()[:16]}:{spans[:200]}"
+def feature_text(parts: list[dict], c: AudioConfig) -> str:
+    """Frames, mean of each mel band, a digest of all clip tensors, and all time spans, of a file's clips as :func:`clip_parts` has them."""
+    parts = sorted(parts, key=lambda p: p["clip"])
+    frames, total, spans = sum(p["n_frames"] for p in parts), np.zeros(c.mels), []
+    for p in parts:
+        total += p["sums"]
+        for s in p["segments"]:
+            if spans and abs(spans[-1][1] - s["start_s"]) < c.hop / c.out_rate / 2:  # it goes on over the border of two clips
+                spans[-1][1] = s["end_s"]
+            else:
+                spans.append([s["start_s"], s["end_s"]])
+    digest = hashlib.sha256(b"".join(p["digest"] for p in parts)).hexdigest()
+    means = ",".join(f"{v:.3f}" for v in total / max(frames, 1))
+    return f"frames={frames};mel={means};tensors={digest};segments={','.join(f'{a:.2f}-{b:.2f}' for a, b in spans)}"
+
+
+def clip_parts(batches: Iterator[pa.RecordBatch], c: AudioConfig) -> Iterator[pa.RecordBatch]:
+    """For each stored clip, what its file's feature string takes from it: digest and band sums of its tensor, and its spans."""
+    for batch in batches:
+        tensors = tensor_column(batch.column("tensor"), c).to_numpy_ndarray() if batch.num_rows else np.zeros((0, c.clip_frames, c.mels), np.float32)
+        digests = pa.array([hashlib.sha256(np.ascontiguousarray(t)).digest() for t in tensors], pa.binary())
+        sums = pa.array([t.sum(axis=0, dtype=np.float64).tolist() for t in tensors], pa.list_(pa.float64()))  # frames that fill up are 0
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("row", "clip", "n_frames")), digests, sums, batch.column("segments")], names=["row", "clip", "n_frames", "digest", "sums", "segments"])
 
 
-def _summaries(batches: Iterator[pa.RecordBatch], c: AudioConfig) -> Iterator[pa.RecordBatch]:
+def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for media in batch.column("media"):
             stored = media.as_py()
             samples, _ = from_wav(stored)
-            mels, energy = features(samples, c)
-            rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-TAIL:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_text(mels, energy, c)))
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["id", "n_bytes", *names])
+            rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-TAIL:]), len(stored), hashlib.sha256(stored).hexdigest()))
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("row", "id", "n_bytes")), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["row", "id", "n_bytes", *names])
+
+
+def _described(batches: Iterator[pa.RecordBatch], c: AudioConfig) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([feature_text(p, c) for p in batch.column("parts").to_pylist()], pa.string())], names=["row", "feature"])
+
+
+def store_clips(media: DataFrame, id_col: str = "doc_id", config: AudioConfig = AudioConfig()) -> tuple[DataFrame, DataFrame]:
+    """The stored media, each row with a number of its own (``row``), and the stored clips of all of them, made from what was stored."""
+    kept = Stored(media.sparkSession, "media")
+    stored = kept.write(media.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), "n_bytes", "media"), "media")
+    made = audio_clips(stored.select(F.struct("row", "id").alias("key"), "media"), "key", config=config)
+    return stored, kept.write(made.select("key.row", F.col("key.id").alias(id_col), *made.columns[1:]), "clips")
 
 
 def media_summary(media: DataFrame, id_col: str = "doc_id", config: AudioConfig = AudioConfig()) -> DataFrame:
-    """What :func:`text_media` stored, read back: sizes, digests and a feature string for each row (see :func:`feature_text`)."""
+    """What :func:`text_media` gives, stored with its clips and read back: sizes, digests and a feature string for each row (see :func:`feature_text`)."""
     kind = media.select(id_col).dtypes[0][1]
-    rows = media.select(F.col(id_col).alias("id"), "n_bytes", "media")
-    out = rows.mapInArrow(partial(_summaries, c=config), f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
-    return out.withColumnRenamed("id", id_col)
+    stored, cut = store_clips(media, id_col, config)
+    spans = "segments array<struct<start_s:double,end_s:double>>"
+    parts = cut.select("row", "clip", "n_frames", "tensor", "segments").mapInArrow(partial(clip_parts, c=config), f"row bigint, clip int, n_frames int, digest binary, sums array<double>, {spans}")
+    grouped = parts.groupBy("row").agg(F.collect_list(F.struct("clip", "n_frames", "digest", "sums", "segments")).alias("parts"))
+    features_ = grouped.mapInArrow(partial(_described, c=config), "row bigint, feature string")
+    read = stored.mapInArrow(_payloads, f"row bigint, id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string")
+    return read.join(features_, "row", "left").drop("row").withColumnRenamed("id", id_col)

@@ -260,6 +260,30 @@ def test_clips_are_fixed_shape_tensors(spark, docs):
         assert abs((end - start) - n * 0.01) < 1e-9
 
 
+def test_all_clips_are_stored_and_all_spans_are_in_the_feature(spark):
+    c = media.AudioConfig()
+    rows = [(0, ""), (1, None), (2, ("~" * 3000 + "a1 " * 1000) * 150), (3, ("a1 " * 900 + "~" * 900) * 9), (7, "two rows"), (7, "of one id")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    stored, cut = media.store_clips(media.text_media(docs))
+    assert stored.inputFiles() and cut.inputFiles() and stored.count() == len(rows)
+    got = cut.where("doc_id <> 7").orderBy("doc_id", "clip").toArrow()
+    tensors = media.tensor_column(got.column("tensor")).to_numpy_ndarray()
+    feature = by_id(media.media_summary(media.text_media(docs)))
+    at, most = 0, 0
+    for i, text in sorted(text_of(rows).items()):
+        if i == 7:  # there are two rows of it
+            continue
+        mels, energy = media.features(media.padded_payload(text), c)
+        want = [t for _, t in media.clips(mels, c)]
+        assert got["doc_id"].to_pylist()[at : at + len(want)] == [i] * len(want)
+        assert np.array_equal(tensors[at : at + len(want)], want)
+        at += len(want)
+        spans = [f"{a * 0.01:.2f}-{b * 0.01:.2f}" for a, b in media.segments(energy, c)]
+        assert feature[i]["feature"].startswith(f"frames={len(mels)};") and feature[i]["feature"].split("segments=")[1] == ",".join(spans)
+        most = max(most, len(spans))
+    assert at == got.num_rows and most > 100
+
+
 # -- decontamination
 
 
