@@ -45,3 +45,10 @@ def test_query_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     assert catalog.queries()[name](spark, SF).columns
+
+
+def test_every_embedding_is_stored_or_counted_as_a_run(spark, con):
+    got = catalog.queries()["v03_store_or_merge"](spark, SF).collect()
+    ids = {r[0] for r in con.sql("SELECT vec_id FROM embeddings").fetchall()}
+    assert sum(r["runs"] for r in got) == len(ids)
+    assert {r["id"] for r in got} <= ids and {i for i in ids if i % 20} <= {r["id"] for r in got}
