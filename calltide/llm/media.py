@@ -163,15 +163,27 @@ def clips(mels: np.ndarray, c: AudioConfig) -> Iterator[tuple[int, np.ndarray]]:
         yield len(part), full
 
 
-def tensor_column(flat: pa.Array | pa.ChunkedArray, c: AudioConfig = AudioConfig()) -> pa.ExtensionArray:
-    """The ``tensor`` column of :func:`audio_clips` as Arrow's fixed-shape tensor type, without a copy of its values."""
-    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
-    values = pa.FixedSizeListArray.from_arrays(flat.flatten(), c.clip_frames * c.mels)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (c.clip_frames, c.mels)), values)
+def tensor_column(stored: pa.Array | pa.ChunkedArray, c: AudioConfig = AudioConfig()) -> pa.FixedShapeTensorArray:
+    """The ``tensor`` column of :func:`audio_clips` as Arrow's fixed-shape tensor type, over the stored bytes themselves, without a copy."""
+    stored = stored.combine_chunks() if isinstance(stored, pa.ChunkedArray) else stored
+    width, n = c.clip_frames * c.mels, len(stored)
+    offsets = np.frombuffer(stored.buffers()[1], np.int64 if pa.types.is_large_binary(stored.type) else np.int32)[stored.offset : stored.offset + n + 1] if n else np.zeros(1, np.int64)
+    if stored.null_count or (np.diff(offsets) != 4 * width).any():
+        raise ValueError(f"each clip has {width} values of 4 bytes")
+    values = np.frombuffer(stored.buffers()[2], np.float32, n * width, int(offsets[0])) if n else np.zeros(0, np.float32)
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(values), width)
+    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (c.clip_frames, c.mels)), storage)
+
+
+def tensor_bytes(tensors: pa.FixedShapeTensorArray) -> pa.Array:
+    """A fixed-shape tensor column as a binary one over the same memory, which is what Spark's files can hold."""
+    values, width = tensors.storage.flatten(), 4 * tensors.storage.type.list_size
+    offsets = np.arange(len(tensors) + 1, dtype=np.int64) * width
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(tensors), [None, pa.py_buffer(offsets), values.buffers()[1]]).cast(pa.binary())
 
 
 def _clips(batches: Iterator[pa.RecordBatch], c: AudioConfig) -> Iterator[pa.RecordBatch]:
-    hop, width = c.hop / c.out_rate, c.clip_frames * c.mels
+    hop, kind = c.hop / c.out_rate, pa.fixed_shape_tensor(pa.float32(), (c.clip_frames, c.mels))
     for batch in batches:
         of, number, first, valid, tensors, inside = [], [], [], [], [], []
         for i, media in enumerate(batch.column("media")):
@@ -183,10 +195,10 @@ def _clips(batches: Iterator[pa.RecordBatch], c: AudioConfig) -> Iterator[pa.Rec
                     of.append(i), number.append(k), first.append(f), valid.append(v), tensors.append(tensor.ravel())
                     inside.append([{"start_s": max(a, f) * hop, "end_s": min(b, f + v) * hop} for a, b in spans if a < f + v and b > f])
             if of and (len(of) >= BATCH_CLIPS or i + 1 == batch.num_rows):
-                n, start, frames = len(of), np.asarray(first), np.asarray(valid)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.concatenate(tensors)))
+                start, frames = np.asarray(first), np.asarray(valid)
+                column = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(tensors)), c.clip_frames * c.mels))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(of, pa.int64())), pa.array(number, pa.int32()), pa.array(start * hop), pa.array((start + frames) * hop), pa.array(frames.astype(np.int32)), flat,
+                    [batch.column("id").take(pa.array(of, pa.int64())), pa.array(number, pa.int32()), pa.array(start * hop), pa.array((start + frames) * hop), pa.array(frames.astype(np.int32)), tensor_bytes(column),
                      pa.array(inside, pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])))],
                     names=["id", "clip", "start_s", "end_s", "n_frames", "tensor", "segments"],
                 )
@@ -194,21 +206,23 @@ def _clips(batches: Iterator[pa.RecordBatch], c: AudioConfig) -> Iterator[pa.Rec
 
 
 def audio_clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", config: AudioConfig = AudioConfig()) -> DataFrame:
-    """A row for each clip of each WAV file: ``id_col``, clip, start_s, end_s, n_frames, tensor (clip_frames x mels, row by row), segments.
+    """A row for each clip of each WAV file: ``id_col``, clip, start_s, end_s, n_frames, tensor, segments.
+
+    ``tensor`` holds the bytes of a fixed-shape Arrow tensor (clip_frames x mels of float32, row by row); Spark has no type for
+    these, so :func:`tensor_column` gives the tensor type back. Frames over ``n_frames`` are zeros.
 
     Null media give no rows; a file with fewer samples than one frame gives one clip of one frame. Files that aren't 8-bit mono
     PCM fail the task with what was found instead. Repeated rows are worked out each; other columns aren't read.
     """
     kind = media.select(id_col).dtypes[0][1]
     rows = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    out = rows.mapInArrow(partial(_clips, c=config), f"id {kind}, clip int, start_s double, end_s double, n_frames int, tensor array<float>, segments array<struct<start_s:double,end_s:double>>")
+    out = rows.mapInArrow(partial(_clips, c=config), f"id {kind}, clip int, start_s double, end_s double, n_frames int, tensor binary, segments array<struct<start_s:double,end_s:double>>")
     return out.withColumnRenamed("id", id_col)
 
 
-def padded_payload(text: str) -> bytes:
-    data = text.encode()
-    size = max(1, -(-len(data) // UNIT)) * UNIT
-    return data + bytes([PAD]) * (size - len(data))
+def padded_payload(text: str | bytes) -> bytes:
+    data = text.encode() if isinstance(text, str) else text
+    return data + bytes([PAD]) * (max(1, -(-len(data) // UNIT)) * UNIT - len(data))
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: AudioConfig = AudioConfig()) -> DataFrame:
@@ -221,7 +235,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 data = [t.encode() for t in part.column("text").to_pylist()]
                 sizes = pa.array([len(d) for d in data], pa.int64())
-                media = pa.array([to_wav(d + bytes([PAD]) * (max(1, -(-len(d) // UNIT)) * UNIT - len(d)), config.rate) for d in data], pa.binary())
+                media = pa.array([to_wav(padded_payload(d), config.rate) for d in data], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("id"), sizes, media], names=["id", "n_bytes", "media"])
 
     return rows.mapInArrow(wrap, f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
@@ -248,7 +262,7 @@ def clip_parts(batches: Iterator[pa.RecordBatch], c: AudioConfig) -> Iterator[pa
     for batch in batches:
         tensors = tensor_column(batch.column("tensor"), c).to_numpy_ndarray() if batch.num_rows else np.zeros((0, c.clip_frames, c.mels), np.float32)
         digests = pa.array([hashlib.sha256(np.ascontiguousarray(t)).digest() for t in tensors], pa.binary())
-        sums = pa.array([t.sum(axis=0, dtype=np.float64).tolist() for t in tensors], pa.list_(pa.float64()))  # frames that fill up are 0
+        sums = pa.array(tensors.sum(axis=1, dtype=np.float64).tolist(), pa.list_(pa.float64()))  # frames that fill up are 0
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("row", "clip", "n_frames")), digests, sums, batch.column("segments")], names=["row", "clip", "n_frames", "digest", "sums", "segments"])
 
 

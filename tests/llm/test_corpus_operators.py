@@ -246,6 +246,26 @@ def test_blocks_give_the_features_of_the_whole():
     assert np.allclose(whole[0], parts[0], atol=1e-4)
 
 
+def test_log_mel_equals_an_independent_computation():
+    """Frames, window, transform and triangles from their definitions, with plain sums."""
+    c = media.AudioConfig()
+    y = np.random.default_rng(5).standard_normal(1200)
+    got, energy = media.log_mel(y.astype(np.float32), c)
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, mel(8000), c.mels + 2)]
+    n = np.arange(400)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * n / 399)
+    assert len(got) == (1200 - 400) // 160 + 1
+    for f in range(len(got)):
+        part = y[f * 160 : f * 160 + 400] * window
+        power = [abs(np.sum(part * np.exp(-2j * np.pi * k * n / 512))) ** 2 for k in range(257)]
+        for b in (0, 5, 17, 31):
+            low, mid, high = edges[b : b + 3]
+            weights = [max(0.0, min((hz - low) / (mid - low), (high - hz) / (high - mid))) for hz in (k * 16_000 / 512 for k in range(257))]
+            assert abs(got[f, b] - np.log(np.dot(power, weights) + 1e-6)) < 2e-3
+        assert abs(energy[f] - 10 * np.log10(np.mean(part**2) + 1e-9)) < 1e-3
+
+
 def test_hysteresis_holds_between_thresholds():
     c = media.AudioConfig(on_db=2, off_db=-2)
     energy = np.asarray([0, 0, 3, 1, -1, 0, -3, 0, 0, 5, 0, 0, 0])
