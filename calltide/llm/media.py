@@ -182,41 +182,57 @@ def tensor_bytes(tensors: pa.FixedShapeTensorArray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(tensors), [None, pa.py_buffer(offsets), values.buffers()[1]]).cast(pa.binary())
 
 
-def _clips(batches: Iterator[pa.RecordBatch], c: AudioConfig) -> Iterator[pa.RecordBatch]:
+def _clips(batches: Iterator[pa.RecordBatch], c: AudioConfig, facts: bool) -> Iterator[pa.RecordBatch]:
     hop, kind = c.hop / c.out_rate, pa.fixed_shape_tensor(pa.float32(), (c.clip_frames, c.mels))
+    names = ["id", "clip", "start_s", "end_s", "n_frames", "tensor", "segments", *(["n_clips", "facts"] if facts else [])]
     for batch in batches:
-        of, number, first, valid, tensors, inside = [], [], [], [], [], []
+        of, number, first, valid, tensors, inside, counts, read = [], [], [], [], [], [], [], []
         for i, media in enumerate(batch.column("media")):
             if media.is_valid:
-                mels, energy = features(from_wav(media.as_py())[0], c)
-                spans = segments(energy, c)
-                for k, (v, tensor) in enumerate(clips(mels, c)):
+                stored = media.as_py()
+                samples, _ = from_wav(stored)
+                mels, energy = features(samples, c)
+                spans, made = segments(energy, c), list(clips(mels, c))
+                for k, (v, tensor) in enumerate(made):
                     f = k * c.clip_frames
                     of.append(i), number.append(k), first.append(f), valid.append(v), tensors.append(tensor.ravel())
                     inside.append([{"start_s": max(a, f) * hop, "end_s": min(b, f + v) * hop} for a, b in spans if a < f + v and b > f])
+                    counts.append(len(made)), read.append(stored_facts(stored, samples) if facts and not k else None)
             if of and (len(of) >= BATCH_CLIPS or i + 1 == batch.num_rows):
                 start, frames = np.asarray(first), np.asarray(valid)
                 column = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(tensors)), c.clip_frames * c.mels))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(of, pa.int64())), pa.array(number, pa.int32()), pa.array(start * hop), pa.array((start + frames) * hop), pa.array(frames.astype(np.int32)), tensor_bytes(column),
-                     pa.array(inside, pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])))],
-                    names=["id", "clip", "start_s", "end_s", "n_frames", "tensor", "segments"],
-                )
-                of, number, first, valid, tensors, inside = [], [], [], [], [], []
+                columns = [
+                    batch.column("id").take(pa.array(of, pa.int64())), pa.array(number, pa.int32()), pa.array(start * hop), pa.array((start + frames) * hop), pa.array(frames.astype(np.int32)), tensor_bytes(column),
+                    pa.array(inside, pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))), *([pa.array(counts, pa.int32()), pa.array(read, FACTS)] if facts else []),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                of, number, first, valid, tensors, inside, counts, read = [], [], [], [], [], [], [], []
 
 
-def audio_clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", config: AudioConfig = AudioConfig()) -> DataFrame:
+FACTS = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())])
+_FACTS = "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string>"
+_SPANS = "array<struct<start_s:double,end_s:double>>"
+
+
+def stored_facts(stored: bytes, samples: memoryview) -> dict:
+    """Sizes and digests of a file as it was read, and of its samples."""
+    return {"payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-TAIL:]), "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest()}
+
+
+def audio_clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", config: AudioConfig = AudioConfig(), facts: bool = False) -> DataFrame:
     """A row for each clip of each WAV file: ``id_col``, clip, start_s, end_s, n_frames, tensor, segments.
 
     ``tensor`` holds the bytes of a fixed-shape Arrow tensor (clip_frames x mels of float32, row by row); Spark has no type for
-    these, so :func:`tensor_column` gives the tensor type back. Frames over ``n_frames`` are zeros.
+    these, so :func:`tensor_column` gives the tensor type back. Frames over ``n_frames`` are zeros. With ``facts`` there are
+    n_clips, too, and in each file's first clip what :func:`stored_facts` says of the bytes that were read.
 
     Null media give no rows; a file with fewer samples than one frame gives one clip of one frame. Files that aren't 8-bit mono
     PCM fail the task with what was found instead. Repeated rows are worked out each; other columns aren't read.
     """
     kind = media.select(id_col).dtypes[0][1]
     rows = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    out = rows.mapInArrow(partial(_clips, c=config), f"id {kind}, clip int, start_s double, end_s double, n_frames int, tensor binary, segments array<struct<start_s:double,end_s:double>>")
+    more = f", n_clips int, facts {_FACTS}" if facts else ""
+    out = rows.mapInArrow(partial(_clips, c=config, facts=facts), f"id {kind}, clip int, start_s double, end_s double, n_frames int, tensor binary, segments {_SPANS}{more}")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -263,41 +279,43 @@ def clip_parts(batches: Iterator[pa.RecordBatch], c: AudioConfig) -> Iterator[pa
         tensors = tensor_column(batch.column("tensor"), c).to_numpy_ndarray() if batch.num_rows else np.zeros((0, c.clip_frames, c.mels), np.float32)
         digests = pa.array([hashlib.sha256(np.ascontiguousarray(t)).digest() for t in tensors], pa.binary())
         sums = pa.array(tensors.sum(axis=1, dtype=np.float64).tolist(), pa.list_(pa.float64()))  # frames that fill up are 0
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("row", "clip", "n_frames")), digests, sums, batch.column("segments")], names=["row", "clip", "n_frames", "digest", "sums", "segments"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("key", "facts", "clip", "n_frames")), digests, sums, batch.column("segments")], names=["key", "facts", *PART])
 
 
-def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for media in batch.column("media"):
-            stored = media.as_py()
-            samples, _ = from_wav(stored)
-            rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-TAIL:]), len(stored), hashlib.sha256(stored).hexdigest()))
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("row", "id", "n_bytes")), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["row", "id", "n_bytes", *names])
+PART = ["clip", "n_frames", "digest", "sums", "segments"]
 
 
 def _described(batches: Iterator[pa.RecordBatch], c: AudioConfig) -> Iterator[pa.RecordBatch]:
+    """The feature string of each file from the parts of its clips."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([feature_text(p, c) for p in batch.column("parts").to_pylist()], pa.string())], names=["row", "feature"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("facts"), pa.array([feature_text(p, c) for p in batch.column("parts").to_pylist()], pa.string())], names=["key", "facts", "feature"])
+
+
+def _described_alone(batches: Iterator[pa.RecordBatch], c: AudioConfig) -> Iterator[pa.RecordBatch]:
+    """The same for files of one clip, which need no grouping."""
+    for part in clip_parts(batches, c):
+        yield pa.RecordBatch.from_arrays([part.column("key"), part.column("facts"), pa.array([feature_text([p], c) for p in part.select(PART).to_pylist()], pa.string())], names=["key", "facts", "feature"])
 
 
 def store_clips(media: DataFrame, id_col: str = "doc_id", config: AudioConfig = AudioConfig()) -> tuple[DataFrame, DataFrame]:
     """The stored media, each row with a number of its own (``row``), and the stored clips of all of them, made from what was stored."""
     kept = Stored(media.sparkSession, "media")
     stored = kept.write(media.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), "n_bytes", "media"), "media")
-    made = audio_clips(stored.select(F.struct("row", "id").alias("key"), "media"), "key", config=config)
-    return stored, kept.write(made.select("key.row", F.col("key.id").alias(id_col), *made.columns[1:]), "clips")
+    made = audio_clips(stored.select(F.struct("row", "id", "n_bytes").alias("key"), "media"), "key", config=config, facts=True)
+    return stored, kept.write(made.withColumn(id_col, F.col("key.id")), "clips")
 
 
 def media_summary(media: DataFrame, id_col: str = "doc_id", config: AudioConfig = AudioConfig()) -> DataFrame:
-    """What :func:`text_media` gives, stored with its clips and read back: sizes, digests and a feature string for each row (see :func:`feature_text`)."""
+    """What :func:`text_media` gives, stored, read back, cut to stored clips, and those read back: sizes, digests and a feature
+    string for each row (see :func:`feature_text`). Only clips of files that have several are shuffled.
+    """
     kind = media.select(id_col).dtypes[0][1]
-    stored, cut = store_clips(media, id_col, config)
-    spans = "segments array<struct<start_s:double,end_s:double>>"
-    parts = cut.select("row", "clip", "n_frames", "tensor", "segments").mapInArrow(partial(clip_parts, c=config), f"row bigint, clip int, n_frames int, digest binary, sums array<double>, {spans}")
-    grouped = parts.groupBy("row").agg(F.collect_list(F.struct("clip", "n_frames", "digest", "sums", "segments")).alias("parts"))
-    features_ = grouped.mapInArrow(partial(_described, c=config), "row bigint, feature string")
-    read = stored.mapInArrow(_payloads, f"row bigint, id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string")
-    return read.join(features_, "row", "left").drop("row").withColumnRenamed("id", id_col)
+    _, cut = store_clips(media, id_col, config)
+    key = f"key struct<row:bigint,id:{kind},n_bytes:bigint>"
+    clip = cut.select("key", "clip", "n_frames", "tensor", "segments", "n_clips", "facts")
+    described = f"{key}, facts {_FACTS}, feature string"
+    alone = clip.where("n_clips = 1").mapInArrow(partial(_described_alone, c=config), described)
+    parts = clip.where("n_clips > 1").mapInArrow(partial(clip_parts, c=config), f"{key}, facts {_FACTS}, clip int, n_frames int, digest binary, sums array<double>, segments {_SPANS}")
+    grouped = parts.groupBy("key").agg(F.max("facts").alias("facts"), F.collect_list(F.struct(*PART)).alias("parts"))  # a file's clips
+    out = alone.unionByName(grouped.mapInArrow(partial(_described, c=config), described))
+    return out.select(F.col("key.id").alias(id_col), "key.n_bytes", "facts.*", "feature")
