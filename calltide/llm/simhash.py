@@ -1,15 +1,16 @@
-"""Near duplicates by SimHash, with exact neighbours from vantage-point shards and trees.
+"""Near duplicates by SimHash, with exact neighbours from a forest of vantage-point trees.
 
 Fingerprints link at ``radius`` or fewer differing bits. Equal fingerprints become one row first. Then:
 
-* Shards. A vantage-point partition of all 64 bits prunes nothing here: fingerprints lie 32 +- 4 bits from any vantage point, so
-  a 3-bit overlap sends most of them to both sides at each level. Over a block of bits the triangle bound is sharper: of b
-  blocks, two fingerprints within r bits differ in none of some b - r, so they're at the same distance from *every* vantage
-  point there and fall in one shard, with no overlap. ``blocks`` grows with the number of fingerprints.
-* Shards over ``shard_limit`` are cut into shells of Hamming distance (over all bits) about a vantage point of their own,
-  again while they stay too large. A fingerprint is indexed in its shell, and asks those that its radius reaches into.
-* In a shard, a vantage-point tree answers the queries; the triangle bound prunes its branches. Links leave a shard as stars
-  (each fingerprint and the smallest id it is connected with), never as all pairs.
+* Views. Fingerprints lie 32 +- 4 bits from any vantage point, so that over all 64 bits a bound of 3 bits prunes little. Two
+  fingerprints within 3 bits differ in at most one bit of one of their halves. Each half is a view: its trees compare halves
+  at distance 1, where the triangle bound prunes a third of what is left at each level. A hit is verified over all 64 bits.
+* Shards. The upper part of each view's tree is grown from a bounded sample of the fingerprints (vantage points and cuts only:
+  what is found doesn't depend on it). Its leaves are shards: partitions by Hamming distance. A fingerprint is indexed in its
+  own shard of each view, and asks those others that its radius reaches into.
+* In a shard, a vantage-point tree answers the fingerprints asked about, many at once. Fingerprints that agree on a half can't be
+  told apart by it; nodes of such compare all 64 bits at the whole radius. Links leave a shard as stars (each fingerprint and
+  the smallest id it is connected with), never as all pairs.
 
 Stars are joined into components by alternating large-star and small-star steps, each a few joins and aggregates.
 """
@@ -18,22 +19,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from calltide.llm.common import Stored
 
 SHINGLE, RADIUS, SEED, BITS = 3, 3, 42, 64
-#: Mean fingerprints of a shard over which more blocks are used.
-SHARD_MEAN = 2_000
-#: Fingerprints of a shard over which it is cut into shells of ``SHELL`` bits.
-SHARD_LIMIT, SHELL, CUTS = 20_000, 4, 4
-#: Shards under this size are compared directly; also the leaves of trees.
-LEAF = 256
+#: Fingerprints that a shard should hold, how many of the sample stand for a shard, and how many shards there are at most: the
+#: sample holds ``SHARDS * SHARD_SAMPLE`` fingerprints at most. Beyond that shards grow, and their trees get deeper.
+SHARD, SHARD_SAMPLE, SHARDS = 20_000, 32, 8_192
+#: Fingerprints of a leaf, which are compared directly.
+LEAF = 64
+#: Comparisons that are made at a time, and links that are gathered before they're reduced to stars.
+CELLS, LINKS = 1 << 18, 1 << 20
+HALVES = [np.uint64((1 << 32) - 1), np.uint64(((1 << 32) - 1) << 32)]
+WHOLE = np.uint64((1 << 64) - 1)
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -66,166 +70,199 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(partial(_fingerprints, shingle=shingle), f"id {rows.dtypes[0][1]}, fp bigint")
 
 
-def block_masks(blocks: int, radius: int = RADIUS) -> list[int]:
-    """Masks over which two fingerprints within ``radius`` agree at least once: all choices of blocks - radius blocks."""
-    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    bits = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(chosen) for chosen in combinations(bits, blocks - radius)]
-
-
-def enough_blocks(n: int, radius: int = RADIUS) -> int:
-    """The fewest blocks whose shards hold ``SHARD_MEAN`` of n random fingerprints or fewer."""
-    blocks = radius + 1
-    while blocks < radius + 4 and n / 2 ** (BITS * (blocks - radius) / blocks) > SHARD_MEAN:
-        blocks += 1
-    return blocks
+class VantageTree:
+    """A vantage-point tree over fingerprints, of which a node compares the bits of a mask.
 
+    Linked fingerprints are at most ``near`` apart in ``mask``, and at most ``radius`` over all bits. A node splits its points at
+    the median distance from a vantage point; where all lie at one distance it compares all bits instead. ``leaf`` is the size
+    from which a node is split. ``asked`` and ``pruned`` count the (fingerprint, branch) steps that were possible at the nodes
+    reached, and those that the triangle bound saved.
+    """
 
-class VantageTree:
-    """A vantage-point tree over an array of fingerprints: each node splits its points at the median distance from one of them."""
-
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.points, self.leaf = points, leaf
-        self.root = self._build(np.arange(len(points)))
-
-    def _build(self, rows: np.ndarray):
-        if len(rows) <= self.leaf:
-            return rows
-        vantage = self.points[rows[0]]
-        d = np.bitwise_count(self.points[rows] ^ vantage)
-        mid = int(np.median(d))
-        inner = d <= mid
-        if inner.all():
-            inner = d < mid
-            mid -= 1
-            if not inner.any():  # all at one distance: nothing to split
-                return rows
-        return vantage, mid, self._build(rows[inner]), self._build(rows[~inner])
-
-    def near(self, point: np.uint64, radius: int) -> np.ndarray:
-        """Rows within ``radius``; a branch is left out if the triangle bound keeps all of it farther away."""
-        found, todo = [], [self.root]
+    def __init__(self, points: np.ndarray, mask: np.uint64 = WHOLE, near: int = RADIUS, radius: int = RADIUS, leaf: int = LEAF):
+        self.points, self.leaf, self.radius = points, leaf, radius
+        self.nodes: list[tuple] = []  # (vantage, mask, near, cut, inner, outer), or (None, rows)
+        self.asked = self.pruned = 0
+        todo = [(np.arange(len(points)), mask, near, None, 0)]
+        while todo:
+            rows, m, r, parent, side = todo.pop()
+            at = len(self.nodes)
+            if parent is not None:
+                self.nodes[parent][4 + side] = at
+            cut = self._cut(rows, m) if len(rows) > leaf else None
+            if cut is None and len(rows) > leaf and m != WHOLE:
+                m, r = WHOLE, radius
+                cut = self._cut(rows, m)
+            if cut is None:
+                self.nodes.append([None, rows])
+                continue
+            vantage, mid, inner = cut
+            self.nodes.append([vantage, m, r, mid, -1, -1])
+            todo += [(rows[inner], m, r, at, 0), (rows[~inner], m, r, at, 1)]
+
+    def _cut(self, rows: np.ndarray, mask: np.uint64) -> tuple[np.uint64, int, np.ndarray] | None:
+        """Of a few vantage points the one from which distances spread most: it, the cut, and who is inside."""
+        some = self.points[rows[:: max(1, len(rows) // 256)]]
+        tried = some[:: max(1, len(some) // 8)][:8]
+        vantage = tried[np.argmax(np.bitwise_count((tried[:, None] ^ some[None, :]) & mask).var(axis=1))]
+        d = np.bitwise_count((self.points[rows] ^ vantage) & mask)
+        low, high = int(d.min()), int(d.max())
+        if low == high:
+            return None
+        mid = min(int(np.median(d)), high - 1)
+        return vantage, mid, d <= mid
+
+    def leaves(self, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each leaf that some of ``points`` reach: its number, which of the points, and which of these lie in it themselves."""
+        todo = [(0, np.arange(len(points)), np.ones(len(points), bool))]
         while todo:
-            node = todo.pop()
-            if isinstance(node, np.ndarray):
-                found.append(node[np.bitwise_count(self.points[node] ^ point) <= radius])
+            at, who, home = todo.pop()
+            node = self.nodes[at]
+            if node[0] is None:
+                yield at, who, home
                 continue
-            vantage, mid, inner, outer = node
-            d = int(np.bitwise_count(vantage ^ point))
-            if d - radius <= mid:
-                todo.append(inner)
-            if d + radius > mid:
-                todo.append(outer)
-        return np.concatenate(found)
-
-
-def linked(indexed: np.ndarray, asking: np.ndarray, radius: int) -> np.ndarray:
-    """For each of the points ``indexed`` + ``asking``: the smallest row connected with it through asked-for links."""
-    n = len(indexed)
-    label = np.arange(n + len(asking))
-    if n <= LEAF and len(asking) <= LEAF:
-        own = np.concatenate([indexed, asking])
-        rows, cols = np.nonzero(np.bitwise_count(own[:, None] ^ indexed[None, :]) <= radius)
-        if len(rows) == n:  # each with itself alone
+            vantage, mask, near, cut, inner, outer = node
+            d = np.bitwise_count((points[who] ^ vantage) & mask).astype(np.int16)
+            is_in = d <= cut
+            go_in, go_out = d - near <= cut, d + near > cut
+            self.asked += 2 * len(who)
+            self.pruned += 2 * len(who) - int(go_in.sum()) - int(go_out.sum())
+            for child, go, own in ((inner, go_in, is_in), (outer, go_out, ~is_in)):
+                if go.any():
+                    todo.append((child, who[go], home[go] & own[go]))
+
+    def links(self, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places in ``points``, rows of the tree) of all within ``radius``, some at a time."""
+        for at, who, _ in self.leaves(points):
+            rows = self.nodes[at][1]
+            step = max(1, CELLS // max(len(rows), 1))
+            for i in range(0, len(who), step):
+                some = who[i : i + step]
+                a, b = np.nonzero(np.bitwise_count(points[some][:, None] ^ self.points[rows][None, :]) <= self.radius)
+                if len(a):
+                    yield some[a], rows[b]
+
+    def near(self, point: np.uint64) -> np.ndarray:
+        """Rows within ``radius`` of one point."""
+        found = [b for _, b in self.links(np.asarray([point], np.uint64))]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def lowest(label: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Labels of nodes after links (rows, cols) have joined them: the smallest that is reachable."""
+    label = label.copy()
+    while True:
+        a, b = label[rows], label[cols]
+        if (a == b).all():
             return label
-        while True:
-            low = label.copy()
-            np.minimum.at(low, rows, label[cols])
-            np.minimum.at(low, cols, label[rows])
-            low = low[low]
-            if (low == label).all():
-                return label
-            label = low
-    tree, seen = VantageTree(indexed), np.zeros(n, bool)
-    for first in range(n):
-        if seen[first]:
-            continue
-        seen[first], front = True, [first]
-        while front:
-            near = tree.near(indexed[front.pop()], radius)
-            new = near[~seen[near]]
-            seen[new] = True
-            label[new] = first
-            front.extend(new.tolist())
-    for i, point in enumerate(asking):
-        if len(near := tree.near(point, radius)):
-            roots = np.unique(label[near])
-            low = roots[0]
-            label[n + i] = low
-            for root in roots[1:]:
-                label[label == root] = low
-    return label
-
-
-def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Stars of each shard; rows come sorted by shard, so a shard is a run of rows that batches may cut."""
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def solve(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
-        fp, rep, asks = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.lexsort((rep, asks))
-        fp, rep, n = fp[order].view(np.uint64), rep[order], int((~asks).sum())
-        if n == 0 or len(fp) < 2:
-            return rep[:0], rep[:0]
-        label = linked(fp[:n], fp[n:], radius)
-        low = np.full(len(fp), np.iinfo(np.int64).max)
-        np.minimum.at(low, label, rep)
-        root = low[label]
-        use = rep != root
-        return rep[use], root[use]
-
-    def emit(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in range(2)], names=["u", "v"])
-
-    last = None
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def linked(tree: VantageTree) -> np.ndarray:
+    """For each of a tree's points the smallest row that is connected with it through links; few links are held at a time."""
+    label, held, n = np.arange(len(tree.points)), [], 0
+    for rows, cols in tree.links(tree.points):
+        use = rows > cols
+        held.append((rows[use], cols[use]))
+        n += int(use.sum())
+        if n > LINKS:
+            label, held, n = lowest(label, *map(np.concatenate, zip(*held, strict=True))), [], 0
+    return lowest(label, *map(np.concatenate, zip(*held, strict=True))) if n else label
+
+
+def shard_rows(batches: Iterator[pa.RecordBatch], trees: list[VantageTree]) -> Iterator[pa.RecordBatch]:
+    """For each fingerprint and view: the shard in which it is indexed, and (``asks``) those others that it asks."""
+    for batch in batches:
+        fp, views, shards, homes, whos = batch.column("fp").to_numpy().view(np.uint64), [], [], [], []
+        for view, tree in enumerate(trees):
+            for at, who, home in tree.leaves(fp):
+                views.append(np.full(len(who), view, np.int32)), shards.append(np.full(len(who), at, np.int32))
+                homes.append(home), whos.append(who)
+        if whos:
+            view, shard, home, who = map(np.concatenate, (views, shards, homes, whos))
+            rep = batch.column("rep").take(pa.array(who))
+            yield pa.RecordBatch.from_arrays([pa.array(view), pa.array(shard), pa.array(~home), pa.array(fp[who].view(np.int64)), rep], names=["view", "shard", "asks", "fp", "rep"])
+
+
+def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, pruned=None) -> Iterator[pa.RecordBatch]:
+    """Stars of each shard. Rows come sorted by shard with those indexed first, so that only these are held: askers pass by."""
+    key, indexed, tree, root = None, [], None, None
+
+    def emit(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    def grow() -> Iterator[pa.RecordBatch]:
+        """The tree of the points held, the smallest id of each one's component, and the components as stars."""
+        nonlocal tree, root
+        fp, rep = (np.concatenate([p[i] for p in indexed]) for i in range(2))
+        order = np.argsort(rep, kind="stable")
+        fp, rep = fp[order].view(np.uint64), rep[order]
+        tree = VantageTree(fp, HALVES[key[0]], radius // 2, radius)
+        root = rep[linked(tree)]  # rows are in the order of ids
+        use = root != rep
+        if use.any():
+            yield emit(rep[use], root[use])
+
+    def count() -> None:
+        if tree is not None and pruned is not None:
+            pruned.add(tree.pruned), pruned.add(tree.asked * 1j)
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        shard = np.stack([batch.column(i).to_numpy() for i in range(3)])
-        columns = [batch.column("fp").to_numpy(), batch.column("rep").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)]
-        cuts = np.flatnonzero((shard[:, 1:] != shard[:, :-1]).any(axis=0)) + 1
-        found = []
+        view, shard, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("view", "shard", "asks"))
+        fp, rep = batch.column("fp").to_numpy(), batch.column("rep").to_numpy()
+        cuts = np.flatnonzero((np.diff(view) != 0) | (np.diff(shard) != 0) | (np.diff(asks.view(np.int8)) != 0)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            key = tuple(shard[:, a].tolist())
-            if held and key != last:
-                found.append(solve(held))
-                held = []
-            last = key
-            held.append(tuple(c[a:b] for c in columns))
-        if found:
-            yield emit(found)
-    if held:
-        yield emit([solve(held)])
-
-
-def _distance(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)).cast("int")
-
-
-def links(nodes: DataFrame, kept: Stored, radius: int = RADIUS, blocks: int | None = None, shard_limit: int = SHARD_LIMIT, shell: int = SHELL, cuts: int = CUTS) -> DataFrame:
-    """Stars (u > v) that connect all ``nodes`` (fp, rep: its smallest id) within ``radius``; fp is unique."""
-    masks = block_masks(blocks or enough_blocks(nodes.count(), radius), radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    shard = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("a"), F.col("fp").bitwiseAND(F.lit(m)).alias("b")) for i, m in enumerate(signed))))
-    todo = nodes.select("fp", "rep", shard.alias("s")).select(F.col("s.a").alias("a"), F.col("s.b").alias("b"), F.lit(0).cast("long").alias("c"), "fp", "rep", F.lit(False).alias("asks"))
-    done = []
-    for _ in range(cuts):
-        # Shards that are too large, each with a vantage point of its own; few, as a shard of random bits has SHARD_MEAN rows.
-        large = todo.groupBy("a", "b", "c").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("vantage")).where(F.col("n") > shard_limit).drop("n")
-        large = kept.write(large, "large-shards")
-        if not large.count():
-            break
-        done.append(todo.join(large, ["a", "b", "c"], "left_anti"))
-        split = todo.join(large, ["a", "b", "c"]).withColumn("d", _distance(F.col("fp"), F.col("vantage")))
-        home = F.floor(F.col("d") / shell)
-        reach = F.sequence(F.floor(F.greatest(F.col("d") - radius, F.lit(0)) / shell), F.floor((F.col("d") + radius) / shell))
-        # An asking row stays one; an indexed row is indexed at home and asks its neighbours.
-        shells = split.withColumn("to", F.explode(reach)).withColumn("asks", F.col("asks") | (F.col("to") != home))
-        todo = kept.write(shells.select("a", "b", F.xxhash64("c", "vantage", "to").alias("c"), "fp", "rep", "asks"), "shells")
-    for part in done:
-        todo = todo.unionByName(part)
-    spread = todo.repartition("a", "b", "c").sortWithinPartitions("a", "b", "c")
-    stars = spread.mapInArrow(partial(_shard_links, radius=radius), "u bigint, v bigint")
+            if a == b:
+                continue
+            if (view[a], shard[a]) != key:
+                if indexed and tree is None:
+                    yield from grow()
+                count()
+                key, indexed, tree, root = (view[a], shard[a]), [], None, None
+            if not asks[a]:
+                indexed.append((fp[a:b], rep[a:b]))
+            elif indexed:
+                if tree is None:
+                    yield from grow()
+                for i, j in tree.links(fp[a:b].view(np.uint64)):
+                    pairs = np.unique(np.stack([rep[a:b][i], root[j]]), axis=1)
+                    pairs = pairs[:, pairs[0] != pairs[1]]
+                    if pairs.size:
+                        yield emit(*pairs)
+    if indexed and tree is None:
+        yield from grow()
+    count()
+
+
+def upper_trees(sample: np.ndarray, shards: int, radius: int = RADIUS) -> list[VantageTree]:
+    """A tree for each half, grown from a sample until a leaf stands for one of about ``shards`` shards. The points are left out."""
+    out = []
+    for half in HALVES:
+        tree = VantageTree(sample, half, radius // 2, radius, max(1, len(sample) // max(shards, 1)))
+        tree.nodes = [node if node[0] is not None else [None, None] for node in tree.nodes]
+        tree.points = sample[:0]
+        out.append(tree)
+    return out
+
+
+def links(nodes: DataFrame, kept: Stored, radius: int = RADIUS, shard: int = SHARD, pruned=None) -> DataFrame:
+    """Stars (u > v) that connect all ``nodes`` (fp, rep: its smallest id) within ``radius``; fp is unique.
+
+    ``pruned``: an accumulator of complex numbers: steps that triangle bounds saved, and (imaginary) all steps.
+    """
+    n = nodes.count()
+    shards = min(SHARDS, -(-n // shard))
+    few = min(1.0, shards * SHARD_SAMPLE / max(n, 1))
+    picked = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(few * (1 << 30))) if few < 1 else nodes  # vantage points only
+    sample = np.sort(picked.select("fp").toArrow().column("fp").to_numpy()).view(np.uint64)
+    trees = upper_trees(sample, shards, radius)
+    dealt = nodes.mapInArrow(partial(shard_rows, trees=trees), "view int, shard int, asks boolean, fp bigint, rep bigint")
+    spread = dealt.repartition("view", "shard").sortWithinPartitions("view", "shard", "asks")
+    stars = spread.mapInArrow(partial(_shard_links, radius=radius, pruned=pruned), "u bigint, v bigint")
     return kept.write(stars.distinct(), "links")
 
 
@@ -246,17 +283,19 @@ def components(edges: DataFrame, kept: Stored) -> DataFrame:
         edges, state = new, now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int | None = None, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD, pruned=None) -> DataFrame:
     """``id_col``, fingerprint (16 hex digits) and component_id (the smallest id linked with it, directly or not) of each row.
 
-    Ids must be whole numbers. Null, empty and blank texts have fingerprint zero, which links like any other. Repeated rows give
+    Ids must be whole numbers (a TypeError else). Null, empty and blank texts have fingerprint zero, which links like any other. Repeated rows give
     repeated rows. A row with a null id takes its fingerprint's component, or null if only such rows have it. An empty table
     gives no rows; other columns aren't read.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} is no column of whole numbers")
     kept = Stored(docs.sparkSession, "simhash")
     prints = kept.write(fingerprints(docs, id_col, text_col, shingle), "prints")
     nodes = kept.write(prints.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").cast("long").alias("rep")), "nodes")
-    stars = components(links(nodes, kept, radius, blocks, shard_limit), kept)
+    stars = components(links(nodes, kept, radius, shard, pruned), kept)
     roots = nodes.join(stars, nodes.rep == stars.u, "left").select("fp", F.coalesce("v", "rep").alias("component_id"))
     out = prints.join(roots, "fp", "left")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -447,40 +447,62 @@ def test_simhash_equals_brute_force(spark, docs, rows, none):
     assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == set(want.values())
 
 
-@pytest.mark.parametrize("blocks, limit", [(4, 20_000), (4, 12), (5, 20_000), (6, 8)])
-def test_links_of_clustered_fingerprints(spark, blocks, limit):
+@pytest.mark.parametrize("shard", [20_000, 40, 7, 1])
+def test_links_of_clustered_fingerprints(spark, shard):
     from calltide.llm.common import Stored
 
-    rng = random.Random(blocks * 100 + limit)
+    rng = random.Random(shard)
     prints = set()
     for _ in range(25):
         centre = rng.getrandbits(64)
         for _ in range(rng.randrange(1, 30)):
             prints.add(centre ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(5))}))
+    half = rng.getrandbits(32) << 32  # many that agree on a half
+    prints |= {half | rng.getrandbits(32) for _ in range(60)} | {half ^ (1 << rng.randrange(64)) for _ in range(60)}
     prints = dict(enumerate(sorted(prints, key=lambda p: rng.random())))
     signed = [(p - (1 << 64) if p >> 63 else p, i) for i, p in prints.items()]
     kept = Stored(spark, "test")
-    stars = simhash.components(simhash.links(kept.write(spark.createDataFrame(signed, "fp bigint, rep bigint"), "nodes"), kept, blocks=blocks, shard_limit=limit), kept)
+    stars = simhash.components(simhash.links(kept.write(spark.createDataFrame(signed, "fp bigint, rep bigint"), "nodes"), kept, shard=shard), kept)
     got = {i: i for i in prints} | {r["u"]: r["v"] for r in stars.collect()}
     assert got == brute_components(prints)
 
 
+def test_shards_index_each_fingerprint_once_and_triangle_bounds_prune(spark):
+    rng = np.random.default_rng(3)
+    prints = np.unique(rng.integers(0, 2**64, 30_000, dtype=np.uint64))
+    trees = simhash.upper_trees(prints[::7], 16)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(np.arange(len(prints)))], names=["fp", "rep"])
+    dealt = pa.Table.from_batches(simhash.shard_rows(iter([batch]), trees)).to_pandas()
+    homes = dealt[~dealt["asks"]]
+    assert len(homes) == 2 * len(prints) and homes.groupby(["view", "rep"]).size().max() == 1
+    assert homes.groupby(["view", "shard"]).size().max() < 6 * len(prints) / 16 and len(homes.groupby(["view", "shard"])) >= 24
+    assert 0 < dealt["asks"].sum() < 5 * len(prints)  # those near a boundary ask beyond it
+    pruned = spark.sparkContext.accumulator(0j)
+    docs = spark.createDataFrame([(i, " ".join(random.Random(i).choices(WORDS, k=30))) for i in range(3000)], "doc_id bigint, text string")
+    simhash.near_duplicates(docs, shard=200, pruned=pruned).count()
+    assert pruned.value.real > 0.25 * pruned.value.imag > 10_000
+
+
 def test_vantage_tree_equals_a_scan():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
-    points = np.unique(base[rng.integers(0, 40, 3000)] ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)))
+    points = np.unique(np.concatenate([base, base ^ np.uint64(7), base ^ np.uint64(1 << 40), rng.integers(0, 2**64, 2000, dtype=np.uint64)]))
     tree = simhash.VantageTree(points, leaf=16)
-    for p in points[:200]:
-        assert sorted(tree.near(p, 3)) == np.flatnonzero(np.bitwise_count(points ^ p) <= 3).tolist()
-
-
-def test_block_masks_meet_every_close_pair():
-    rng = random.Random(0)
-    for blocks in (4, 5, 6, 7):
-        masks = simhash.block_masks(blocks)
-        for _ in range(200):
-            change = sum({1 << rng.randrange(64) for _ in range(3)})
-            assert any(not change & m for m in masks)
+    for p in [*points[::37], *base]:
+        assert set(tree.near(p).tolist()) == set(np.flatnonzero(np.bitwise_count(points ^ p) <= 3).tolist())
+    half = simhash.VantageTree(points, simhash.HALVES[0], 1, 3, leaf=16)
+    for p in base:  # a view finds all whose low halves differ in at most one bit
+        d = np.bitwise_count(points ^ p)
+        want = set(np.flatnonzero((d <= 3) & (np.bitwise_count((points ^ p) & simhash.HALVES[0]) <= 1)).tolist())
+        assert want <= set(half.near(p).tolist()) <= set(np.flatnonzero(d <= 3).tolist())
+    assert half.pruned > tree.pruned * half.asked / tree.asked / 2 > 0
+
+
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        simhash.near_duplicates(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
 
 
 # -- substring and line dedup
