@@ -20,17 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset, a temporary one, but for a local master alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="calltide-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _OWN.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="calltide-"))
 
 
 class Stored:
-    """Tables written to the shared folder to cut lineage; ``drop`` removes those that nothing reads any more.
+    """Tables written to the shared folder to cut lineage; ``drop`` removes those that nothing reads any more, ``close`` all.
+
+    Results are lazy and may still read what is left, in ``root``; close once they have been written.
 
     A lost executor costs a re-read of files that all executors share, never a recomputation from the source.
     """
@@ -53,6 +60,9 @@ class Stored:
         for t in tables:
             self.remove(t._stored_at)
 
+    def close(self) -> None:
+        self.remove(self.root)
+
     def remove(self, at: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

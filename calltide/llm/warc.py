@@ -13,13 +13,13 @@ import hashlib
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringEndsWith, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringEndsWith, StringStartsWith, WriterCommitMessage
 
 from calltide.llm.common import Stored
 
@@ -28,7 +28,7 @@ SCHEMA = "record_id string, warc_type string, target_uri string, warc_date strin
 HEADERS = {"record_id": "warc-record-id", "warc_type": "warc-type", "target_uri": "warc-target-uri", "warc_date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 LENGTH_HEADER = "WARC-X-Payload-Length"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-HEAD_LIMIT, CHUNK = 1 << 20, 1 << 20
+CHUNK = 1 << 20
 
 
 def open_fs(path: str):
@@ -63,6 +63,18 @@ def parse_headers(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:] if line)}
 
 
+def headers_of(more: Callable[[], bytes]) -> tuple[bytes, int]:
+    """Bytes up to the blank line that ends the headers at least, however long they are, and where it ends."""
+    data, cut, looked = bytearray(), -1, 0
+    while cut < 0 and (got := more()):
+        data += got
+        cut = data.find(b"\r\n\r\n", looked)
+        looked = max(0, len(data) - 3)
+    if cut < 0 and data.strip():
+        raise ValueError(f"a record's headers have no end: {bytes(data[:60])!r}")
+    return bytes(data), cut + 4
+
+
 class Records:
     """Iterates over (headers, get_block): ``get_block()`` decodes the record's block; if it isn't called, the block is passed over."""
 
@@ -79,12 +91,9 @@ class Records:
         at = 0
         while at < self.length:
             self.stream.seek(at)
-            head = b""
-            while b"\r\n\r\n" not in head and len(head) < HEAD_LIMIT and (more := self.stream.read(4096)):
-                head += more
+            head, cut = headers_of(lambda: self.stream.read(4096))
             if not head.strip():
                 return
-            cut = head.index(b"\r\n\r\n") + 4
             headers = parse_headers(head[: cut - 4])
             size, begin = int(headers.get("content-length", 0)), at + cut
             taken = []
@@ -110,10 +119,15 @@ class Records:
             if raw[3] & 4 and raw[12:14] == b"sl":
                 size = int.from_bytes(raw[16:20], "little") or None
             inflate = zlib.decompressobj(31)
-            data = inflate.decompress(raw)
-            while b"\r\n\r\n" not in data and not inflate.eof and len(data) < HEAD_LIMIT and (more := self.stream.read(16384)):
-                data += inflate.decompress(more)
-            cut = data.index(b"\r\n\r\n") + 4
+            first = [raw]
+
+            def inflated(inflate=inflate, first=first):
+                while not inflate.eof and (more := first.pop() if first else self.stream.read(16384)):
+                    if got := inflate.decompress(more):
+                        return got
+                return b""
+
+            data, cut = headers_of(inflated)
             headers = parse_headers(data[: cut - 4])
             rest, length = [data[cut:]], int(headers.get("content-length", 0))
 
@@ -160,7 +174,9 @@ class WarcReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             column = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
-            if column in HEADERS and isinstance(f, EqualTo | In | StringStartsWith | StringEndsWith):
+            if column in HEADERS and isinstance(f, IsNotNull):
+                self.tests.append((column, "IsNotNull", None))
+            elif column in HEADERS and isinstance(f, EqualTo | In | StringStartsWith | StringEndsWith):
                 self.tests.append((column, type(f).__name__, list(f.value) if isinstance(f, In) else f.value))
             else:
                 yield f
@@ -184,7 +200,7 @@ class WarcReader(DataSourceReader):
     def wanted(self, headers: dict[str, str]) -> bool:
         for column, kind, value in self.tests:
             has = field(headers, column)
-            if has is None or not (has == value if kind == "EqualTo" else has in value if kind == "In" else has.startswith(value) if kind == "StringStartsWith" else has.endswith(value)):
+            if has is None or kind != "IsNotNull" and not (has == value if kind == "EqualTo" else has in value if kind == "In" else has.startswith(value) if kind == "StringStartsWith" else has.endswith(value)):
                 return False
         return True
 
@@ -321,7 +337,8 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     kept = kept or Stored(spark, "warc")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("target_uri"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     digests = kept.write(rows.where("id IS NOT NULL").select("id", F.unhex(F.sha1("html")).alias("sha"), F.octet_length("html").alias("n")).where(F.col("n") >= min_revisit_bytes), "digests")
-    first = digests.groupBy("sha", "n").agg(F.min("id").alias("first"), F.count("*").alias("many")).where("many > 1")
+    first = digests.groupBy("sha", "n").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    first = kept.write(first, "first")  # a table of its own, so that a payload of very many pages doesn't meet in one task of the join
     revisits = kept.write(digests.join(first, ["sha", "n"]).where("id > first").select("id", "first").distinct(), "revisits")
     out = rows.join(revisits, "id", "left").select(F.col("id").cast("string").alias("record_id"), "target_uri", F.encode("html", "UTF-8").alias("payload"), F.col("first").cast("string").alias("refers_to"))
     out.write.format("calltide_warc").option("path", path).mode("append").save()
@@ -330,14 +347,16 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
     """Writes ``pages`` to the shared folder and reads the archives back: ``id_col``, payload_bytes, payload_digest, record_type, refers_to.
 
-    A response's length and digest come from the payload read; a revisit's from its headers.
+    Responses and revisits are two reads, each with its record type pushed down to the headers: payloads are inflated for
+    responses alone, whose length and digest come from them; a revisit's come from its headers.
     """
     kept = Stored(pages.sparkSession, "warc")
     at = kept.path("archives")
     write_pages(pages, at, id_col, url_col, html_col, min_revisit_bytes, kept)
     kind = pages.select(id_col).dtypes[0][1]
-    back = read_warc(pages.sparkSession, at, "digest")
-    return back.select(
+    responses = read_warc(pages.sparkSession, at, "digest").where("warc_type = 'response'").drop("payload_digest").withColumnRenamed("read_digest", "payload_digest")
+    revisits = read_warc(pages.sparkSession, at, "skip").where("warc_type = 'revisit'").drop("read_digest")
+    return responses.unionByName(revisits).select(
         F.when(F.col("record_id") != "None", F.col("record_id")).cast(kind).alias(id_col), F.col("payload_length").alias("payload_bytes"),
-        F.coalesce("read_digest", "payload_digest").alias("payload_digest"), F.col("warc_type").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"),
+        "payload_digest", F.col("warc_type").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"),
     )

@@ -622,6 +622,30 @@ def test_filters_and_payloads_are_skipped(spark, pages, tmp_path):
     assert skipped > 0
 
 
+def test_round_trip_pushes_record_types_down(spark, pages):
+    """Nothing is left to filter after either read, and each read passes over the other kind of record."""
+    back = warc.archive_round_trip(pages[1])
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan calltide_warc") == 2 and "Filter" not in plan
+    for kind, n in (("response", 5), ("revisit", 3)):
+        assert back.where(f"record_type = '{kind}'").count() == n
+
+
+def test_headers_of_any_length_and_null_ids(spark, tmp_path):
+    import gzip
+
+    url = "http://h/" + "q" * 3_000_000
+    record = warc.record_bytes([("WARC-Type", "response"), ("WARC-Target-URI", url)], b"body")
+    for data in (record * 2, gzip.compress(record) * 2, warc.gzip_member(record) * 2):
+        got = [(h["warc-target-uri"], f()) for h, f in warc.Records(io.BytesIO(data), len(data))]
+        assert got == [(url, b"body")] * 2
+    with pytest.raises(ValueError):
+        list(warc.Records(io.BytesIO(b"WARC/1.1\r\nno end"), 16))
+    table = spark.createDataFrame([(None, url, "a"), (None, None, "a"), (3, url, "a"), (4, None, "a")], "page_id bigint, url string, html string")
+    got = sorted(((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(table).collect()), key=str)
+    assert got == [(0, "response", None), (0, "response", None), (3, "response", None), (4, "revisit", 3)]
+
+
 def test_plain_and_foreign_archives():
     records = [warc.record_bytes([("WARC-Type", "resource"), ("WARC-Record-ID", f"<urn:record:{i}>")], b"body\r\n\r\n" * i) for i in range(5)]
     import gzip
