@@ -1,14 +1,19 @@
 """Substring deduplication by level-wise doubling of repeated windows.
 
-Level 1 looks at windows of half the length. A window of 2n words can repeat only where the windows of n words inside it do, so
-only such places are extended to twice that length and counted again. Level 1 needn't count every short window either: each
-long window picks the short one inside it with the smallest mixed hash, which is the same in every copy. Picked ones are about
-one in thirteen words. The first document of each short window is known, too: a long window can start in a smaller document
-only if the short one it picks does, and only such windows are looked up again. A text that is another's copy as a whole is
-settled at level 1.
-
-Rows that travel: the picked short windows' hashes once, the candidates' hashes once or twice, and the texts of documents that
-have candidates.
+Levels are window lengths, each twice the one before (or one word more): 12, 25 and 50 for windows of 50 words. A window of 2n
+words can repeat only where the windows of n words inside it do, so only windows that repeat at a level (*survivors*) are
+extended to the next; the levels end when none survive.
+
+* Level 1 needn't count every short window: each whole window picks the short one inside it with the smallest mixed hash, which
+  is the same in every copy of it; about one in twenty words is picked. The picked window is extended forward where its whole
+  window goes on that far, else backward, which is the same in every copy, too.
+* Each level counts its candidates, finds the first document of each that repeats, and gives these to the next level: a whole
+  window can start in a smaller document only if what it has picked does, so only such windows are looked up in the end.
+* Texts that are copies of a smaller document's as a whole are settled before level 1.
+
+Texts are read once for the hashes of all picked places (a level's hash is made of two of the level before), and again at the last
+level, for documents with survivors alone. What travels is the picked places' hashes, level by level the survivors, and the
+texts of documents that have some left.
 """
 
 from __future__ import annotations
@@ -25,8 +30,8 @@ from pyspark.sql import functions as F
 from calltide.llm.common import Stored
 
 WINDOW = 50
-#: Repeated short windows up to which their hashes are broadcast (8 bytes each); beyond that documents are joined with them.
-MAX_BROADCAST = 2_000_000
+#: Words of a window at the first level, at least.
+SHORTEST = 12
 BASE, BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Words of one document that are hashed at a time; blocks overlap by a window.
 BLOCK = 1 << 20
@@ -62,102 +67,100 @@ def window_hashes(h: np.ndarray, length: int, base: np.uint64 = BASE) -> np.ndar
 
 
 def picked(h: np.ndarray, inside: int) -> np.ndarray:
-    """For each ``inside`` consecutive windows the place of the smallest, leftmost first."""
-    out = []
+    """For each ``inside`` consecutive windows the place of the smallest (by its upper 43 bits), leftmost first.
+
+    The lower bits of a hash give way to its place. The minimum over a stretch is that of the end of one block of ``inside``
+    places and of the start of the next, so two running minima do for all stretches.
+    """
+    out, low = [], np.uint64((1 << 21) - 1)
     for at in range(0, len(h) - inside + 1, BLOCK):
-        views = np.lib.stride_tricks.sliding_window_view(h[at : at + BLOCK + inside - 1], inside)
-        low = views[:, 0].copy()
-        place = np.zeros(len(low), np.int64)
-        for j in range(1, inside):
-            smaller = views[:, j] < low
-            place[smaller] = j
-            np.minimum(low, views[:, j], out=low)
-        out.append(place + np.arange(at, at + len(low)))
+        part = h[at : at + BLOCK + inside - 1]
+        key = np.full(-(-len(part) // inside) * inside, np.iinfo(np.uint64).max, np.uint64)
+        key[: len(part)] = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        blocks, n = key.reshape(-1, inside), len(part) - inside + 1
+        start = np.minimum.accumulate(blocks, axis=1).ravel()
+        end = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        out.append((np.minimum(end[:n], start[inside - 1 : inside - 1 + n]) & low).astype(np.int64) + at)
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def short_windows(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words' hashes, the hashes of the picked windows of half the length, and which of these each whole window has picked."""
-    h = word_hashes(words)
-    if len(words) < window:
-        return h, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    short = window_hashes(h, window // 2)
-    at, which = np.unique(picked(short, window - window // 2 + 1), return_inverse=True)
-    return h, short[at], which
-
-
-def _level_one(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, hashes = batch.column("id"), []
-        for text in batch.column("text").to_pylist():
-            h, short, _ = short_windows(text.encode().split(), window)
-            hashes.append(np.unique(np.append(short, whole_hash(h))) if len(short) else short)
-        row = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
-        flat = np.concatenate([*hashes, np.zeros(0, np.uint64)]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(flat)], names=["id", "h"])
-
-
-def whole_hash(h: np.ndarray) -> np.ndarray:
-    """A hash of a whole text's words."""
-    return mix(window_hashes(h, len(h), BASE2) + np.uint64(len(h)))
+def levels(window: int, shortest: int = SHORTEST) -> list[int]:
+    """The lengths of windows, each half of the next (rounded down), from ``shortest`` words or more up to ``window``."""
+    out = [window]
+    while out[0] // 2 >= shortest:
+        out.insert(0, out[0] // 2)
+    return out
 
 
-class Firsts:
-    """Repeated short windows and the smallest document that holds each."""
+def picks(h: np.ndarray, window: int, short: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each whole window of a text (``h``: its words' hashes) the place of the short window that it has picked, and how many
+    words of the whole window follow that place."""
+    inside = window - short + 1
+    at = picked(window_hashes(h, short), inside)
+    return at, np.arange(len(at)) + window - at
 
-    def __init__(self, hashes: np.ndarray, first: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.first = hashes[order], first[order]
 
-    def of(self, x: np.ndarray, otherwise: int) -> np.ndarray:
-        """The first documents of some hashes; ``otherwise`` for those that aren't repeated."""
-        if not len(self.hashes):
-            return np.full(len(x), otherwise, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == x, self.first[at], otherwise)
+def extended(at: np.ndarray, follow: np.ndarray, short: int, length: int) -> np.ndarray:
+    """Where the window of ``length`` words starts that the one picked at ``at`` is extended to: there, or as to end where it ends."""
+    return np.where(follow >= length, at, at + short - length)
 
 
-NEVER = np.iinfo(np.int64).max
+def whole_hashes(h: np.ndarray) -> tuple[int, int]:
+    """128 bits over a whole text's words."""
+    n = len(h)
+    one = mix(window_hashes(h, n, BASE2) + np.uint64(n)) if n else np.zeros(1, np.uint64)
+    two = window_hashes(h, n) if n else one
+    return int(one.view(np.int64)[0]), int(two.view(np.int64)[0])
 
 
-def candidates(words: list[bytes], doc: int, window: int, firsts: Firsts):
-    """None if the text is a copy of a smaller document's; else places, two hashes and whether to look up each candidate."""
-    none = np.zeros(0, np.int64)
+def places_of(words: list[bytes], window: int, lengths: list[int]) -> tuple[list[np.ndarray], tuple[int, int]]:
+    """For each distinct extended place of a text, its start and hash at each level below the last; and the text's whole hash."""
+    h = word_hashes(words)
     if len(words) < window:
-        return none, none, none, np.zeros(0, bool)
-    h, short, which = short_windows(words, window)
-    first = firsts.of(short, NEVER)
-    if (first < doc).all() and firsts.of(whole_hash(h), NEVER)[0] < doc:
-        return None
-    first = first[which]
-    places = np.flatnonzero(first < NEVER)
-    h1, h2 = window_hashes(h, window)[places], window_hashes(h, window, BASE2)[places] >> np.uint64(33)
-    return places, h1.view(np.int64), h2.astype(np.int32), first[places] < doc
-
-
-_ROWS = "n_words bigint, copy boolean, kept string, text string, at array<int>, h1 array<bigint>, h2 array<int>, look array<boolean>"
+        return [np.zeros(0, np.int64)] * (2 * len(lengths) - 2), whole_hashes(h)
+    at, follow = picks(h, window, lengths[0])
+    key = at * (1 << len(lengths)) + sum((follow >= n).astype(np.int64) << k for k, n in enumerate(lengths[:-1]))  # what decides how it's extended
+    use = np.unique(key, return_index=True)[1]
+    starts = [extended(at[use], follow[use], lengths[0], n) for n in lengths[:-1]]
+    return [x for n, start in zip(lengths, starts, strict=False) for x in (start, window_hashes(h, n)[start].view(np.int64))], whole_hashes(h)
 
 
-def _level_two(batches: Iterator[pa.RecordBatch], window: int, digest: bool, shared=None) -> Iterator[pa.RecordBatch]:
-    """A row for each text: settled ones (copies, and texts without candidates) with what is kept, others with their candidates."""
-    known = None if shared is None else shared.value
-    kinds = [pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
+def _scan(batches: Iterator[pa.RecordBatch], window: int, lengths: list[int], digest: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each text: words, what is kept of it if nothing goes, its hash, and its places level by level."""
     for batch in batches:
-        marks = batch.column("marks").to_pylist() if known is None else None
-        rows = []
-        for i, (doc, text) in enumerate(zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
-            of = known
-            if known is None:
-                own = marks[i] or []
-                of = Firsts(np.asarray([m["h"] for m in own], np.int64).view(np.uint64), np.asarray([m["a"] for m in own], np.int64))
+        found, n, kept, whole = [], [], [], []
+        for text in batch.column("text").to_pylist():
             words = text.encode().split()
-            found = candidates(words, doc, window, of) if doc is not None else (np.zeros(0),) * 4
-            copy = found is None
-            if copy or not found[3].any() and not len(found[0]):
-                rows.append((len(words), copy, keep([] if copy else words, digest), None, None, None, None, None))
-            else:
-                rows.append((len(words), False, None, text, *found))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=["id", *(part.split()[0] for part in _ROWS.split(", "))])
+            places, w = places_of(words, window, lengths)
+            found.append(places), n.append(len(words)), kept.append(keep(words, digest)), whole.append(w)
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(p[0]) for p in found])]).astype(np.int32))
+        columns = []
+        for k in range(len(lengths) - 1):
+            start, h = (np.concatenate([p[2 * k + i] for p in found] or [np.zeros(0, np.int64)]) for i in range(2))
+            columns += [pa.ListArray.from_arrays(offsets, pa.array(start.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(h.astype(np.int64)))]
+        names = [f"{x}{k}" for k in range(len(lengths) - 1) for x in ("at", "h")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("t"), pa.array(n, pa.int64()), pa.array(kept, pa.string()), pa.array([w[0] for w in whole], pa.int64()), pa.array([w[1] for w in whole], pa.int64()), *columns],
+            names=["id", "t", "n_words", "kept", "w1", "w2", *names],
+        )
+
+
+def _last_level(batches: Iterator[pa.RecordBatch], window: int, lengths: list[int]) -> Iterator[pa.RecordBatch]:
+    """The whole windows whose extended place has survived: where they start, two hashes, and whether to look them up."""
+    for batch in batches:
+        rows = []
+        for doc, text, marks in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+            h = word_hashes(text.encode().split())
+            at, follow = picks(h, window, lengths[0])
+            place = extended(at, follow, lengths[0], lengths[-2])
+            order = np.argsort(np.asarray([m["at"] for m in marks], np.int64), kind="stable")
+            known, first = (np.asarray([m[k] for m in marks], np.int64)[order] for k in ("at", "first"))
+            where = np.minimum(np.searchsorted(known, place), len(known) - 1)
+            use = np.flatnonzero(known[where] == place)
+            h1, h2 = window_hashes(h, window)[use], window_hashes(h, window, BASE2)[use] >> np.uint64(33)
+            rows.append((use, h1.view(np.int64), h2.astype(np.int32), first[where[use]] < doc))
+        kinds = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=["id", "t", "at", "h1", "h2", "look"])
 
 
 def keep(words: list[bytes], digest: bool) -> str:
@@ -177,45 +180,60 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, digest: bool) -> Iterat
         out = []
         for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
             words = text.encode().split()
-            left = words
-            if starts:
-                gone = covered(np.asarray(starts, np.int64), window, len(words))
-                left = [words[i] for i in np.flatnonzero(~gone)]
+            gone = covered(np.asarray(starts, np.int64), window, len(words))
+            left = [words[i] for i in np.flatnonzero(~gone)]
             out.append((len(words) - len(left), keep(left, digest)))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_words"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], names=["id", "n_words", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], names=["id", "t", "n_removed", "left"])
+
+
+def firsts(windows: DataFrame, *key: str) -> DataFrame:
+    """Of windows that stand in several documents the first of these. Few rows in all: a window once, whatever its copies."""
+    return windows.groupBy(*key).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, max_broadcast: int = MAX_BROADCAST, digest: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shortest: int = SHORTEST, digest: bool = False, seen: dict[int, int] | None = None) -> DataFrame:
     """``id_col``, n_words, n_removed and kept (the kept words, joined by one space), or kept_sha256 with ``digest``.
 
     Words are runs of anything but U+0020 and U+0009 to U+000D, unchanged. Each word that a window of ``window`` words covers
     goes if the window's words also start somewhere in a document with a smaller id; windows are judged on the texts as given.
     Ids are whole numbers. Null texts are empty. Rows of one id are one document; a row with a null id is no document: it keeps
-    all its words and removes none of others. Other columns aren't read.
+    all its words and removes none of others. Other columns aren't read. ``window`` is at least twice ``shortest``. ``seen``
+    takes, for each level's length, how many places had survived it.
     """
-    spark, kept = docs.sparkSession, Stored(docs.sparkSession, "substring-dedup")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    short = rows.where("id IS NOT NULL").mapInArrow(partial(_level_one, window=window), "id bigint, h bigint")
-    seen = short.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h", "a")
-    seen = kept.write(seen, "repeated")
-    if seen.count() <= max_broadcast:
-        known = seen.toArrow()
-        firsts = Firsts(known.column("h").to_numpy().astype(np.int64, copy=True).view(np.uint64), known.column("a").to_numpy().astype(np.int64, copy=True))
-        level = partial(_level_two, window=window, digest=digest, shared=spark.sparkContext.broadcast(firsts))
-    else:
-        marks = short.join(seen, "h").groupBy("id").agg(F.collect_set(F.struct("h", "a")).alias("marks"))  # no more than a document's words
-        rows, level = rows.join(marks, "id", "left"), partial(_level_two, window=window, digest=digest)
-    both = kept.write(rows.mapInArrow(level, f"id bigint, {_ROWS}"), "level-two")
-
-    windows = both.where("at IS NOT NULL").select("id", F.explode(F.arrays_zip("at", "h1", "h2", "look")).alias("w")).select("id", "w.*")
-    first = windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    first = kept.write(first, "first")  # a table of its own, so that a passage of very many documents doesn't meet in one task of the join
-    again = windows.where("look").select("id", "at", "h1", "h2").join(first, ["h1", "h2"]).where("id > first")
-    starts = again.groupBy("id").agg(F.array_sort(F.collect_set("at")).alias("starts"))
-
-    settled = both.where("at IS NULL").select("id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.lit(0)).cast("bigint").alias("n_removed"), "kept")
-    cut = both.where("at IS NOT NULL").select("id", "n_words", "text").join(starts, "id", "left").select("id", "n_words", "text", "starts")
-    cut = cut.mapInArrow(partial(_cut, window=window, digest=digest), "id bigint, n_words bigint, n_removed bigint, kept string")
-    out = settled.unionByName(cut)
+    lengths, spark, kept = levels(window, shortest), docs.sparkSession, Stored(docs.sparkSession, "substring-dedup")
+    if len(lengths) < 2:
+        raise ValueError(f"a window of {window} words has no level of {shortest} words or more below it")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))  # t tells rows of one id apart
+    lists = "".join(f", at{k} array<int>, h{k} array<bigint>" for k in range(len(lengths) - 1))
+    scan = kept.write(rows.mapInArrow(partial(_scan, window=window, lengths=lengths, digest=digest), f"id bigint, t bigint, n_words bigint, kept string, w1 bigint, w2 bigint{lists}"), "scan")
+
+    long = scan.where(F.col("id").isNotNull() & (F.col("n_words") >= window))
+    whole = kept.write(firsts(long, "w1", "w2"), "whole")  # stored, so that a text of very many copies can be split in the join
+    copies = kept.write(long.select("id", "t", "w1", "w2").join(whole, ["w1", "w2"]).where("id > first").select("id", "t").distinct(), "copies")
+    places = F.explode(F.arrays_zip(*(c for k in range(len(lengths) - 1) for c in (f"at{k}", f"h{k}"))))
+    alive = long.join(copies, ["id", "t"], "left_anti").select("id", "t", places.alias("p")).select("id", "t", "p.*", F.lit(None).cast("bigint").alias("first"))
+    for k, length in enumerate(lengths[:-1]):
+        # One document may hold a window often; rows of a very common one are split in the join, as its first is a stored row.
+        again = kept.write(firsts(alive, f"h{k}"), f"firsts-{length}")
+        alive = kept.write(alive.drop("first").join(again, f"h{k}").drop(f"h{k}"), f"alive-{length}")
+        n = alive.count()
+        if seen is not None:
+            seen[length] = n
+        if not n:
+            break
+    marks = alive.groupBy("id", "t").agg(F.collect_list(F.struct(F.col(f"at{len(lengths) - 2}").alias("at"), "first")).alias("marks"))  # no more than a document's words
+    marks = kept.write(marks, "marks")
+    few = kept.write(marks.select("id", "t"), "documents")  # small enough to be broadcast, it keeps other texts from the shuffle
+    texts = kept.write(rows.where("id IS NOT NULL").join(few, ["id", "t"], "left_semi").join(marks, ["id", "t"]), "texts")
+    found = texts.mapInArrow(partial(_last_level, window=window, lengths=lengths), "id bigint, t bigint, at array<int>, h1 array<bigint>, h2 array<int>, look array<boolean>")
+    windows = kept.write(found.select("id", "t", F.explode(F.arrays_zip("at", "h1", "h2", "look")).alias("w")).select("id", "t", "w.*"), f"windows-{window}")
+    first = kept.write(firsts(windows, "h1", "h2"), f"firsts-{window}")
+    again = windows.where("look").select("id", "t", "at", "h1", "h2").join(first, ["h1", "h2"]).where("id > first")
+    starts = again.groupBy("id", "t").agg(F.array_sort(F.collect_set("at")).alias("starts"))
+    cut = texts.select("id", "t", "text").join(starts, ["id", "t"]).mapInArrow(partial(_cut, window=window, digest=digest), "id bigint, t bigint, n_removed bigint, left string")
+    gone = cut.unionByName(copies.select("id", "t", F.lit(None).cast("bigint").alias("n_removed"), F.lit(keep([], digest)).alias("left")))
+    out = scan.select("id", "t", "n_words", "kept").join(gone.dropDuplicates(["id", "t"]), ["id", "t"], "left")
+    removed = F.when(F.col("left").isNull(), 0).otherwise(F.coalesce("n_removed", "n_words")).cast("bigint")
     kind = docs.select(id_col).dtypes[0][1]
-    return out.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digest else "kept"))
+    return out.select(F.col("id").cast(kind).alias(id_col), "n_words", removed.alias("n_removed"), F.coalesce("left", "kept").alias("kept_sha256" if digest else "kept"))

@@ -521,15 +521,43 @@ def brute_substrings(texts, window):
     return out
 
 
-@pytest.mark.parametrize("window, limit", [(50, 2_000_000), (50, 0), (7, 2_000_000)])
-def test_substrings_equal_brute_force(docs, rows, none, window, limit):
-    got = by_id(substring_dedup.dedup_substrings(docs, window=window, max_broadcast=limit))
+@pytest.mark.parametrize("window, shortest", [(50, 12), (50, 25), (50, 2), (7, 3)])
+def test_substrings_equal_brute_force(docs, rows, none, window, shortest):
+    got = by_id(substring_dedup.dedup_substrings(docs, window=window, shortest=shortest))
     for i, want in brute_substrings(text_of(rows), window).items():
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept"]) == want, i
     assert got[7]["n_removed"] == 60
     assert substring_dedup.dedup_substrings(none, digest=True).count() == 0
 
 
+def test_levels_extend_survivors_until_none_is_left(spark):
+    """Passages of 13, 30 and 55 words repeat: each gets as far as its length goes, and only what is left is extended."""
+    assert substring_dedup.levels(50) == [12, 25, 50] and substring_dedup.levels(7, 3) == [3, 7]
+    rng = random.Random(9)
+    fresh = lambda n: [f"w{rng.getrandbits(60)}" for _ in range(n)]
+    part, texts = {n: fresh(n) for n in (13, 30, 55)}, {}
+    for n, words in part.items():
+        for i in range(300):
+            texts[n * 1000 + i] = " ".join(fresh(60) + (words if i < 2 else []) + fresh(60))
+    count = lambda t: substring_dedup.dedup_substrings(spark.createDataFrame(list(t.items()), "doc_id bigint, text string"), seen=seen)
+    seen: dict = {}
+    got = by_id(count(texts))
+    assert {i: (r["n_words"], r["n_removed"], r["kept"]) for i, r in got.items()} == brute_substrings(texts, 50)
+    assert seen[12] > seen[25] > 0
+    seen = {}
+    assert sum(r["n_removed"] for r in count({i: t for i, t in texts.items() if i < 30_000}).collect()) == 0
+    assert seen[12] >= 0 and seen.get(25, 0) == 0  # 13 words: no survivor is extended past 25
+    with pytest.raises(ValueError):
+        substring_dedup.dedup_substrings(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), window=20)
+
+
+def test_rows_of_one_id_and_null_ids_keep_their_own_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(70)) for x in "ab")
+    rows = [(1, a), (2, a + " tail"), (2, b), (2, b), (3, b), (3, "x " + b), (None, a), (None, None)]
+    got = sorted(((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id int, text string")).collect()))
+    assert got == [(0, 0, 0), (0, 70, 0), (1, 70, 0), (2, 70, 0), (2, 70, 0), (2, 71, 70), (3, 70, 70), (3, 71, 70)]
+
+
 def test_window_hashes_of_any_length():
     h = np.random.default_rng(0).integers(0, 2**63, 200, dtype=np.uint64)
     again = np.concatenate([h[:90], h])
@@ -626,7 +654,7 @@ def test_round_trip_pushes_record_types_down(spark, pages):
     """Nothing is left to filter after either read, and each read passes over the other kind of record."""
     back = warc.archive_round_trip(pages[1])
     plan = back._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("BatchScan calltide_warc") == 2 and "Filter" not in plan
+    assert plan.count("BatchScan calltide_warc") == 2 and "Filter " not in plan
     for kind, n in (("response", 5), ("revisit", 3)):
         assert back.where(f"record_type = '{kind}'").count() == n
 
