@@ -98,8 +98,8 @@ def best_filling(sizes: list[int], left: dict[int, int], room: int, nodes: int =
     return fillings(sizes, left, room, nodes)[0][0]
 
 
-def fillings(sizes: list[int], left: dict[int, int], room: int, nodes: int = NODES, width: int = 1) -> tuple[list[list[int]], int]:
-    """Up to ``width`` undominated fillings, those that waste least first, and how many nodes the search visited.
+def fillings(sizes: list[int], left: dict[int, int], room: int, nodes: int | None = NODES, width: int | None = 1) -> tuple[list[list[int]], int]:
+    """Up to ``width`` undominated fillings (None: all), those that waste least first, and how many nodes the search visited.
 
     Depth-first; a node takes one size some number of times, and its branches take smaller ones. The first path takes the
     largest size that fits as often as it fits, as best fit decreasing does. A filling into which one more document fits is
@@ -123,10 +123,11 @@ def fillings(sizes: list[int], left: dict[int, int], room: int, nodes: int = NOD
         if room < least and not dominated(room):
             best.append((room, chosen[:]))
             best.sort(key=itemgetter(0))
-            del best[width:]
+            if width is not None:
+                del best[width:]
             if len(best) == width:
                 least = best[-1][0]
-        if not least or seen > nodes and best:
+        if not least or nodes is not None and seen > nodes and best:
             return True
         for i in range(min(top, bisect_right(sizes, room) - 1), -1, -1):
             if room - total[i + 1] >= least:
@@ -184,15 +185,20 @@ def fewest(histogram: dict[int, int], capacity: int) -> int:
     return bound
 
 
-def patterns(histogram: dict[int, int], capacity: int, nodes: int = NODES, plan_nodes: int = PLAN_NODES, width: int = WIDTH) -> list[tuple[list[int], int]]:
+def patterns(histogram: dict[int, int], capacity: int, nodes: int | None = NODES, plan_nodes: int | None = PLAN_NODES, width: int | None = WIDTH) -> list[tuple[list[int], int]]:
     """Fillings that use up the histogram, each with how often it is used: never more sequences than best fit decreasing takes.
 
     Branch and bound over whole plans, with best fit decreasing as incumbent. A node takes the largest length left and one of
     ``width`` undominated fillings around it, as often as counts allow. Nodes are visited in the order of how many times they
     depart from the filling that wastes least (limited discrepancy), and a plan is cut when its sequences and the tokens left
-    can't come out under the incumbent. The search ends at a plan that meets the lower bound, or after ``plan_nodes`` nodes
-    beyond the first plan.
+    can't come out under the incumbent. The search ends at a plan that meets the lower bound (:func:`fewest`), which is then the
+    best there is, or after ``plan_nodes`` nodes beyond the first plan.
+
+    With None for ``nodes``, ``plan_nodes`` and ``width`` nothing ends early, all fillings are tried and each is taken once at a
+    time: the plan is the best there is, after a search that may be exponential in the number of documents.
     """
+    exact = nodes is plan_nodes is width is None
+    plan_nodes = 1 << 62 if plan_nodes is None else plan_nodes
     best = best_fit_decreasing(histogram, capacity)
     count, bound = sum(n for _, n in best), fewest(histogram, capacity)
     tokens = sum(s * n for s, n in histogram.items())
@@ -211,20 +217,20 @@ def patterns(histogram: dict[int, int], capacity: int, nodes: int = NODES, plan_
             for s in filling:
                 left[s] -= times
         sizes = sorted(s for s, n in left.items() if n)
-        while sizes and used - (-rest // capacity) < count:
+        while sizes and used + (fewest(left, capacity) if exact else -(-rest // capacity)) < count:
             top = sizes[-1]
             left[top] -= 1
-            found, visited = fillings([s for s in sizes[: bisect_right(sizes, capacity - top)] if left[s]], left, capacity - top, nodes, which + 1)
+            found, visited = fillings([s for s in sizes[: bisect_right(sizes, capacity - top)] if left[s]], left, capacity - top, nodes, None if exact else which + 1)
             left[top] += 1
             seen += 0 if first else visited
             if len(found) <= which:
                 break
             order += 1
-            if which + 1 < width and (first or seen <= plan_nodes):
+            if which + 1 < (len(found) if width is None else width) and (first or seen <= plan_nodes):
                 heappush(queue, (away + 1, depth, order, which + 1, path))
             filling = [top, *found[which]]
             need = {s: filling.count(s) for s in set(filling)}
-            times = min(left[s] // n for s, n in need.items())
+            times = 1 if exact else min(left[s] // n for s, n in need.items())
             used, rest, path, depth, which = used + times, rest - sum(filling) * times, (path, (filling, times)), depth + 1, 0
             for s, n in need.items():
                 left[s] -= n * times
@@ -261,8 +267,9 @@ def slots(plan: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, i
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end: int = END, nodes: int = NODES) -> DataFrame:
-    """A row for each piece: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end: int = END, nodes: int | None = NODES, plan_nodes: int | None = PLAN_NODES, width: int | None = WIDTH) -> DataFrame:
+    """A row for each piece: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset; for ``nodes``, ``plan_nodes`` and
+    ``width`` see :func:`patterns`.
 
     A document is its ids and then ``end``; one longer than ``capacity`` is cut into pieces of that length, of which the first
     may be shorter. A null or empty text is ``end`` alone. Repeated rows (also of one id) are packed each. An empty table gives
@@ -282,9 +289,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
 
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece")) - 1
-    ranked = pieces.withColumn("within", within).join(counts.select("length", "salt", "before"), ["length", "salt"])
+    # Not broadcast, as there are lengths x salts of them; the pieces lie by these keys already.
+    ranked = pieces.withColumn("within", within).join(counts.select("length", "salt", "before").hint("merge"), ["length", "salt"])
     ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", (F.col("within") + F.col("before")).alias("rank"))
-    places = slots(patterns(histogram, capacity, nodes))
+    places = slots(patterns(histogram, capacity, nodes, plan_nodes, width))
     out = ranked.mapInArrow(partial(_place, places=places), f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
     return out.withColumnRenamed("id", id_col)
 

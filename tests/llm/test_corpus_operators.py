@@ -166,6 +166,47 @@ def test_patterns_use_the_histogram_up():
     assert used == histogram
 
 
+def fewest_bins(sizes, capacity):
+    """The least number of bins by trying every place for each document, largest first."""
+    sizes, best = sorted(sizes, reverse=True), len(sizes)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for r in set(rooms):
+            if r >= sizes[i]:
+                at = rooms.index(r)
+                place(i + 1, [*rooms[:at], r - sizes[i], *rooms[at + 1 :]])
+        place(i + 1, [*rooms, capacity - sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_exact_plans_equal_exhaustive_search():
+    """Also a case in which any plan that uses each filling as often as it can is beaten: the search goes across sequences."""
+    rng, gaps = random.Random(11), 0
+    for _ in range(120):
+        capacity = rng.choice([20, 60, 100])
+        sizes = [rng.randrange(capacity // 8, capacity // 2 + 1) for _ in range(rng.randrange(6, 11))]
+        histogram = {s: sizes.count(s) for s in sizes}
+        plan = packing.patterns(histogram, capacity, None, None, None)
+        used = {}
+        for filling, times in plan:
+            assert sum(filling) <= capacity
+            for s in filling:
+                used[s] = used.get(s, 0) + times
+        want = fewest_bins(sizes, capacity)
+        assert used == histogram and sum(n for _, n in plan) == want
+        gaps += plain_best_fit(histogram, capacity) > want
+        assert want <= sum(n for _, n in packing.patterns(histogram, capacity)) <= plain_best_fit(histogram, capacity)
+    assert gaps > 0
+
+
 def plain_best_fit(histogram, capacity):
     rooms = []
     for s in sorted(histogram, reverse=True):
