@@ -56,8 +56,18 @@ class Stored:
         out._stored_at = at
         return out
 
+    def write_bucketed(self, df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
+        """A table in the shared folder whose buckets, by ``keys``, are sorted by them; ``drop`` takes it out of the catalog again."""
+        at, known_as = self.path(name), f"calltide_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", at).option("compression", "zstd").format("parquet").saveAsTable(known_as)
+        out = self.spark.table(known_as)
+        out._stored_at, out._known_as = at, known_as
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
+            if hasattr(t, "_known_as"):
+                self.spark.sql(f"DROP TABLE IF EXISTS {t._known_as}")
             self.remove(t._stored_at)
 
     def close(self) -> None:
@@ -68,6 +78,14 @@ class Stored:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column is called so (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lowered and nothing else; texts without other characters take the plain lower()."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from calltide.llm import bpe, decontamination, line_dedup, media, packing, secret_scan, simhash, substring_dedup, token_count, toxicity, warc
 
@@ -641,6 +642,41 @@ def test_lines_equal_brute_force(docs, rows, none, batches, fan_in):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_runs_are_joined_and_compacted_without_shuffles_or_sorts(spark):
+    from calltide.llm.common import Stored
+
+    runs = line_dedup.Runs(Stored(spark, "test"), 2)
+    hashes = lambda a, b: spark.range(a, b).select((F.col("id") * 3).alias("h1"), (F.col("id") * 7).alias("h2"), F.col("id").alias("first"))
+    by_hash = lambda df: df.groupBy("h1", "h2").agg(F.min("first").alias("first"))
+    with line_dedup.sorted_buckets(spark):
+        for k in range(5):
+            batch = by_hash(hashes(k * 50, k * 50 + 100))
+            unseen = runs.unseen(batch)
+            plan = unseen._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1
+            assert plan.count("Sort [") <= 1 and plan.count("SortMergeJoin") == len(runs.all())  # the batch alone is shuffled and sorted
+            assert unseen.count() == (100 if k == 0 else 50)
+            runs.add(unseen)
+            if len(runs.levels[0]) == 2:
+                a, b = (r.select("h1", "h2", "first").hint("merge") for r in runs.levels[0])
+                plan = a.join(b.withColumnRenamed("first", "other"), ["h1", "h2"], "full")._jdf.queryExecution().executedPlan().toString()
+                assert "Exchange" not in plan and "Sort [" not in plan
+            runs.compact()
+        assert [len(level) for level in runs.levels] == [1, 0, 1]
+        rows = [r for run in runs.all() for r in run.collect()]
+        assert sorted((r["h1"], r["h2"], r["first"]) for r in rows) == [(3 * i, 7 * i, i) for i in range(300)]
+        runs.kept.drop(*runs.all())
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("calltide_")]
+
+
+def test_line_dedup_takes_whole_number_ids_and_any_other_columns(spark):
+    with pytest.raises(TypeError):
+        line_dedup.dedup_lines(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+    rows = [(1, "some long line here", 5, "u"), (2, "Some long line here\nb", 6, "v"), (None, "some long line here", 7, "w"), (3, None, 8, "x")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id int, text string, drop int, _drop string"))
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, rows[0][1], 5, "u", 1, 0), (2, "b", 6, "v", 2, 1), (3, "", 8, "x", 1, 0), (None, rows[0][1], 7, "w", 1, 0)]
+
+
 # -- WARC
 
 
