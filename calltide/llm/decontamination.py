@@ -2,7 +2,8 @@
 
 Native: DataFrame functions only. Each document's windows are made next to its text and probed in the same task against the
 hashes of the benchmark's windows; only hits travel. A hit is verified by its words, not by its hash. The set is broadcast
-only up to ``max_broadcast_windows`` windows, which are counted first; beyond that the same join runs as a shuffle.
+only up to ``max_broadcast_bytes``, which are summed first; beyond that hashes alone are shuffled, and hits are verified by a
+join with their documents.
 """
 
 from __future__ import annotations
@@ -12,11 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calltide.llm.common import Stored, ascii_lower
+from calltide.llm.common import Stored, ascii_lower, fresh
 
 WINDOW = 10
-#: Windows of the benchmark up to which their hash set is broadcast (about 100 bytes each).
-MAX_BROADCAST_WINDOWS = 1_000_000
+#: Bytes of the benchmark's distinct windows (their words, and ``ROW_BYTES`` each for hash and row) up to which they're broadcast.
+MAX_BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
 #: Fixed value: what stands between the words of the contract, after A-Z is lowered.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -47,7 +48,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return grams.withColumn("h", h)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", window: int = WINDOW, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", window: int = WINDOW, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``id_col``, n_words, n_hit, items (whose windows occur, sorted as strings) and hits (sorted starts and ends, in words).
 
     Null texts and texts without words give 0, 0 and empty arrays; null and wordless items are never found. Rows of one id
@@ -57,7 +58,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     kept = Stored(spark, "decontamination")
     grams = kept.write(benchmark_windows(benchmark, item_col, bench_text_col, window), "windows")
-    size = {r["length"]: r["n"] for r in grams.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``window`` rows
+    size = {r["length"]: r["n"] for r in grams.groupBy("length").agg(F.sum(F.octet_length("gram") + ROW_BYTES).alias("n")).collect()}  # at most ``window`` rows
+    small = sum(size.values()) <= max_broadcast_bytes
     probe = grams.select("length", "h", "gram", F.monotonically_increasing_id().alias("g"))
     probe = kept.write(probe.join(grams.select("length", "gram", "items"), ["length", "gram"]), "set")
     rows = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w"))
@@ -66,10 +68,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         # An outer explode, as a plain one makes the optimizer cut the text again to test for words.
         at = F.explode_outer(F.when(F.size("w") >= length, F.sequence(F.lit(0), F.size("w") - length)))
         starts = rows.where("id IS NOT NULL").select("id", "w", at.alias("at")).where("at IS NOT NULL")
-        starts = starts.select("id", "at", _gram_hash(F.col("w"), F.col("at"), length).alias("h"), F.concat_ws(" ", *_at(F.col("w"), F.col("at"), length)).alias("seen"))
         side = probe.where(F.col("length") == length).select("h", "gram", "g")
-        side = F.broadcast(side) if sum(size.values()) <= max_broadcast_windows else side
-        part = starts.join(side, "h").where(F.col("seen") == F.col("gram")).select("id", "at", (F.col("at") + length).alias("end"), "g")
+        here = F.concat_ws(" ", *_at(F.col("w"), F.col("at"), length))
+        verified = F.coalesce(here == F.col("gram"), F.lit(False))  # no key of the join, so that only hits' words are put together
+        if small:
+            part = starts.withColumn("h", _gram_hash(F.col("w"), F.col("at"), length)).join(F.broadcast(side), "h").where(verified)
+        else:
+            hit = starts.select("id", "at", _gram_hash(F.col("w"), F.col("at"), length).alias("h")).join(side.hint("merge"), "h")
+            hit = kept.write(hit.select("id", "at", "gram", "g"), "to-verify")
+            part = rows.join(hit, "id").where(verified)
+        part = part.select("id", "at", (F.col("at") + length).alias("end"), "g")
         found = part if found is None else found.unionByName(part)
     counted = docs.select(F.col(id_col).alias("id"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
     if found is None:
@@ -102,8 +110,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """All documents, with hit words (as lowered for matching) left out of contaminated texts, whose other words are space-joined."""
-    hit = contamination(docs, benchmark, id_col, text_col, **how).where("n_hit > 0").select(F.col(id_col), F.col("hits").alias("_hits")).dropDuplicates([id_col])
+    name = fresh(docs, "hits")
+    hit = contamination(docs, benchmark, id_col, text_col, **how).where("n_hit > 0").select(F.col(id_col), F.col("hits").alias(name)).dropDuplicates([id_col])
     words = words_of(F.col(text_col))
-    keep = F.filter(words, lambda w, i: ~F.exists("_hits", lambda s: (s["at"] <= i) & (i < s["end"])))
-    rest = F.when(F.col("_hits").isNull(), F.col(text_col)).otherwise(F.array_join(keep, " "))
-    return docs.join(hit, id_col, "left").withColumn(text_col, rest).drop("_hits")
+    keep = F.filter(words, lambda w, i: ~F.exists(name, lambda s: (s["at"] <= i) & (i < s["end"])))
+    rest = F.when(F.col(name).isNull(), F.col(text_col)).otherwise(F.array_join(keep, " "))
+    return docs.join(hit, id_col, "left").withColumn(text_col, rest).drop(name)

@@ -373,10 +373,10 @@ def bench(spark, rows):
     return items, spark.createDataFrame([(i, t, "x", 1) for i, t in items], "item_id bigint, text string, doc_id string, h int")
 
 
-@pytest.mark.parametrize("limit", [decontamination.MAX_BROADCAST_WINDOWS, 0])
+@pytest.mark.parametrize("limit", [decontamination.MAX_BROADCAST_BYTES, 0])
 def test_contamination_equals_brute_force(docs, rows, bench, none, limit):
     items, table = bench
-    got = by_id(decontamination.contamination(docs, table, max_broadcast_windows=limit))
+    got = by_id(decontamination.contamination(docs, table, max_broadcast_bytes=limit))
     short = {i: t for i, t in text_of(rows).items() if len(t) < 5000}
     for i, want in brute_contamination(short, items).items():
         assert (got[i]["n_words"], got[i]["n_hit"], list(got[i]["items"])) == want, i
@@ -388,6 +388,15 @@ def test_contamination_equals_brute_force(docs, rows, bench, none, limit):
     assert spared[4]["text"] == "" and spared[21]["text"] == text_of(rows)[21]
 
 
+def test_contamination_takes_null_ids_and_clashing_names(spark, bench):
+    item = bench[0][0][1]
+    docs = spark.createDataFrame([(None, item, [1], 2, "g"), (1, item, [3], 4, "h"), (2, None, None, None, None)], "doc_id bigint, text string, hits array<int>, h int, gram string")
+    got = {r["doc_id"]: (r["n_words"] > 0, r["n_hit"] > 0) for r in decontamination.contamination(docs, bench[1]).collect()}
+    assert got == {None: (True, False), 1: (True, True), 2: (False, False)}
+    left = {r["doc_id"]: (r["text"], r["hits"]) for r in decontamination.without_spans(docs, bench[1]).collect()}
+    assert left[None] == (item, [1]) and left[2] == (None, None) and left[1][1] == [3] and left[1][0] != item
+
+
 # -- secrets
 
 
