@@ -1,12 +1,19 @@
 """Secret scans: known forms, and a battery of randomness tests for tokens of other forms.
 
 A token's encoding is inferred from its characters (digits, hex, base32, letters and digits, base64); one that mixes the marks
-of both kinds of base64 is tested in its parts of either kind, and '=' parts a name from its value. Under the null hypothesis that
-its characters are independent and uniform over that alphabet, three tests give p-values: chi-squared uniformity, runs about
-the median, and serial correlation at lag one; Fisher's method combines them. Ordinary words and identifiers fail such tests.
-Benjamini-Hochberg control at ``q``, apart for each class of encoding and length (short tokens give weak tests, which mustn't
-set the cut for long ones), rejects non-random tokens so that at most a share q of the rejected are truly random ones; what
-isn't rejected is reported. The cut needs all p-values of the corpus, as a histogram of fixed size.
+of both kinds of base64 is tested in its parts of either kind, and '=' parts a name from its value.
+
+* Battery. Under the hypothesis that a token's characters are independent and uniform over its alphabet, three tests give
+  p-values: chi-squared uniformity, runs about the median, and serial correlation at lag one; Fisher's method combines them.
+  Benjamini-Hochberg at ``q``, apart for each class of encoding and length, rejects tokens that aren't random (repeats, counters,
+  patterns), so that at most a share q of the rejected are truly random ones.
+* Control of what is reported. Here the hypothesis is that a token is ordinary text, as the characters of the corpus's short words
+  follow one another in it. A token's evidence against it is its likelihood as uniform over its alphabet against that as
+  ordinary text: an e-value, as its mean under the hypothesis is 1 at most. It grows with the length by itself. Of a class's
+  tokens those are reported whose evidence passes the e-value form of Benjamini-Hochberg (the k largest are m / (q k) or more)
+  and that the battery hasn't rejected: at most a share ``q`` of the reported are ordinary, however tokens depend on one another.
+
+Both cuts need all tokens of the corpus, as histograms of fixed size; the model of ordinary text is a table of counts of fixed size.
 """
 
 from __future__ import annotations
@@ -15,7 +22,10 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +37,17 @@ KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")  # the runs of [0-9a-f] that are long enough
-TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:=+(?![A-Za-z0-9+/_=-]))?")  # with its padding; an '=' before more is a separator
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{12,}(?:=+(?![A-Za-z0-9+/_=-]))?")  # with its padding; an '=' before more is a separator
 PARTS = [re.compile(r"[A-Za-z0-9+/]+=*"), re.compile(r"[A-Za-z0-9_-]+=*")]
 ENCODINGS = [("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("alnum", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"), ("digits", "0123456789")]
 NARROWEST = sorted(range(len(ENCODINGS)), key=lambda i: len(ENCODINGS[i][1]))  # the order in which they are inferred
-LENGTHS = [16, 20, 28, 40, 64, 128]  # lower ends of the length classes
-Q, BINS = 0.05, 4096
+LENGTHS = [12, 14, 16, 20, 28, 40, 64, 128]  # lower ends of the length classes
+Q = 0.05
+#: Histogram bins to a factor of two, of p-values and of e-values, and the largest bin.
+STEPS, LAST = 8, 8191
+#: Symbols of tokens, letters of either case alike; the last is what stands before a word.
+SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789+/_-"
+OTHER, SMOOTH = len(SYMBOLS), 0.02
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -88,87 +103,242 @@ def outside(start: int, end: int, taken: list[tuple[int, int, int]]) -> Iterator
         yield start, end
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-    """(start, end, class, p) of what of each token lies outside base spans; of its parts, where no alphabet has all of it."""
-    out = []
+def tokens(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What of each token lies outside base spans; its parts, where no alphabet has all of it. Both lists are walked once."""
+    low = 0  # spans before it end before the token
+    furthest = []  # the largest end up to each span
+    for _, _, b in taken:
+        furthest.append(max(b, furthest[-1] if furthest else 0))
     for m in TOKEN.finditer(text):
-        for start, end in outside(*m.span(), taken):
+        while low < len(taken) and furthest[low] <= m.start():
+            low += 1
+        high = low
+        while high < len(taken) and taken[high][0] < m.end():
+            high += 1
+        for start, end in outside(*m.span(), taken[low:high]):
             piece = text[start:end]
             mixed = ("/" in piece or "+" in piece) and ("-" in piece or "_" in piece)
             parts = {(start + x.start(), start + x.end()) for p in PARTS for x in p.finditer(piece)} if mixed else [(start, end)]
-            out += [(i, j, *got) for i, j in sorted(parts) if (got := battery(text[i:j]))]
+            yield from sorted(parts)
+
+
+@dataclass
+class Ordinary:
+    """Ordinary text's characters: log2 of a symbol after another, and of a letter's case after another's (lower, upper, none before)."""
+
+    symbol: np.ndarray
+    case: np.ndarray
+
+    def bits(self, token: str) -> float:
+        """Minus log2 of a token's likelihood."""
+        before, how, out = OTHER, 2, 0.0
+        for c in token:
+            at = _AT[ord(c)]
+            out -= self.symbol[before][at]
+            if at < 26:
+                upper = int(c < "a")
+                out -= self.case[how][upper]
+                how = upper
+            else:
+                how = 2
+            before = at
+        return out
+
+
+#: Each byte's symbol.
+_AT = np.full(256, OTHER, np.int64)
+for _i, _c in enumerate(SYMBOLS):
+    _AT[ord(_c)] = _AT[ord(_c.upper())] = _i
+_UPPER = np.zeros(256, bool)
+_UPPER[ord("A") : ord("Z") + 1] = True
+
+
+def word_counts(data: bytes, longest: int = LENGTHS[0] - 1) -> tuple[np.ndarray, np.ndarray]:
+    """How often symbols, and cases of letters, follow one another in the words of up to ``longest`` symbols: shorter than tokens to be judged."""
+    raw = np.frombuffer(data, np.uint8)
+    sym, n = _AT[raw], OTHER + 1
+    inside = sym < OTHER
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
+    starts, ends = edge[::2], edge[1::2]
+    long = ends - starts > longest
+    if long.any():
+        drop = np.zeros(len(raw) + 1, np.int64)
+        drop[starts[long]], drop[ends[long]] = 1, -1  # runs don't touch
+        inside &= np.cumsum(drop[:-1]) == 0
+    at = np.flatnonzero(inside)
+    before = np.concatenate([[OTHER], sym[:-1]])[at]
+    letter = at[sym[at] < 26]
+    case = np.where(sym < 26, _UPPER[raw], 2)
+    case_before = np.concatenate([[2], case[:-1]])[letter]
+    return np.bincount(before * n + sym[at], minlength=n * n), np.bincount(case_before * 2 + _UPPER[raw][letter], minlength=6)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    symbol, case = np.zeros((OTHER + 1) ** 2, np.int64), np.zeros(6, np.int64)
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            data = text.encode()
+            for i in range(0, len(data), 1 << 22):  # of very long texts a block at a time
+                s, c = word_counts(data[i : i + (1 << 22)])
+                symbol += s
+                case += c
+    cells = np.concatenate([symbol, case])
+    at = np.flatnonzero(cells)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at])], names=["cell", "n"])
+
+
+def ordinary(docs: DataFrame, text_col: str = "text") -> Ordinary:
+    """The model of all texts of ``docs``; what comes to the driver has a fixed size."""
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    got = rows.mapInArrow(_counts, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = np.zeros((OTHER + 1) ** 2 + 6)
+    for r in got:
+        cells[r["cell"]] = r["n"]
+    symbol, case = cells[:-6].reshape(OTHER + 1, OTHER + 1)[:, :OTHER], cells[-6:].reshape(3, 2)
+
+    def smooth(counts: np.ndarray) -> np.ndarray:
+        whole = counts.sum(axis=1, keepdims=True)
+        k = counts.shape[1]
+        return np.log2((1 - SMOOTH) * (counts + 1) / (whole + k) + SMOOTH / k)
+
+    return Ordinary(smooth(symbol), smooth(case))
+
+
+def evidence(token: str, code: int, model: Ordinary) -> float:
+    """log2 of the e-value; the encodings share the alternative's weight, as a token's is inferred."""
+    token = token.rstrip("=")
+    return model.bits(token) - len(token) * math.log2(len(ENCODINGS[code][1])) - math.log2(len(ENCODINGS))
+
+
+def candidates(text: str, taken: list[tuple[int, int, int]], model: Ordinary | None = None) -> list[tuple[int, int, int, float, float]]:
+    """(start, end, class, p, log2 of the e-value: 0 without a model) of each token that has an encoding."""
+    out = []
+    for i, j in tokens(text, taken):
+        if got := battery(text[i:j]):
+            out.append((i, j, *got, evidence(text[i:j], got[0] // 10, model) if model else 0.0))
     return out
 
 
-_SCAN = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,class:int,p:double>>"
+_SCAN = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,class:int,p:double,e:double>>"
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], model: Ordinary) -> Iterator[pa.RecordBatch]:
     base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    found_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("class", pa.int32()), ("p", pa.float64())]))
+    found_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("class", pa.int32()), ("p", pa.float64()), ("e", pa.float64())]))
     for batch in batches:
         rows = []
         for text in batch.column("text").to_pylist():
             base = base_spans(text)
             kinds = [k for _, k, _ in base]
             digest = hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
-            found = candidates(text, base)
-            rows.append((kinds.count(0), kinds.count(1), kinds.count(2), digest, [{"start": a, "kind": k, "end": b} for a, k, b in base], [dict(zip(("start", "end", "class", "p"), f, strict=True)) for f in found]))
+            found = candidates(text, base, model)
+            rows.append((kinds.count(0), kinds.count(1), kinds.count(2), digest, [{"start": a, "kind": k, "end": b} for a, k, b in base], [dict(zip(("start", "end", "class", "p", "e"), f, strict=True)) for f in found]))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), base_type, found_type]
         yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=["id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "found"])
 
 
-def rejection_cuts(histogram: list[tuple[int, int, int]], q: float = Q, bins: int = BINS) -> dict[int, float]:
-    """For each class, the p-value up to which Benjamini-Hochberg rejects; ``histogram``: class, bin, count. Bins count at their upper ends."""
+def p_bin(p: float) -> int:
+    """Bins of equal width in log p; a bin's p-values are 2 ** (-bin / STEPS) at most."""
+    return min(LAST, int(-math.log2(max(p, 1e-300)) * STEPS))
+
+
+def rejection_cuts(histogram: list[tuple[int, int, int]], q: float = Q) -> dict[int, int]:
+    """For each class the bin of p-values from which on Benjamini-Hochberg rejects; ``histogram``: class, bin, count. Bins count at their upper ends."""
+    by: dict[int, list[tuple[int, int]]] = {}
+    for cls, b, n in histogram:
+        by.setdefault(cls, []).append((b, n))
+    out = {}
+    for cls, rows in by.items():
+        m, rank, out[cls] = sum(n for _, n in rows), 0, LAST + 1
+        for b, n in sorted(rows, reverse=True):
+            rank += n
+            if 2.0 ** (-b / STEPS) <= q * rank / m:
+                out[cls] = b
+    return out
+
+
+def report_cuts(histogram: list[tuple[int, int, int]], totals: dict[int, int], q: float = Q) -> dict[int, int]:
+    """For each class the least bin of e-values that is reported; ``histogram``: class, bin (log2 e times ``STEPS``, rounded down), count.
+
+    Benjamini-Hochberg for e-values: the k largest are reported for the largest k at which the k-th is ``totals[class]`` / (q k) or
+    more; ``totals`` counts all tokens of a class, also those that the battery has rejected, whose evidence counts as 0.
+    """
     by: dict[int, list[tuple[int, int]]] = {}
     for cls, b, n in histogram:
         by.setdefault(cls, []).append((b, n))
     out = {}
     for cls, rows in by.items():
-        m, rank, out[cls] = sum(n for _, n in rows), 0, 0.0
-        for b, n in sorted(rows):
+        rank, out[cls] = 0, LAST + 1
+        for b, n in sorted(rows, reverse=True):
             rank += n
-            if (b + 1) / bins <= q * rank / m:
-                out[cls] = (b + 1) / bins
+            if b / STEPS >= math.log2(totals[cls] / (q * rank)):
+                out[cls] = b
     return out
 
 
+def _bin_sql(value: str) -> str:
+    return f"CAST(greatest(least(floor({value} * {STEPS}), {LAST}), -1) AS INT)"
+
+
+def _cut_sql(cuts: dict[int, int]) -> str:
+    return "CASE f.class " + "".join(f"WHEN {c} THEN {b} " for c, b in sorted(cuts.items())) + f"ELSE {LAST + 1} END" if cuts else str(LAST + 1)
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, q: float) -> tuple[DataFrame, Ordinary, dict[int, int], dict[int, int]]:
+    """All rows scanned, the model, and both cuts for each class."""
+    kept = Stored(docs.sparkSession, "secrets")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    model = ordinary(rows)
+    scanned = kept.write(rows.mapInArrow(partial(_scan, model=model), f"id {rows.dtypes[0][1]}, {_SCAN}"), "scanned")
+    found = scanned.select(F.explode("found").alias("f"))
+    p, e = _bin_sql("-log2(greatest(f.p, 1e-300D))"), _bin_sql("f.e")
+    histogram = [tuple(r) for r in found.groupBy("f.class", F.expr(p).alias("b")).agg(F.count("*").alias("n")).collect()]  # classes x bins at most
+    rejected = rejection_cuts(histogram, q)
+    totals = {c: sum(n for k, _, n in histogram if k == c) for c in rejected}
+    left = found.where(f"{p} < {_cut_sql(rejected)}").groupBy("f.class", F.expr(e).alias("b")).agg(F.count("*").alias("n"))
+    return scanned, model, rejected, report_cuts([tuple(r) for r in left.collect()], totals, q)
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = Q) -> DataFrame:
     """``id_col``, n_assign, n_access, n_hex, base_sha256 and secrets: an array of (start, kind, end), by start and then kind.
 
     Positions are code points, the end exclusive. A null text is empty and has no secrets. Repeated rows are scanned each (and
     count each in the false-discovery control); a null id stays null; an empty table gives no rows; other columns aren't read.
     """
-    kept = Stored(docs.sparkSession, "secrets")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    scanned = kept.write(rows.mapInArrow(_scan, f"id {rows.dtypes[0][1]}, {_SCAN}"), "scanned")
-    found = scanned.select(F.explode("found").alias("f")).select(F.col("f.class").alias("class"), F.least(F.floor(F.col("f.p") * BINS), F.lit(BINS - 1)).alias("bin"))
-    histogram = found.groupBy("class", "bin").agg(F.count("*").alias("n")).collect()  # classes x BINS rows at most
-    expression = "filter(found, f -> f.p > " + _cut_sql(rejection_cuts([tuple(r) for r in histogram], q)) + ")"
-    added = F.transform(F.expr(expression), lambda f: F.struct(f["start"].alias("start"), F.lit(3).alias("kind"), f["end"].alias("end")))
+    scanned, _, rejected, least = _decided(docs, id_col, text_col, q)
+    kept = f"filter(found, f -> {_bin_sql('-log2(greatest(f.p, 1e-300D))')} < {_cut_sql(rejected)} AND {_bin_sql('f.e')} >= {_cut_sql(least)})"
+    added = F.transform(F.expr(kept), lambda f: F.struct(f["start"].alias("start"), F.lit(3).alias("kind"), f["end"].alias("end")))
     return scanned.select(F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", F.array_sort(F.concat("base", added)).alias("secrets"))
 
 
-def _cut_sql(cuts: dict[int, float]) -> str:
-    return "CASE f.class " + "".join(f"WHEN {c} THEN {p!r}D " for c, p in sorted(cuts.items())) + "ELSE 0D END" if cuts else "0D"
-
-
 def span_text(secrets):
     names = F.array(*(F.lit(k) for k in KINDS))
     return F.array_join(F.transform(secrets, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def masked(text: str, model: Ordinary, rejected: dict[int, int], least: dict[int, int], mask: str) -> str:
+    """A text with each of its secrets replaced; overlapping ones become one."""
+    base = base_spans(text)
+    spans = [(a, b) for a, _, b in base] + [(a, b) for a, b, cls, p, e in candidates(text, base, model) if p_bin(p) < rejected[cls] and math.floor(e * STEPS) >= least.get(cls, LAST + 1)]
+    out, reach = [], 0
+    for a, b in sorted(spans):
+        if a >= reach:
+            out += [text[reach:a], mask]
+        reach = max(reach, b)
+    return "".join([*out, text[reach:]])
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", q: float = Q) -> DataFrame:
-    """All columns of ``docs``, each secret replaced by ``mask``; overlapping spans become one. Null texts stay null."""
-    spans = find_secrets(docs, id_col, text_col, q).where(F.size("secrets") > 0).select(F.col(id_col), F.col("secrets").alias("_secrets")).dropDuplicates([id_col])
-    text = F.col(text_col)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("upto"))
-
-    def step(a, s):
-        fresh = s["start"] >= a["upto"]
-        plain = F.substring(text, a["upto"] + 1, F.greatest(s["start"] - a["upto"], F.lit(0)))
-        return F.struct(F.when(fresh, F.concat(a["out"], plain, F.lit(mask))).otherwise(a["out"]).alias("out"), F.greatest(a["upto"], s["end"]).alias("upto"))
-
-    masked = F.aggregate("_secrets", start, step, lambda a: F.concat(a["out"], F.substring(text, a["upto"] + 1, F.char_length(text))))
-    out = docs.join(spans, id_col, "left")
-    return out.withColumn(text_col, F.when(F.col("_secrets").isNull(), text).otherwise(masked)).drop("_secrets")
+    """All columns of ``docs``, each secret replaced by ``mask``; overlapping spans become one. Null texts stay null.
+
+    Once the corpus has given its cuts, each row is masked by itself, without a join: also rows without an id, and rows of one id.
+    """
+    _, model, rejected, least = _decided(docs, id_col, text_col, q)
+
+    def mask_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts = pa.array([t and masked(t, model, rejected, least, mask) for t in batch.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 :]], names=batch.schema.names)
+
+    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(mask_rows, docs.withColumn(text_col, F.col(text_col).cast("string")).schema)

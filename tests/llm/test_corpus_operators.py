@@ -449,13 +449,69 @@ def test_random_values_beside_names_and_base_forms_are_found(spark):
 
 def test_false_discovery_cut_is_benjamini_hochberg():
     rng = random.Random(4)
-    p = [rng.random() ** 4 for _ in range(300)] + [rng.random() for _ in range(300)]
+    p = [rng.random() ** 4 for _ in range(300)] + [rng.random() for _ in range(300)] + [10.0 ** -rng.uniform(5, 90) for _ in range(50)]
     bins = {}
     for v in p:
-        bins[min(int(v * 4096), 4095)] = bins.get(min(int(v * 4096), 4095), 0) + 1
+        bins[secret_scan.p_bin(v)] = bins.get(secret_scan.p_bin(v), 0) + 1
     cut = secret_scan.rejection_cuts([(1, b, n) for b, n in bins.items()])[1]
     exact = max((v for k, v in enumerate(sorted(p), 1) if v <= 0.05 * k / len(p)), default=0)
-    assert abs(cut - exact) < 2 / 4096
+    assert 0 < exact and abs(cut - secret_scan.p_bin(exact)) <= 2 and cut >= secret_scan.p_bin(exact)
+
+
+def test_report_cut_is_benjamini_hochberg_for_e_values():
+    rng = random.Random(5)
+    e = [rng.gauss(-20, 8) for _ in range(5000)] + [rng.gauss(30, 12) for _ in range(60)]
+    bins = {}
+    for v in e:
+        b = int(np.floor(v * secret_scan.STEPS))
+        bins[b] = bins.get(b, 0) + 1
+    cut = secret_scan.report_cuts([(1, b, n) for b, n in bins.items()], {1: len(e)})[1]
+    exact = min(v for k, v in enumerate(sorted(e, reverse=True), 1) if v >= np.log2(len(e) / (0.05 * k)))
+    assert np.floor(exact * secret_scan.STEPS) <= cut <= np.floor(exact * secret_scan.STEPS) + 8
+    assert secret_scan.report_cuts([(1, -1, 100)], {1: 100})[1] > secret_scan.LAST
+
+
+def test_planted_tokens_by_encoding_and_length(spark):
+    """Random tokens of each encoding and length among ordinary text with long words, paths, names and counters: which are reported."""
+    rng = random.Random(21)
+    syllables = "the ing tion er an re on en at ou st nd ent ly for and con per".split()
+    word = lambda k: "".join(rng.choice(syllables) for _ in range(k))
+    odd = [lambda: word(9), lambda: word(8).upper(), lambda: word(3).title() + word(3).title() + word(3).title(), lambda: "/".join(word(3) for _ in range(5)), lambda: "_".join(word(2) for _ in range(6)), lambda: "ab12" * 8, lambda: f"{word(5)}{rng.randrange(100)}{word(5)}", lambda: "-" * 24, lambda: "abcdefghijklmnopqrstuvwxyz"]
+    rows, planted, n = [], {}, 0
+    for i in range(1500):
+        text = [word(rng.randrange(1, 4)) for _ in range(60)] + [str(rng.randrange(10_000))] + [rng.choice(odd)() for _ in range(3)]
+        rng.shuffle(text)
+        if i % 5 == 0:
+            code, length = [(0, 24), (2, 20), (3, 12), (3, 16), (3, 24), (3, 40), (4, 40), (5, 32), (0, 30), (2, 40), (3, 64)][n % 11]
+            secret = "".join(rng.choice(secret_scan.ENCODINGS[code][1]) for _ in range(length))
+            text.insert(rng.randrange(len(text)), secret)
+            planted[i] = ((code, length), " ".join(text).index(secret), secret)
+            n += 1
+        rows.append((i, " ".join(text)))
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["secrets"] if s["kind"] == 3] for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    caught, of, wrong = {}, {}, 0
+    for i, spans in got.items():
+        kind, at, secret = planted.get(i, (None, -1, ""))
+        of[kind] = of.get(kind, 0) + 1
+        hit = [s for s in spans if s[0] < at + len(secret) and at < s[1]]
+        caught[kind] = caught.get(kind, 0) + bool(hit)
+        wrong += len(spans) - len(hit)
+    print({k: (caught[k], of[k]) for k in of if k}, "wrong:", wrong)
+    assert all(caught[k] >= 0.8 * of[k] for k in of if k)
+    assert wrong <= 0.05 * (wrong + sum(caught.values())) + 1
+
+
+def test_redaction_masks_each_row_by_itself(spark):
+    rows = [(None, "password=hunter2hunter2", 1), (1, "password=hunter2hunter2 end", 2), (1, "nothing of that kind is here", 3), (2, None, 4), (3, "a token: abcdefgh12 and secret=zzzzzzzzz9", 5)]
+    got = sorted((r["_secrets"], r["doc_id"], r["text"]) for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id bigint, text string, _secrets int")).collect())
+    assert got == [(1, None, "[SECRET]"), (2, 1, "[SECRET] end"), (3, 1, rows[2][1]), (4, 2, None), (5, 3, "a [SECRET] and [SECRET]")]
+
+
+def test_spans_of_a_long_log_are_walked_once():
+    text = " ".join(f"token={i:08d}x" + " Zx9Qw3Er7Ty1Ui5Op0As2Df4Gh6Jk8Lm" * (i % 10 == 0) for i in range(20_000))
+    base = secret_scan.base_spans(text)
+    want = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9=])[A-Za-z0-9]{32}(?![A-Za-z0-9])", text)]
+    assert list(secret_scan.tokens(text, base)) == want and len(base) == 20_000
 
 
 # -- near duplicates
