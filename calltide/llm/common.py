@@ -44,6 +44,7 @@ class Stored:
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}", 0
+        self.known: set[str] = set()
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -62,15 +63,19 @@ class Stored:
         df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", at).option("compression", "zstd").format("parquet").saveAsTable(known_as)
         out = self.spark.table(known_as)
         out._stored_at, out._known_as = at, known_as
+        self.known.add(known_as)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             if hasattr(t, "_known_as"):
                 self.spark.sql(f"DROP TABLE IF EXISTS {t._known_as}")
+                self.known.discard(t._known_as)
             self.remove(t._stored_at)
 
     def close(self) -> None:
+        for name in self.known:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self.remove(self.root)
 
     def remove(self, at: str) -> None:
