@@ -210,9 +210,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     long = scan.where(F.col("id").isNotNull() & (F.col("n_words") >= window))
     whole = kept.write(firsts(long, "w1", "w2"), "whole")  # stored, so that a text of very many copies can be split in the join
-    copies = kept.write(long.select("id", "t", "w1", "w2").join(whole, ["w1", "w2"]).where("id > first").select("id", "t").distinct(), "copies")
+    copies = kept.write(long.select("id", "t", "w1", "w2").join(whole.hint("merge"), ["w1", "w2"]).where("id > first").select("id", "t").distinct(), "copies")
     places = F.explode(F.arrays_zip(*(c for k in range(len(lengths) - 1) for c in (f"at{k}", f"h{k}"))))
-    alive = long.join(copies, ["id", "t"], "left_anti").select("id", "t", places.alias("p")).select("id", "t", "p.*", F.lit(None).cast("bigint").alias("first"))
+    alive = long.join(copies.hint("merge"), ["id", "t"], "left_anti").select("id", "t", places.alias("p")).select("id", "t", "p.*", F.lit(None).cast("bigint").alias("first"))
     before: list[DataFrame] = []
     for k, length in enumerate(lengths[:-1]):
         # One document may hold a window often; rows of a very common one are split in the join, as its first is a stored row.
@@ -227,18 +227,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             break
     marks = alive.groupBy("id", "t").agg(F.collect_list(F.struct(F.col(f"at{len(lengths) - 2}").alias("at"), "first")).alias("marks"))  # no more than a document's words
     marks = kept.write(marks, "marks")
-    few = kept.write(marks.select("id", "t"), "documents")  # small enough to be broadcast, it keeps other texts from the shuffle
-    texts = rows.where("id IS NOT NULL").join(few, ["id", "t"], "left_semi").join(marks.hint("merge"), ["id", "t"])
+    texts = rows.where("id IS NOT NULL").join(marks.hint("merge"), ["id", "t"])
     texts = kept.write_bucketed(texts, "texts", int(spark.conf.get("spark.sql.shuffle.partitions")), "id", "t")  # texts aren't shuffled again
     found = texts.mapInArrow(partial(_last_level, window=window, lengths=lengths), "id bigint, t int, at array<int>, h1 array<bigint>, h2 array<int>, look array<boolean>")
     windows = kept.write(found.select("id", "t", F.explode(F.arrays_zip("at", "h1", "h2", "look")).alias("w")).select("id", "t", "w.*"), f"windows-{window}")
     first = kept.write(firsts(windows, "h1", "h2"), f"firsts-{window}")
     again = windows.where("look").select("id", "t", "at", "h1", "h2").join(first.hint("merge"), ["h1", "h2"]).where("id > first")
     starts = kept.write(again.groupBy("id", "t").agg(F.array_sort(F.collect_set("at")).alias("starts")), "starts")
-    kept.drop(alive, marks, few, windows, first)
+    kept.drop(alive, marks, windows, first)
     cut = texts.select("id", "t", "text").join(starts.hint("merge"), ["id", "t"]).mapInArrow(partial(_cut, window=window, digest=digest), "id bigint, t int, n_removed bigint, left string")
     gone = cut.unionByName(copies.select("id", "t", F.lit(None).cast("bigint").alias("n_removed"), F.lit(keep([], digest)).alias("left")))
-    out = scan.select("id", "t", "n_words", "kept").join(gone.dropDuplicates(["id", "t"]), ["id", "t"], "left")
+    out = scan.select("id", "t", "n_words", "kept").join(gone.dropDuplicates(["id", "t"]).hint("merge"), ["id", "t"], "left")
     removed = F.when(F.col("left").isNull(), 0).otherwise(F.coalesce("n_removed", "n_words")).cast("bigint")
     kind = docs.select(id_col).dtypes[0][1]
     return out.select(F.col("id").cast(kind).alias(id_col), "n_words", removed.alias("n_removed"), F.coalesce("left", "kept").alias("kept_sha256" if digest else "kept"))
