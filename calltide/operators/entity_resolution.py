@@ -108,11 +108,11 @@ def ladder(value: Column, steps: list[tuple[float, float]], rest: float) -> Colu
 
 
 def weighted_similarity(pairs: DataFrame) -> DataFrame:
-    """Field-wise similarity of pairs of one number: time and duration by steps, content by words, type by equality."""
+    """Field-wise similarity of pairs of one number: time, and durations' relative difference (none: 0), by steps, content by words, type by equality."""
     gap = F.col("gap_us") / 1e6
-    time = ladder(gap, [(1, 1.0), (60, 0.9), (300, 0.8), (900, 0.6), (3600, 0.3)], 0.0)
-    a, b = F.col("duration_a"), F.col("duration_b")
-    duration = F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.5).otherwise(ladder(F.abs(a - b), [(1, 1.0), (5, 0.9), (30, 0.7), (60, 0.4)], 0.0))
+    time = ladder(gap, [(0, 1.0), (60, 0.9), (300, 0.8), (900, 0.6), (3600, 0.4), (86_400, 0.2)], 0.0)
+    a, b = (F.coalesce(f"duration_{s}", F.lit(0)) for s in "ab")
+    duration = F.when(a == b, 1.0).otherwise(ladder(F.abs(a - b) / F.greatest(a, b), [(0.05, 0.9), (0.15, 0.7), (0.3, 0.5), (0.5, 0.3)], 0.1))
     content = F.when(F.col("content_a").isNull() & F.col("content_b").isNull(), 1.0).otherwise(S.jaccard(S.words(F.col("content_a")), S.words(F.col("content_b"))))
     kind = F.when(F.col("type_a") == F.col("type_b"), 1.0).otherwise(0.0)
     total = WEIGHTS["phone"] + time * WEIGHTS["time"] + duration * WEIGHTS["duration"] + content * WEIGHTS["content"] + kind * WEIGHTS["type"]
@@ -122,11 +122,10 @@ def weighted_similarity(pairs: DataFrame) -> DataFrame:
 def similar_events(events: DataFrame, threshold: float = 0.85, seconds: float = 300) -> DataFrame:
     """Pairs of one owner and number at ``threshold`` or more by phone .4, time .3, type .15, direction .15.
 
-    The threshold asks for an equal number and at most 300 s between, which is what the join makes.
+    The threshold asks for an equal number and at most 300 s between, which is what the join makes: each counts wholly.
     """
     p = near_pairs(events.withColumn("number", digits(F.col("number"))), ["owner_id", "number"], seconds)
-    time = ladder(F.col("gap_us") / 1e6, [(60, 1.0), (300, 0.9)], 0.8)
-    score = F.round(F.lit(0.4) + time * 0.3 + (F.col("type_a") == F.col("type_b")).cast("int") * 0.15 + (F.col("direction_a") == F.col("direction_b")).cast("int") * 0.15, 4)
+    score = F.round(F.lit(0.4) + F.lit(0.3) + (F.col("type_a") == F.col("type_b")).cast("int") * 0.15 + (F.col("direction_a") == F.col("direction_b")).cast("int") * 0.15, 4)
     return p.select("id_a", "id_b", score.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
@@ -163,18 +162,19 @@ def conflict_metrics(resolved: DataFrame) -> DataFrame:
     )
 
 
-def triage(conflicts: DataFrame, batch: int = 100) -> DataFrame:
-    """Priority of each conflict and its batch within that priority; ids in order. Ranks are per priority and per hash group, so no task ranks all."""
+def triage(conflicts: DataFrame) -> DataFrame:
+    """Priority of each conflict by its kind, and whether a person has to look at it."""
     priority = F.when(F.col("conflict") == "exact", "critical").when(F.col("conflict") == "time_variance", "high").otherwise("medium")
     return conflicts.select("id_a", "id_b", "conflict", priority.alias("priority"), (F.col("conflict") == "fuzzy").alias("manual"))
 
 
 def dedup_quality(events: DataFrame, kept: DataFrame) -> DataFrame:
-    """.8 + .3 of the share removed, less what it exceeds one half by, between 0 and 1."""
+    """.8 + .3 of the share removed, less .4 of what it exceeds one half by, between 0 and 1; 1 for no events."""
     n = events.agg(F.count("*").alias("before")).crossJoin(kept.agg(F.count("*").alias("after")))  # of one row each
     rate = (F.col("before") - F.col("after")) / F.greatest("before", F.lit(1))
-    penalty = F.when(rate > 0.5, (rate - 0.5)).otherwise(0.0)
-    return n.select("before", "after", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.8 + rate * 0.3 - penalty)), 4).alias("quality"))
+    penalty = F.when(rate > 0.5, (rate - 0.5) * 0.4).otherwise(0.0)
+    quality = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.8 + rate * 0.3 - penalty))
+    return n.select("before", "after", F.round(F.when(F.col("before") == 0, 1.0).otherwise(quality), 4).alias("quality"))
 
 
 def server_wins(local: DataFrame, remote: DataFrame) -> DataFrame:

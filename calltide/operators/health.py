@@ -73,14 +73,44 @@ def performance_trend(syncs: DataFrame, as_of: str, days: int = 30) -> DataFrame
     return g.select("network_type", rounded("l0", 2).alias("latency_before"), rounded("l1", 2).alias("latency_after"), latency.alias("latency_trend"), success.alias("success_trend"))
 
 
-def health_score(performance: DataFrame) -> DataFrame:
-    """100 less penalties for slow syncs, failures and a growing queue; with the issues that passed their thresholds."""
-    slow = F.when(F.col("mean_ms") > 30_000, 30).when(F.col("mean_ms") > 10_000, 15).when(F.col("mean_ms") > 5_000, 5).otherwise(0)
-    failing = F.when(F.col("success_rate") < 0.5, 40).when(F.col("success_rate") < 0.8, 20).when(F.col("success_rate") < 0.95, 10).otherwise(0)
-    queue = F.when(F.col("queue_growth") > 1000, 20).when(F.col("queue_growth") > 0, 5).otherwise(0)
-    issues = F.concat_ws(",", F.when(slow > 0, "latency"), F.when(failing > 0, "success"), F.when(queue > 0, "queue"))
-    score = F.greatest(F.lit(0), F.lit(100) - slow - failing - queue).cast("bigint")
-    return performance.select("network_type", score.alias("score"), issues.alias("issues"), F.when(score >= 80, "healthy").when(score >= 50, "warning").otherwise("critical").alias("status"))
+#: Alert thresholds of sync health; latency in ms, the others as in the status.
+ALERTS = {"queue_depth": 1000.0, "drift_percentage": 10.0, "sync_latency": 30_000.0, "success_rate": 95.0}
+#: What an active issue costs by severity.
+ISSUE_COST = {"critical": 15, "high": 10, "medium": 5, "low": 2}
+
+
+def sync_issues(status: DataFrame) -> DataFrame:
+    """Adds issues: kind and severity of each threshold that a status has passed (see :func:`health_score` for its columns)."""
+    tests = [("queue_backup", "high", F.col("queue_depth") > ALERTS["queue_depth"]), ("data_gap", "medium", F.col("drift_percentage") > ALERTS["drift_percentage"]), ("performance_degradation", "high", F.col("success_rate") < ALERTS["success_rate"]), ("network_issue", "high", F.col("network_status") == "disconnected")]
+    found = F.array(*(F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(level).alias("severity"))) for kind, level, test in tests))
+    return status.withColumn("issues", F.filter(found, lambda i: i.isNotNull()))
+
+
+def health_score(status: DataFrame) -> DataFrame:
+    """``score``, 0 to 100: 100 less what queue, drift, latency, failures, network, issues and data quality cost.
+
+    ``status`` has queue_depth, drift_percentage, sync_latency (ms), success_rate and data_quality (0 to 100), network_status
+    (connected, limited or disconnected) and issues (as :func:`sync_issues` adds them). Penalties are in proportion to ``ALERTS``.
+    """
+    part = lambda c, most: F.when(F.col(c) > 0, F.least(F.lit(most), F.col(c) / ALERTS[c] * most)).otherwise(0.0)
+    late = F.col("sync_latency") - ALERTS["sync_latency"]
+    latency = F.when(late > 0, F.least(F.lit(20.0), late / ALERTS["sync_latency"] * 20)).otherwise(0.0)
+    below = lambda c, cost: F.when(F.col(c) < 100, (100 - F.col(c)) * cost).otherwise(0.0)
+    network = F.when(F.col("network_status") == "limited", 5.0).when(F.col("network_status") == "disconnected", 10.0).otherwise(0.0)
+    of = F.create_map(*(x for s, n in ISSUE_COST.items() for x in (F.lit(s), F.lit(float(n)))))
+    issues = F.aggregate("issues", F.lit(0.0), lambda a, i: a + F.coalesce(of[i["severity"]], F.lit(0.0)))
+    score = 100.0 - part("queue_depth", 30.0) - part("drift_percentage", 20.0) - latency - below("success_rate", 0.3) - network - issues - below("data_quality", 0.15)
+    return status.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.floor(score + 0.5))).cast("bigint"))
+
+
+def sync_status(syncs: DataFrame, *by: str) -> DataFrame:
+    """The status of syncs that :func:`health_score` takes: the mean queue, failed items as drift, mean latency, successes, network."""
+    network = F.when(F.col("network_type") == "wifi", "connected").when(F.col("network_type") == "cellular", "limited").otherwise("disconnected")
+    failed = F.sum("failed_items") / F.greatest(F.sum("processed_items"), F.lit(1)) * 100
+    return syncs.groupBy(*by, network.alias("network_status")).agg(
+        rounded(F.avg("queue_after"), 4).alias("queue_depth"), rounded(failed, 4).alias("drift_percentage"), rounded(F.avg("duration_ms"), 2).alias("sync_latency"),
+        rounded(count_if(F.col("success")) / F.count("*") * 100, 4).alias("success_rate"), rounded(100 - failed, 4).alias("data_quality"),
+    )
 
 
 #: Health rules: name, measure, whether it must stay above, threshold, weight.
@@ -197,10 +227,16 @@ def audit_search(audit: DataFrame, as_of: str, actor: int | None = None, categor
     return a.orderBy(F.desc("ts"), "id").limit(limit)
 
 
-def risk_score(category: Column, outcome: Column, hour: Column, count: Column) -> Column:
-    """0 to 100 from the category, failure, hours before 6 or after 22, and the number of resources touched."""
-    base = F.when(category == "authentication", 20).when(category == "data_export", 30).when(category == "data_access", 10).otherwise(5)
-    return F.least(F.lit(100), base + F.when(outcome == "failure", 25).otherwise(0) + F.when((hour < 6) | (hour >= 22), 15).otherwise(0) + F.when(count > 1000, 30).when(count > 100, 15).otherwise(0)).cast("bigint")
+#: Fixed value: addresses of private networks.
+PRIVATE_ADDRESS = r"^(10\.|172\.(1[6-9]|2[0-9]|3[0-1])\.|192\.168\.|127\.)"
+
+
+def risk_score(outcome: Column, action: Column, address: Column) -> Column:
+    """0 to 100: 40, 60 or 20 for a failure, a block or a warning, 20 for a failed login, 30 for an address outside private networks."""
+    base = F.when(outcome == "failure", 40).when(outcome == "blocked", 60).when(outcome == "warning", 20).otherwise(0)
+    login = F.when(F.coalesce(action.contains("login"), F.lit(False)) & (outcome == "failure"), 20).otherwise(0)
+    outside = F.when((address != "") & ~address.rlike(PRIVATE_ADDRESS), 30).otherwise(0)
+    return F.least(F.lit(100), base + login + outside).cast("bigint")
 
 
 def severity(risk: Column) -> Column:
@@ -209,7 +245,7 @@ def severity(risk: Column) -> Column:
 
 def audit_statistics(audit: DataFrame) -> DataFrame:
     """Entries, failures, actors and mean risk by category and severity."""
-    risk = risk_score(F.col("category"), F.col("outcome"), F.hour("ts"), F.col("resource_count"))
+    risk = risk_score(F.col("outcome"), F.col("action"), F.col("ip_address"))
     a = audit.withColumn("risk", risk).withColumn("severity", severity(risk))
     return a.groupBy("category", "severity").agg(F.count("*").alias("entries"), count_if(F.col("outcome") == "failure").alias("failures"), F.countDistinct("actor_id").alias("actors"), rounded(F.avg("risk"), 2).alias("mean_risk"))
 

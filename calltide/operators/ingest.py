@@ -115,7 +115,7 @@ def batch_quality(records: DataFrame) -> DataFrame:
     fatal = F.exists("errors", lambda e: e.isin("number:missing", "number:invalid", "ts:missing", "ts:invalid", "ts:range"))
     g = records.agg(F.count("*").alias("records"), F.count(F.when(~fatal, 1)).alias("valid"), F.sum(F.size("errors")).alias("errors"), F.count(F.when(fatal, 1)).alias("critical"))
     n = F.greatest("records", F.lit(1))
-    score = F.col("valid") / n - F.least(F.lit(0.5), 2 * F.col("errors") / n / 10) - F.least(F.lit(0.3), 5 * F.col("critical") / n / 10)
+    score = F.col("valid") / n - F.least(F.lit(0.5), 2 * F.col("errors") / n) - F.least(F.lit(0.3), 5 * F.col("critical") / n)
     return g.select("records", "valid", "errors", F.round(F.greatest(F.lit(0.0), score), 4).alias("score"))
 
 
@@ -218,10 +218,15 @@ def layout_features(lines: DataFrame) -> DataFrame:
     return lines.agg(F.count("*").alias("lines"), F.round(F.avg(F.char_length(v)), 2).alias("mean_length"), has(r"\+?\d{10,11}|\d{3}[ .-]\d{3}[ .-]\d{4}").alias("phones"), has(r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|\b20\d{6}\b").alias("dates"), has(r"\d{1,2}:\d{2}").alias("times"), has(",").alias("commas"), has(r"\|").alias("pipes"), has("\t").alias("tabs"))
 
 
-def merge_insert(existing: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Upsert: rows of both by null-safe keys; a new value replaces the old one unless it is null. Of repeated new keys, one row's values."""
+def merge_insert(existing: DataFrame, new: DataFrame, keys: list[str], values: list[str], order: str | None = None) -> DataFrame:
+    """Upsert: rows of both by null-safe keys; a new value replaces the old one unless it is null.
+
+    Of new rows that repeat a key, one is taken whole: the one with the greatest ``order`` (a null is least) and, of equals or
+    without an order, the greatest by its values.
+    """
     on = reduce(lambda a, b: a & b, [F.col(f"e.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys])
-    n = new.groupBy(*keys).agg(*(F.max(v).alias(v) for v in values))
+    row = F.struct(*([F.col(order).alias("_order")] if order else []), *values)
+    n = new.groupBy(*keys).agg(F.max(row).alias("_row")).select(*keys, *(F.col("_row")[v].alias(v) for v in values))
     e = existing.select(*keys, *values, F.lit(True).alias("_e")).alias("e")
     out = e.join(n.select(*keys, *values, F.lit(True).alias("_n")).alias("n"), on, "full")
     return out.select(*(F.when(F.col("e._e"), F.col(f"e.{k}")).otherwise(F.col(f"n.{k}")).alias(k) for k in keys), *(F.coalesce(f"n.{v}", f"e.{v}").alias(v) for v in values))

@@ -14,7 +14,7 @@ def near_pairs(events: DataFrame, keys: list[str], seconds: float) -> DataFrame:
     """Pairs id_a < id_b with equal keys and times at most ``seconds`` apart, with both sides' fields; null keys match nothing."""
     width = int(seconds * 1_000_000)
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    fields = [c for c in ("type", "direction", "duration", "content", "source") if c in events.columns]
+    fields = [c for c in ("type", "direction", "duration", "content", "source", "line_id", "contact_id") if c in events.columns and c not in keys]
     e = events.select(*keys, "id", us.alias("us"), *fields).withColumn("bucket", F.floor(F.col("us") / max(width, 1)))
     side = lambda s: e.select(*keys, F.col("id").alias(f"id_{s}"), F.col("us").alias(f"us_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in fields), "bucket")
     first = side("x").withColumnRenamed("bucket", "own").withColumn("bucket", F.explode(F.array("own", F.col("own") + 1)))
@@ -27,15 +27,29 @@ def near_pairs(events: DataFrame, keys: list[str], seconds: float) -> DataFrame:
     return pairs.select(*keys, *both, F.abs(F.col("us_x") - F.col("us_y")).alias("gap_us"))
 
 
+#: What conflicting events share, and how many tolerances lie between them at most.
+CONFLICT_KEYS, CONFLICT_REACH = ["owner_id", "line_id", "number", "direction", "type"], 10
+
+
 def event_conflicts(events: DataFrame, tolerance: float = 1) -> DataFrame:
-    """Conflicting pairs of one owner and number: exact, time_variance or fuzzy, with a similarity of 0 to 1."""
-    p = near_pairs(events, ["owner_id", "number"], tolerance)
-    same = F.col("duration_a").eqNullSafe(F.col("duration_b"))
-    exact = (F.col("gap_us") == 0) & same & F.col("content_a").eqNullSafe(F.col("content_b"))
-    shifted = (F.col("type_a") == F.col("type_b")) & (F.col("direction_a") == F.col("direction_b")) & same
-    a, b = F.char_length("content_a"), F.char_length("content_b")
-    ratio = F.when(F.col("content_a").isNotNull() & F.col("content_b").isNotNull() & (F.greatest(a, b) > 0), F.greatest(F.lit(0.0), 1.0 - F.abs(a - b) / F.greatest(a, b))).otherwise(0.7)
-    return p.select("id_a", "id_b", F.when(exact, "exact").when(shifted, "time_variance").otherwise("fuzzy").alias("conflict"), F.when(exact, 1.0).when(shifted, 0.9).otherwise(ratio).alias("similarity"))
+    """Conflicting pairs of one owner, line, number, direction and type, at most ten tolerances apart, with a similarity.
+
+    exact: equal times and durations (or none); time_variance: within the tolerance, durations (none: 0) at most 1 s apart; else
+    fuzzy. The similarity is 1 for equal times and known durations, .9 within the tolerance, else by the lengths of contents (1
+    less what the first is longer by, as a share of the longer; over 1 where it's shorter), .7 without contents.
+    """
+    p = near_pairs(events, CONFLICT_KEYS, tolerance * CONFLICT_REACH)
+    a, b = F.col("duration_a"), F.col("duration_b")
+    near = F.col("gap_us") <= tolerance * 1_000_000
+    exact = (F.col("gap_us") == 0) & a.eqNullSafe(b)
+    zero = F.lit(0)
+    shifted = near & (F.abs(F.coalesce(a, zero) - F.coalesce(b, zero)) <= 1)
+    m, n = F.char_length("content_a"), F.char_length("content_b")
+    ratio = F.when(m.isNotNull() & n.isNotNull() & (F.greatest(m, n) > 0), F.greatest(F.lit(0.0), 1.0 - (m - n) / F.greatest(m, n))).when(m.isNotNull() & n.isNotNull(), 1.0).otherwise(0.7)
+    return p.select(
+        "id_a", "id_b", F.when(exact, "exact").when(shifted, "time_variance").otherwise("fuzzy").alias("conflict"),
+        F.when((F.col("gap_us") == 0) & (a == b), 1.0).when(near, 0.9).otherwise(ratio).alias("similarity"),
+    )
 
 
 def fill_contacts(events: DataFrame, contacts: DataFrame) -> DataFrame:

@@ -41,11 +41,29 @@ def digit_overlap(a: Column, b: Column) -> Column:
     return F.when(x == y, 1.0).otherwise(steps)
 
 
-def advanced_scores(pairs: DataFrame, tolerance: float = 30) -> DataFrame:
-    """Of pairs of events: content by edits, time by linear decay, duration by share, and their mean (content only of texts)."""
-    c = S.text_ratio(F.col("content_a"), F.col("content_b"))
-    t, d = S.time_decay(F.col("gap_us") / 1e6, tolerance), S.duration_share(F.col("duration_a"), F.col("duration_b"))
-    return pairs.select("id_a", "id_b", F.round(c, 4).alias("content_score"), F.round(t, 4).alias("time_score"), F.round(d, 4).alias("duration_score"), F.round((c + t + d) / 3, 4).alias("score"))
+def advanced_scores(pairs: DataFrame, tolerance: float = 1, duration_tolerance: float = 1, content_threshold: float = 0.85) -> DataFrame:
+    """score (0 to 1) and conflict of pairs of one number: fields that match, over the weights of those that both events have.
+
+    Line .2, direction .1, type .1 (a pair that has under .3 of these scores 0), number .25, time .25 by its decay if over .5,
+    durations of calls .1 by their difference if over .5, contents of messages .1 by edits if over the threshold, contacts .1.
+    Time decays over the tolerance within it, over ten tolerances beyond it.
+    """
+    both = lambda c: F.coalesce(F.col(f"{c}_a") == F.col(f"{c}_b"), F.lit(False))
+    gap = F.col("gap_us") / 1e6
+    core = F.when(both("line_id"), 0.2).otherwise(0.0) + F.when(both("direction"), 0.1).otherwise(0.0) + F.when(both("type"), 0.1).otherwise(0.0)
+    time = F.greatest(F.lit(0.0), F.when(gap <= tolerance, 1 - gap / tolerance).otherwise(1 - gap / (tolerance * 10)))
+    x, y = F.col("duration_a"), F.col("duration_b")
+    length = F.when(x.isNull() & y.isNull(), 1.0).when(x.isNull() | y.isNull(), 0.0).when(F.abs(x - y) <= duration_tolerance, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(x - y) / F.greatest((x + y) / 2, F.lit(1.0))))
+    content = S.text_ratio(F.col("content_a"), F.col("content_b"))
+    of = lambda kind: (F.col("type_a") == kind) & (F.col("type_b") == kind)
+    named = F.col("contact_id_a").isNotNull() & F.col("contact_id_b").isNotNull() if "contact_id_a" in pairs.columns else F.lit(False)
+    contact = F.when(named & both("contact_id"), 0.1).otherwise(0.0) if "contact_id_a" in pairs.columns else F.lit(0.0)
+    total = core + 0.25 + F.when(time > 0.5, time * 0.25).otherwise(0.0) + F.when(of("call") & (length > 0.5), length * 0.1).otherwise(0.0) + F.when(of("sms") & (content > content_threshold), content * 0.1).otherwise(0.0) + contact
+    weights = F.lit(0.9) + F.when(of("call"), 0.1).otherwise(0.0) + F.when(of("sms"), 0.1).otherwise(0.0) + F.when(named, 0.1).otherwise(0.0)
+    enough = both("line_id") & (both("direction") | both("type"))
+    score = F.round(F.when(enough, total / weights).otherwise(0.0), 4)
+    kind = F.when((score >= 0.95) & (gap <= 1), "exact").when((score >= 0.85) & (gap <= tolerance), "time_variance").otherwise("fuzzy")
+    return pairs.select("id_a", "id_b", score.alias("score"), kind.alias("conflict"))
 
 
 def new_against_existing(new: DataFrame, existing: DataFrame, seconds: int = 1) -> DataFrame:

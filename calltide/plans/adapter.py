@@ -37,8 +37,9 @@ FROM comm""",
     "audit": """
 SELECT event_id AS id, user_id AS actor_id, ts, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS outcome,
        CASE event_type WHEN 'signup' THEN 'authentication' WHEN 'error' THEN 'authentication' WHEN 'view' THEN 'data_access' WHEN 'click' THEN 'data_export' ELSE 'system' END AS category,
+       CASE event_type WHEN 'signup' THEN 'user_login' WHEN 'error' THEN 'user_login' ELSE event_type END AS action,
        CASE event_id % 4 WHEN 0 THEN 'contacts' WHEN 1 THEN 'events' WHEN 2 THEN 'rules' ELSE 'exports' END AS resource,
-       '10.0.0.' || CAST(user_id % 50 AS VARCHAR(20)) AS ip_address, CAST(floor(value * 10) AS BIGINT) AS resource_count
+       CASE WHEN user_id % 4 = 3 THEN '203.0.113.' ELSE '10.0.0.' END || CAST(user_id % 50 AS VARCHAR(20)) AS ip_address, CAST(floor(value * 10) AS BIGINT) AS resource_count
 FROM events""",
     "syncs": """
 SELECT event_id AS id, ts, CAST(floor(value * 100) AS BIGINT) AS duration_ms, event_id % 40 + 1 AS processed_items, CASE WHEN event_type = 'error' THEN event_id % 5 + 1 ELSE 0 END AS failed_items,

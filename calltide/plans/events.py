@@ -120,14 +120,14 @@ def j03_right_join(spark, sf_dir):
 
 
 #: The log with copies a little later, so that near pairs exist.
-COPIES = """, twice AS (SELECT id, owner_id, number, type, direction, duration, content, source, ts FROM comm UNION ALL
-SELECT id + 10000000, owner_id, number, type, direction, duration, content, 'carrier', ts + INTERVAL 1 SECOND FROM comm WHERE id % 5 = 0 UNION ALL
-SELECT id + 20000000, owner_id, number, type, direction, duration + 1, content, 'device', ts + INTERVAL 200 SECOND FROM comm WHERE id % 7 = 0 UNION ALL
-SELECT id + 30000000, owner_id, number, 'sms', direction, NULL, 'other', 'manual', ts + INTERVAL 20 SECOND FROM comm WHERE id % 11 = 0)"""
+COPIES = """, twice AS (SELECT id, owner_id, line_id, number, type, direction, duration, content, source, ts FROM comm UNION ALL
+SELECT id + 10000000, owner_id, line_id, number, type, direction, duration, content, 'carrier', ts + INTERVAL 1 SECOND FROM comm WHERE id % 5 = 0 UNION ALL
+SELECT id + 20000000, owner_id, line_id, number, type, direction, duration + 1, content, 'device', ts + INTERVAL 200 SECOND FROM comm WHERE id % 7 = 0 UNION ALL
+SELECT id + 30000000, owner_id, line_id, number, 'sms', direction, NULL, 'other', 'manual', ts + INTERVAL 20 SECOND FROM comm WHERE id % 11 = 0)"""
 
 
 def with_copies(spark, sf_dir) -> DataFrame:
-    c = view(spark, sf_dir, "comm").select("id", "owner_id", "number", "type", "direction", "duration", "content", "source", "ts")
+    c = view(spark, sf_dir, "comm").select("id", "owner_id", "line_id", "number", "type", "direction", "duration", "content", "source", "ts")
     later = lambda n, s: {"id": F.col("id") + n, "ts": F.col("ts") + F.expr(f"INTERVAL '{s}' SECOND")}
     a = c.where("id % 5 = 0").withColumns(later(10_000_000, 1) | {"source": F.lit("carrier")})
     b = c.where("id % 7 = 0").withColumns(later(20_000_000, 200) | {"source": F.lit("device"), "duration": F.col("duration") + 1})
@@ -135,8 +135,13 @@ def with_copies(spark, sf_dir) -> DataFrame:
     return reduce(DataFrame.unionByName, [c, a, b, d])
 
 
-PAIRS = """, pairs AS (SELECT a.id AS id_a, b.id AS id_b, abs(epoch_us(a.ts) - epoch_us(b.ts)) AS gap_us, a.type AS type_a, b.type AS type_b, a.direction AS direction_a, b.direction AS direction_b, a.duration AS duration_a, b.duration AS duration_b,
+PAIRS = """, pairs AS (SELECT a.id AS id_a, b.id AS id_b, abs(epoch_us(a.ts) - epoch_us(b.ts)) AS gap_us, a.line_id AS line_id_a, b.line_id AS line_id_b, a.type AS type_a, b.type AS type_b, a.direction AS direction_a, b.direction AS direction_b, a.duration AS duration_a, b.duration AS duration_b,
  a.content AS content_a, b.content AS content_b FROM twice a JOIN twice b ON a.owner_id = b.owner_id AND a.number = b.number AND a.id < b.id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= {0} * 1000000)"""
+#: Pairs that may conflict: within ten times a tolerance of 1 s.
+CONFLICT_PAIRS = PAIRS.format(10).replace("a.owner_id = b.owner_id", "a.owner_id = b.owner_id AND a.line_id = b.line_id AND a.direction = b.direction AND a.type = b.type")
+CONFLICT_CASES = """CASE WHEN gap_us = 0 AND duration_a IS NOT DISTINCT FROM duration_b THEN 'exact' WHEN gap_us <= 1000000 AND abs(coalesce(duration_a, 0) - coalesce(duration_b, 0)) <= 1 THEN 'time_variance' ELSE 'fuzzy' END AS conflict,
+ CASE WHEN gap_us = 0 AND duration_a = duration_b THEN 1.0::DOUBLE WHEN gap_us <= 1000000 THEN 0.9::DOUBLE
+ WHEN content_a IS NOT NULL AND content_b IS NOT NULL THEN CASE WHEN greatest(length(content_a), length(content_b)) = 0 THEN 1.0::DOUBLE ELSE greatest(0.0, 1.0 - (length(content_a) - length(content_b)) / greatest(length(content_a), length(content_b))) END ELSE 0.7::DOUBLE END AS similarity"""
 
 
 @query(with_views(COPIES + PAIRS.format(1) + "SELECT id_a, id_b, CAST(gap_us AS BIGINT) AS gap_us FROM pairs", "comm"))
@@ -191,10 +196,7 @@ def r24_cross_type_duplicates(spark, sf_dir):
     return matching.near_pairs(with_copies(spark, sf_dir), ["owner_id", "number"], 30).where("type_a <> type_b").select("id_a", "id_b")
 
 
-@query(with_views(COPIES + PAIRS.format(1) + """
-SELECT id_a, id_b, CASE WHEN gap_us = 0 AND duration_a IS NOT DISTINCT FROM duration_b AND content_a IS NOT DISTINCT FROM content_b THEN 'exact' WHEN type_a = type_b AND direction_a = direction_b AND duration_a IS NOT DISTINCT FROM duration_b THEN 'time_variance' ELSE 'fuzzy' END AS conflict,
- CASE WHEN gap_us = 0 AND duration_a IS NOT DISTINCT FROM duration_b AND content_a IS NOT DISTINCT FROM content_b THEN 1.0::DOUBLE WHEN type_a = type_b AND direction_a = direction_b AND duration_a IS NOT DISTINCT FROM duration_b THEN 0.9::DOUBLE
- WHEN content_a IS NOT NULL AND content_b IS NOT NULL AND greatest(length(content_a), length(content_b)) > 0 THEN greatest(0.0, 1.0 - abs(length(content_a) - length(content_b)) / greatest(length(content_a), length(content_b))) ELSE 0.7::DOUBLE END AS similarity FROM pairs""", "comm"))
+@query(with_views(COPIES + CONFLICT_PAIRS + "SELECT id_a, id_b, " + CONFLICT_CASES + " FROM pairs", "comm"))
 def r14_event_conflicts(spark, sf_dir):
     return matching.event_conflicts(with_copies(spark, sf_dir), 1)
 

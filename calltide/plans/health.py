@@ -44,11 +44,15 @@ def q25_performance_trend(spark, sf_dir):
     return H.performance_trend(view(spark, sf_dir, "syncs"), AS_OF)
 
 
-@query(with_views(f"""
-, p AS ({PERF}), s AS (SELECT *, CASE WHEN mean_ms > 30000 THEN 30 WHEN mean_ms > 10000 THEN 15 WHEN mean_ms > 5000 THEN 5 ELSE 0 END AS a, CASE WHEN success_rate < 0.5 THEN 40 WHEN success_rate < 0.8 THEN 20 WHEN success_rate < 0.95 THEN 10 ELSE 0 END AS b, CASE WHEN queue_growth > 1000 THEN 20 WHEN queue_growth > 0 THEN 5 ELSE 0 END AS c FROM p)
-SELECT network_type, CAST(greatest(0, 100 - a - b - c) AS BIGINT) AS score, concat_ws(',', CASE WHEN a > 0 THEN 'latency' END, CASE WHEN b > 0 THEN 'success' END, CASE WHEN c > 0 THEN 'queue' END) AS issues, CASE WHEN greatest(0, 100 - a - b - c) >= 80 THEN 'healthy' WHEN greatest(0, 100 - a - b - c) >= 50 THEN 'warning' ELSE 'critical' END AS status FROM s""", "syncs"))
+@query(with_views("""
+, p AS (SELECT network_type, CASE network_type WHEN 'wifi' THEN 'connected' WHEN 'cellular' THEN 'limited' ELSE 'disconnected' END AS network_status, round(avg(queue_after), 4) AS q, round(sum(failed_items) / greatest(sum(processed_items), 1) * 100, 4) AS d, round(avg(duration_ms), 2) AS l, round(count(*) FILTER (success) / count(*) * 100, 4) AS s, round(100 - sum(failed_items) / greatest(sum(processed_items), 1) * 100, 4) AS dq FROM syncs GROUP BY 1),
+c AS (SELECT *, CASE WHEN q > 1000 THEN 10 ELSE 0 END + CASE WHEN d > 10 THEN 5 ELSE 0 END + CASE WHEN s < 95 THEN 10 ELSE 0 END + CASE WHEN network_status = 'disconnected' THEN 10 ELSE 0 END AS issue_cost,
+ concat_ws(',', CASE WHEN q > 1000 THEN 'queue_backup' END, CASE WHEN d > 10 THEN 'data_gap' END, CASE WHEN s < 95 THEN 'performance_degradation' END, CASE WHEN network_status = 'disconnected' THEN 'network_issue' END) AS issues FROM p)
+SELECT network_type, CAST(greatest(0, least(100, floor(100.0::DOUBLE - CASE WHEN q > 0 THEN least(30, q / 1000 * 30) ELSE 0 END - CASE WHEN d > 0 THEN least(20, d / 10 * 20) ELSE 0 END - CASE WHEN l > 30000 THEN least(20, (l - 30000) / 30000 * 20) ELSE 0 END
+ - CASE WHEN s < 100 THEN (100 - s) * 0.3::DOUBLE ELSE 0 END - CASE network_status WHEN 'limited' THEN 5 WHEN 'disconnected' THEN 10 ELSE 0 END - issue_cost - CASE WHEN dq < 100 THEN (100 - dq) * 0.15::DOUBLE ELSE 0 END + 0.5))) AS BIGINT) AS score, issues FROM c""", "syncs"))
 def q26_health_score(spark, sf_dir):
-    return H.health_score(H.sync_performance(view(spark, sf_dir, "syncs"), "network_type"))
+    scored = H.health_score(H.sync_issues(H.sync_status(view(spark, sf_dir, "syncs"), "network_type")))
+    return scored.select("network_type", "score", F.array_join(F.transform("issues", lambda i: i["kind"]), ",").alias("issues"))
 
 
 RULES = f"""p AS ({PERF}), r AS (SELECT network_type, 'latency' AS rule, CAST(mean_ms AS DOUBLE) AS value, mean_ms <= 30000 AS holds, 0.3::DOUBLE AS weight FROM p UNION ALL SELECT network_type, 'success', success_rate, success_rate >= 0.9, 0.3 FROM p
@@ -150,7 +154,8 @@ def q35_processing_stats(spark, sf_dir):
     return jobs(spark, sf_dir).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("jobs"), count_if(F.col("status") == "failed").alias("failed"), F.sum("rows").alias("total_rows"))
 
 
-RISK = """a AS (SELECT *, CAST(least(100, CASE category WHEN 'authentication' THEN 20 WHEN 'data_export' THEN 30 WHEN 'data_access' THEN 10 ELSE 5 END + CASE WHEN outcome = 'failure' THEN 25 ELSE 0 END + CASE WHEN hour(ts) < 6 OR hour(ts) >= 22 THEN 15 ELSE 0 END + CASE WHEN resource_count > 1000 THEN 30 WHEN resource_count > 100 THEN 15 ELSE 0 END) AS BIGINT) AS risk FROM audit)"""
+RISK = """a AS (SELECT *, CAST(least(100, CASE outcome WHEN 'failure' THEN 40 WHEN 'blocked' THEN 60 WHEN 'warning' THEN 20 ELSE 0 END + CASE WHEN contains(action, 'login') AND outcome = 'failure' THEN 20 ELSE 0 END
+ + CASE WHEN ip_address <> '' AND NOT regexp_matches(ip_address, '^(10\\.|172\\.(1[6-9]|2[0-9]|3[0-1])\\.|192\\.168\\.|127\\.)') THEN 30 ELSE 0 END) AS BIGINT) AS risk FROM audit)"""
 
 
 @query(with_views(f", {RISK} SELECT category, CASE WHEN risk >= 75 THEN 'critical' WHEN risk >= 50 THEN 'high' WHEN risk >= 25 THEN 'medium' ELSE 'low' END AS severity, count(*) AS entries, count(*) FILTER (outcome = 'failure') AS failures, count(DISTINCT actor_id) AS actors, round(avg(risk), 2) AS mean_risk FROM a GROUP BY 1, 2", "audit"))

@@ -49,7 +49,7 @@ def e18_validation_stats(spark, sf_dir):
     return I.validation_stats(I.validate(I.normalize_records(raw(spark, sf_dir))))
 
 
-@query(with_views(NORM + ", g AS (SELECT count(*) AS records, count(*) FILTER (NOT bad_number AND NOT bad_ts) AS valid, CAST(sum(CAST(bad_number AS INT) + CAST(bad_ts AS INT) + CAST(coalesce(bad_duration, false) AS INT)) AS BIGINT) AS errors, count(*) FILTER (bad_number OR bad_ts) AS critical FROM err) SELECT records, valid, errors, round(greatest(0.0, valid / records - least(0.5, 2 * errors / records / 10) - least(0.3, 5 * critical / records / 10)), 4) AS score FROM g", "comm"))
+@query(with_views(NORM + ", g AS (SELECT count(*) AS records, count(*) FILTER (NOT bad_number AND NOT bad_ts) AS valid, CAST(sum(CAST(bad_number AS INT) + CAST(bad_ts AS INT) + CAST(coalesce(bad_duration, false) AS INT)) AS BIGINT) AS errors, count(*) FILTER (bad_number OR bad_ts) AS critical FROM err) SELECT records, valid, errors, round(greatest(0.0, valid / records - least(0.5, 2 * errors / records) - least(0.3, 5 * critical / records)), 4) AS score FROM g", "comm"))
 def e21_batch_quality(spark, sf_dir):
     return I.batch_quality(I.validate(I.normalize_records(raw(spark, sf_dir))))
 

@@ -141,11 +141,14 @@ def r20_new_against_existing(spark, sf_dir):
     return policies.new_against_existing(t.where("id >= 10000000"), t.where("id < 10000000"))
 
 
-@query(with_views(COPIES + PAIRS.format(30) + """, s AS (SELECT id_a, id_b, CASE WHEN content_a IS NULL AND content_b IS NULL THEN 1.0::DOUBLE WHEN content_a IS NULL OR content_b IS NULL THEN 0.0 WHEN greatest(length(content_a), length(content_b)) = 0 THEN 1.0 ELSE 1 - levenshtein(lower(trim(content_a)), lower(trim(content_b))) / greatest(length(trim(content_a)), length(trim(content_b))) END AS c,
- greatest(0.0::DOUBLE, 1 - gap_us / 1e6 / 60.0::DOUBLE) AS t, CASE WHEN duration_a IS NULL AND duration_b IS NULL THEN 1.0::DOUBLE WHEN duration_a IS NULL OR duration_b IS NULL THEN 0.0 WHEN greatest(duration_a, duration_b) = 0 THEN 1.0 ELSE 1 - abs(duration_a - duration_b) / greatest(duration_a, duration_b) END AS d FROM pairs)
-SELECT id_a, id_b, round(c, 4) AS content_score, round(t, 4) AS time_score, round(d, 4) AS duration_score, round((c + t + d) / 3, 4) AS score FROM s""", "comm"))
+@query(with_views(COPIES + PAIRS.format(30) + """, s AS (SELECT *, greatest(0.0::DOUBLE, CASE WHEN gap_us / 1e6 <= 10 THEN 1 - gap_us / 1e6 / 10.0::DOUBLE ELSE 1 - gap_us / 1e6 / 100.0::DOUBLE END) AS t,
+ CASE WHEN content_a IS NULL AND content_b IS NULL THEN 1.0::DOUBLE WHEN content_a IS NULL OR content_b IS NULL THEN 0.0 WHEN greatest(length(trim(content_a)), length(trim(content_b))) = 0 THEN 1.0 ELSE 1 - levenshtein(lower(trim(content_a)), lower(trim(content_b))) / greatest(length(trim(content_a)), length(trim(content_b))) END AS c,
+ CASE WHEN duration_a IS NULL AND duration_b IS NULL THEN 1.0::DOUBLE WHEN duration_a IS NULL OR duration_b IS NULL THEN 0.0 WHEN abs(duration_a - duration_b) <= 1 THEN 1.0 ELSE greatest(0.0, 1 - abs(duration_a - duration_b) / greatest((duration_a + duration_b) / 2, 1.0)) END AS d FROM pairs),
+w AS (SELECT *, CASE WHEN line_id_a = line_id_b AND (direction_a = direction_b OR type_a = type_b) THEN (0.2::DOUBLE + CASE WHEN direction_a = direction_b THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN type_a = type_b THEN 0.1::DOUBLE ELSE 0 END + 0.25::DOUBLE + CASE WHEN t > 0.5 THEN t * 0.25::DOUBLE ELSE 0 END
+ + CASE WHEN type_a = 'call' AND type_b = 'call' AND d > 0.5 THEN d * 0.1::DOUBLE ELSE 0 END + CASE WHEN type_a = 'sms' AND type_b = 'sms' AND c > 0.85 THEN c * 0.1::DOUBLE ELSE 0 END) / (0.9::DOUBLE + CASE WHEN type_a = type_b THEN 0.1::DOUBLE ELSE 0 END) ELSE 0 END AS x FROM s)
+SELECT id_a, id_b, round(x, 4) AS score, CASE WHEN round(x, 4) >= 0.95 AND gap_us <= 1000000 THEN 'exact' WHEN round(x, 4) >= 0.85 AND gap_us <= 10000000 THEN 'time_variance' ELSE 'fuzzy' END AS conflict FROM w""", "comm"))
 def r22_advanced_scores(spark, sf_dir):
-    return policies.advanced_scores(matching.near_pairs(with_copies(spark, sf_dir), ["owner_id", "number"], 30))
+    return policies.advanced_scores(matching.near_pairs(with_copies(spark, sf_dir), ["owner_id", "number"], 30), 10)
 
 
 KINDS = {"events": "viewer", "contacts": "viewer", "rules": "analyst", "audit": "admin", "billing": "owner"}

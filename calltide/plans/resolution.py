@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from calltide.operators import entity_resolution as R
 from calltide.operators import matching
 from calltide.plans.adapter import AS_OF, view, with_views
-from calltide.plans.events import COPIES, PAIRS, with_copies
+from calltide.plans.events import CONFLICT_CASES, CONFLICT_PAIRS, COPIES, PAIRS, with_copies
 from calltide.plans.registry import query
 
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -84,8 +84,8 @@ def r15_event_quality(spark, sf_dir):
     return R.event_quality(view(spark, sf_dir, "comm"), AS_OF)
 
 
-WEIGHTED = """, s AS (SELECT id_a, id_b, gap_us, type_a, type_b, 0.30::DOUBLE + CASE WHEN gap_us / 1e6 <= 1 THEN 1.0::DOUBLE WHEN gap_us / 1e6 <= 60 THEN 0.9 WHEN gap_us / 1e6 <= 300 THEN 0.8 WHEN gap_us / 1e6 <= 900 THEN 0.6 WHEN gap_us / 1e6 <= 3600 THEN 0.3 ELSE 0.0 END * 0.25::DOUBLE
- + CASE WHEN duration_a IS NULL AND duration_b IS NULL THEN 1.0::DOUBLE WHEN duration_a IS NULL OR duration_b IS NULL THEN 0.5 WHEN abs(duration_a - duration_b) <= 1 THEN 1.0 WHEN abs(duration_a - duration_b) <= 5 THEN 0.9 WHEN abs(duration_a - duration_b) <= 30 THEN 0.7 WHEN abs(duration_a - duration_b) <= 60 THEN 0.4 ELSE 0.0 END * 0.15::DOUBLE
+WEIGHTED = """, s AS (SELECT id_a, id_b, gap_us, type_a, type_b, 0.30::DOUBLE + CASE WHEN gap_us = 0 THEN 1.0::DOUBLE WHEN gap_us / 1e6 <= 60 THEN 0.9 WHEN gap_us / 1e6 <= 300 THEN 0.8 WHEN gap_us / 1e6 <= 900 THEN 0.6 WHEN gap_us / 1e6 <= 3600 THEN 0.4 WHEN gap_us / 1e6 <= 86400 THEN 0.2 ELSE 0.0 END * 0.25::DOUBLE
+ + CASE WHEN coalesce(duration_a, 0) = coalesce(duration_b, 0) THEN 1.0::DOUBLE ELSE (SELECT CASE WHEN x <= 0.05 THEN 0.9::DOUBLE WHEN x <= 0.15 THEN 0.7 WHEN x <= 0.3 THEN 0.5 WHEN x <= 0.5 THEN 0.3 ELSE 0.1 END FROM (SELECT abs(coalesce(duration_a, 0) - coalesce(duration_b, 0)) / greatest(coalesce(duration_a, 0), coalesce(duration_b, 0)) AS x)) END * 0.15::DOUBLE
  + CASE WHEN content_a IS NULL AND content_b IS NULL THEN 1.0::DOUBLE WHEN len(list_distinct(wa || wb)) = 0 THEN 1.0 ELSE len(list_intersect(wa, wb)) / len(list_distinct(wa || wb)) END * 0.20::DOUBLE + CASE WHEN type_a = type_b THEN 1.0::DOUBLE ELSE 0.0 END * 0.10::DOUBLE AS s
  FROM (SELECT *, list_filter(list_distinct(regexp_split_to_array(lower(coalesce(content_a, '')), '\\W+')), lambda w: w <> '') AS wa, list_filter(list_distinct(regexp_split_to_array(lower(coalesce(content_b, '')), '\\W+')), lambda w: w <> '') AS wb FROM pairs))"""
 
@@ -95,7 +95,7 @@ def r07_weighted_similarity(spark, sf_dir):
     return R.weighted_similarity(matching.near_pairs(with_copies(spark, sf_dir), ["owner_id", "number"], 300)).select("id_a", "id_b", "similarity")
 
 
-@query(with_views(COPIES + PAIRS.format(300) + """, s AS (SELECT id_a, id_b, round(0.4::DOUBLE + CASE WHEN gap_us / 1e6 <= 60 THEN 1.0::DOUBLE WHEN gap_us / 1e6 <= 300 THEN 0.9 ELSE 0.8 END * 0.3::DOUBLE + CASE WHEN type_a = type_b THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN direction_a = direction_b THEN 0.15::DOUBLE ELSE 0 END, 4) AS similarity FROM pairs)
+@query(with_views(COPIES + PAIRS.format(300) + """, s AS (SELECT id_a, id_b, round(0.4::DOUBLE + 0.3::DOUBLE + CASE WHEN type_a = type_b THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN direction_a = direction_b THEN 0.15::DOUBLE ELSE 0 END, 4) AS similarity FROM pairs)
 SELECT * FROM s WHERE similarity >= 0.85""", "comm"))
 def r11_similar_events(spark, sf_dir):
     return R.similar_events(with_copies(spark, sf_dir))
@@ -106,26 +106,24 @@ def conflicts_and_quality(spark, sf_dir):
     return events, matching.event_conflicts(events, 1), R.event_quality(events, AS_OF)
 
 
-CONFLICTS = """, c AS (SELECT id_a, id_b, CASE WHEN gap_us = 0 AND duration_a IS NOT DISTINCT FROM duration_b AND content_a IS NOT DISTINCT FROM content_b THEN 'exact' WHEN type_a = type_b AND direction_a = direction_b AND duration_a IS NOT DISTINCT FROM duration_b THEN 'time_variance' ELSE 'fuzzy' END AS conflict,
- CASE WHEN gap_us = 0 AND duration_a IS NOT DISTINCT FROM duration_b AND content_a IS NOT DISTINCT FROM content_b THEN 1.0::DOUBLE WHEN type_a = type_b AND direction_a = direction_b AND duration_a IS NOT DISTINCT FROM duration_b THEN 0.9::DOUBLE
- WHEN content_a IS NOT NULL AND content_b IS NOT NULL AND greatest(length(content_a), length(content_b)) > 0 THEN greatest(0.0, 1.0 - abs(length(content_a) - length(content_b)) / greatest(length(content_a), length(content_b))) ELSE 0.7::DOUBLE END AS similarity FROM pairs), """ + QUALITY.format("0", "twice") + """,
+CONFLICTS = ", c AS (SELECT id_a, id_b, " + CONFLICT_CASES + """ FROM pairs), """ + QUALITY.format("0", "twice") + """,
 res AS (SELECT c.*, a.quality AS quality_a, b.quality AS quality_b, CASE WHEN similarity >= 0.9 AND abs(a.quality - b.quality) > 0.2 THEN 'automatic' WHEN similarity >= 0.8 AND abs(a.quality - b.quality) <= 0.1 THEN 'merge' ELSE 'manual' END AS strategy, CASE WHEN a.quality >= b.quality THEN id_a ELSE id_b END AS keep
  FROM c JOIN quality a ON a.id = id_a JOIN quality b ON b.id = id_b)"""
 
 
-@query(with_views(COPIES + PAIRS.format(1) + CONFLICTS + " SELECT * FROM res", "comm"))
+@query(with_views(COPIES + CONFLICT_PAIRS + CONFLICTS + " SELECT * FROM res", "comm"))
 def r16_resolutions(spark, sf_dir):
     _, conflicts, quality = conflicts_and_quality(spark, sf_dir)
     return R.resolutions(conflicts, quality)
 
 
-@query(with_views(COPIES + PAIRS.format(1) + CONFLICTS + " SELECT conflict, count(*) AS conflicts, count(*) FILTER (strategy = 'automatic') AS automatic, count(*) FILTER (strategy = 'merge') AS merged, count(*) FILTER (strategy = 'manual') AS manual, round(avg(similarity), 4) AS similarity FROM res GROUP BY 1", "comm"))
+@query(with_views(COPIES + CONFLICT_PAIRS + CONFLICTS + " SELECT conflict, count(*) AS conflicts, count(*) FILTER (strategy = 'automatic') AS automatic, count(*) FILTER (strategy = 'merge') AS merged, count(*) FILTER (strategy = 'manual') AS manual, round(avg(similarity), 4) AS similarity FROM res GROUP BY 1", "comm"))
 def r17_conflict_metrics(spark, sf_dir):
     _, conflicts, quality = conflicts_and_quality(spark, sf_dir)
     return R.conflict_metrics(R.resolutions(conflicts, quality))
 
 
-@query(with_views(COPIES + PAIRS.format(1) + CONFLICTS + """, m AS (SELECT res.*, CASE WHEN keep = id_a THEN a.duration ELSE b.duration END AS d1, CASE WHEN keep = id_a THEN b.duration ELSE a.duration END AS d2, CASE WHEN keep = id_a THEN a.content ELSE b.content END AS c1, CASE WHEN keep = id_a THEN b.content ELSE a.content END AS c2,
+@query(with_views(COPIES + CONFLICT_PAIRS + CONFLICTS + """, m AS (SELECT res.*, CASE WHEN keep = id_a THEN a.duration ELSE b.duration END AS d1, CASE WHEN keep = id_a THEN b.duration ELSE a.duration END AS d2, CASE WHEN keep = id_a THEN a.content ELSE b.content END AS c1, CASE WHEN keep = id_a THEN b.content ELSE a.content END AS c2,
  CASE WHEN keep = id_a THEN a.source ELSE b.source END AS source FROM res JOIN twice a ON a.id = id_a JOIN twice b ON b.id = id_b)
 SELECT id_a, id_b, keep, CAST(CASE WHEN abs(d1 - d2) <= 2 THEN greatest(d1, d2) ELSE coalesce(d1, d2) END AS BIGINT) AS duration, coalesce(c1, c2) AS content, source FROM m""", "comm"))
 def r19_merged_pairs(spark, sf_dir):
@@ -140,12 +138,12 @@ def r21_server_wins(spark, sf_dir):
     return R.server_wins(local, remote).withColumn("duration", F.col("duration").cast("bigint"))
 
 
-@query(with_views(COPIES + PAIRS.format(1) + CONFLICTS + " SELECT id_a, id_b, conflict, CASE conflict WHEN 'exact' THEN 'critical' WHEN 'time_variance' THEN 'high' ELSE 'medium' END AS priority, conflict = 'fuzzy' AS manual FROM c", "comm"))
+@query(with_views(COPIES + CONFLICT_PAIRS + CONFLICTS + " SELECT id_a, id_b, conflict, CASE conflict WHEN 'exact' THEN 'critical' WHEN 'time_variance' THEN 'high' ELSE 'medium' END AS priority, conflict = 'fuzzy' AS manual FROM c", "comm"))
 def r23_triage(spark, sf_dir):
     return R.triage(matching.event_conflicts(with_copies(spark, sf_dir), 1))
 
 
-@query(with_views(COPIES + f", k AS (SELECT count(*) AS before, count(DISTINCT {EXACT}) AS after FROM twice), r AS (SELECT *, (before - after) / greatest(before, 1) AS rate FROM k) SELECT before, after, round(greatest(0.0, least(1.0, 0.8::DOUBLE + rate * 0.3::DOUBLE - CASE WHEN rate > 0.5 THEN rate - 0.5 ELSE 0 END)), 4) AS quality FROM r", "comm"))
+@query(with_views(COPIES + f", k AS (SELECT count(*) AS before, count(DISTINCT {EXACT}) AS after FROM twice), r AS (SELECT *, (before - after) / greatest(before, 1) AS rate FROM k) SELECT before, after, round(greatest(0.0, least(1.0, 0.8::DOUBLE + rate * 0.3::DOUBLE - CASE WHEN rate > 0.5 THEN (rate - 0.5) * 0.4 ELSE 0 END)), 4) AS quality FROM r", "comm"))
 def r05_dedup_quality(spark, sf_dir):
     events = with_copies(spark, sf_dir)
     return R.dedup_quality(events, R.first_of_key(events, R.composite_key()))

@@ -44,7 +44,11 @@ def read_csv(spark: SparkSession, path: str, mapping: dict[str, str] | None = No
     schema = ", ".join(f"`{n}` string" for n in [*names, "corrupt"])
     raw = spark.read.schema(schema).option("sep", sep).option("header", at == 0).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").csv(path)
     if at:
-        raw = raw.where(F.col(f"`{names[0]}`") != rows[at][0])
+        # The header, and what stands before it, are known lines of the sample: rows equal to one of them go, all others stay.
+        width = len(names)
+        known = [[v or None for v in (row + [None] * width)[:width]] for row in rows[: at + 1]]
+        same = lambda row: reduce(lambda a, b: a & b, [F.col(f"`{n}`").eqNullSafe(F.lit(v)) for n, v in zip(names, row, strict=True)])
+        raw = raw.where(~reduce(lambda a, b: a | b, map(same, known)))
     if mapping is None:
         mapping = {f: h for f, (h, _) in map_fields(names).items()}
     out = raw.select(*(F.col(f"`{mapping[f]}`").alias(f) if f in mapping else F.lit(None).cast("string").alias(f) for f in FIELDS), "corrupt")
