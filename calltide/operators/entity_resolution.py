@@ -185,18 +185,33 @@ def server_wins(local: DataFrame, remote: DataFrame) -> DataFrame:
     return out.select("id", pick("duration"), pick("content"), pick("source"), F.when(F.col("_there"), "remote").otherwise("local").alias("origin"))
 
 
-def staged_duplicates(events: DataFrame, tolerance: int = 300, threshold: float = 0.7) -> DataFrame:
+def content_words(content: Column) -> Column:
+    """What contents alike share: their distinct words, in order."""
+    return F.array_join(F.array_sort(S.words(content)), " ")
+
+
+def staged_duplicates(events: DataFrame, tolerance: int = 300, threshold: float = 0.7, by_content: bool = False) -> DataFrame:
     """id, duplicate_of and stage of events found by the exact key, then the bucketed key, then weighted similarity.
 
     Each stage sees what the earlier ones have left; an event is a duplicate of the earliest of its key or of a pair's smaller id.
+    Events of one exact key have one bucketed key, too, so each stage works on the first events that the one before it has
+    grouped: rows with copies are aggregated in their tasks and shuffled once. With ``by_content`` what the three stages leave of
+    an owner's events with contents of over 10 characters and the same words are duplicates of the earliest (stage ``content``).
     """
-    out, left = None, events
-    for stage, key in (("exact", composite_key(F.coalesce(F.col("duration").cast("string"), F.lit("-")))), ("bucketed", bucketed_key(tolerance))):
-        keyed = left.select("id", "ts", key.alias("k"))
-        first = keyed.groupBy("k").agg(F.min_by("id", F.struct("ts", "id")).alias("duplicate_of"))
-        found = keyed.join(first, "k").where("id <> duplicate_of").select("id", "duplicate_of", F.lit(stage).alias("stage"))
-        out = found if out is None else out.unionByName(found)
-        left = left.join(found.select("id"), "id", "left_anti")
-    pairs = weighted_similarity(near_pairs(left, ["owner_id", "number"], tolerance)).where(F.col("similarity") >= threshold)
-    found = pairs.groupBy(F.col("id_b").alias("id")).agg(F.min("id_a").alias("duplicate_of")).withColumn("stage", F.lit("fuzzy"))
-    return out.unionByName(found)
+    fields = ["ts", "id", "owner_id", "number", "type", "direction", "duration", "content"]
+    first = lambda df, key, more: df.groupBy(key).agg(F.min(F.struct(*fields, *more)).alias("f"))
+    keyed = events.select(*fields, composite_key(F.coalesce(F.col("duration").cast("string"), F.lit("-"))).alias("k1"))
+    firsts = first(keyed, "k1", [])
+    exact = keyed.select("id", "k1").join(firsts.select("k1", F.col("f.id").alias("duplicate_of")), "k1").where("id <> duplicate_of")
+    one = firsts.select("f.*").withColumn("k2", bucketed_key(tolerance))
+    seconds = first(one, "k2", [])
+    bucketed = one.select("id", "k2").join(seconds.select("k2", F.col("f.id").alias("duplicate_of")), "k2").where("id <> duplicate_of")
+    two = seconds.select("f.*")
+    pairs = weighted_similarity(near_pairs(two, ["owner_id", "number"], tolerance)).where(F.col("similarity") >= threshold)
+    fuzzy = pairs.groupBy(F.col("id_b").alias("id")).agg(F.min("id_a").alias("duplicate_of"))
+    stages = [("exact", exact), ("bucketed", bucketed), ("fuzzy", fuzzy)]
+    if by_content:
+        left = two.where(F.char_length("content") > 10).join(fuzzy.select("id"), "id", "left_anti").select("id", "ts", "owner_id", content_words(F.col("content")).alias("words"))
+        earliest = left.groupBy("owner_id", "words").agg(F.min_by("id", F.struct("ts", "id")).alias("duplicate_of"))
+        stages.append(("content", left.join(earliest, ["owner_id", "words"]).where("id <> duplicate_of")))
+    return reduce(DataFrame.unionByName, [df.select("id", "duplicate_of", F.lit(stage).alias("stage")) for stage, df in stages])

@@ -77,18 +77,25 @@ def apply_mapping(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 def normalize_records(raw: DataFrame) -> DataFrame:
     """Fields, an array of errors (field:reason) and quality: the share of filled fields that could be read. Other columns stay."""
-    number, ts, duration = N.e164(F.col("number")), N.event_time(F.col("ts")), N.duration_seconds(F.col("duration"))
-    kind, way = N.event_type(F.col("type")), N.direction(F.col("direction"))
-    content = F.substring(F.regexp_replace("content", r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), 1, 10_000)
     given = lambda c: F.col(c).isNotNull() & (F.trim(F.col(c)) != "")
-    bad = [(c, given(c) & v.isNull()) for c, v in (("number", number), ("ts", ts), ("duration", duration), ("type", kind), ("direction", way))]
-    missing = [(c, ~given(c)) for c in ("number", "ts")]
-    errors = F.filter(F.array(*(F.when(p, F.lit(f"{c}:invalid")) for c, p in bad), *(F.when(p, F.lit(f"{c}:missing")) for c, p in missing)), lambda e: e.isNotNull())
-    filled = sum(given(c).cast("int") for c, _ in bad)
-    failed = sum(p.cast("int") for _, p in bad)
     rest = [c for c in raw.columns if c not in FIELDS]
-    return raw.select(
-        *rest, number.alias("number"), ts.alias("ts"), duration.alias("duration"), F.coalesce(kind, F.lit("call")).alias("type"), F.coalesce(way, F.lit("outbound")).alias("direction"), content.alias("content"),
+    content = F.substring(F.regexp_replace("content", r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), 1, 10_000)
+    # Texts, then shapes, then values, then errors: what a later step uses more than once is worked out in an earlier one.
+    texts = raw.select(*rest, *(F.col(c) for c in FIELDS), N.time_zone(F.col("ts")).alias("_zone"), N.phone_clean(F.col("number")).alias("_phone"), N.duration_parts(F.col("duration")).alias("_hms"))
+    bare = texts.withColumn("_bare", N.time_bare(F.col("ts"), F.col("_zone")))
+    shaped = bare.withColumn("_shape", N.time_shape(F.col("_bare")))
+    shaped = shaped.withColumn("_iso", N.time_iso(F.col("_bare"), F.col("_shape")))
+    values = shaped.select(
+        *rest, *(given(c).alias(f"_given_{c}") for c in FIELDS if c != "content"), N.e164_of(F.col("_phone")).alias("number"), N.time_of(F.col("_iso"), F.col("_zone"), F.col("_bare"), F.col("_shape")).alias("ts"),
+        N.duration_of(F.col("_hms")).alias("duration"), N.event_type(F.col("type")).alias("type"), N.direction(F.col("direction")).alias("direction"), content.alias("content"),
+    )
+    bad = [(c, F.col(f"_given_{c}") & F.col(c).isNull()) for c in ("number", "ts", "duration", "type", "direction")]
+    missing = [(c, ~F.col(f"_given_{c}")) for c in ("number", "ts")]
+    errors = F.array_compact(F.array(*(F.when(p, F.lit(f"{c}:invalid")) for c, p in bad), *(F.when(p, F.lit(f"{c}:missing")) for c, p in missing)))
+    filled = sum(F.col(f"_given_{c}").cast("int") for c, _ in bad)
+    failed = sum(p.cast("int") for _, p in bad)
+    return values.select(
+        *rest, "number", "ts", "duration", F.coalesce("type", F.lit("call")).alias("type"), F.coalesce("direction", F.lit("outbound")).alias("direction"), "content",
         errors.alias("errors"), F.round((filled - failed) / F.greatest(filled, F.lit(1)), 4).alias("quality"),
     )
 

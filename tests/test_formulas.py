@@ -3,7 +3,9 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from calltide.functions import normalize as N
 from calltide.operators import entity_resolution, health, ingest, matching, policies, vectors
 from calltide.sources import readers
 
@@ -89,3 +91,27 @@ def test_guard_cannot_be_bypassed(spark, sql):
     with pytest.raises(vectors.UnsafeQuery):
         vectors.guarded(spark, sql, {"comm": spark.range(2)})
     spark.catalog.dropTempView("secrets")
+
+
+def test_times_of_each_shape_and_none_else(spark):
+    good = ["2024-01-05T10:20:30.5Z", "2024-01-05t10:20:30", "01/05/2024 10:20:30 am", "01/05/2024 10:20", "01-05-2024", "20240105 102030", "20240105102030", "2024-01-05 05:20:30 EST", "1704450030", "1704450030000"]
+    day = {"01/05/2024 10:20": 1704450000, "01-05-2024": 1704412800}
+    bad = ["2024-13-05", "02/30/2024", "1/5/2024", "2024-01-05 25:00", "01/05/2024 13:20 PM", "2024-01-05 10:20:30 XYZ", "12345", "", "  ", None]
+    df = spark.createDataFrame([(v,) for v in good + bad], "v string")
+    got = {r[0]: r[1] for r in df.select("v", F.unix_timestamp(N.event_time(F.col("v")))).collect()}
+    assert got == {**{v: day.get(v, 1704450030) for v in good}, **dict.fromkeys(bad)}
+
+
+def test_durations_beyond_any_number_are_null(spark):
+    df = spark.createDataFrame([(v,) for v in ["1000000h", "99999999999999999999", "24:00:00", "1h3s", "5.7", "90 mins", "-5", "h"]], "v string")
+    assert [r[0] for r in df.select(N.duration_seconds(F.col("v"))).collect()] == [None, None, 86_400, 3603, 5, 5400, None, None]
+
+
+def test_stages_of_duplicates(spark):
+    sms = lambda i, s, text: event(i, s, type="sms", duration=None, content=text)
+    rows = [event(1), event(2), event(3, 1, duration=11), sms(4, 5000, "see you at the station"), sms(5, 90_000, "The station: see you at"), sms(6, 180_000, "short"), sms(7, 270_000, "short")]
+    df = spark.createDataFrame(rows, EVENT)
+    first = {(2, 1, "exact"), (3, 1, "bucketed")}
+    assert set(map(tuple, entity_resolution.staged_duplicates(df).collect())) == first
+    assert set(map(tuple, entity_resolution.staged_duplicates(df, by_content=True).collect())) == first | {(5, 4, "content")}
+    assert entity_resolution.staged_duplicates(df.limit(0), by_content=True).collect() == []
