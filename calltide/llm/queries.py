@@ -1,4 +1,4 @@
-"""The queries of the ten operators over their whole tables, and the SQL that checks those which SQL can express."""
+"""The queries of the operators over their whole tables, and the SQL that checks those which SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.llm import decontamination, line_dedup, media, packing, secret_scan, simhash, substring_dedup, token_count, toxicity, warc
+from calltide.llm import decontamination, line_dedup, media, packing, quality, secret_scan, simhash, spelling, substring_dedup, token_count, toxicity, warc, whitening
 from calltide.llm.common import table
 
 
@@ -61,8 +61,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), noise=spelling.NOISE)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "one")
+    return out.select("vec_id", "n", "deviation", "identity_error", each).select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "one.whitened", "one.explained", "identity_error")
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_decontamination, op4_token_count, op5_secret_scan, op6_simhash, op7_warc, op8_substring_dedup, op9_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_decontamination, op4_token_count, op5_secret_scan, op6_simhash, op7_warc, op8_substring_dedup, op9_packing, op10_line_dedup, op11_spelling_variants, op12_whitening, op13_quality)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

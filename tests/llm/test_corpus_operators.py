@@ -794,10 +794,11 @@ def test_filters_and_payloads_are_skipped(spark, pages, tmp_path):
 
 def test_round_trip_pushes_record_types_down(spark, pages):
     """Nothing is left to filter after either read, and each read passes over the other kind of record."""
+    payloads = {html or "" for _, _, html, *_ in pages[0]}
     back = warc.archive_round_trip(pages[1])
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BatchScan calltide_warc") == 2 and "Filter " not in plan
-    for kind, n in (("response", 5), ("revisit", 3)):
+    for kind, n in (("response", len(payloads)), ("revisit", len(pages[0]) - len(payloads))):
         assert back.where(f"record_type = '{kind}'").count() == n
 
 
