@@ -204,11 +204,12 @@ def train(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityCon
     rows = rows.groupBy("id", "label").agg(F.min(F.struct("text", *(f"m{k}" for k in range(len(beside))))).alias("r"))
     rows = rows.select("label", (F.pmod(F.xxhash64("id", F.lit(11)), F.lit(5)) == 0).alias("back"), "r.*")
     got = rows.mapInArrow(partial(_sample, c=c), "label int, back boolean, at array<int>, value array<float>, numbers array<double>").toArrow()
-    got = got.take(np.lexsort(np.array(got.column("numbers").to_pylist(), np.float64).reshape(len(got), -1).T))  # an order that doesn't depend on partitions
-    y, back = np.asarray(got.column("label")).astype(np.float32), got.column("back").to_numpy().astype(bool)
-    if len(set(y.tolist())) < 2:
+    if len(set(got.column("label").to_pylist())) < 2:
         return Machine(c, base=float(found[1] / (found[0] + found[1])))
     numbers = np.array(got.column("numbers").to_pylist(), np.float64)
+    order = np.lexsort(numbers.T)  # doesn't depend on partitions
+    got, numbers = got.take(order), numbers[order]
+    y, back = np.asarray(got.column("label")).astype(np.float32), got.column("back").to_numpy().astype(bool)
     m = Machine(c)
     m.edges = np.array([np.nanquantile(v, np.arange(1, c.bins) / c.bins) if not np.isnan(v).all() else np.zeros(c.bins - 1) for v in numbers.T])
     x = dense(list(zip((np.array(a, np.int64) for a in got.column("at").to_pylist()), got.column("value").to_pylist(), strict=True)), numbers, m)
