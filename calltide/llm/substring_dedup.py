@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from calltide.llm.common import Stored
 
@@ -196,10 +197,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Words are runs of anything but U+0020 and U+0009 to U+000D, unchanged. Each word that a window of ``window`` words covers
     goes if the window's words also start somewhere in a document with a smaller id; windows are judged on the texts as given.
-    Ids are whole numbers. Null texts are empty. Rows of one id are one document; a row with a null id is no document: it keeps
+    Ids are whole numbers (a TypeError else). Null texts are empty. Rows of one id are one document; a row with a null id is no document: it keeps
     all its words and removes none of others. Other columns aren't read. ``window`` is at least twice ``shortest``. ``seen``
     takes, for each level's length, how many places had survived it.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} is no column of whole numbers")
     lengths, spark, kept = levels(window, shortest), docs.sparkSession, Stored(docs.sparkSession, "substring-dedup")
     if len(lengths) < 2:
         raise ValueError(f"a window of {window} words has no level of {shortest} words or more below it")
@@ -229,13 +232,18 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marks = kept.write(marks, "marks")
     texts = rows.where("id IS NOT NULL").join(marks.hint("merge"), ["id", "t"])
     texts = kept.write_bucketed(texts, "texts", int(spark.conf.get("spark.sql.shuffle.partitions")), "id", "t")  # texts aren't shuffled again
-    found = texts.mapInArrow(partial(_last_level, window=window, lengths=lengths), "id bigint, t int, at array<int>, h1 array<bigint>, h2 array<int>, look array<boolean>")
-    windows = kept.write(found.select("id", "t", F.explode(F.arrays_zip("at", "h1", "h2", "look")).alias("w")).select("id", "t", "w.*"), f"windows-{window}")
-    first = kept.write(firsts(windows, "h1", "h2"), f"firsts-{window}")
-    again = windows.where("look").select("id", "t", "at", "h1", "h2").join(first.hint("merge"), ["h1", "h2"]).where("id > first")
-    starts = kept.write(again.groupBy("id", "t").agg(F.array_sort(F.collect_set("at")).alias("starts")), "starts")
-    kept.drop(alive, marks, windows, first)
-    cut = texts.select("id", "t", "text").join(starts.hint("merge"), ["id", "t"]).mapInArrow(partial(_cut, window=window, digest=digest), "id bigint, t int, n_removed bigint, left string")
+    try:  # the catalog's entry for the texts goes, whatever happens
+        found = texts.mapInArrow(partial(_last_level, window=window, lengths=lengths), "id bigint, t int, at array<int>, h1 array<bigint>, h2 array<int>, look array<boolean>")
+        windows = kept.write(found.select("id", "t", F.explode(F.arrays_zip("at", "h1", "h2", "look")).alias("w")).select("id", "t", "w.*"), f"windows-{window}")
+        first = kept.write(firsts(windows, "h1", "h2"), f"firsts-{window}")
+        again = windows.where("look").select("id", "t", "at", "h1", "h2").join(first.hint("merge"), ["h1", "h2"]).where("id > first")
+        starts = kept.write(again.groupBy("id", "t").agg(F.array_sort(F.collect_set("at")).alias("starts")), "starts")
+        kept.drop(alive, marks, windows, first)
+        cut = texts.select("id", "t", "text").join(starts.hint("merge"), ["id", "t"]).mapInArrow(partial(_cut, window=window, digest=digest), "id bigint, t int, n_removed bigint, left string")
+        cut = kept.write(cut, "cut")
+        kept.drop(starts)
+    finally:
+        kept.drop(texts)
     gone = cut.unionByName(copies.select("id", "t", F.lit(None).cast("bigint").alias("n_removed"), F.lit(keep([], digest)).alias("left")))
     out = scan.select("id", "t", "n_words", "kept").join(gone.dropDuplicates(["id", "t"]).hint("merge"), ["id", "t"], "left")
     removed = F.when(F.col("left").isNull(), 0).otherwise(F.coalesce("n_removed", "n_words")).cast("bigint")

@@ -734,6 +734,14 @@ def test_runs_are_joined_and_compacted_without_shuffles_or_sorts(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("calltide_")]
 
 
+def test_substrings_take_whole_number_ids_and_leave_no_table(spark, docs):
+    with pytest.raises(TypeError):
+        substring_dedup.dedup_substrings(docs.selectExpr("cast(doc_id AS string) AS doc_id", "text"))
+    before = {t.name for t in spark.catalog.listTables()}
+    out = substring_dedup.dedup_substrings(docs)
+    assert {t.name for t in spark.catalog.listTables()} == before and out.count() == docs.count()
+
+
 def test_line_dedup_takes_whole_number_ids_and_any_other_columns(spark):
     with pytest.raises(TypeError):
         line_dedup.dedup_lines(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
