@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from calltide.functions import similarity as S
 from calltide.functions.normalize import digits
 from calltide.operators.dashboards import moment
+from calltide.operators.lineage import cut
 from calltide.operators.matching import near_pairs
+from calltide.operators.set_join import similar_sets
 
 #: How far a source is trusted.
 SOURCE_TRUST = {"carrier": 0.9, "device": 0.7, "manual": 0.5}
@@ -185,18 +187,38 @@ def server_wins(local: DataFrame, remote: DataFrame) -> DataFrame:
     return out.select("id", pick("duration"), pick("content"), pick("source"), F.when(F.col("_there"), "remote").otherwise("local").alias("origin"))
 
 
-def content_words(content: Column) -> Column:
-    """What contents alike share: their distinct words, in order."""
-    return F.array_join(F.array_sort(S.words(content)), " ")
+def to_roots(links: DataFrame) -> DataFrame:
+    """id, duplicate_of and stage with each ``duplicate_of`` followed to an event that is no duplicate itself.
+
+    Each pass puts the target's own target in the place of the target, so the way doubles; links have no circle.
+    """
+    at = cut(links.select("id", "duplicate_of", "stage"))
+    while True:
+        step = at.select(F.col("id").alias("duplicate_of"), F.col("duplicate_of").alias("next"))
+        at = cut(at.drop("more").join(step, "duplicate_of", "left").select("id", F.coalesce("next", "duplicate_of").alias("duplicate_of"), "stage", F.col("next").isNotNull().alias("more")))
+        if at.where("more").isEmpty():
+            return at.drop("more")
+
+
+def similar_contents(events: DataFrame, threshold: float = 0.8, min_chars: int = 10) -> DataFrame:
+    """id and duplicate_of, the smallest id of the owner's events whose contents share ``threshold`` of their distinct words or more.
+
+    Only contents of over ``min_chars`` characters that have words are compared, and only events with a smaller similar one are returned.
+    """
+    long = events.where(F.char_length("content") > min_chars).select("id", "owner_id", S.words(F.col("content")).alias("words")).where(F.size("words") > 0)
+    members, pairs = similar_sets(long, threshold, ("owner_id",))
+    smaller = pairs.groupBy(F.col("rep_b").alias("rep")).agg(F.min("rep_a").alias("least"))  # a class's smallest id stands for it
+    found = members.join(smaller, "rep", "left").select("id", F.coalesce("least", "rep").alias("duplicate_of"))
+    return found.where("duplicate_of < id")
 
 
-def staged_duplicates(events: DataFrame, tolerance: int = 300, threshold: float = 0.7, by_content: bool = False) -> DataFrame:
-    """id, duplicate_of and stage of events found by the exact key, then the bucketed key, then weighted similarity.
+def staged_duplicates(events: DataFrame, tolerance: int = 300, threshold: float = 0.7, by_content: bool = False, content_threshold: float = 0.8, min_chars: int = 10) -> DataFrame:
+    """id, duplicate_of and stage of events found by the exact key, the bucketed key, weighted similarity, and (``by_content``) contents.
 
-    Each stage sees what the earlier ones have left; an event is a duplicate of the earliest of its key or of a pair's smaller id.
-    Events of one exact key have one bucketed key, too, so each stage works on the first events that the one before it has
-    grouped: rows with copies are aggregated in their tasks and shuffled once. With ``by_content`` what the three stages leave of
-    an owner's events with contents of over 10 characters and the same words are duplicates of the earliest (stage ``content``).
+    Each stage sees what the earlier ones have left; an event is a duplicate of the earliest of its key, of a pair's smaller id,
+    or of the smallest id with similar contents (:func:`similar_contents`); all of these are followed to events that are no
+    duplicates. Events of one exact key have one bucketed key, too, so each stage works on the first events that the one before
+    it has grouped: rows with copies are aggregated in their tasks and shuffled once.
     """
     fields = ["ts", "id", "owner_id", "number", "type", "direction", "duration", "content"]
     first = lambda df, key, more: df.groupBy(key).agg(F.min(F.struct(*fields, *more)).alias("f"))
@@ -206,12 +228,10 @@ def staged_duplicates(events: DataFrame, tolerance: int = 300, threshold: float
     one = firsts.select("f.*").withColumn("k2", bucketed_key(tolerance))
     seconds = first(one, "k2", [])
     bucketed = one.select("id", "k2").join(seconds.select("k2", F.col("f.id").alias("duplicate_of")), "k2").where("id <> duplicate_of")
-    two = seconds.select("f.*")
+    two = cut(seconds.select("f.*"))  # two stages work on it, one of them through several joins
     pairs = weighted_similarity(near_pairs(two, ["owner_id", "number"], tolerance)).where(F.col("similarity") >= threshold)
-    fuzzy = pairs.groupBy(F.col("id_b").alias("id")).agg(F.min("id_a").alias("duplicate_of"))
+    fuzzy = cut(pairs.groupBy(F.col("id_b").alias("id")).agg(F.min("id_a").alias("duplicate_of")))
     stages = [("exact", exact), ("bucketed", bucketed), ("fuzzy", fuzzy)]
     if by_content:
-        left = two.where(F.char_length("content") > 10).join(fuzzy.select("id"), "id", "left_anti").select("id", "ts", "owner_id", content_words(F.col("content")).alias("words"))
-        earliest = left.groupBy("owner_id", "words").agg(F.min_by("id", F.struct("ts", "id")).alias("duplicate_of"))
-        stages.append(("content", left.join(earliest, ["owner_id", "words"]).where("id <> duplicate_of")))
-    return reduce(DataFrame.unionByName, [df.select("id", "duplicate_of", F.lit(stage).alias("stage")) for stage, df in stages])
+        stages.append(("content", similar_contents(two.join(fuzzy.select("id"), "id", "left_anti"), content_threshold, min_chars)))
+    return to_roots(reduce(DataFrame.unionByName, [df.select("id", "duplicate_of", F.lit(stage).alias("stage")) for stage, df in stages]))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from calltide.functions import similarity as S
 from calltide.operators import entity_resolution as R
 from calltide.operators import matching
+from calltide.operators.set_join import similar_sets
 from calltide.plans.adapter import AS_OF, view, with_views
 from calltide.plans.events import CONFLICT_CASES, CONFLICT_PAIRS, COPIES, PAIRS, with_copies
-from calltide.plans.registry import query
+from calltide.plans.registry import query, table
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 T = "CAST(floor(epoch(ts)) AS BIGINT)"
@@ -149,10 +151,39 @@ def r05_dedup_quality(spark, sf_dir):
     return R.dedup_quality(events, R.first_of_key(events, R.composite_key()))
 
 
-@query(with_views(COPIES + f""", x AS (SELECT *, sha256(concat_ws('|', CAST(owner_id AS VARCHAR), number, CAST({T} AS VARCHAR), type, direction, coalesce(CAST(duration AS VARCHAR), '-'))) AS k FROM twice),
-e AS (SELECT id, first_value(id) OVER (PARTITION BY k ORDER BY ts, id) AS d FROM x), left1 AS (SELECT * FROM twice WHERE id IN (SELECT id FROM e WHERE id = d)),
+#: Contents that say something: the words of a message beside its number, so that owners have like ones.
+TOLD = """, told AS (SELECT * REPLACE (CASE WHEN content IS NOT NULL THEN concat_ws(' ', 'message', 'about', 'order', content, CASE WHEN id % 3 = 0 THEN 'again' END, CASE WHEN id % 4 = 0 THEN 'please call back soon' END) END AS content) FROM twice)"""
+
+
+def told(spark, sf_dir):
+    e, i = with_copies(spark, sf_dir), F.col("id")
+    said = F.concat_ws(" ", F.lit("message"), F.lit("about"), F.lit("order"), "content", F.when(i % 3 == 0, "again"), F.when(i % 4 == 0, "please call back soon"))
+    return e.withColumn("content", F.when(F.col("content").isNotNull(), said))
+
+
+SAID = "list_filter(list_distinct(regexp_split_to_array(lower(content), '\\W+')), lambda w: w <> '') AS w"
+
+
+@query(recursive(with_views(COPIES + TOLD + f""", x AS (SELECT *, sha256(concat_ws('|', CAST(owner_id AS VARCHAR), number, CAST({T} AS VARCHAR), type, direction, coalesce(CAST(duration AS VARCHAR), '-'))) AS k FROM told),
+e AS (SELECT id, first_value(id) OVER (PARTITION BY k ORDER BY ts, id) AS d FROM x), left1 AS (SELECT * FROM told WHERE id IN (SELECT id FROM e WHERE id = d)),
 y AS (SELECT *, {BUCKET} AS k FROM left1), b AS (SELECT id, first_value(id) OVER (PARTITION BY k ORDER BY ts, id) AS d FROM y), left2 AS (SELECT * FROM left1 WHERE id IN (SELECT id FROM b WHERE id = d))"""
-+ PAIRS.format(300).replace("FROM twice a JOIN twice b", "FROM left2 a JOIN left2 b") + WEIGHTED + """
-SELECT id, d AS duplicate_of, 'exact' AS stage FROM e WHERE id <> d UNION ALL SELECT id, d, 'bucketed' FROM b WHERE id <> d UNION ALL SELECT id_b, min(id_a), 'fuzzy' FROM s WHERE round(s, 4) >= 0.7 GROUP BY id_b""", "comm"))
++ PAIRS.format(300).replace("FROM twice a JOIN twice b", "FROM left2 a JOIN left2 b") + WEIGHTED + f""",
+fuzzy AS (SELECT id_b AS id, min(id_a) AS d FROM s WHERE round(s, 4) >= 0.7 GROUP BY id_b),
+texts AS (SELECT owner_id, w, list(id) AS ids FROM (SELECT id, owner_id, list_sort(w) AS w FROM (SELECT id, owner_id, {SAID} FROM left2 WHERE length(content) > 10 AND id NOT IN (SELECT id FROM fuzzy))) GROUP BY 1, 2),
+near AS (SELECT unnest(b.ids) AS id, list_min(a.ids) AS d FROM texts a JOIN texts b ON a.owner_id = b.owner_id AND len(list_intersect(a.w, b.w)) >= 0.8 * len(list_distinct(a.w || b.w))),
+links AS (SELECT id, d, 'exact' AS stage FROM e WHERE id <> d UNION ALL SELECT id, d, 'bucketed' FROM b WHERE id <> d UNION ALL SELECT id, d, 'fuzzy' FROM fuzzy UNION ALL SELECT id, min(d), 'content' FROM near WHERE d < id GROUP BY id),
+r AS (SELECT id, d, stage FROM links UNION ALL SELECT r.id, links.d, r.stage FROM r JOIN links ON links.id = r.d)
+SELECT id, d AS duplicate_of, stage FROM r WHERE d NOT IN (SELECT id FROM links)""", "comm")))
 def r08_staged_duplicates(spark, sf_dir):
-    return R.staged_duplicates(with_copies(spark, sf_dir))
+    return R.staged_duplicates(told(spark, sf_dir), by_content=True)
+
+
+@query("""WITH m AS (SELECT doc_id AS id, lang, list_sort(list_filter(list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '\\W+')), lambda w: w <> '')) AS w FROM documents),
+c AS (SELECT min(id) AS rep, lang, w, len(w) AS n FROM m WHERE len(w) > 0 GROUP BY lang, w)
+SELECT a.rep AS id_a, b.rep AS id_b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)), 6) AS similarity FROM c a JOIN c b ON a.lang IS NOT DISTINCT FROM b.lang AND a.rep < b.rep AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n
+WHERE len(list_intersect(a.w, b.w)) >= 0.8 * len(list_distinct(a.w || b.w))""")
+def r08_similar_texts(spark, sf_dir):
+    """Classes of texts of one language that share four fifths of their distinct words or more."""
+    m = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", S.words(F.col("text")).alias("words"))
+    _, pairs = similar_sets(m, 0.8, ("lang",))
+    return pairs.select(F.col("rep_a").alias("id_a"), F.col("rep_b").alias("id_b"), F.round("similarity", 6).alias("similarity"))
