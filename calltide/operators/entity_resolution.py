@@ -138,10 +138,10 @@ def resolve_strategy(similarity: Column, quality_a: Column, quality_b: Column) -
 
 
 def resolutions(conflicts: DataFrame, quality: DataFrame) -> DataFrame:
-    """For each conflict: both qualities, the strategy, and the event to keep (the first of equals)."""
+    """For each conflict: both qualities, the strategy, and the event to keep: the better (the first of equals), the first if a person must decide."""
     q = lambda s: quality.select(F.col("id").alias(f"id_{s}"), F.col("quality").alias(f"quality_{s}"))
     out = conflicts.join(q("a"), "id_a").join(q("b"), "id_b")
-    return out.withColumn("strategy", resolve_strategy(F.col("similarity"), F.col("quality_a"), F.col("quality_b"))).withColumn("keep", F.when(F.col("quality_a") >= F.col("quality_b"), F.col("id_a")).otherwise(F.col("id_b")))
+    return out.withColumn("strategy", resolve_strategy(F.col("similarity"), F.col("quality_a"), F.col("quality_b"))).withColumn("keep", F.when((F.col("strategy") == "manual") | (F.col("quality_a") >= F.col("quality_b")), F.col("id_a")).otherwise(F.col("id_b")))
 
 
 def merged_pairs(events: DataFrame, resolved: DataFrame, seconds: int = 2) -> DataFrame:

@@ -49,32 +49,58 @@ def disconnections(syncs: DataFrame) -> DataFrame:
 
 
 def data_drift(syncs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    """The last window against the one before: relative change of latency and throughput, difference of success, and their mean."""
+    """The last window against the one before, by network: intervals between syncs (ms), items a sync (processed and failed), and success in percent.
+
+    ``temporal_variance`` and ``data_variance`` are relative changes (null over nothing), ``degradation`` the success before less
+    that of the last window, in points. A network without syncs in either window has zeros. The mean of the intervals between
+    consecutive syncs is the whole span over their number, so no order is needed.
+    """
     recent, before = F.col("ts") >= ago(as_of, days), (F.col("ts") >= ago(as_of, 2 * days)) & (F.col("ts") < ago(as_of, days))
-    mean = lambda p, c: F.avg(F.when(p, F.col(c)))
-    rate = lambda p: F.avg(F.when(p, F.col("success").cast("double")))
-    g = syncs.groupBy("network_type").agg(
-        mean(recent, "duration_ms").alias("l1"), mean(before, "duration_ms").alias("l0"), mean(recent, "processed_items").alias("t1"), mean(before, "processed_items").alias("t0"), rate(recent).alias("s1"), rate(before).alias("s0")
-    )
-    change = lambda a, b: F.abs(F.col(a) - F.col(b)) / F.col(b)
-    l, t, s = change("l1", "l0"), change("t1", "t0"), F.abs(F.col("s1") - F.col("s0"))
-    return g.select("network_type", rounded(l, 4).alias("latency_drift"), rounded(t, 4).alias("throughput_drift"), rounded(s, 4).alias("success_drift"), rounded((l + t + s) / 3, 4).alias("drift"))
+    ms = F.unix_micros(F.col("ts").cast("timestamp")) / 1000.0
+
+    def parts(p: Column, tag: str) -> list[Column]:
+        span = F.max(F.when(p, ms)) - F.min(F.when(p, ms))
+        n = count_if(p)
+        return [
+            n.alias(f"n{tag}"), F.when(n > 1, span / (n - 1)).otherwise(0.0).alias(f"i{tag}"), F.avg(F.when(p, F.col("processed_items") + F.col("failed_items"))).alias(f"t{tag}"),
+            (count_if(p & F.col("success")) * 100.0 / F.nullif(n, F.lit(0))).alias(f"s{tag}"),
+        ]
+
+    g = syncs.where(recent | before).groupBy("network_type").agg(*parts(recent, "1"), *parts(before, "0"))
+    both = (F.col("n0") > 0) & (F.col("n1") > 0)
+    of = lambda c: F.when(both, c).otherwise(0.0)
+    change = lambda a, b: F.when(~both, 0.0).otherwise(F.abs(F.col(a) - F.col(b)) / F.nullif(F.col(b), F.lit(0.0)))
+    return g.select(
+        "network_type", rounded(of(F.col("i0")), 2).alias("expected_interval"), rounded(of(F.col("i1")), 2).alias("actual_interval"), rounded(change("i1", "i0"), 4).alias("temporal_variance"),
+        rounded(of(F.col("t0")), 4).alias("expected_throughput"), rounded(of(F.col("t1")), 4).alias("actual_throughput"), rounded(change("t1", "t0"), 4).alias("data_variance"),
+        rounded(of(F.col("s0")), 4).alias("baseline_success"), rounded(of(F.col("s1")), 4).alias("current_success"), rounded(of(F.col("s0") - F.col("s1")), 4).alias("degradation"),
+    )
 
 
 def performance_trend(syncs: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    """The later half of a window against the earlier: latency beyond 20 %, success beyond 5 points."""
+    """The later half of a window against the earlier: latency and items a second beyond 20 %, success beyond 5 points.
+
+    Items a second are the mean over syncs that took any time. Over nothing, a trend is stable.
+    """
     middle = ago(as_of, days / 2)
     s = syncs.where(F.col("ts") >= ago(as_of, days))
     half = lambda late, c: F.avg(F.when((F.col("ts") >= middle) if late else (F.col("ts") < middle), c))
-    ok = F.col("success").cast("double")
-    g = s.groupBy("network_type").agg(half(False, F.col("duration_ms")).alias("l0"), half(True, F.col("duration_ms")).alias("l1"), half(False, ok).alias("s0"), half(True, ok).alias("s1"))
-    latency = F.when(F.col("l1") > F.col("l0") * 1.2, "degrading").when(F.col("l1") < F.col("l0") * 0.8, "improving").otherwise("stable")
-    success = F.when(F.col("s1") > F.col("s0") + 0.05, "improving").when(F.col("s1") < F.col("s0") - 0.05, "degrading").otherwise("stable")
-    return g.select("network_type", rounded("l0", 2).alias("latency_before"), rounded("l1", 2).alias("latency_after"), latency.alias("latency_trend"), success.alias("success_trend"))
+    ok = F.col("success").cast("double") * 100
+    speed = F.when(F.col("duration_ms") > 0, (F.col("processed_items") + F.col("failed_items")) / (F.col("duration_ms") / 1000.0))
+    g = s.groupBy("network_type").agg(*(half(late, c).alias(f"{n}{int(late)}") for n, c in (("l", F.col("duration_ms")), ("s", ok), ("t", speed)) for late in (False, True)))
+    change = lambda n: (F.col(f"{n}1") - F.col(f"{n}0")) / F.nullif(F.col(f"{n}0"), F.lit(0.0)) * 100
+    latency = F.when(change("l") > 20, "degrading").when(change("l") < -20, "improving").otherwise("stable")
+    throughput = F.when(change("t") < -20, "degrading").when(change("t") > 20, "improving").otherwise("stable")
+    points = F.col("s1") - F.col("s0")
+    success = F.when(points < -5, "degrading").when(points > 5, "improving").otherwise("stable")
+    return g.select(
+        "network_type", rounded("l0", 2).alias("latency_before"), rounded("l1", 2).alias("latency_after"), latency.alias("latency_trend"),
+        rounded("t0", 4).alias("throughput_before"), rounded("t1", 4).alias("throughput_after"), throughput.alias("throughput_trend"), success.alias("success_trend"),
+    )
 
 
 #: Alert thresholds of sync health; latency in ms, the others as in the status.
-ALERTS = {"queue_depth": 1000.0, "drift_percentage": 10.0, "sync_latency": 30_000.0, "success_rate": 95.0}
+ALERTS = {"queue_depth": 1000.0, "drift_percentage": 10.0, "sync_latency": 30_000.0, "success_rate": 80.0}
 #: What an active issue costs by severity.
 ISSUE_COST = {"critical": 15, "high": 10, "medium": 5, "low": 2}
 
@@ -113,20 +139,49 @@ def sync_status(syncs: DataFrame, *by: str) -> DataFrame:
     )
 
 
-#: Health rules: name, measure, whether it must stay above, threshold, weight.
-HEALTH_RULES = [("latency", "mean_ms", False, 30_000.0, 0.3), ("success", "success_rate", True, 0.9, 0.3), ("queue", "queue_growth", False, 1000.0, 0.2), ("errors", "error_rate", False, 0.1, 0.2)]
+#: Health rules: name, category, severity, measure, whether it must stay above, threshold.
+HEALTH_RULES = [
+    ("sync_latency_high", "sync_performance", "medium", "latency_ms", False, 30_000.0), ("sync_success_rate_low", "sync_performance", "high", "success_rate", True, 90.0), ("queue_depth_high", "sync_performance", "medium", "queue_depth", False, 1000.0),
+    ("data_drift_high", "data_quality", "medium", "drift", False, 15.0), ("network_connectivity_poor", "network_health", "low", "poor_network", False, 20.0), ("battery_usage_high", "resource_usage", "low", "battery", False, 5.0),
+]
+#: How much a rule of each severity weighs.
+SEVERITY_WEIGHT = {"low": 1, "medium": 2, "high": 4, "critical": 8}
+
 
+def health_context(syncs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """What the rules look at, by network: mean latency, success in percent, the last queue, the largest drift, connection and battery.
 
-def health_rules(performance: DataFrame) -> DataFrame:
-    """A row for each rule and network: value, whether it holds, its weight."""
+    Drift is the largest of both variances in percent and the absolute degradation. Battery is a hundred-thousandth of the CPU
+    time, at most 100, estimated as 100 ln(items + 1) and a tenth of the duration for each sync. ``network_strength``, where the
+    syncs have it, makes a cellular connection under 3 poor.
+    """
+    last = lambda c: F.max_by(c, F.struct("ts", "id"))
+    strength = last("network_strength") if "network_strength" in syncs.columns else F.lit(None).cast("double")
+    cpu = F.sum(F.log(F.col("processed_items") + 1.0) * 100 + F.col("duration_ms") * 0.1)
+    g = syncs.groupBy("network_type").agg(
+        F.avg("duration_ms").alias("latency_ms"), (count_if(F.col("success")) * 100.0 / F.count("*")).alias("success_rate"), last("queue_after").cast("double").alias("queue_depth"),
+        F.least(F.lit(100.0), cpu / 100_000).alias("battery"), strength.cast("double").alias("_strength"),
+    )
+    poor = (F.col("network_type") == "none") | ((F.col("network_type") == "cellular") & F.coalesce((F.col("_strength") > 0) & (F.col("_strength") < 3), F.lit(False)))
+    drift = data_drift(syncs, as_of, days).select("network_type", F.greatest(F.col("temporal_variance") * 100, F.col("data_variance") * 100, F.abs("degradation")).alias("drift"))
+    out = g.join(drift, "network_type", "left").withColumn("poor_network", F.when(poor, 100.0).otherwise(0.0))
+    return out.select("network_type", *(rounded(F.coalesce(c, F.lit(0.0)), 4).alias(c) for c in ("latency_ms", "success_rate", "queue_depth", "drift", "poor_network", "battery")))
+
+
+def health_rules(context: DataFrame) -> DataFrame:
+    """A row for each rule and network: category, severity, value, and whether the rule holds."""
     rules = F.array(*(
-        F.struct(F.lit(n).alias("rule"), F.col(c).cast("double").alias("value"), (F.col(c) >= limit if above else F.col(c) <= limit).alias("holds"), F.lit(w).alias("weight")) for n, c, above, limit, w in HEALTH_RULES
+        F.struct(F.lit(n).alias("rule"), F.lit(kind).alias("category"), F.lit(level).alias("severity"), F.col(c).cast("double").alias("value"), (F.col(c) >= limit if above else F.col(c) <= limit).alias("holds")) for n, kind, level, c, above, limit in HEALTH_RULES
     ))
-    return performance.select("network_type", F.explode(rules).alias("r")).select("network_type", "r.rule", "r.value", "r.holds", "r.weight")
+    return context.select("network_type", F.explode(rules).alias("r")).select("network_type", "r.*")
 
 
 def weighted_health(rules: DataFrame) -> DataFrame:
-    return rules.groupBy("network_type").agg(rounded(F.sum(F.when(F.col("holds"), F.col("weight")).otherwise(0.0)) / F.sum("weight"), 3).alias("health"), count_if(~F.col("holds")).alias("broken"))
+    """``health``: the weight of the rules that hold in percent of all weights, rounded to a whole; and each category's share of rules that hold."""
+    weight = reduce(lambda w, k: w.when(F.col("severity") == k, SEVERITY_WEIGHT[k]), SEVERITY_WEIGHT, F.when(F.lit(False), 0))
+    share = F.floor(F.sum(F.when(F.col("holds"), weight).otherwise(0)) * 100.0 / F.sum(weight) + 0.5).cast("bigint")
+    of = lambda kind: rounded(F.avg(F.when(F.col("category") == kind, F.col("holds").cast("double"))) * 100, 4).alias(kind)
+    return rules.groupBy("network_type").agg(share.alias("health"), count_if(~F.col("holds")).alias("broken"), *(of(k) for k in dict.fromkeys(kind for _, kind, *_ in HEALTH_RULES)))
 
 
 def metric_trend(syncs: DataFrame) -> DataFrame:
@@ -250,8 +305,16 @@ def audit_statistics(audit: DataFrame) -> DataFrame:
     return a.groupBy("category", "severity").agg(F.count("*").alias("entries"), count_if(F.col("outcome") == "failure").alias("failures"), F.countDistinct("actor_id").alias("actors"), rounded(F.avg("risk"), 2).alias("mean_risk"))
 
 
-def anomalies(audit: DataFrame, as_of: str, minutes: int = 15, per_ip: int = 5, per_actor: int = 3, per_hour: int = 100, bulk: int = 1000) -> DataFrame:
-    """Failed logins by address and by actor, volume by actor and hour, access off hours, bulk operations; one row for each finding."""
+def anomalies(
+    audit: DataFrame, as_of: str, minutes: int = 15, per_ip: int = 5, per_actor: int = 3, per_hour: int = 100, bulk: int = 1000, failed_share: float = 0.5, failed_of: int = 100, private_access: DataFrame | None = None
+) -> DataFrame:
+    """Failed logins by address and by actor, volume by actor and hour, access off hours, bulk operations, bulk operations that mostly
+    fail, and private contacts reached from another organisation; one row for each finding.
+
+    ``error_count`` of the audit, where it has one, counts failures of a bulk operation: more than ``failed_share`` of over
+    ``failed_of`` resources. ``private_access`` has the ids of entries that reached what they mustn't, as
+    ``policies.cross_org_access`` finds them.
+    """
     window = F.col("ts") >= moment(as_of) - F.expr(f"INTERVAL '{minutes}' MINUTE")
     failed = audit.where(window & (F.col("category") == "authentication") & (F.col("outcome") == "failure"))
     row = lambda df, kind, key, level: df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("subject"), F.col("n"), F.lit(level).alias("level"))
@@ -262,6 +325,12 @@ def anomalies(audit: DataFrame, as_of: str, minutes: int = 15, per_ip: int = 5,
         row(audit.where(window & F.col("category").isin("data_access", "data_export") & ((F.hour("ts") < 6) | (F.hour("ts") >= 22))).groupBy("actor_id").agg(F.count("*").alias("n")), "off_hours", "actor_id", "low"),
         row(audit.where(window & (F.col("resource_count") > bulk)).groupBy("actor_id").agg(F.count("*").alias("n")), "bulk", "actor_id", "high"),
     ]
+    if "error_count" in audit.columns:
+        failing = (F.col("resource_count") > failed_of) & (F.col("error_count") > failed_share * F.col("resource_count"))
+        parts.append(row(audit.where(window & failing).groupBy("actor_id").agg(F.count("*").alias("n")), "bulk_failures", "actor_id", "medium"))
+    if private_access is not None:
+        reached = audit.where(window & (F.col("category") == "data_access")).join(private_access.select("id").distinct(), "id", "left_semi")
+        parts.append(row(reached.groupBy("actor_id").agg(F.count("*").alias("n")), "privacy_violation", "actor_id", "high"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -66,19 +66,33 @@ def advanced_scores(pairs: DataFrame, tolerance: float = 1, duration_tolerance:
     return pairs.select("id_a", "id_b", score.alias("score"), kind.alias("conflict"))
 
 
-def new_against_existing(new: DataFrame, existing: DataFrame, seconds: int = 1) -> DataFrame:
-    """For each new event the best existing one with its line and number and at most ``seconds`` apart, by shared fields.
-
-    Line .2, number .3, time .2, type .1, direction .1, duration .1; a duplicate from .8. Joined on keys and time buckets.
+def new_against_existing(new: DataFrame, existing: DataFrame, seconds: int = 1, duration_seconds: int = 1, least: float = 0.8) -> DataFrame:
+    """For each new event the best existing one it may repeat: other, score, conflict, duplicate (``score`` of ``least`` or more).
+
+    Line, number, direction and type must be equal and times at most ``seconds`` apart (.2, .2, .1, .1 and .3). Calls whose
+    durations are at most ``duration_seconds`` apart (none: 0) get .1, an equal contact .1, messages whose texts' edit ratio is
+    over .8 another .1; at most 1. Events with equal line, time, number, direction, type, duration and content are ``exact`` and
+    score 1; others are ``time_variance``, as they lie within the tolerance. Ties go to exact ones, then to the smallest other. Joined on keys and
+    time buckets. Contacts are compared where both tables have them.
     """
-    t = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    e = existing.select("line_id", "number", F.col("id").alias("other"), t.alias("t2"), *(F.col(c).alias(f"{c}2") for c in ("type", "direction", "duration")), F.floor(t / seconds).alias("b"))
-    n = new.select("line_id", "number", "id", t.alias("t1"), "type", "direction", "duration", F.explode(F.array(*(F.floor(t / seconds) + k for k in (-1, 0, 1)))).alias("b"))
-    eq = lambda c: F.when(F.col(c).eqNullSafe(F.col(f"{c}2")), 0.1).otherwise(0.0)
-    p = n.join(e, ["line_id", "number", "b"]).where((F.abs(F.col("t1") - F.col("t2")) <= seconds) & (F.col("id") != F.col("other")))
-    p = p.withColumn("score", F.round(F.lit(0.5) + 0.2 + eq("type") + eq("direction") + eq("duration"), 4))
-    best = p.groupBy("id").agg(F.max_by("other", F.struct("score", -F.col("other"))).alias("other"), F.max("score").alias("score"))
-    return best.withColumn("duplicate", F.col("score") >= 0.8)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    keys, more = ["line_id", "number", "direction", "type"], ["duration", "content", *(["contact_id"] if {"contact_id"} <= {*new.columns} & {*existing.columns} else [])]
+    width = max(seconds, 1) * 1_000_000
+    side = lambda df, tag: df.select(*keys, F.col("id").alias("id" if tag == "1" else "other"), us.alias(f"t{tag}"), *(F.col(c).alias(f"{c}{tag}") for c in more))
+    e = side(existing, "2").withColumn("b", F.floor(F.col("t2") / width))
+    n = side(new, "1").withColumn("b", F.explode(F.array(*(F.floor(F.col("t1") / width) + k for k in (-1, 0, 1)))))
+    p = n.join(e, [*keys, "b"]).where((F.abs(F.col("t1") - F.col("t2")) <= seconds * 1_000_000) & (F.col("id") != F.col("other")))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    tenth = lambda test: F.when(F.coalesce(test, F.lit(False)), 0.1).otherwise(0.0)
+    length = tenth((F.col("type") == "call") & (F.abs(zero("duration1") - zero("duration2")) <= duration_seconds))
+    longer = F.greatest(F.char_length("content1"), F.char_length("content2"))
+    text = tenth((F.col("type") == "sms") & (longer > 0) & ((longer - F.levenshtein("content1", "content2")) / longer > 0.8) & (F.col("content1") != "") & (F.col("content2") != ""))
+    contact = tenth(F.col("contact_id1") == F.col("contact_id2")) if "contact_id" in more else F.lit(0.0)
+    same = (F.col("t1") == F.col("t2")) & F.col("duration1").eqNullSafe(F.col("duration2")) & F.col("content1").eqNullSafe(F.col("content2"))
+    score = F.when(same, 1.0).otherwise(F.round(F.least(F.lit(1.0), F.lit(0.9) + length + contact + text), 4))
+    p = p.select("id", "other", score.alias("score"), F.when(same, "exact").otherwise("time_variance").alias("conflict"))
+    best = p.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "conflict", "other")).alias("b"))
+    return best.select("id", "b.other", (-F.col("b.s")).alias("score"), "b.conflict", (-F.col("b.s") >= least).alias("duplicate"))
 
 
 def anonymize_number(number: Column, mode: str, salt: str = "") -> Column:

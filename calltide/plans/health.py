@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from calltide.operators import health as H
+from calltide.operators import policies
 from calltide.operators.dashboards import count_if
 from calltide.plans.adapter import AS_OF, view, with_views
 from calltide.plans.registry import query, table
@@ -29,25 +30,30 @@ def q23_disconnections(spark, sf_dir):
     return H.disconnections(view(spark, sf_dir, "syncs"))
 
 
-@query(with_views(f"""
-, g AS (SELECT network_type, avg(duration_ms) FILTER (ts >= {NOW} - INTERVAL 7 DAY) AS l1, avg(duration_ms) FILTER (ts >= {NOW} - INTERVAL 14 DAY AND ts < {NOW} - INTERVAL 7 DAY) AS l0, avg(processed_items) FILTER (ts >= {NOW} - INTERVAL 7 DAY) AS t1, avg(processed_items) FILTER (ts >= {NOW} - INTERVAL 14 DAY AND ts < {NOW} - INTERVAL 7 DAY) AS t0,
- avg(CAST(success AS INT)) FILTER (ts >= {NOW} - INTERVAL 7 DAY) AS s1, avg(CAST(success AS INT)) FILTER (ts >= {NOW} - INTERVAL 14 DAY AND ts < {NOW} - INTERVAL 7 DAY) AS s0 FROM syncs GROUP BY 1)
-SELECT network_type, round(abs(l1 - l0) / l0, 4) AS latency_drift, round(abs(t1 - t0) / t0, 4) AS throughput_drift, round(abs(s1 - s0), 4) AS success_drift, round((abs(l1 - l0) / l0 + abs(t1 - t0) / t0 + abs(s1 - s0)) / 3, 4) AS drift FROM g""", "syncs"))
+DRIFT = f"""g AS (SELECT network_type, count(*) FILTER (ts >= {NOW} - INTERVAL 7 DAY) AS n1, CASE WHEN count(*) FILTER (ts >= {NOW} - INTERVAL 7 DAY) > 1 THEN (epoch_us(max(ts) FILTER (ts >= {NOW} - INTERVAL 7 DAY)) - epoch_us(min(ts) FILTER (ts >= {NOW} - INTERVAL 7 DAY))) / 1000.0::DOUBLE / (count(*) FILTER (ts >= {NOW} - INTERVAL 7 DAY) - 1) ELSE 0 END AS i1, avg(processed_items + failed_items) FILTER (ts >= {NOW} - INTERVAL 7 DAY) AS t1, count(*) FILTER (success AND ts >= {NOW} - INTERVAL 7 DAY) * 100.0::DOUBLE / count(*) FILTER (ts >= {NOW} - INTERVAL 7 DAY) AS s1,
+ count(*) FILTER (ts >= {NOW} - INTERVAL 14 DAY AND ts < {NOW} - INTERVAL 7 DAY) AS n0, CASE WHEN count(*) FILTER (ts >= {NOW} - INTERVAL 14 DAY AND ts < {NOW} - INTERVAL 7 DAY) > 1 THEN (epoch_us(max(ts) FILTER (ts >= {NOW} - INTERVAL 14 DAY AND ts < {NOW} - INTERVAL 7 DAY)) - epoch_us(min(ts) FILTER (ts >= {NOW} - INTERVAL 14 DAY AND ts < {NOW} - INTERVAL 7 DAY))) / 1000.0::DOUBLE / (count(*) FILTER (ts >= {NOW} - INTERVAL 14 DAY AND ts < {NOW} - INTERVAL 7 DAY) - 1) ELSE 0 END AS i0, avg(processed_items + failed_items) FILTER (ts >= {NOW} - INTERVAL 14 DAY AND ts < {NOW} - INTERVAL 7 DAY) AS t0, count(*) FILTER (success AND ts >= {NOW} - INTERVAL 14 DAY AND ts < {NOW} - INTERVAL 7 DAY) * 100.0::DOUBLE / count(*) FILTER (ts >= {NOW} - INTERVAL 14 DAY AND ts < {NOW} - INTERVAL 7 DAY) AS s0 FROM syncs WHERE ts >= {NOW} - INTERVAL 14 DAY GROUP BY 1),
+drift AS (SELECT network_type, round(i0, 2) AS expected_interval, round(i1, 2) AS actual_interval, round(abs(i1 - i0) / i0, 4) AS temporal_variance, round(t0, 4) AS expected_throughput, round(t1, 4) AS actual_throughput, round(abs(t1 - t0) / t0, 4) AS data_variance,
+ round(s0, 4) AS baseline_success, round(s1, 4) AS current_success, round(s0 - s1, 4) AS degradation FROM g)"""
+
+
+@query(with_views(f", {DRIFT} SELECT * FROM drift", "syncs"))
 def q24_data_drift(spark, sf_dir):
     return H.data_drift(view(spark, sf_dir, "syncs"), AS_OF)
 
 
 @query(with_views(f"""
-, g AS (SELECT network_type, avg(duration_ms) FILTER (ts < {NOW} - INTERVAL 15 DAY) AS l0, avg(duration_ms) FILTER (ts >= {NOW} - INTERVAL 15 DAY) AS l1, avg(CAST(success AS INT)) FILTER (ts < {NOW} - INTERVAL 15 DAY) AS s0, avg(CAST(success AS INT)) FILTER (ts >= {NOW} - INTERVAL 15 DAY) AS s1 FROM syncs WHERE ts >= {NOW} - INTERVAL 30 DAY GROUP BY 1)
-SELECT network_type, round(l0, 2) AS latency_before, round(l1, 2) AS latency_after, CASE WHEN l1 > l0 * 1.2 THEN 'degrading' WHEN l1 < l0 * 0.8 THEN 'improving' ELSE 'stable' END AS latency_trend, CASE WHEN s1 > s0 + 0.05 THEN 'improving' WHEN s1 < s0 - 0.05 THEN 'degrading' ELSE 'stable' END AS success_trend FROM g""", "syncs"))
+, g AS (SELECT network_type, avg(duration_ms) FILTER (NOT late) AS l0, avg(duration_ms) FILTER (late) AS l1, avg(CAST(success AS INT)) FILTER (NOT late) * 100 AS s0, avg(CAST(success AS INT)) FILTER (late) * 100 AS s1, avg((processed_items + failed_items) / (duration_ms / 1000.0::DOUBLE)) FILTER (NOT late AND duration_ms > 0) AS t0, avg((processed_items + failed_items) / (duration_ms / 1000.0::DOUBLE)) FILTER (late AND duration_ms > 0) AS t1
+ FROM (SELECT *, ts >= {NOW} - INTERVAL 15 DAY AS late FROM syncs WHERE ts >= {NOW} - INTERVAL 30 DAY) GROUP BY 1)
+SELECT network_type, round(l0, 2) AS latency_before, round(l1, 2) AS latency_after, CASE WHEN (l1 - l0) / l0 * 100 > 20 THEN 'degrading' WHEN (l1 - l0) / l0 * 100 < -20 THEN 'improving' ELSE 'stable' END AS latency_trend,
+ round(t0, 4) AS throughput_before, round(t1, 4) AS throughput_after, CASE WHEN (t1 - t0) / t0 * 100 < -20 THEN 'degrading' WHEN (t1 - t0) / t0 * 100 > 20 THEN 'improving' ELSE 'stable' END AS throughput_trend, CASE WHEN s1 - s0 < -5 THEN 'degrading' WHEN s1 - s0 > 5 THEN 'improving' ELSE 'stable' END AS success_trend FROM g""", "syncs"))
 def q25_performance_trend(spark, sf_dir):
     return H.performance_trend(view(spark, sf_dir, "syncs"), AS_OF)
 
 
 @query(with_views("""
 , p AS (SELECT network_type, CASE network_type WHEN 'wifi' THEN 'connected' WHEN 'cellular' THEN 'limited' ELSE 'disconnected' END AS network_status, round(avg(queue_after), 4) AS q, round(sum(failed_items) / greatest(sum(processed_items), 1) * 100, 4) AS d, round(avg(duration_ms), 2) AS l, round(count(*) FILTER (success) / count(*) * 100, 4) AS s, round(100 - sum(failed_items) / greatest(sum(processed_items), 1) * 100, 4) AS dq FROM syncs GROUP BY 1),
-c AS (SELECT *, CASE WHEN q > 1000 THEN 10 ELSE 0 END + CASE WHEN d > 10 THEN 5 ELSE 0 END + CASE WHEN s < 95 THEN 10 ELSE 0 END + CASE WHEN network_status = 'disconnected' THEN 10 ELSE 0 END AS issue_cost,
- concat_ws(',', CASE WHEN q > 1000 THEN 'queue_backup' END, CASE WHEN d > 10 THEN 'data_gap' END, CASE WHEN s < 95 THEN 'performance_degradation' END, CASE WHEN network_status = 'disconnected' THEN 'network_issue' END) AS issues FROM p)
+c AS (SELECT *, CASE WHEN q > 1000 THEN 10 ELSE 0 END + CASE WHEN d > 10 THEN 5 ELSE 0 END + CASE WHEN s < 80 THEN 10 ELSE 0 END + CASE WHEN network_status = 'disconnected' THEN 10 ELSE 0 END AS issue_cost,
+ concat_ws(',', CASE WHEN q > 1000 THEN 'queue_backup' END, CASE WHEN d > 10 THEN 'data_gap' END, CASE WHEN s < 80 THEN 'performance_degradation' END, CASE WHEN network_status = 'disconnected' THEN 'network_issue' END) AS issues FROM p)
 SELECT network_type, CAST(greatest(0, least(100, floor(100.0::DOUBLE - CASE WHEN q > 0 THEN least(30, q / 1000 * 30) ELSE 0 END - CASE WHEN d > 0 THEN least(20, d / 10 * 20) ELSE 0 END - CASE WHEN l > 30000 THEN least(20, (l - 30000) / 30000 * 20) ELSE 0 END
  - CASE WHEN s < 100 THEN (100 - s) * 0.3::DOUBLE ELSE 0 END - CASE network_status WHEN 'limited' THEN 5 WHEN 'disconnected' THEN 10 ELSE 0 END - issue_cost - CASE WHEN dq < 100 THEN (100 - dq) * 0.15::DOUBLE ELSE 0 END + 0.5))) AS BIGINT) AS score, issues FROM c""", "syncs"))
 def q26_health_score(spark, sf_dir):
@@ -55,18 +61,22 @@ def q26_health_score(spark, sf_dir):
     return scored.select("network_type", "score", F.array_join(F.transform("issues", lambda i: i["kind"]), ",").alias("issues"))
 
 
-RULES = f"""p AS ({PERF}), r AS (SELECT network_type, 'latency' AS rule, CAST(mean_ms AS DOUBLE) AS value, mean_ms <= 30000 AS holds, 0.3::DOUBLE AS weight FROM p UNION ALL SELECT network_type, 'success', success_rate, success_rate >= 0.9, 0.3 FROM p
- UNION ALL SELECT network_type, 'queue', queue_growth, queue_growth <= 1000, 0.2 FROM p UNION ALL SELECT network_type, 'errors', error_rate, error_rate <= 0.1, 0.2 FROM p)"""
+RULES = f"""{DRIFT},
+p AS (SELECT network_type, round(avg(duration_ms), 4) AS l, round(count(*) FILTER (success) * 100.0::DOUBLE / count(*), 4) AS s, CAST((array_agg(queue_after ORDER BY ts DESC, id DESC))[1] AS DOUBLE) AS q, round(least(100.0::DOUBLE, sum(ln(processed_items + 1.0::DOUBLE) * 100 + duration_ms * 0.1::DOUBLE) / 100000), 4) AS b FROM syncs GROUP BY 1),
+c AS (SELECT p.*, CASE WHEN network_type = 'none' THEN 100.0::DOUBLE ELSE 0 END AS poor, round(greatest(temporal_variance * 100, data_variance * 100, abs(degradation)), 4) AS d FROM p JOIN drift USING (network_type)),
+r AS (SELECT network_type, 'sync_latency_high' AS rule, 'sync_performance' AS category, 'medium' AS severity, l AS value, l <= 30000 AS holds FROM c UNION ALL SELECT network_type, 'sync_success_rate_low', 'sync_performance', 'high', s, s >= 90 FROM c UNION ALL SELECT network_type, 'queue_depth_high', 'sync_performance', 'medium', q, q <= 1000 FROM c
+ UNION ALL SELECT network_type, 'data_drift_high', 'data_quality', 'medium', d, d <= 15 FROM c UNION ALL SELECT network_type, 'network_connectivity_poor', 'network_health', 'low', poor, poor <= 20 FROM c UNION ALL SELECT network_type, 'battery_usage_high', 'resource_usage', 'low', b, b <= 5 FROM c)"""
 
 
 @query(with_views(f", {RULES} SELECT * FROM r", "syncs"))
 def q27_health_rules(spark, sf_dir):
-    return H.health_rules(H.sync_performance(view(spark, sf_dir, "syncs"), "network_type"))
+    return H.health_rules(H.health_context(view(spark, sf_dir, "syncs"), AS_OF))
 
 
-@query(with_views(f", {RULES} SELECT network_type, round(sum(CASE WHEN holds THEN weight ELSE 0 END) / sum(weight), 3) AS health, count(*) FILTER (NOT holds) AS broken FROM r GROUP BY 1", "syncs"))
+@query(with_views(f""", {RULES}, w AS (SELECT *, CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 4 ELSE 8 END AS weight FROM r)
+SELECT network_type, CAST(floor(sum(CASE WHEN holds THEN weight ELSE 0 END) * 100.0::DOUBLE / sum(weight) + 0.5) AS BIGINT) AS health, count(*) FILTER (NOT holds) AS broken, {', '.join(f"round(avg(CAST(holds AS INT)) FILTER (category = '{k}') * 100, 4) AS {k}" for k in ('sync_performance', 'data_quality', 'network_health', 'resource_usage'))} FROM w GROUP BY 1""", "syncs"))
 def q27_weighted_health(spark, sf_dir):
-    return H.weighted_health(H.health_rules(H.sync_performance(view(spark, sf_dir, "syncs"), "network_type")))
+    return H.weighted_health(H.health_rules(H.health_context(view(spark, sf_dir, "syncs"), AS_OF)))
 
 
 @query(with_views(", d AS (SELECT network_type, CAST(ts AS DATE) AS day, avg(duration_ms) AS v FROM syncs GROUP BY 1, 2), x AS (SELECT *, row_number() OVER (PARTITION BY network_type ORDER BY day) AS x FROM d), g AS (SELECT network_type, regr_slope(v, x) / avg(v) * 100 AS p FROM x GROUP BY 1) SELECT network_type, round(p, 3) AS percent, CASE WHEN p > 5 THEN 'up' WHEN p < -5 THEN 'down' ELSE 'stable' END AS trend FROM g", "syncs"))
@@ -173,9 +183,14 @@ def g08_audit_trail(spark, sf_dir):
 SELECT 'failed_logins_ip' AS kind, ip_address AS subject, count(*) AS n, 'high' AS level FROM f GROUP BY 2 HAVING count(*) >= 5 UNION ALL SELECT 'failed_logins_actor', CAST(actor_id AS VARCHAR), count(*), 'medium' FROM f GROUP BY 2 HAVING count(*) >= 3
 UNION ALL SELECT 'volume', CAST(actor_id AS VARCHAR), max(n), 'medium' FROM (SELECT actor_id, count(*) AS n FROM w GROUP BY actor_id, date_trunc('hour', ts)) GROUP BY actor_id HAVING max(n) > 2
 UNION ALL SELECT 'off_hours', CAST(actor_id AS VARCHAR), count(*), 'low' FROM w WHERE category IN ('data_access', 'data_export') AND (hour(ts) < 6 OR hour(ts) >= 22) GROUP BY 2
-UNION ALL SELECT 'bulk', CAST(actor_id AS VARCHAR), count(*), 'high' FROM w WHERE resource_count > 1000 GROUP BY 2""", "audit"))
+UNION ALL SELECT 'bulk', CAST(actor_id AS VARCHAR), count(*), 'high' FROM w WHERE resource_count > 1000 GROUP BY 2
+UNION ALL SELECT 'bulk_failures', CAST(actor_id AS VARCHAR), count(*), 'medium' FROM w WHERE resource_count > 100 AND (id % 5) * resource_count / 4.0::DOUBLE > 0.5 * resource_count GROUP BY 2
+UNION ALL SELECT 'privacy_violation', CAST(w.actor_id AS VARCHAR), count(*), 'high' FROM w JOIN roles x ON x.user_id = w.actor_id % 10 JOIN contacts c ON c.id = w.actor_id + 1 JOIN roles y ON y.user_id = c.owner_id JOIN rules r ON r.contact_id = c.id AND r.visibility = 'private' WHERE w.category = 'data_access' AND x.org_id <> y.org_id GROUP BY 2""", "audit", "roles", "contacts", "rules"))
 def g25_anomalies(spark, sf_dir):
-    return H.anomalies(view(spark, sf_dir, "audit"), AS_OF, minutes=43_200, per_hour=2)
+    audit = view(spark, sf_dir, "audit").withColumn("error_count", (F.col("id") % 5) * F.col("resource_count") / 4.0)
+    reached = audit.where("category = 'data_access'").select("id", (F.col("actor_id") % 10).alias("actor"), (F.col("actor_id") + 1).alias("contact_id"))
+    private = policies.cross_org_access(reached, *(view(spark, sf_dir, v) for v in ("contacts", "roles", "rules")))
+    return H.anomalies(audit, AS_OF, minutes=43_200, per_hour=2, private_access=private)
 
 
 @query(with_views(", c AS (SELECT actor_id, id, row_number() OVER (PARTITION BY actor_id ORDER BY id) AS r FROM audit) SELECT actor_id, count(*) AS entries, count(*) FILTER (r > 1) AS links, 0::BIGINT AS broken FROM c GROUP BY 1", "audit"))

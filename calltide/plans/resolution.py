@@ -109,7 +109,7 @@ def conflicts_and_quality(spark, sf_dir):
 
 
 CONFLICTS = ", c AS (SELECT id_a, id_b, " + CONFLICT_CASES + """ FROM pairs), """ + QUALITY.format("0", "twice") + """,
-res AS (SELECT c.*, a.quality AS quality_a, b.quality AS quality_b, CASE WHEN similarity >= 0.9 AND abs(a.quality - b.quality) > 0.2 THEN 'automatic' WHEN similarity >= 0.8 AND abs(a.quality - b.quality) <= 0.1 THEN 'merge' ELSE 'manual' END AS strategy, CASE WHEN a.quality >= b.quality THEN id_a ELSE id_b END AS keep
+res AS (SELECT c.*, a.quality AS quality_a, b.quality AS quality_b, CASE WHEN similarity >= 0.9 AND abs(a.quality - b.quality) > 0.2 THEN 'automatic' WHEN similarity >= 0.8 AND abs(a.quality - b.quality) <= 0.1 THEN 'merge' ELSE 'manual' END AS strategy, CASE WHEN strategy = 'manual' OR a.quality >= b.quality THEN id_a ELSE id_b END AS keep
  FROM c JOIN quality a ON a.id = id_a JOIN quality b ON b.id = id_b)"""
 
 

@@ -84,7 +84,11 @@ def test_csv_with_a_preamble_keeps_rows_without_a_first_column(spark, tmp_path):
 
 
 @pytest.mark.parametrize("sql", ["SELECT /* , secrets as ( */ * FROM secrets", "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT * FROM secrets WINDOW x AS (ORDER BY 1), secrets AS (ORDER BY 1)",
-    "WITH a AS (SELECT * FROM secrets), secrets AS (SELECT 1 AS x) SELECT * FROM a", "SELECT * FROM parquet.`/tmp`", "SELECT * FROM range(5)", "SELECT 1 -- , secrets as (\n FROM secrets"])
+    "WITH a AS (SELECT * FROM secrets), secrets AS (SELECT 1 AS x) SELECT * FROM a", "SELECT * FROM parquet.`/tmp`", "SELECT * FROM range(5)", "SELECT 1 -- , secrets as (\n FROM secrets",
+    r"SELECT r'\', reflect('java.lang.System','getProperty','user.home') AS x, id FROM comm", "SELECT /*+ BROADCAST(comm) */ * FROM comm", "SELECT system.builtin.reflect('a', 'b') FROM comm", "SELECT `reflect`('a', 'b') FROM comm", "SELECT IDENTIFIER('ref' || 'lect')('a', 'b') FROM comm",
+    "SELECT * FROM IDENTIFIER('secrets')", "SELECT TRANSFORM(id) USING 'cat' FROM comm", "SET a = 1", "DROP TABLE comm", "INSERT INTO comm SELECT 1", "SHOW TABLES", "TABLE secrets", "SELECT current_user", "SELECT session_user() FROM comm", "SELECT 1; SELECT 2", "EXECUTE IMMEDIATE 'SELECT 1'",
+    "SELECT id FROM comm WHERE id = (SELECT max(id) FROM secrets)", "SELECT sum(java_method('a', 'b')) OVER (ORDER BY id) FROM comm", "SELECT id FROM comm ORDER BY reflect('a', 'b')", "SELECT * FROM comm LATERAL VIEW explode(array(1)) t AS x", "SELECT * FROM comm |> WHERE reflect('a', 'b') = 1",
+    "WITH a AS (SELECT reflect('a', 'b') AS x FROM comm) SELECT 1 FROM comm", "SELECT id FROM comm GROUP BY id HAVING reflect('a', 'b') = 1", "SELECT $reflect$ FROM comm", "SELECT transform(array(1), v -> reflect('a', 'b')) FROM comm"])
 def test_guard_cannot_be_bypassed(spark, sql):
     spark.range(3).createOrReplaceTempView("secrets")
     spark.range(3).createOrReplaceTempView("comm")
@@ -93,6 +97,13 @@ def test_guard_cannot_be_bypassed(spark, sql):
     spark.catalog.dropTempView("secrets")
 
 
+@pytest.mark.parametrize("sql", ["SELECT * FROM comm;", "WITH a AS (SELECT k, count(*) AS n FROM comm GROUP BY k HAVING count(*) > 1) SELECT * FROM a ORDER BY n DESC LIMIT 3", "SELECT sum(id) OVER w AS s FROM comm WINDOW w AS (ORDER BY id)", "SELECT * FROM (VALUES (1), (2)) AS v(x)",
+    "SELECT id, row_number() OVER (PARTITION BY k ORDER BY id) AS r FROM comm WHERE id IN (SELECT id FROM comm WHERE k = 1) AND EXISTS (SELECT 1 FROM comm c WHERE c.id = comm.id)", "SELECT a.id FROM comm a LEFT JOIN comm b ON a.id = b.id UNION SELECT 1", "SELECT 'it''s; drop -- \"x\"' AS x FROM comm -- note",
+    "SELECT CASE WHEN id > 1 THEN 'x' ELSE 'y' END AS c, CAST(id AS STRING), trim('a'), substring('abc', 1, 1), extract(year FROM DATE '2024-01-01'), date_trunc('day', TIMESTAMP '2024-01-01 01:00:00') FROM comm", "SELECT DISTINCT k FROM (SELECT id, k FROM comm) x(id, k)"])
+def test_guard_lets_questions_pass(spark, sql):
+    assert vectors.guarded(spark, sql, {"comm": spark.range(5).selectExpr("id", "id % 2 AS k")}).count() > 0
+
+
 def test_times_of_each_shape_and_none_else(spark):
     good = ["2024-01-05T10:20:30.5Z", "2024-01-05t10:20:30", "01/05/2024 10:20:30 am", "01/05/2024 10:20", "01-05-2024", "20240105 102030", "20240105102030", "2024-01-05 05:20:30 EST", "1704450030", "1704450030000"]
     day = {"01/05/2024 10:20": 1704450000, "01-05-2024": 1704412800}
