@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from calltide.plans import contacts, dashboards, events, health, ingest, layouts, more, resolution, schema  # noqa: F401
+from calltide.plans import contacts, dashboards, events, governance, health, ingest, layouts, more, resolution, schema  # noqa: F401
 from calltide.plans.registry import ORACLES, QUERIES
 
 
