@@ -8,6 +8,7 @@ from calltide.functions import masks as M
 from calltide.functions import normalize as N
 from calltide.functions import similarity as S
 from calltide.operators import ingest as I
+from calltide.operators import personal_data as PD
 from calltide.operators import vectors as V
 from calltide.plans.adapter import view, with_views
 from calltide.plans.registry import query, table
@@ -89,9 +90,21 @@ def g15_pii_spans(spark, sf_dir):
     return I.pii_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g')) AS redacted FROM documents")
+@query("SELECT doc_id, md5(regexp_replace(regexp_replace(coalesce(text, ''), '\\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\\.[A-Za-z]{2,24}\\b', '[EMAIL]', 'gi'), '\\b[A-Za-z0-9._%+-]{1,64}\\s{0,4}@\\s{0,4}[A-Za-z0-9-]{1,63}\\s{0,4}\\.\\s{0,4}[A-Za-z]{2,24}\\b', '[EMAIL]', 'gi')) AS redacted FROM documents")
 def g16_redact_emails(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.regexp_replace(F.coalesce("text", F.lit("")), I.PII["email"], "[EMAIL]")).alias("redacted"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(PD.masked_kind(F.coalesce("text", F.lit("")), "email_address")).alias("redacted"))
+
+
+@query()
+def g16_anonymized_texts(spark, sf_dir):
+    """All texts with every kind of personal data rewritten by its strategy, and what that preserves."""
+    out = PD.anonymize_texts(table(spark, sf_dir, "documents"), "doc_id", "text", key=b"an example's key")
+    return out.select("doc_id", F.sha2("anonymized", 256).alias("anonymized_sha256"), F.size("spans").alias("spans"), "quality", "length_ratio", "structure", "context")
+
+
+@query()
+def g15_kinds_of_personal_data(spark, sf_dir):
+    return PD.span_counts(PD.find_spans(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL WHEN regexp_matches(lower(text), 'winner|free|prize|click here|congratulations|urgent') THEN 'spam' WHEN regexp_matches(lower(text), 'meeting|invoice|project|deadline|client|report') THEN 'business' WHEN regexp_matches(lower(text), 'love|mom|dad|dinner|birthday|home') THEN 'personal' ELSE 'general' END AS class FROM conversations""")
