@@ -1,17 +1,22 @@
 """Secret scans: known forms, and a battery of randomness tests for tokens of other forms.
 
-A token's encoding is inferred from its characters (digits, hex, base32, letters and digits, base64); one that mixes the marks
-of both kinds of base64 is tested in its parts of either kind, and '=' parts a name from its value.
+A token's encoding is inferred from its characters (digits, hex, letters, base32, letters and digits, base64); one that mixes the
+marks of both kinds of base64 is tested in its parts of either kind, and '=' parts a name from its value. Each distinct token is
+judged once, whatever its copies. Numbers with the right check digit of a card are personal data, not secrets, and are left out.
 
 * Battery. Under the hypothesis that a token's characters are independent and uniform over its alphabet, three tests give
   p-values: chi-squared uniformity, runs about the median, and serial correlation at lag one; Fisher's method combines them.
   Benjamini-Hochberg at ``q``, apart for each class of encoding and length, rejects tokens that aren't random (repeats, counters,
   patterns), so that at most a share q of the rejected are truly random ones.
-* Control of what is reported. Here the hypothesis is that a token is ordinary text, as the characters of the corpus's short words
-  follow one another in it. A token's evidence against it is its likelihood as uniform over its alphabet against that as
-  ordinary text: an e-value, as its mean under the hypothesis is 1 at most. It grows with the length by itself. Of a class's
-  tokens those are reported whose evidence passes the e-value form of Benjamini-Hochberg (the k largest are m / (q k) or more)
-  and that the battery hasn't rejected: at most a share ``q`` of the reported are ordinary, however tokens depend on one another.
+* Statistic of what is reported. Here the hypothesis is that a token is ordinary. The battery's combined p is uniform for random
+  tokens; how it is distributed for ordinary ones is counted in each class, over the corpus's tokens that its own short words
+  explain as well as chance does. The ratio of the two densities at a token's p is the battery's evidence; as covariate it is
+  multiplied by the likelihood of the token as uniform over its alphabet against that as ordinary text, in which the
+  characters of the corpus's short words follow one another.
+* Length-aware control. Of a class's tokens those are reported whose evidence passes the e-value form of Benjamini-Hochberg (the k
+  largest are m / (q k) or more) and that the battery hasn't rejected. So at most a share ``q`` of the reported are expected to be
+  ordinary *if* ordinary tokens are as both models say: the bound is no better than these, and identifiers made of rare words
+  may exceed it.
 
 Both cuts need all tokens of the corpus, as histograms of fixed size; the model of ordinary text is a table of counts of fixed size.
 """
@@ -39,15 +44,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")  # the runs of [0-9a-f] that are long enough
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{12,}(?:=+(?![A-Za-z0-9+/_=-]))?")  # with its padding; an '=' before more is a separator
 PARTS = [re.compile(r"[A-Za-z0-9+/]+=*"), re.compile(r"[A-Za-z0-9_-]+=*")]
-ENCODINGS = [("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("alnum", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"), ("digits", "0123456789")]
+ENCODINGS = [("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("alnum", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"), ("digits", "0123456789"), ("lower", "abcdefghijklmnopqrstuvwxyz"), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")]
+DIGITS = 6
 NARROWEST = sorted(range(len(ENCODINGS)), key=lambda i: len(ENCODINGS[i][1]))  # the order in which they are inferred
 LENGTHS = [12, 14, 16, 20, 28, 40, 64, 128]  # lower ends of the length classes
 Q = 0.05
 #: Histogram bins to a factor of two, of p-values and of e-values, and the largest bin.
 STEPS, LAST = 8, 8191
-#: Symbols of tokens, letters of either case alike; the last is what stands before a word.
+#: Bins of -log2 p for the densities of ordinary tokens' p-values, and how many uniform ones are counted beside these.
+DENSITY, PRIOR = 24, 20.0
+#: Symbols of tokens, letters of either case alike; the last is what stands before a word. How much chance unseen pairs share, and new words.
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789+/_-"
-OTHER, SMOOTH = len(SYMBOLS), 0.02
+OTHER, SMOOTH, JOIN = len(SYMBOLS), 0.02, 0.1
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -124,23 +132,28 @@ def tokens(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int,
 
 @dataclass
 class Ordinary:
-    """Ordinary text's characters: log2 of a symbol after another, and of a letter's case after another's (lower, upper, none before)."""
+    """Ordinary text's characters: chances of a symbol after another, and of a letter's case after another's (lower, upper, none before).
 
-    symbol: np.ndarray
-    case: np.ndarray
+    Identifiers put words together: at each character a new word may begin, with chance ``JOIN``, in either case.
+    """
+
+    symbol: list[list[float]]
+    case: list[list[float]]
 
     def bits(self, token: str) -> float:
         """Minus log2 of a token's likelihood."""
-        before, how, out = OTHER, 2, 0.0
+        before, how, out, first = OTHER, 2, 0.0, self.symbol[OTHER]
         for c in token:
-            at = _AT[ord(c)]
-            out -= self.symbol[before][at]
+            at = _PLACE[ord(c)]
+            going = self.symbol[before][at]
             if at < 26:
                 upper = int(c < "a")
-                out -= self.case[how][upper]
+                chance = (1 - JOIN) * going * self.case[how][upper] + JOIN * 0.5 * first[at]
                 how = upper
             else:
+                chance = (1 - JOIN) * going + JOIN * first[at]
                 how = 2
+            out -= math.log2(chance)
             before = at
         return out
 
@@ -149,28 +162,34 @@ class Ordinary:
 _AT = np.full(256, OTHER, np.int64)
 for _i, _c in enumerate(SYMBOLS):
     _AT[ord(_c)] = _AT[ord(_c.upper())] = _i
+_PLACE = _AT.tolist()
 _UPPER = np.zeros(256, bool)
 _UPPER[ord("A") : ord("Z") + 1] = True
 
 
-def word_counts(data: bytes, longest: int = LENGTHS[0] - 1) -> tuple[np.ndarray, np.ndarray]:
-    """How often symbols, and cases of letters, follow one another in the words of up to ``longest`` symbols: shorter than tokens to be judged."""
+def word_counts(data: bytes, longest: int = LENGTHS[0] - 1, shortest: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """How often symbols, and cases of letters, follow one another in words of up to ``longest`` symbols, shorter than tokens to be judged;
+    and in the words that longer runs are put together of: letters from one capital after a small letter, or a mark, to the next,
+    ``shortest`` to ``longest`` of them. Random tokens have few such."""
     raw = np.frombuffer(data, np.uint8)
     sym, n = _AT[raw], OTHER + 1
-    inside = sym < OTHER
+    inside, letter, upper = sym < OTHER, sym < 26, _UPPER[raw]
+    before, how = np.concatenate([[OTHER], sym[:-1]]), np.concatenate([[2], np.where(letter, upper, 2)[:-1]])
     edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
     starts, ends = edge[::2], edge[1::2]
     long = ends - starts > longest
     if long.any():
-        drop = np.zeros(len(raw) + 1, np.int64)
-        drop[starts[long]], drop[ends[long]] = 1, -1  # runs don't touch
-        inside &= np.cumsum(drop[:-1]) == 0
+        mark = np.zeros(len(raw) + 1, np.int64)
+        mark[starts[long]], mark[ends[long]] = 1, -1  # runs don't touch
+        deep = np.cumsum(mark[:-1]) == 1
+        begins = deep & letter & ((before >= 26) | (upper & (how == 0)))
+        part, own = np.cumsum(begins), deep & letter
+        size = np.bincount(part[own], minlength=part[-1] + 1)
+        inside &= ~deep | (own & ((size >= shortest) & (size <= longest))[part])
+        before[begins], how[begins] = OTHER, 2
     at = np.flatnonzero(inside)
-    before = np.concatenate([[OTHER], sym[:-1]])[at]
-    letter = at[sym[at] < 26]
-    case = np.where(sym < 26, _UPPER[raw], 2)
-    case_before = np.concatenate([[2], case[:-1]])[letter]
-    return np.bincount(before * n + sym[at], minlength=n * n), np.bincount(case_before * 2 + _UPPER[raw][letter], minlength=6)
+    cased = at[letter[at]]
+    return np.bincount(before[at] * n + sym[at], minlength=n * n), np.bincount(how[cased] * 2 + upper[cased], minlength=6)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,9 +218,9 @@ def ordinary(docs: DataFrame, text_col: str = "text") -> Ordinary:
     def smooth(counts: np.ndarray) -> np.ndarray:
         whole = counts.sum(axis=1, keepdims=True)
         k = counts.shape[1]
-        return np.log2((1 - SMOOTH) * (counts + 1) / (whole + k) + SMOOTH / k)
+        return (1 - SMOOTH) * (counts + 1) / (whole + k) + SMOOTH / k
 
-    return Ordinary(smooth(symbol), smooth(case))
+    return Ordinary(smooth(symbol).tolist(), smooth(case).tolist())
 
 
 def evidence(token: str, code: int, model: Ordinary) -> float:
@@ -210,21 +229,67 @@ def evidence(token: str, code: int, model: Ordinary) -> float:
     return model.bits(token) - len(token) * math.log2(len(ENCODINGS[code][1])) - math.log2(len(ENCODINGS))
 
 
+def card_number(token: str) -> bool:
+    """13 to 19 digits whose last is the right check digit."""
+    if not (13 <= len(token) <= 19 and token.isdigit()):
+        return False
+    digits = [int(c) for c in reversed(token)]
+    return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]], model: Ordinary | None = None) -> list[tuple[int, int, int, float, float]]:
-    """(start, end, class, p, log2 of the e-value: 0 without a model) of each token that has an encoding."""
+    """(start, end, class, p, log2 of the likelihood ratio: 0 without a model) of each token that has an encoding and is no card number."""
     out = []
     for i, j in tokens(text, taken):
-        if got := battery(text[i:j]):
+        if not card_number(text[i:j]) and (got := battery(text[i:j])):
             out.append((i, j, *got, evidence(text[i:j], got[0] // 10, model) if model else 0.0))
     return out
 
 
-_SCAN = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,class:int,p:double,e:double>>"
+def density_bin(p: float) -> int:
+    return min(DENSITY - 1, int(-math.log2(max(p, 1e-300))))
+
+
+def battery_evidence(histogram: list[tuple[int, int, int]]) -> dict[int, list[float]]:
+    """For each class, log2 of the density of random tokens' p-values over that of ordinary ones, by :func:`density_bin`.
+
+    ``histogram``: class, bin, count of ordinary tokens. ``PRIOR`` uniform ones are counted beside them, so that few say little.
+    """
+    by: dict[int, dict[int, int]] = {}
+    for cls, b, n in histogram:
+        by.setdefault(cls, {})[b] = n
+    width = [2.0**-b - (2.0 ** -(b + 1) if b < DENSITY - 1 else 0) for b in range(DENSITY)]
+    return {cls: [math.log2(w * (sum(bins.values()) + PRIOR) / (bins.get(b, 0) + PRIOR * w)) for b, w in enumerate(width)] for cls, bins in by.items()}
+
+
+@dataclass
+class Decision:
+    """What the corpus has decided: its ordinary text, the battery's evidence by class, and both cuts of each class."""
+
+    model: Ordinary
+    battery: dict[int, list[float]]
+    rejected: dict[int, int]
+    least: dict[int, int]
+
+    def total(self, cls: int, p: float, e: float) -> float:
+        """log2 of a token's evidence by battery and likelihood together."""
+        by = self.battery.get(cls)
+        return e + (by[density_bin(p)] if by else 0.0)
+
+    def reports(self, cls: int, p: float, e: float) -> bool:
+        return p_bin(p) < self.rejected.get(cls, LAST + 1) and math.floor(self.total(cls, p, e) * STEPS) >= self.least.get(cls, LAST + 1)
+
+
+_SCAN = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,class:int,p:double,e:double,token:bigint>>"
+
+
+def token_hash(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big", signed=True)
 
 
 def _scan(batches: Iterator[pa.RecordBatch], model: Ordinary) -> Iterator[pa.RecordBatch]:
     base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    found_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("class", pa.int32()), ("p", pa.float64()), ("e", pa.float64())]))
+    found_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("class", pa.int32()), ("p", pa.float64()), ("e", pa.float64()), ("token", pa.int64())]))
     for batch in batches:
         rows = []
         for text in batch.column("text").to_pylist():
@@ -232,7 +297,7 @@ def _scan(batches: Iterator[pa.RecordBatch], model: Ordinary) -> Iterator[pa.Rec
             kinds = [k for _, k, _ in base]
             digest = hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
             found = candidates(text, base, model)
-            rows.append((kinds.count(0), kinds.count(1), kinds.count(2), digest, [{"start": a, "kind": k, "end": b} for a, k, b in base], [dict(zip(("start", "end", "class", "p", "e"), f, strict=True)) for f in found]))
+            rows.append((kinds.count(0), kinds.count(1), kinds.count(2), digest, [{"start": a, "kind": k, "end": b} for a, k, b in base], [dict(zip(("start", "end", "class", "p", "e"), f, strict=True), token=token_hash(text[f[0] : f[1]])) for f in found]))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), base_type, found_type]
         yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=["id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "found"])
 
@@ -276,39 +341,55 @@ def report_cuts(histogram: list[tuple[int, int, int]], totals: dict[int, int], q
     return out
 
 
-def _bin_sql(value: str) -> str:
-    return f"CAST(greatest(least(floor({value} * {STEPS}), {LAST}), -1) AS INT)"
-
-
-def _cut_sql(cuts: dict[int, int]) -> str:
-    return "CASE f.class " + "".join(f"WHEN {c} THEN {b} " for c, b in sorted(cuts.items())) + f"ELSE {LAST + 1} END" if cuts else str(LAST + 1)
+def _totals(batches: Iterator[pa.RecordBatch], battery: dict[int, list[float]], rejected: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """The bins of all evidence together, of tokens that the battery hasn't rejected, counted in each task."""
+    own, counts = Decision(None, battery, rejected, {}), {}
+    for batch in batches:
+        for cls, p, e in zip(*(batch.column(c).to_pylist() for c in ("class", "p", "e")), strict=True):
+            if p_bin(p) < rejected.get(cls, LAST + 1):
+                key = cls, max(-1, min(LAST, math.floor(own.total(cls, p, e) * STEPS)))
+                counts[key] = counts.get(key, 0) + 1
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.int32()), pa.array(counts.values(), pa.int64())], names=["class", "b", "n"])
 
 
-def _decided(docs: DataFrame, id_col: str, text_col: str, q: float) -> tuple[DataFrame, Ordinary, dict[int, int], dict[int, int]]:
-    """All rows scanned, the model, and both cuts for each class."""
+def _decided(docs: DataFrame, id_col: str, text_col: str, q: float) -> tuple[DataFrame, Decision]:
+    """All rows scanned, and what the corpus's distinct tokens decide."""
     kept = Stored(docs.sparkSession, "secrets")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     model = ordinary(rows)
     scanned = kept.write(rows.mapInArrow(partial(_scan, model=model), f"id {rows.dtypes[0][1]}, {_SCAN}"), "scanned")
-    found = scanned.select(F.explode("found").alias("f"))
-    p, e = _bin_sql("-log2(greatest(f.p, 1e-300D))"), _bin_sql("f.e")
-    histogram = [tuple(r) for r in found.groupBy("f.class", F.expr(p).alias("b")).agg(F.count("*").alias("n")).collect()]  # classes x bins at most
-    rejected = rejection_cuts(histogram, q)
-    totals = {c: sum(n for k, _, n in histogram if k == c) for c in rejected}
-    left = found.where(f"{p} < {_cut_sql(rejected)}").groupBy("f.class", F.expr(e).alias("b")).agg(F.count("*").alias("n"))
-    return scanned, model, rejected, report_cuts([tuple(r) for r in left.collect()], totals, q)
+    found = scanned.select(F.explode("found").alias("f")).select("f.token", "f.class", "f.p", "f.e")
+    distinct = kept.write(found.groupBy("token").agg(*(F.first(c).alias(c) for c in ("class", "p", "e"))), "tokens")  # equal tokens have equal values
+    bits = F.lit(0.0) - F.log2(F.greatest("p", F.lit(1e-300)))
+    by = lambda df, most, steps: [tuple(r) for r in df.groupBy("class", F.least(F.floor(bits * steps), F.lit(most)).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()]  # noqa: E731  classes x bins at most
+    every = by(distinct, LAST, STEPS)
+    rejected, evidence_of_battery = rejection_cuts(every, q), battery_evidence(by(distinct.where("e <= 0"), DENSITY - 1, 1))
+    totals = {c: sum(n for k, _, n in every if k == c) for c in rejected}
+    bins = distinct.mapInArrow(partial(_totals, battery=evidence_of_battery, rejected=rejected), "class int, b int, n bigint").groupBy("class", "b").agg(F.sum("n").alias("n")).collect()
+    kept.drop(distinct)
+    return scanned, Decision(model, evidence_of_battery, rejected, report_cuts([tuple(r) for r in bins], totals, q))
+
+
+def _report(batches: Iterator[pa.RecordBatch], decision: Decision) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        out = []
+        for base, found in zip(batch.column("base").to_pylist(), batch.column("found").to_pylist(), strict=True):
+            added = [{"start": f["start"], "kind": 3, "end": f["end"]} for f in found if decision.reports(f["class"], f["p"], f["e"])]
+            out.append(sorted(base + added, key=lambda s: (s["start"], s["kind"], s["end"])))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "n_assign", "n_access", "n_hex", "base_sha256")), pa.array(out, kind)], names=["id", "n_assign", "n_access", "n_hex", "base_sha256", "secrets"])
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = Q) -> DataFrame:
     """``id_col``, n_assign, n_access, n_hex, base_sha256 and secrets: an array of (start, kind, end), by start and then kind.
 
-    Positions are code points, the end exclusive. A null text is empty and has no secrets. Repeated rows are scanned each (and
-    count each in the false-discovery control); a null id stays null; an empty table gives no rows; other columns aren't read.
+    Positions are code points, the end exclusive. A null text is empty and has no secrets. Repeated rows are scanned each, but a
+    token counts once in the control, whatever its copies; a null id stays null; an empty table gives no rows; other columns
+    aren't read.
     """
-    scanned, _, rejected, least = _decided(docs, id_col, text_col, q)
-    kept = f"filter(found, f -> {_bin_sql('-log2(greatest(f.p, 1e-300D))')} < {_cut_sql(rejected)} AND {_bin_sql('f.e')} >= {_cut_sql(least)})"
-    added = F.transform(F.expr(kept), lambda f: F.struct(f["start"].alias("start"), F.lit(3).alias("kind"), f["end"].alias("end")))
-    return scanned.select(F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", F.array_sort(F.concat("base", added)).alias("secrets"))
+    scanned, decision = _decided(docs, id_col, text_col, q)
+    schema = f"id {dict(scanned.dtypes)['id']}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, secrets array<struct<start:int,kind:int,end:int>>"
+    return scanned.mapInArrow(partial(_report, decision=decision), schema).withColumnRenamed("id", id_col)
 
 
 def span_text(secrets):
@@ -316,10 +397,10 @@ def span_text(secrets):
     return F.array_join(F.transform(secrets, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def masked(text: str, model: Ordinary, rejected: dict[int, int], least: dict[int, int], mask: str) -> str:
+def masked(text: str, decision: Decision, mask: str) -> str:
     """A text with each of its secrets replaced; overlapping ones become one."""
     base = base_spans(text)
-    spans = [(a, b) for a, _, b in base] + [(a, b) for a, b, cls, p, e in candidates(text, base, model) if p_bin(p) < rejected[cls] and math.floor(e * STEPS) >= least.get(cls, LAST + 1)]
+    spans = [(a, b) for a, _, b in base] + [(a, b) for a, b, cls, p, e in candidates(text, base, decision.model) if decision.reports(cls, p, e)]
     out, reach = [], 0
     for a, b in sorted(spans):
         if a >= reach:
@@ -333,12 +414,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
 
     Once the corpus has given its cuts, each row is masked by itself, without a join: also rows without an id, and rows of one id.
     """
-    _, model, rejected, least = _decided(docs, id_col, text_col, q)
+    _, decision = _decided(docs, id_col, text_col, q)
 
     def mask_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            texts = pa.array([t and masked(t, model, rejected, least, mask) for t in batch.column(at).to_pylist()], pa.string())
+            texts = pa.array([t and masked(t, decision, mask) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 :]], names=batch.schema.names)
 
     return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(mask_rows, docs.withColumn(text_col, F.col(text_col).cast("string")).schema)

@@ -501,6 +501,75 @@ def test_planted_tokens_by_encoding_and_length(spark):
     assert wrong <= 0.05 * (wrong + sum(caught.values())) + 1
 
 
+def test_ordinary_identifiers_are_left_alone(spark):
+    """English with identifiers, paths, serial numbers, dates, book and card numbers, some of them very common: at most 5 % of the reports are these."""
+    rng = random.Random(8)
+    prose = "the report of this week says that users may open an account and change their settings when the server has sent a message about the order which they placed".split()
+    common = ["getUserAccountByIdOrThrow", "XMLHttpRequestFactoryImpl", "AbstractSingletonProxyFactoryBean", "java/util/concurrent/atomic", "SETTINGS_PAGE_TITLE_LABEL"]
+    verbs, nouns = "get set find load update remove create parse".split(), "User Account Order Message Server Session Config Report Index Handler".split()
+
+    def card():
+        digits = [rng.randrange(10) for _ in range(15)]
+        return "".join(map(str, digits)) + next(str(c) for c in range(10) if secret_scan.card_number("".join(map(str, digits)) + str(c)))
+
+    kinds = [
+        lambda: rng.choice(common), lambda: rng.choice(verbs) + "".join(rng.sample(nouns, 3)), lambda: "/".join(x.lower() for x in rng.sample(nouns, 4)), lambda: f"2024-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}T10-{rng.randrange(60):02d}",
+        lambda: f"SN-2024-{rng.randrange(1000):06d}", lambda: f"978-3-16-{rng.randrange(10**6):06d}-{rng.randrange(10)}", card, lambda: "_".join(rng.sample(nouns, 3)).lower(), lambda: "-".join(rng.sample(prose, 4)),
+    ]
+    rows, planted = [], {}
+    for i in range(1500):
+        text = [rng.choice(prose) for _ in range(50)] + [rng.choice(kinds)() for _ in range(3)]
+        rng.shuffle(text)
+        if i % 10 == 0:
+            secret = "".join(rng.choice(secret_scan.ENCODINGS[3][1]) for _ in range((20, 24, 32, 40)[i // 10 % 4]))
+            text.insert(rng.randrange(len(text)), secret)
+            planted[i] = secret
+        rows.append((i, " ".join(text)))
+    texts, found, wrong = dict(rows), 0, []
+    for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        said = [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["secrets"] if s["kind"] == 3]
+        found += planted.get(r["doc_id"]) in said
+        wrong += [s for s in said if s != planted.get(r["doc_id"])]
+    print("found", found, "of", len(planted), "wrong", len(wrong), sorted(set(wrong))[:10])
+    assert found >= 0.9 * len(planted) and len(wrong) <= 0.05 * (found + len(wrong))
+    assert not set(common) & set(wrong)
+
+
+def test_statistics_of_the_battery_by_other_means():
+    """The three p-values computed apart: by summing over the alphabet, by writing out runs, and by correlation coefficients."""
+    rng = random.Random(6)
+    from math import erfc, exp, log, sqrt
+
+    for code, length in ((0, 24), (3, 17), (5, 60), (6, 16), (7, 14), (9, 30)):
+        alphabet = secret_scan.ENCODINGS[code][1]
+        token = "".join(rng.choice(alphabet) for _ in range(length))
+        if secret_scan.battery(token)[0] // 10 != code:
+            continue
+        x = np.array([alphabet.index(c) for c in token])
+        a, n = len(alphabet), len(x)
+        counts = np.bincount(x, minlength=a)
+        chi = ((counts - n / a) ** 2 / (n / a)).sum()
+        p1 = 0.5 * erfc((chi - (a - 1)) / sqrt(2 * (a - 1) * (n - 1) / n) / sqrt(2))
+        high = x >= a / 2
+        n1, n2 = high.sum(), (~high).sum()
+        runs = 1 + (high[1:] != high[:-1]).sum()
+        mean = 2 * n1 * n2 / n + 1
+        p2 = erfc(abs(runs - mean) / sqrt((mean - 1) * (mean - 2) / (n - 1)) / sqrt(2))
+        d = x - x.mean()
+        p3 = erfc(abs((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * sqrt(n) / sqrt(2))
+        half = -(log(p1) + log(p2) + log(p3))
+        assert secret_scan.battery(token)[1] == pytest.approx(exp(-half) * (1 + half + half**2 / 2), rel=1e-6)
+
+
+def test_evidence_of_the_battery():
+    """Ordinary tokens with p-values like random ones say nothing; where they crowd, a p speaks against randomness."""
+    uniform = [(1, b, 2**20 >> (b + 1)) for b in range(20)]
+    assert all(abs(v) < 0.01 for v in secret_scan.battery_evidence(uniform)[1][:10])
+    crowded = secret_scan.battery_evidence([(1, 0, 100), (1, 8, 900)])[1]
+    assert crowded[8] < -6 and 1 < crowded[0] < 3 and secret_scan.battery_evidence([]) == {}
+    assert secret_scan.card_number("4111111111111111") and not secret_scan.card_number("4111111111111112") and not secret_scan.card_number("79927398713")
+
+
 def test_redaction_masks_each_row_by_itself(spark):
     rows = [(None, "password=hunter2hunter2", 1), (1, "password=hunter2hunter2 end", 2), (1, "nothing of that kind is here", 3), (2, None, 4), (3, "a token: abcdefgh12 and secret=zzzzzzzzz9", 5)]
     got = sorted((r["_secrets"], r["doc_id"], r["text"]) for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id bigint, text string, _secrets int")).collect())
