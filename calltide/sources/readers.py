@@ -26,23 +26,65 @@ class TooManyErrors(ValueError):
     """More rows of a file are malformed than the reader takes."""
 
 
-def sample_lines(spark: SparkSession, path: str, n: int = SAMPLE) -> list[str]:
-    return [r["value"] for r in spark.read.text(path).limit(n).collect()]
+def sample_lines(spark: SparkSession, path: str | list[str], n: int = SAMPLE, charset: str = "UTF-8") -> list[str]:
+    if charset.startswith("UTF-16"):  # its lines can't be parted byte by byte
+        whole = spark.read.format("binaryFile").load(path).select(F.decode(F.substring("content", 1, 1 << 16), charset).alias("t")).limit(1).collect()
+        return [line.removesuffix("\r") for line in (whole[0]["t"] if whole else "").lstrip("\ufeff").split("\n")[:n]]
+    value = F.col("value") if charset == "UTF-8" else widened(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), charset)
+    return [r["value"] for r in spark.read.text(path).select(value.alias("value")).limit(n).collect()]
 
 
-def read_csv(spark: SparkSession, path: str, mapping: dict[str, str] | None = None, max_errors: float = 0.1, check: bool = False) -> DataFrame:
-    """Delimiter and header are found in a sample, columns mapped by name if no mapping is given.
+def widened(text: Column, charset: str) -> Column:
+    """A text read as ISO-8859-1 with the marks that windows-1252 has in the place of control characters; others as they are."""
+    marks = {chr(b): c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
+    return F.translate(text, "".join(marks), "".join(marks.values())) if charset == "windows-1252" else text
+
+
+def file_report(spark: SparkSession, path: str | list[str], max_bytes: int = detect.MAX_BYTES, max_rows: int = detect.MAX_ROWS) -> DataFrame:
+    """For each text file: file, bytes, rows, first_line, charset, accepted and reason (null, empty, too large, too many rows).
+
+    One pass over all bytes, spread over tasks, that leaves a row a file. A file is UTF-16 if it has null bytes, UTF-8 if all its lines are
+    valid, else windows-1252 if some byte lies in the range 80 to 9F, else ISO-8859-1. An empty file has no rows to report.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    valid = F.is_valid_utf8("value")
+    high = ~valid & F.hex(F.col("value").cast("binary")).rlike("^(?:..)*?[89][0-9A-F]")
+    first = F.min_by(F.hex(F.col("value").cast("binary")), F.struct("block", "at"))
+    g = lines.groupBy("file").agg(F.max("bytes").alias("bytes"), F.count("*").alias("rows"), first.alias("_first"), F.bool_or(F.col("value").contains("\x00")).alias("_null"), F.bool_and(valid).alias("_valid"), F.bool_or(high).alias("_high"))
+    charset = F.when(F.col("_null"), "UTF-16").when(F.col("_valid"), "UTF-8").when(F.col("_high"), "windows-1252").otherwise("ISO-8859-1")
+    reason = F.when(F.col("bytes") == 0, "empty").when(F.col("bytes") > max_bytes, "too large").when(F.col("rows") > max_rows, "too many rows")
+    return g.select("file", "bytes", "rows", F.col("_first").alias("first_line"), charset.alias("charset"), reason.isNull().alias("accepted"), reason.alias("reason"))
+
+
+def read_csv_files(spark: SparkSession, path: str | list[str], mapping: dict[str, str] | None = None, max_bytes: int = detect.MAX_BYTES, max_rows: int = detect.MAX_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(rows; report) of many CSV files of several charsets and headers: rows have the fields, ``corrupt`` and ``file``.
+
+    Files of one charset and first line are one read, so that there are as many reads as kinds of files, not as files. Files over the limits
+    are left out whole and stand in the report (see :func:`file_report`) with the reason.
+    """
+    report = file_report(spark, path, max_bytes, max_rows)
+    kinds: dict[tuple[str, str], list[str]] = {}
+    for r in report.where("accepted").select("file", "charset", "first_line").collect():  # a row a file, as Spark's own listing has
+        kinds.setdefault((r["charset"], r["first_line"]), []).append(r["file"])
+    parts = [read_csv(spark, sorted(files), mapping, charset=charset).select("*", F.col("_metadata.file_path").alias("file")) for (charset, _), files in sorted(kinds.items())]
+    none = spark.createDataFrame([], ", ".join(f"{c} string" for c in [*FIELDS, "corrupt", "file"]))
+    return reduce(DataFrame.unionByName, parts, none), report
+
+
+def read_csv(spark: SparkSession, path: str | list[str], mapping: dict[str, str] | None = None, max_errors: float = 0.1, check: bool = False, charset: str | None = None) -> DataFrame:
+    """Delimiter and header are found in a sample, columns mapped by name if no mapping is given; so is the charset, in all of the file.
 
     Malformed rows are read permissively: their text is in ``corrupt``. With ``check``, a share of them over ``max_errors``
     raises; that is a pass over the file. Rows without number and time stay: validation tells them.
     """
-    lines = sample_lines(spark, path)
+    charset = charset or next((r["charset"] for r in file_report(spark, path).groupBy("charset").count().orderBy(F.desc("count"), "charset").collect()), "UTF-8")
+    lines = sample_lines(spark, path, charset=charset)
     sep, _ = detect.delimiter(lines)
     rows = [detect.fields(line, sep) for line in lines]
     at = detect.header_row(rows)
     names = [c.strip() or f"column{i}" for i, c in enumerate(rows[at])] if at is not None else [f"column{i}" for i in range(max(map(len, rows), default=1))]
     schema = ", ".join(f"`{n}` string" for n in [*names, "corrupt"])
-    raw = spark.read.schema(schema).option("sep", sep).option("header", at == 0).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").csv(path)
+    raw = spark.read.schema(schema).option("sep", sep).option("encoding", "ISO-8859-1" if charset == "windows-1252" else charset).option("multiLine", charset.startswith("UTF-16")).option("header", at == 0).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").csv(path)
     if at:
         # The header, and what stands before it, are known lines of the sample: rows equal to one of them go, all others stay.
         width = len(names)
@@ -51,7 +93,7 @@ def read_csv(spark: SparkSession, path: str, mapping: dict[str, str] | None = No
         raw = raw.where(~reduce(lambda a, b: a | b, map(same, known)))
     if mapping is None:
         mapping = {f: h for f, (h, _) in map_fields(names).items()}
-    out = raw.select(*(F.col(f"`{mapping[f]}`").alias(f) if f in mapping else F.lit(None).cast("string").alias(f) for f in FIELDS), "corrupt")
+    out = raw.select(*(widened(F.col(f"`{mapping[f]}`"), charset).alias(f) if f in mapping else F.lit(None).cast("string").alias(f) for f in FIELDS), "corrupt")
     if check:
         n = raw.agg(F.count("*").alias("n"), F.count("corrupt").alias("bad"), *(F.count(f"`{c}`").alias(f"n_{i}") for i, c in enumerate(names))).first()  # a parsed column must be read, too
         if n["n"] and n["bad"] / n["n"] > max_errors:

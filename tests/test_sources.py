@@ -126,3 +126,26 @@ def test_pii(spark):
     counts = {r["id"]: r for r in I.pii_counts(df, "id", "text").collect()}
     assert counts[1]["email"] == 1 and counts[2]["email"] == counts[3]["phone"] == 0
     assert I.luhn("4111111111111111") and not I.luhn("4111111111111112")
+
+
+def test_files_of_many_charsets_and_limits(spark, tmp_path):
+    rows = "number,date,message\n+15550000001,2024-01-01 10:00:00,café à {}\n+15550000002,2024-01-02 10:00:00,plain\n"
+    for name, charset in (("utf8", "utf-8"), ("latin", "iso-8859-1"), ("win", "windows-1252"), ("wide", "utf-16")):
+        (tmp_path / f"{name}.csv").write_bytes(rows.format("€" if name in ("win", "utf8", "wide") else "é").encode(charset))
+    (tmp_path / "other.csv").write_text("Caller;Date/Time;Duration\n+15550000003;2024-01-03 10:00:00;7\n")
+    (tmp_path / "long.csv").write_text("number,date\n" + "+15550000009,2024-01-09 10:00:00\n" * 50)
+    (tmp_path / "empty.csv").write_text("")
+    got, report = readers.read_csv_files(spark, str(tmp_path), max_rows=40)
+    name = lambda f: f.rsplit("/", 1)[-1].removesuffix(".csv")
+    told = {name(r["file"]): (r["charset"], r["accepted"], r["reason"]) for r in report.collect()}
+    assert {k: v[0] for k, v in told.items()} == {"utf8": "UTF-8", "latin": "ISO-8859-1", "win": "windows-1252", "wide": "UTF-16", "other": "UTF-8", "long": "UTF-8"}
+    assert told["long"][1:] == (False, "too many rows") and all(v[1] for k, v in told.items() if k != "long")
+    by = {}
+    for r in got.collect():
+        by.setdefault(name(r["file"]), []).append((r["number"], r["content"], r["duration"]))
+    assert set(by) == {"utf8", "latin", "win", "wide", "other"} and by["other"] == [("+15550000003", None, "7")]
+    for k in ("utf8", "latin", "win", "wide"):
+        assert sorted(by[k]) == [("+15550000001", "café à " + ("é" if k == "latin" else "€"), None), ("+15550000002", "plain", None)], k
+    assert readers.file_report(spark, str(tmp_path / "long.csv"), max_bytes=100).collect()[0]["reason"] == "too large"
+    one = readers.read_csv(spark, str(tmp_path / "latin.csv")).collect()
+    assert {r["content"] for r in one} == {"café à é", "plain"}
