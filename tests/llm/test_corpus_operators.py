@@ -966,3 +966,84 @@ def test_estimates_are_distributions():
             for context, total in seen.items():
                 lam = model.orders[k - 1].lam[cls, np.searchsorted(model.orders[k - 1].keys, context)] if k else model.lam0[cls]
                 assert abs(total + lam - 1) < 1e-5
+
+
+def brute_kneser_ney(words, c):
+    """Word -> (ordinary, toxic) log-likelihoods, with dictionaries over strings; ``words``: word -> (count ordinary, count toxic)."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    raw = [[Counter() for _ in range(c.order)] for _ in range(2)]  # class, order: n-grams that don't end with the begin mark
+    for w, n in words.items():
+        s = "^" + w + "$"
+        for i in range(1, len(s)):
+            for k in range(min(i, c.order - 1) + 1):
+                for cls in range(2):
+                    raw[cls][k][s[i - k : i + 1]] += n[cls]
+    models = []
+    for cls in range(2):
+        alpha, lam = [], []
+        for k in range(c.order):
+            classes = (0, 1) if k < c.shared_order else (cls,)
+            n = Counter()
+            for o in classes:
+                for g, m in raw[o][k].items():
+                    if k == c.order - 1 or g.startswith("^"):
+                        n[g] += m
+            if k + 1 < c.order:
+                for g in {g for o in classes for g, m in raw[o][k + 1].items() if m}:
+                    n[g[1:]] += 1
+            whole, spare = defaultdict(float), defaultdict(float)
+            for g, m in n.items():
+                whole[g[:-1]] += m
+                spare[g[:-1]] += min(m, c.discount)
+            alpha.append({g: max(m - c.discount, 0) / whole[g[:-1]] for g, m in n.items() if whole[g[:-1]]})
+            lam.append({x: spare[x] / v for x, v in whole.items() if v})
+        models.append((alpha, lam))
+
+    def likelihood(w, cls):
+        alpha, lam = models[cls]
+        s, out = "^" + w + "$", 0.0
+        for i in range(1, len(s)):
+            p = 1 / c.alphabet
+            for k in range(min(i, c.order - 1) + 1):
+                g = s[i - k : i + 1]
+                p = alpha[k].get(g, 0.0) + lam[k].get(g[:-1], 1.0) * p
+            out += log(p)
+        return out
+
+    return likelihood
+
+
+@pytest.mark.parametrize("shared", [2, 0, 3])
+def test_evidence_equals_brute_force_kneser_ney(shared):
+    import pyarrow as pa
+
+    rng = random.Random(shared)
+    c = toxicity.ToxicityConfig(order=4, shared_order=shared)
+    words = {"".join(rng.choice("abcé") for _ in range(rng.randrange(1, 8))): (rng.randrange(4), rng.randrange(3)) for _ in range(80)}
+    texts, cells = [], []
+    for w, (o, t) in words.items():
+        texts += [w] * (o + t)
+        cells += [0] * o + [1] * t
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(cells, pa.int32())], names=["text", "cell"])
+    (out,) = toxicity._grams(iter([batch]), c)
+    table, counts = toxicity.unpacked(out)
+    model = toxicity.estimate(table, counts[:, :2], c)
+    likelihood = brute_kneser_ney({w: n for w, n in words.items() if sum(n)}, c)
+    asked = [*words, "zzz", "abcabcabc", "é", "cab"]
+    got = toxicity.word_evidence(asked, model)
+    for w, e in zip(asked, got, strict=True):
+        assert e == pytest.approx(likelihood(w, 1) - likelihood(w, 0), abs=2e-3), w
+
+
+def test_null_ids_stay_in_operators_that_keep_them(spark):
+    rows = [(None, "some text of a row without an id", "x"), (None, "some text of a row without an id", "y"), (1, None, "z"), (2, "another text entirely", "w")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, id string")
+    ids = lambda df: sorted((r["doc_id"] for r in df.select("doc_id").collect()), key=str)
+    assert ids(token_count.token_counts(docs)) == [1, 2, None, None]
+    assert ids(media.media_summary(media.text_media(docs))) == [1, 2, None, None]
+    assert ids(secret_scan.find_secrets(docs)) == [1, 2, None, None]
+    assert ids(line_dedup.dedup_lines(docs)) == [1, 2, None, None]
+    assert {1, 2} <= set(ids(packing.pack(docs)))
+    assert {1, 2} <= set(ids(simhash.near_duplicates(docs)))
