@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calltide.functions.masks import mask_number
+from calltide.operators.windows import sliced
 
 
 def moment(as_of: str) -> Column:
@@ -126,11 +127,11 @@ def heatmap_summary(events: DataFrame, start: str, end: str, owner: int | None =
 def data_gaps(events: DataFrame, threshold_hours: float = 24, inclusive: bool = False, top: int | None = None) -> DataFrame:
     """Silences longer than a threshold between an owner's consecutive events; ``inclusive`` keeps those as long, too.
 
-    An owner's events are ordered in one partition of the window; for owners with very long histories give the log's
-    ``owner_id`` a month and merge the ends. Severity: under 48 h minor, under 168 h moderate, else major.
+    An owner's events are ordered day by day (:func:`sliced`), so a long history is spread over tasks. Events without a time are left
+    out. Severity: under 48 h minor, under 168 h moderate, else major.
     """
-    w = Window.partitionBy("owner_id").orderBy("ts", "id")
-    gaps = events.select("owner_id", "ts", F.lag("ts").over(w).alias("before")).where("before IS NOT NULL")
+    rows, w, own = sliced(events.select("owner_id", "ts", "id").where("ts IS NOT NULL"), ["owner_id"], ["ts", "id"], F.to_date("ts"))
+    gaps = rows.select("owner_id", "ts", "_own", F.lag("ts").over(w).alias("before")).where(own & F.col("before").isNotNull())
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("before").cast("timestamp"))
     hours = seconds / 3600.0
     gaps = gaps.select("owner_id", F.unix_timestamp(F.col("before").cast("timestamp")).alias("gap_start"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("gap_end"), seconds.alias("seconds"), F.round(hours, 1).alias("hours"), hours.alias("_hours"))

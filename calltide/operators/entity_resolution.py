@@ -164,10 +164,18 @@ def conflict_metrics(resolved: DataFrame) -> DataFrame:
     )
 
 
-def triage(conflicts: DataFrame) -> DataFrame:
-    """Priority of each conflict by its kind, and whether a person has to look at it."""
+def triage(conflicts: DataFrame, size: int = 50, slices: int = 64) -> DataFrame:
+    """Priority of each conflict by its kind, whether a person has to look at it, and the batch of its priority, of ``size`` conflicts at most.
+
+    Conflicts are numbered slice by slice (id_a modulo ``slices``), then by id_a and id_b: a slice's first number is the count of those before it, so
+    that no priority is ordered in one task.
+    """
     priority = F.when(F.col("conflict") == "exact", "critical").when(F.col("conflict") == "time_variance", "high").otherwise("medium")
-    return conflicts.select("id_a", "id_b", "conflict", priority.alias("priority"), (F.col("conflict") == "fuzzy").alias("manual"))
+    c = conflicts.select("id_a", "id_b", "conflict", priority.alias("priority"), (F.col("conflict") == "fuzzy").alias("manual"), F.pmod("id_a", F.lit(slices)).alias("_slice"))
+    counts = c.groupBy("priority", "_slice").agg(F.count("*").alias("_n"))  # a row for each priority and slice
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("priority").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("priority", "_slice").orderBy("id_a", "id_b"))
+    return c.withColumn("_place", place).join(before, ["priority", "_slice"]).select("id_a", "id_b", "conflict", "priority", "manual", F.floor((F.col("_before") + F.col("_place") - 1) / size).cast("bigint").alias("batch"))
 
 
 def dedup_quality(events: DataFrame, kept: DataFrame) -> DataFrame:

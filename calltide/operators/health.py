@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calltide.operators.dashboards import count_if, moment, top_of_group
+from calltide.operators.windows import sliced
 
 
 def ago(as_of: str, days: float) -> Column:
@@ -43,9 +44,9 @@ def network_metrics(syncs: DataFrame) -> DataFrame:
 
 def disconnections(syncs: DataFrame) -> DataFrame:
     """How often the network went from some type to none, by day; order is kept within a day."""
-    w = Window.partitionBy("day").orderBy("ts", "id")
     s = syncs.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "id", "network_type")
-    return s.withColumn("_before", F.lag("network_type").over(w)).groupBy("day").agg(count_if((F.col("network_type") == "none") & (F.col("_before") != "none")).alias("disconnections"), F.count("*").alias("syncs"))
+    rows, w, own = sliced(s, ["day"], ["ts", "id"], F.hour("ts"))
+    return rows.withColumn("_before", F.lag("network_type").over(w)).where(own).groupBy("day").agg(count_if((F.col("network_type") == "none") & (F.col("_before") != "none")).alias("disconnections"), F.count("*").alias("syncs"))
 
 
 def data_drift(syncs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
@@ -201,8 +202,8 @@ def performance_summary(syncs: DataFrame, target_ms: float) -> DataFrame:
 
 def growth_and_spikes(syncs: DataFrame, last: int = 20, factor: float = 1.5) -> DataFrame:
     """Of each network: growth of the queue over the last samples by the minute with its class, and samples over 1.5 x the mean of the 4 before."""
-    w = Window.partitionBy("network_type").orderBy("ts", "id")
-    s = syncs.select("network_type", "ts", "id", "queue_after", F.avg("queue_after").over(w.rowsBetween(-4, -1)).alias("before"), F.count("*").over(w.rowsBetween(-4, -1)).alias("n"))
+    rows, w, own = sliced(syncs.select("network_type", "ts", "id", "queue_after"), ["network_type"], ["ts", "id"], F.to_date("ts"), 4)
+    s = rows.select("*", F.avg("queue_after").over(w.rowsBetween(-4, -1)).alias("before"), F.count("*").over(w.rowsBetween(-4, -1)).alias("n")).where(own)
     spikes = s.groupBy("network_type").agg(count_if((F.col("n") == 4) & (F.col("queue_after") > F.col("before") * factor)).alias("spikes"))
     recent = top_of_group(syncs.select("network_type", "ts", "id", "queue_after"), "network_type", F.desc("ts"), F.desc("id"), n=last)
     t = F.unix_micros(F.col("ts").cast("timestamp"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from calltide.operators import filters, matching, visibility
 from calltide.operators.dashboards import count_if
+from calltide.operators.windows import sliced
 from calltide.plans.adapter import AS_OF, view, with_views
 from calltide.plans.registry import query, table
 
@@ -278,8 +279,8 @@ def w05_last_ten(spark, sf_dir):
 
 @query(with_views("SELECT network_type, id, round(avg(duration_ms) OVER (PARTITION BY network_type ORDER BY ts, id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 3) AS before FROM syncs", "syncs"))
 def w09_trailing_mean(spark, sf_dir):
-    w = Window.partitionBy("network_type").orderBy("ts", "id").rowsBetween(-4, -1)
-    return view(spark, sf_dir, "syncs").select("network_type", "id", F.round(F.avg("duration_ms").over(w), 3).alias("before"))
+    rows, w, own = sliced(view(spark, sf_dir, "syncs").select("network_type", "ts", "id", "duration_ms"), ["network_type"], ["ts", "id"], F.to_date("ts"), 4)
+    return rows.select("network_type", "id", "_own", F.round(F.avg("duration_ms").over(w.rowsBetween(-4, -1)), 3).alias("before")).where(own).drop("_own")
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 5")

@@ -49,8 +49,8 @@ def a16_thresholds(spark, sf_dir):
 @query(with_views("SELECT network_type, count(*) AS n, round(avg(gap), 3) AS mean_gap FROM (SELECT network_type, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY network_type ORDER BY ts, id))) / 1e6 AS gap FROM syncs) WHERE gap IS NOT NULL GROUP BY 1", "syncs"))
 def w07_intervals(spark, sf_dir):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    s = view(spark, sf_dir, "syncs").select("network_type", ((us - F.lag(us).over(Window.partitionBy("network_type").orderBy("ts", "id"))) / 1e6).alias("gap"))
-    return s.where("gap IS NOT NULL").groupBy("network_type").agg(F.count("*").alias("n"), F.round(F.avg("gap"), 3).alias("mean_gap"))
+    s = view(spark, sf_dir, "syncs").groupBy("network_type").agg((F.count("*") - 1).alias("n"), ((F.max(us) - F.min(us)) / 1e6).alias("span")).where("n > 0")
+    return s.select("network_type", "n", F.round(F.col("span") / F.col("n"), 3).alias("mean_gap"))  # intervals between consecutive ones add up to the span
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate < TIMESTAMP '1995-01-01' AS early FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45")
@@ -178,10 +178,12 @@ def g17_number_modes(spark, sf_dir):
     return view(spark, sf_dir, "contacts").select("id", policies.anonymize_number(n, "full").alias("full_mask"), *(policies.anonymize_number(n, m, "k").alias(m) for m in ("partial", "smart", "simple", "token")))
 
 
-@query()
+@query("SELECT count(*) AS n, true AS centred, true AS spread, true AS apart FROM orders")
 def g19_noise(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") + M.laplace_noise(100.0, 0.5, 11)).alias("noisy"))
-    return o.agg(F.count("*").alias("n"), F.count(F.when(F.col("noisy").isNotNull(), 1)).alias("noisy"))
+    """Noise of scale 200: that its mean is near 0, its mean size near 200, and that amounts differ from those without it."""
+    noise = M.laplace_noise(100.0, 0.5, 11)
+    o = table(spark, sf_dir, "orders").select("o_totalprice", (F.col("o_totalprice") + noise).alias("noisy")).withColumn("d", F.col("noisy") - F.col("o_totalprice"))
+    return o.agg(F.count("*").alias("n"), (F.abs(F.avg("d")) < 30).alias("centred"), F.avg(F.abs("d")).between(180, 220).alias("spread"), (F.count_if(F.col("d") != 0) > 0.99 * F.count("*")).alias("apart"))
 
 
 @query(with_views("SELECT id, left(sha256('s' || number), 16) AS hash_token, length(number) AS n FROM contacts", "contacts"))

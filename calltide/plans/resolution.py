@@ -140,7 +140,7 @@ def r21_server_wins(spark, sf_dir):
     return R.server_wins(local, remote).withColumn("duration", F.col("duration").cast("bigint"))
 
 
-@query(with_views(COPIES + CONFLICT_PAIRS + CONFLICTS + " SELECT id_a, id_b, conflict, CASE conflict WHEN 'exact' THEN 'critical' WHEN 'time_variance' THEN 'high' ELSE 'medium' END AS priority, conflict = 'fuzzy' AS manual FROM c", "comm"))
+@query(with_views(COPIES + CONFLICT_PAIRS + CONFLICTS + " SELECT id_a, id_b, conflict, CASE conflict WHEN 'exact' THEN 'critical' WHEN 'time_variance' THEN 'high' ELSE 'medium' END AS priority, conflict = 'fuzzy' AS manual, CAST((row_number() OVER (PARTITION BY priority ORDER BY id_a % 64, id_a, id_b) - 1) // 50 AS BIGINT) AS batch FROM c", "comm"))
 def r23_triage(spark, sf_dir):
     return R.triage(matching.event_conflicts(with_copies(spark, sf_dir), 1))
 
