@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from calltide.operators import ingest as I
+from calltide.operators import mapping as M
 from calltide.operators import schema as R
 from calltide.plans.adapter import with_views
 from calltide.plans.ingest import NORM, RAW_SQL, raw
@@ -86,3 +87,16 @@ def e22_batch_scores(spark, sf_dir):
     )
     b = b.withColumns({"duplicates": F.col("parsed") - F.col("unique"), "gap_score": F.when(F.col("batch") == 3, 60.0), "mapping": F.lit(0.9), "duplicate_accuracy": F.lit(0.99)})
     return R.batch_scores(b).select("batch", "total", "parsed", "duplicates", *(F.round(c, 6).alias(c) for c in ("parse_score", "etl_score", "pipeline_score")))
+
+
+@query(with_views(RAW_SQL + """, n AS (SELECT avg(CASE WHEN trim(ts) <> '' THEN CAST(regexp_matches(lower(ts), '\\d{4}[-/]\\d{2}[-/]\\d{2}|\\d{2}[-/]\\d{2}[-/]\\d{4}|\\d{1,2}:\\d{2}(:\\d{2})?|\\d{10,13}|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec') AS INT) END) AS ts,
+ avg(CASE WHEN trim(number) <> '' THEN CAST(regexp_matches(lower(number), '\\+?1?\\d{10}|\\(\\d{3}\\)\\s?\\d{3}-\\d{4}|\\d{3}[-\\.]\\d{3}[-\\.]\\d{4}') AS INT) END) AS number, avg(CASE WHEN trim(duration) <> '' THEN CAST(regexp_matches(lower(duration), '\\d+:\\d{2}(:\\d{2})?|\\d+(\\.\\d+)?\\s*(min|sec|hr|hours?|minutes?|seconds?)|^\\d+$') AS INT) END) AS duration,
+ avg(CASE WHEN trim(direction) <> '' THEN CAST(regexp_matches(lower(direction), 'in|out|incoming|outgoing|inbound|outbound|received|sent|[io]') AS INT) END) AS direction FROM raw)
+SELECT 'Date/Time' AS source, 'ts' AS target, round(0.95::DOUBLE * 0.3 + ts * 0.25 + 0.9::DOUBLE * 0.2 + 0.7::DOUBLE * 0.15 + 0.05 - 0.0, 4) AS confidence FROM n UNION ALL SELECT 'Phone Number', 'number', round(0.95::DOUBLE * 0.3 + number * 0.25 + 0.9::DOUBLE * 0.2 + 0.7::DOUBLE * 0.15 + 0.05, 4) FROM n
+UNION ALL SELECT 'Duration', 'duration', round(0.95::DOUBLE * 0.3 + duration * 0.25 + 0.9::DOUBLE * 0.2 + 0.7::DOUBLE * 0.15 + 0.05, 4) FROM n UNION ALL SELECT 'Direction', 'direction', round(0.95::DOUBLE * 0.3 + direction * 0.25 + 0.9::DOUBLE * 0.2 + 0.7::DOUBLE * 0.15 + 0.05, 4) FROM n""", "comm"))
+def e02_mapping_confidence(spark, sf_dir):
+    """A carrier's file whose columns its default template names: how sure each mapping is by names and all values."""
+    names = {"ts": "Date/Time", "number": "Phone Number", "duration": "Duration", "direction": "Direction"}
+    file = raw(spark, sf_dir).select(*(F.col(k).alias(v) for k, v in names.items()))
+    found, _ = M.suggest_mappings(file, "att")
+    return found.select("source", "target", "confidence")

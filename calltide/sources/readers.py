@@ -12,12 +12,24 @@ from calltide.operators.ingest import FIELDS, apply_mapping, map_fields
 from calltide.sources import detect
 
 SAMPLE = 50
-#: The records of carriers: number, date, time, direction, duration, type are the groups.
+#: The forms of carriers' records, two each: number, date, time, direction, duration, type are the groups.
 CARRIER_LINES = {
-    "att": r"^CDR\|(?<date>\d{8})\|(?<time>\d{6})\|(?<number>\+?\d+)\|(?<way>[OI])\|(?<length>\d+)\|(?<kind>[CS])$",
-    "verizon": r"^VZW\|(?<date>\d{4}-\d{2}-\d{2})\|(?<time>\d{2}:\d{2}:\d{2})\|(?<number>\+?\d+)\|(?<way>[OI])\|(?<length>\d+)$",
-    "tmobile": r"^TMO:(?<date>\d{4}-\d{2}-\d{2}):(?<time>\d{2}:\d{2}:\d{2}):(?<number>\+?\d+):(?<way>[OI]):(?<length>\d+)$",
-    "sprint": r"^SPR\|(?<date>\d{8})\|(?<time>\d{6})\|(?<number>\+?\d+)\|(?<way>[OI])\|(?<length>\d+)\|(?<kind>[CS])$",
+    "att": [
+        r"^CDR\|(?<date>\d{8})\|(?<time>\d{6})\|(?<number>\+?\d+)\|(?<way>[OI])\|(?<length>\d+)\|(?<kind>[CS])$",
+        r"^(?<date>\d{2}/\d{2}/\d{4}),(?<time>\d{2}:\d{2}:\d{2}),(?<number>[0-9+() -]+),(?<way>[OI][A-Za-z]*),(?<length>\d+)$",
+    ],
+    "verizon": [
+        r"^VZW\|(?<date>\d{4}-\d{2}-\d{2})\|(?<time>\d{2}:\d{2}:\d{2})\|(?<number>\+?\d+)\|(?<way>[OI])\|(?<length>\d+)$",
+        r"^(?<date>\d{8})(?<time>\d{6})(?<number>[0-9+()-]+?) *(?<way>[IO])(?<length>\d{6})(?<kind>[CV])$",
+    ],
+    "tmobile": [
+        r"^TMO:(?<date>\d{4}-\d{2}-\d{2}):(?<time>\d{2}:\d{2}:\d{2}):(?<number>\+?\d+):(?<way>[OI]):(?<length>\d+)$",
+        r"^(?<date>\d{2}/\d{2}/\d{4})\s+(?<time>\d{2}:\d{2}:\d{2})\s+(?<number>[0-9+()-]+)\s+(?<way>[IO])\s+(?<length>\d+)$",
+    ],
+    "sprint": [
+        r"^SPR\|(?<date>\d{8})\|(?<time>\d{6})\|(?<number>\+?\d+)\|(?<way>[OI])\|(?<length>\d+)\|(?<kind>[CS])$",
+        r"^(?<date>\d{8})(?<time>\d{6})(?<number>\d{10})(?<way>[IO])(?<length>\d{5})(?<kind>[CV])$",
+    ],
 }
 GROUPS = ["date", "time", "number", "way", "length", "kind"]
 
@@ -105,14 +117,18 @@ def carrier_of_lines(lines: list[str]) -> str | None:
     """The carrier whose pattern fits most sampled lines, if it fits over 30 % of them."""
     import re
 
-    share = {c: sum(bool(re.match(p.replace("(?<", "(?P<"), line)) for line in lines) / max(len(lines), 1) for c, p in CARRIER_LINES.items()}
+    share = {c: sum(any(re.match(p.replace("(?<", "(?P<"), line) for p in forms) for line in lines) / max(len(lines), 1) for c, forms in CARRIER_LINES.items()}
     best = max(share, key=share.get)
     return best if share[best] > 0.3 else None
 
 
-def group_of(pattern: str, name: str) -> Column | None:
-    names = [p.split(">")[0] for p in pattern.split("(?<")[1:]]
-    return F.regexp_extract("value", pattern, names.index(name) + 1) if name in names else None
+def group_of(forms: list[str], name: str) -> Column:
+    """The group of the first form that a line fits; null without."""
+    parts = []
+    for form in forms:
+        names = [p.split(">")[0] for p in form.split("(?<")[1:]]
+        parts.append(F.when(F.col("value").rlike(form), F.regexp_extract("value", form, names.index(name) + 1) if name in names else F.lit(None)))
+    return F.coalesce(*parts)
 
 
 def read_cdr(spark: SparkSession, path: str) -> DataFrame:
@@ -122,11 +138,11 @@ def read_cdr(spark: SparkSession, path: str) -> DataFrame:
     carrier = carrier_of_lines(lines)
     if carrier:
         g = {n: group_of(CARRIER_LINES[carrier], n) for n in GROUPS}
-        fits = text.where(F.col("value").rlike(CARRIER_LINES[carrier]))
+        fits = text.where(reduce(lambda a, b: a | b, [F.col("value").rlike(form) for form in CARRIER_LINES[carrier]]))
         date, time = g["date"], g["time"]
         compact = F.concat(date, F.lit(" "), time)
-        kind = F.when(g["kind"] == "S", "sms").otherwise("call") if g["kind"] is not None else F.lit("call")
-        return fits.select(g["number"].alias("number"), compact.alias("ts"), g["length"].alias("duration"), kind.alias("type"), F.when(g["way"] == "I", "inbound").otherwise("outbound").alias("direction"), F.lit(None).cast("string").alias("content"), F.col("value").alias("line"))
+        kind = F.when(g["kind"] == "S", "sms").otherwise("call")
+        return fits.select(g["number"].alias("number"), compact.alias("ts"), g["length"].alias("duration"), kind.alias("type"), F.when(g["way"].startswith("I"), "inbound").otherwise("outbound").alias("direction"), F.lit(None).cast("string").alias("content"), F.col("value").alias("line"))
     sep, score = detect.delimiter(lines)
     if score > 0.5 and not (sep == ":" and detect.fixed_width(lines)):
         return by_looks(text, F.split("value", "\\" + sep if sep in "|" else sep))

@@ -149,3 +149,17 @@ def test_files_of_many_charsets_and_limits(spark, tmp_path):
     assert readers.file_report(spark, str(tmp_path / "long.csv"), max_bytes=100).collect()[0]["reason"] == "too large"
     one = readers.read_csv(spark, str(tmp_path / "latin.csv")).collect()
     assert {r["content"] for r in one} == {"café à é", "plain"}
+
+
+@pytest.mark.parametrize(("carrier", "line", "want"), [
+    ("att", "01/31/2023,10:30:00,+12025551234,Outgoing,180", ("+12025551234", "01/31/2023 10:30:00", "180", "call", "outbound")), ("verizon", "20230131103000+12025551234   I000180V", ("+12025551234", "20230131 103000", "000180", "call", "inbound")),
+    ("tmobile", "01/31/2023  10:30:00  2025551234  I  180", ("2025551234", "01/31/2023 10:30:00", "180", "call", "inbound")), ("sprint", "202301311030002025551234O00180C", ("2025551234", "20230131 103000", "00180", "call", "outbound")),
+])
+def test_second_forms_of_carriers(spark, tmp_path, carrier, line, want):
+    """Files may hold both forms; lines of neither are left out."""
+    first = {"att": "CDR|20230101|103000|+12025551234|O|180|S", "verizon": "VZW|2023-01-01|10:30:00|2025551234|O|180", "tmobile": "TMO:2023-01-01:10:30:00:2025551234:O:180", "sprint": "SPR|20230101|103000|+12025551234|O|180|S"}[carrier]
+    (tmp_path / "f.cdr").write_text("\n".join([line] * 3 + [first, "end of file"]))
+    assert readers.carrier_of_lines([line] * 3) == carrier
+    got = readers.read_cdr(spark, str(tmp_path / "f.cdr")).collect()
+    assert [tuple(r)[:5] for r in got[:3]] == [want] * 3 and len(got) == 4
+    assert got[3]["type"] == ("sms" if carrier in ("att", "sprint") else "call")
