@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -43,9 +44,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")  # the runs of [0-9a-f] that are long enough
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{12,}(?:=+(?![A-Za-z0-9+/_=-]))?")  # with its padding; an '=' before more is a separator
+JOINED = re.compile(r"[A-Z]?[a-z]{3,10}|[A-Z]{4,11}")  # the words that a token may be put together of
 PARTS = [re.compile(r"[A-Za-z0-9+/]+=*"), re.compile(r"[A-Za-z0-9_-]+=*")]
 ENCODINGS = [("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("alnum", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"), ("digits", "0123456789"), ("lower", "abcdefghijklmnopqrstuvwxyz"), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")]
-DIGITS = 6
+#: What each encoding weighs among secrets, as minus log2: letters and digits a fourth, hex and base64 an eighth, others a sixteenth; letters of
+#: one case, which nearly all are words, a thousandth.
+ODDS = [3, 4, 4, 2, 3, 3, 4, 10, 10, 4]
 NARROWEST = sorted(range(len(ENCODINGS)), key=lambda i: len(ENCODINGS[i][1]))  # the order in which they are inferred
 LENGTHS = [12, 14, 16, 20, 28, 40, 64, 128]  # lower ends of the length classes
 Q = 0.05
@@ -134,7 +138,8 @@ def tokens(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int,
 class Ordinary:
     """Ordinary text's characters: chances of a symbol after another, and of a letter's case after another's (lower, upper, none before).
 
-    Identifiers put words together: at each character a new word may begin, with chance ``JOIN``, in either case.
+    A token is one word or an identifier, with even chances; in an identifier a new word may begin at each character, with chance
+    ``JOIN``, in either case.
     """
 
     symbol: list[list[float]]
@@ -142,20 +147,20 @@ class Ordinary:
 
     def bits(self, token: str) -> float:
         """Minus log2 of a token's likelihood."""
-        before, how, out, first = OTHER, 2, 0.0, self.symbol[OTHER]
+        before, how, word, put, first = OTHER, 2, 0.0, 0.0, self.symbol[OTHER]
         for c in token:
             at = _PLACE[ord(c)]
-            going = self.symbol[before][at]
+            going, new = self.symbol[before][at], first[at]
             if at < 26:
                 upper = int(c < "a")
-                chance = (1 - JOIN) * going * self.case[how][upper] + JOIN * 0.5 * first[at]
-                how = upper
+                going, new, how = going * self.case[how][upper], 0.5 * new, upper
             else:
-                chance = (1 - JOIN) * going + JOIN * first[at]
                 how = 2
-            out -= math.log2(chance)
+            word -= math.log2(going)
+            put -= math.log2((1 - JOIN) * going + JOIN * new)
             before = at
-        return out
+        low = min(word, put)
+        return low + 1 - math.log2(1 + 2.0 ** (low - max(word, put)))
 
 
 #: Each byte's symbol.
@@ -167,29 +172,30 @@ _UPPER = np.zeros(256, bool)
 _UPPER[ord("A") : ord("Z") + 1] = True
 
 
-def word_counts(data: bytes, longest: int = LENGTHS[0] - 1, shortest: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """How often symbols, and cases of letters, follow one another in words of up to ``longest`` symbols, shorter than tokens to be judged;
-    and in the words that longer runs are put together of: letters from one capital after a small letter, or a mark, to the next,
-    ``shortest`` to ``longest`` of them. Random tokens have few such."""
+def word_counts(data: bytes, longest: int = LENGTHS[0] - 1) -> tuple[np.ndarray, np.ndarray]:
+    """How often symbols, and cases of letters, follow one another in the words of up to ``longest`` symbols: shorter than tokens to be judged."""
     raw = np.frombuffer(data, np.uint8)
     sym, n = _AT[raw], OTHER + 1
-    inside, letter, upper = sym < OTHER, sym < 26, _UPPER[raw]
-    before, how = np.concatenate([[OTHER], sym[:-1]]), np.concatenate([[2], np.where(letter, upper, 2)[:-1]])
+    inside = sym < OTHER
     edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
     starts, ends = edge[::2], edge[1::2]
     long = ends - starts > longest
     if long.any():
-        mark = np.zeros(len(raw) + 1, np.int64)
-        mark[starts[long]], mark[ends[long]] = 1, -1  # runs don't touch
-        deep = np.cumsum(mark[:-1]) == 1
-        begins = deep & letter & ((before >= 26) | (upper & (how == 0)))
-        part, own = np.cumsum(begins), deep & letter
-        size = np.bincount(part[own], minlength=part[-1] + 1)
-        inside &= ~deep | (own & ((size >= shortest) & (size <= longest))[part])
-        before[begins], how[begins] = OTHER, 2
+        drop = np.zeros(len(raw) + 1, np.int64)
+        drop[starts[long]], drop[ends[long]] = 1, -1  # runs don't touch
+        inside &= np.cumsum(drop[:-1]) == 0
     at = np.flatnonzero(inside)
-    cased = at[letter[at]]
-    return np.bincount(before[at] * n + sym[at], minlength=n * n), np.bincount(how[cased] * 2 + upper[cased], minlength=6)
+    before = np.concatenate([[OTHER], sym[:-1]])[at]
+    letter = at[sym[at] < 26]
+    case = np.where(sym < 26, _UPPER[raw], 2)
+    case_before = np.concatenate([[2], case[:-1]])[letter]
+    return np.bincount(before * n + sym[at], minlength=n * n), np.bincount(case_before * 2 + _UPPER[raw][letter], minlength=6)
+
+
+def _cells(symbol: np.ndarray, case: np.ndarray) -> pa.RecordBatch:
+    cells = np.concatenate([symbol, case])
+    at = np.flatnonzero(cells)
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at])], names=["cell", "n"])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,17 +207,40 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s, c = word_counts(data[i : i + (1 << 22)])
                 symbol += s
                 case += c
-    cells = np.concatenate([symbol, case])
-    at = np.flatnonzero(cells)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at])], names=["cell", "n"])
+    yield _cells(symbol, case)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words that each distinct token of a task is put together of, and in how many of its tokens they stand."""
+    counts: Counter = Counter()
+    for batch in batches:
+        tokens = {m for text in batch.column("text").to_pylist() for m in TOKEN.findall(text)}
+        for token in tokens:
+            counts.update(set(JOINED.findall(token)))
+    yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+
+
+def _joined_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    symbol, case = np.zeros((OTHER + 1) ** 2, np.int64), np.zeros(6, np.int64)
+    for batch in batches:
+        by: dict[int, list[str]] = {}
+        for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            by.setdefault(n, []).append(word)
+        for n, words in by.items():
+            s, c = word_counts(" ".join(words).encode())
+            symbol += n * s
+            case += n * c
+    yield _cells(symbol, case)
 
 
 def ordinary(docs: DataFrame, text_col: str = "text") -> Ordinary:
-    """The model of all texts of ``docs``; what comes to the driver has a fixed size."""
+    """The model of all texts of ``docs``: of their short words, and of the words that stand in several long tokens, as identifiers have them
+    and random tokens don't. What comes to the driver has a fixed size."""
     rows = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    got = rows.mapInArrow(_counts, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    again = rows.mapInArrow(_joined, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    every = rows.mapInArrow(_counts, "cell int, n bigint").unionByName(again.mapInArrow(_joined_counts, "cell int, n bigint"))
     cells = np.zeros((OTHER + 1) ** 2 + 6)
-    for r in got:
+    for r in every.groupBy("cell").agg(F.sum("n").alias("n")).collect():
         cells[r["cell"]] = r["n"]
     symbol, case = cells[:-6].reshape(OTHER + 1, OTHER + 1)[:, :OTHER], cells[-6:].reshape(3, 2)
 
@@ -224,9 +253,9 @@ def ordinary(docs: DataFrame, text_col: str = "text") -> Ordinary:
 
 
 def evidence(token: str, code: int, model: Ordinary) -> float:
-    """log2 of the e-value; the encodings share the alternative's weight, as a token's is inferred."""
+    """log2 of the e-value; the encodings share the alternative's weight (``ODDS``), as a token's is inferred."""
     token = token.rstrip("=")
-    return model.bits(token) - len(token) * math.log2(len(ENCODINGS[code][1])) - math.log2(len(ENCODINGS))
+    return model.bits(token) - len(token) * math.log2(len(ENCODINGS[code][1])) - ODDS[code]
 
 
 def card_number(token: str) -> bool:
