@@ -99,7 +99,8 @@ def test_guard_cannot_be_bypassed(spark, sql):
 
 @pytest.mark.parametrize("sql", ["SELECT * FROM comm;", "WITH a AS (SELECT k, count(*) AS n FROM comm GROUP BY k HAVING count(*) > 1) SELECT * FROM a ORDER BY n DESC LIMIT 3", "SELECT sum(id) OVER w AS s FROM comm WINDOW w AS (ORDER BY id)", "SELECT * FROM (VALUES (1), (2)) AS v(x)",
     "SELECT id, row_number() OVER (PARTITION BY k ORDER BY id) AS r FROM comm WHERE id IN (SELECT id FROM comm WHERE k = 1) AND EXISTS (SELECT 1 FROM comm c WHERE c.id = comm.id)", "SELECT a.id FROM comm a LEFT JOIN comm b ON a.id = b.id UNION SELECT 1", "SELECT 'it''s; drop -- \"x\"' AS x FROM comm -- note",
-    "SELECT CASE WHEN id > 1 THEN 'x' ELSE 'y' END AS c, CAST(id AS STRING), trim('a'), substring('abc', 1, 1), extract(year FROM DATE '2024-01-01'), date_trunc('day', TIMESTAMP '2024-01-01 01:00:00') FROM comm", "SELECT DISTINCT k FROM (SELECT id, k FROM comm) x(id, k)"])
+    "SELECT CASE WHEN id > 1 THEN 'x' ELSE 'y' END AS c, CAST(id AS STRING), trim('a'), substring('abc', 1, 1), extract(year FROM DATE '2024-01-01'), date_trunc('day', TIMESTAMP '2024-01-01 01:00:00') FROM comm", "SELECT DISTINCT k FROM (SELECT id, k FROM comm) x(id, k)",
+    "SELECT -id, id div 2, id % 2, 'a' || 'b', id IS NOT NULL, NOT (id IN (7)), id IS DISTINCT FROM 3 FROM comm WHERE id BETWEEN 0 AND 9 AND ('abc' LIKE 'a%' OR 'abc' RLIKE 'b' OR 'abc' ILIKE 'A%')"])
 def test_guard_lets_questions_pass(spark, sql):
     assert vectors.guarded(spark, sql, {"comm": spark.range(5).selectExpr("id", "id % 2 AS k")}).count() > 0
 
