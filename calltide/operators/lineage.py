@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The frame as files of the checkpoint folder; a lost executor costs a re-read. Only a local master gets a folder of its own."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
+    """The frame as a table of the checkpoint folder, worked out once; a lost executor costs a re-read. Only a local master gets a folder of
+    its own. Tables stay there, as results are lazy and may read them."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="calltide-"))
-    return df.checkpoint()
+        folder = "file://" + tempfile.mkdtemp(prefix="calltide-")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    at = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
