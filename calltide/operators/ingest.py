@@ -108,12 +108,15 @@ def validate(records: DataFrame, low_year: int = 1990, high_year: int = 2050) ->
 
 def split_valid(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     fatal = F.exists("errors", lambda e: e.isin("number:missing", "number:invalid", "ts:missing", "ts:invalid", "ts:range"))
-    return records.where(~fatal), records.where(fatal)
+    # As a generated row: a filter on the errors themselves would be pushed below their steps, with each step written out at each use.
+    marked = records.select("*", F.explode(F.array(fatal)).alias("_fatal"))
+    return marked.where(~F.col("_fatal")).drop("_fatal"), marked.where("_fatal").drop("_fatal")
 
 
 def validation_stats(records: DataFrame) -> DataFrame:
     """Errors by field and reason with the records they concern."""
-    e = records.select(F.explode("errors").alias("e")).groupBy("e").agg(F.count("*").alias("records"))
+    # Outer, with nulls dropped later: explode would filter empty arrays below the steps that the errors are made in (see split_valid).
+    e = records.select(F.explode_outer("errors").alias("e")).where("e IS NOT NULL").groupBy("e").agg(F.count("*").alias("records"))
     return e.select(F.split("e", ":")[0].alias("field"), F.split("e", ":")[1].alias("reason"), "records")
 
 
@@ -135,7 +138,8 @@ def validate_contacts(contacts: DataFrame) -> DataFrame:
 
 def extract_contacts(events: DataFrame) -> DataFrame:
     """A contact for each number of valid events: first and last time and counters. Partial sums are made in each task."""
-    return events.where("number IS NOT NULL").groupBy("number").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.when(F.col("type") == "call", 1)).alias("total_calls"), F.count(F.when(F.col("type") == "sms", 1)).alias("total_sms"))
+    n = F.count("number").alias("_n")  # 0 for the group of null alone; a filter on the number would be pushed below its steps
+    return events.groupBy("number").agg(n, F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.when(F.col("type") == "call", 1)).alias("total_calls"), F.count(F.when(F.col("type") == "sms", 1)).alias("total_sms")).where("_n > 0").drop("_n")
 
 
 #: Words that tell the class and language of a message.
