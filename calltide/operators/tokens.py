@@ -7,7 +7,6 @@ blanks, and whether a letter is a capital, stay where they are.
 
 from __future__ import annotations
 
-import hashlib
 import hmac
 from collections.abc import Iterator
 from functools import partial
@@ -20,6 +19,8 @@ from pyspark.sql import functions as F
 DIGITS = "0123456789"
 ALPHANUMERIC = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 ROUNDS = 10
+#: Values whose tokens a task remembers; a batch may add its own.
+MEMO = 100_000
 
 
 def from_hash(value: Column, alphabet: str, length: int) -> Column:
@@ -70,7 +71,7 @@ def checksum_holds(token: Column) -> Column:
 
 
 def _round(key: bytes, tweak: str, i: int, half: int, size: int) -> int:
-    return int.from_bytes(hmac.new(key, f"{tweak}:{i}:{half}".encode(), hashlib.sha256).digest()) % size
+    return int.from_bytes(hmac.digest(key, f"{tweak}:{i}:{half}".encode(), "sha256")) % size
 
 
 def permuted(number: int, length: int, base: int, key: bytes, tweak: str, back: bool = False) -> int:
@@ -117,10 +118,11 @@ def preserving_token(value: str, key: bytes, back: bool = False, tweak: str = ""
 
 
 def _preserve(batches: Iterator[pa.RecordBatch], columns: dict[str, str], key: bytes, back: bool, tweak: str) -> Iterator[pa.RecordBatch]:
+    memo: dict[str, str] = {}  # of a task, begun anew when it is full
     for batch in batches:
         made = []
         for name in columns:
-            memo: dict[str, str] = {}
+            memo = memo if len(memo) < MEMO else {}
             made.append(pa.array([None if v is None else memo.get(v) or memo.setdefault(v, preserving_token(v, key, back, tweak)) for v in batch.column(name).to_pylist()], pa.string()))
         yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *columns.values()])
 
