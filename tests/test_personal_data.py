@@ -1,5 +1,7 @@
 """Spans of personal data, strategies by kind, and what a rewrite preserves."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,40 @@ def test_long_texts_take_linear_time():
         D.spans_of(text, patterns)
 
 
+class Counted:
+    """A pattern that adds up the places it is tried at."""
+
+    def __init__(self, p, seen):
+        self.p, self.pattern, self.seen = p, p.pattern, seen
+
+    def _on(self, how, text, pos=0, endpos=None):
+        end = len(text) if endpos is None else min(endpos, len(text))
+        self.seen[0] += 1 if how == "match" else end - pos
+        return getattr(self.p, how)(text, pos, end)
+
+    def __getattr__(self, how):
+        return lambda *a: self._on(how, *a)
+
+
+def test_patterns_are_tried_where_they_can_match():
+    seen, plain = [0], "Little of this text holds a number: 12 apples, at most, in 2019. " * 500
+    patterns = [(k, Counted(p, seen)) for k, p in D.Detector().patterns()]
+    assert D.spans_of(plain + TEXTS[0] + plain, patterns) == [(len(plain) + a, len(plain) + b, k, c) for a, b, k, c in D.spans_of(TEXTS[0], D.Detector().patterns())]
+    assert seen[0] < 2 * len(2 * plain)
+
+
+def test_matches_are_those_of_every_pattern():
+    patterns, rnd = D.Detector(custom={"badge": [r"\b[A-Z]{2}-\d{2}\b"], "address": [r"42 apples"]}).patterns(), random.Random(3)
+    atoms = ["+", "(", ")", "1", "12", "555", "4567", "-", ".", "/", " ", "  ", "\n", "\u3000", "\u0660", "\u017f", "\u212a", "A", "b", "AB", "5B", "é", "Main", "Street", "st", ", ", "IL", "Ann", "Smith", "McDonald", "J.", "@", ".com", "x", "a" * 63, "c" * 24, "b." * 127, ":", "::", "0db8", "1:2:3:4:5:6:7:8", "P.O. Box ", "box ", "42 apples"]
+    texts = [*filter(None, TEXTS.values()), *("".join(rnd.choice(some) for _ in range(rnd.choice((4, 12, 40)))) for some in (rnd.sample(atoms, rnd.choice((5, 12, len(atoms)))) for _ in range(1500)))]
+    found = 0
+    for text in texts:
+        want = sorted((k, p.pattern, m.span()) for k, p in patterns for m in p.finditer(text))
+        assert sorted((k, m.re.pattern, m.span()) for k, m in D.matches(text, patterns)) == want
+        found += len(want)
+    assert found > 1000
+
+
 def test_column_form(spark):
     df = spark.createDataFrame([(TEXTS[0],), (None,)], "t string")
     assert [r[0] for r in df.select(D.masked_kind(F.col("t"), "email_address")).collect()] == [TEXTS[0].replace("ann.smith@example.com", "[EMAIL]"), None]
