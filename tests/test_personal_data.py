@@ -64,6 +64,15 @@ def test_preservation():
     assert D.preserved("", "", 1.0) == (1.0, 1.0, True, True)
 
 
+def test_unchanged_texts_are_not_compared_by_words():
+    class Text(str):
+        def lower(self):
+            raise AssertionError("its words were compared")
+
+    assert D.preserved(Text("Call me today. Or not."), "Call me today. Or not.", 0.9) == (0.99, 1.0, True, True)
+    assert D.preserved(Text(" "), " ", 0.9) == (0.9, 1.0, True, True)
+
+
 def test_long_texts_take_linear_time():
     patterns = D.Detector().patterns()
     for text in ("7 Aa" + " Bb" * 100_000, "a." * 200_000, "1" * 300_000, "+1 " * 100_000, "Ann Smith " * 30_000):
