@@ -209,7 +209,7 @@ def pii_spans(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, *h) for i, t in enumerate(b.column(1).to_pylist()) if t for h in find(t)]
+            rows = [(i, *h) for i, t in enumerate(b.column(1)) for h in find(t.as_py() or "")]  # one text at a time: a batch may hold long ones
             take = b.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays([take, pa.array([r[3] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.float64())], names=["id", "kind", "start", "end", "confidence"])
 

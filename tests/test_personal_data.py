@@ -1,10 +1,13 @@
 """Spans of personal data, strategies by kind, and what a rewrite preserves."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from calltide.operators import ingest as I
 from calltide.operators import personal_data as D
 
 TEXTS = {
@@ -113,6 +116,20 @@ def test_matches_are_those_of_every_pattern():
     assert found > 1000
 
 
+@pytest.mark.parametrize("job", [lambda t: I.pii_spans(t, "doc", "body"), lambda t: D.find_spans(t, "doc", "body"), lambda t: D.anonymize_texts(t, "doc", "body")])
+def test_few_texts_of_a_batch_are_strings_at_a_time(table, monkeypatch, job):
+    work = []
+    monkeypatch.setattr(type(table), "mapInArrow", lambda self, f, schema: work.append(f) or self)
+    job(table)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["mail ann@example.com " + "x " * 5000] * 1000)], names=["id", "text"])
+    tracemalloc.start()
+    try:
+        rows = sum(part.num_rows for part in work[0](iter([batch])))
+        assert rows == 1000 and tracemalloc.get_traced_memory()[1] < 6_000_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_column_form(spark):
     df = spark.createDataFrame([(TEXTS[0],), (None,)], "t string")
     assert [r[0] for r in df.select(D.masked_kind(F.col("t"), "email_address")).collect()] == [TEXTS[0].replace("ann.smith@example.com", "[EMAIL]"), None]
